@@ -1,0 +1,22 @@
+import os
+import sys
+import tempfile
+
+import pytest
+
+sys.path.insert(0, os.path.dirname(os.path.dirname(os.path.abspath(__file__))))
+
+from toponymic.session import get_session  # noqa: E402
+
+
+@pytest.fixture(scope="session")
+def spark():
+    scratch = tempfile.mkdtemp(prefix="toponymic-tests-")
+    s = get_session("local[4]", app="toponymic-tests", shuffle_partitions=4,
+                    spark_checkpoint_dir=os.path.join(scratch, "ckpt"))
+    yield s
+
+
+@pytest.fixture()
+def scratch():
+    return tempfile.mkdtemp(prefix="toponymic-case-")
