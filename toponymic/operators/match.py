@@ -26,6 +26,7 @@ from __future__ import annotations
 from dataclasses import dataclass
 from functools import cached_property
 
+from pyspark import StorageLevel
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
@@ -88,6 +89,10 @@ class _Index:
 
     @classmethod
     def build(cls, index: DataFrame, payload: list[str]) -> "_Index":
+        # The index is small (gazetteer-sized) and read by every query's broadcast:
+        # keep it materialized instead of re-deriving it each time (recomputed from
+        # lineage if an executor holding it is lost).
+        index = index.persist(StorageLevel.MEMORY_AND_DISK)
         anchored = broadcast_if_bounded(index.where(F.col("anchor").isNotNull()))
         residual = index.where(F.col("anchor").isNull())
         return cls(anchored, residual, collect_bounded(residual, MAX_LITERAL_NAMES), payload)

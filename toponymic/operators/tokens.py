@@ -29,42 +29,38 @@ def exact_token_matches(docs: DataFrame, places: DataFrame, text_col: str = "tex
                 .select("doc_id", "pos", "token", "tag")
 
 
-def _numbered(grams, n: int):
-    return F.transform(grams, lambda g, i: F.struct(i.cast("long").alias("pos"), F.lit(n).alias("n"),
-                                                    g.alias("gram")))
-
-
-def ngram_column(tokens, max_n: int):
-    """array<struct<pos:long, n:int, gram:string>> of all n-grams, n = 1..max_n, joined by
-    one space. Built from shifted slices (``zip_with``), linear in the token count;
-    ``tokens`` must be a column of an earlier projection."""
-    size = F.size(tokens)
-    grams = tokens
-    parts = [_numbered(grams, 1)]
-    for n in range(2, max_n + 1):
-        length = F.greatest(size - n + 1, F.lit(0))
-        grams = F.zip_with(F.slice(grams, 1, length), F.slice(tokens, n, length),
-                           lambda a, b: F.concat(a, F.lit(" "), b))
-        parts.append(_numbered(grams, n))
-    return F.concat(*parts)
+def ngram_names(places: DataFrame, max_n: int) -> DataFrame:
+    """Names an n-gram can equal: at most ``max_n`` tokens, and the name is its own
+    tokens joined by one space. Adds ``first`` (its first token) and ``n``."""
+    ntoks = token_array(F.col("name"))
+    return (places.select(*PLACE_COLS, ntoks.alias("__ntoks"))
+                  .where(F.size("__ntoks").between(1, max_n)
+                         & (F.array_join("__ntoks", " ") == F.col("name")))
+                  .select(*PLACE_COLS, F.col("__ntoks")[0].alias("first"),
+                          F.size("__ntoks").alias("n")))
 
 
 def ngram_matches(docs: DataFrame, gaz: Gazetteer, text_col: str = "text", max_n: int = 3,
                   gate: bool = True) -> DataFrame:
-    """Token n-grams (n <= ``max_n``) equal to a place name, country gate kept.
+    """Token n-grams (n <= ``max_n``, tokens joined by one space) equal to a place name,
+    country gate kept. One row per (doc_id, pos, n, place row).
 
-    One row per (doc_id, pos, n, place row).
+    Equivalent to generating every n-gram and joining it with the names, but only the
+    positions whose token starts some name are looked at: each token position joins the
+    names on their first token (broadcast hash join), and the following ``n - 1`` tokens
+    are compared for those hits only. The token array rides along in the row.
     """
     units = gaz.text_units(docs, text_col)
     gate_cols = [c for c in ["isos"] if c in units.columns]
     toks = units.select("doc_id", *gate_cols, token_array(F.col("text")).alias("toks"))
-    grams = toks.select("doc_id", *gate_cols, F.explode_outer(ngram_column(F.col("toks"), max_n)).alias("g"))
-    names = broadcast_if_bounded(gaz.places.select(*PLACE_COLS).where(F.col("name").isNotNull()))
-    hits = grams.join(names, F.col("g.gram") == F.col("name"))
-    cols = ["doc_id", F.col("g.pos").alias("pos"), F.col("g.n").alias("n"), *PLACE_COLS]
+    at = toks.select("doc_id", *gate_cols, "toks", F.posexplode_outer("toks").alias("pos", "tok"))
+    names = broadcast_if_bounded(ngram_names(gaz.places, max_n))
+    hits = (at.join(names, F.col("tok") == F.col("first"))
+              .where(F.array_join(F.slice("toks", F.col("pos") + 1, F.col("n")), " ") == F.col("name")))
+    cols = ["doc_id", F.col("pos").cast("long").alias("pos"), F.col("n").alias("n"), *PLACE_COLS]
     if not gate:
         return hits.select(*cols)
-    if "isos" in units.columns:
+    if gate_cols:
         return hits.where(F.array_contains("isos", F.col("countrycode"))).select(*cols)
     found = gaz.countries_in(units).withColumnRenamed("doc_id", "__doc")
     return (hits.join(found, (hits.doc_id == found["__doc"]) & (hits.countrycode == found.iso), "left_semi")
