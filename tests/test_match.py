@@ -108,3 +108,20 @@ def test_match_corpus_keeps_metadata(spark):
     docs = spark.createDataFrame([(1, "Kenya Nairobi", "J1")], "doc_id long, text string, journal string")
     rows = match_corpus(docs, gazetteer(spark), keep=("journal",)).collect()
     assert [(r.doc_id, r.journal, r.row_index) for r in rows] == [(1, "J1", 0)]
+
+
+def test_unanchored_names_above_bound_use_theta_join(spark, monkeypatch):
+    import toponymic.operators.match as m
+    monkeypatch.setattr(m, "MAX_LITERAL_NAMES", 0)   # nothing may be inlined
+    gaz = gazetteer(spark, True, places=[(0, "Nair(o|u)bi", "KE"), (1, "Mombasa", "KE")])
+    assert gaz.lookup is None and gaz._places.residual_rows is None
+    rows = places_in_text(docs_df(spark, ["Kenya Nairubi", "Kenya Nairobi Mombasa", "Nairobi"]), gaz).collect()
+    assert sorted((r.doc_id, r.row_index) for r in rows) == [(0, 0), (1, 0), (1, 1)]
+
+
+def test_gate_counts_single_pass(spark):
+    gaz = gazetteer(spark)
+    docs = docs_df(spark, ["Cases in Nairobi, Kenya.", "Nairobi", "Kenya and Uganda: Nairobi, Kampala", ""])
+    rows = {r.doc_id: (r.n_admitted, r.n_ungated, r.n_gated) for r in gaz.gate_counts(gaz.text_units(docs)).collect()}
+    # Kenya admits 3 rows (0, 1, 6); Uganda 3 (3, 4, 5)
+    assert rows == {0: (3, 2, 1), 1: (0, 2, 0), 2: (6, 3, 3), 3: (0, 0, 0)}

@@ -209,6 +209,43 @@ class Gazetteer:
                              "left_semi")
         return hits.select(*keys, *keep, *PLACE_COLS)
 
+    def gate_counts(self, units: DataFrame) -> DataFrame | None:
+        """J2 summary per document in one pass: places the gate admits (gazetteer rows of
+        the document's countries), ungated and gated place matches; zero rows kept.
+
+        The admitted count is computed in the row from a per-country count map (bounded
+        like the country list); a left-outer broadcast join keeps documents without any
+        hit, and one aggregation per document follows. Returns None when a bound does not
+        hold (callers then combine ``countries_in`` and ``places_in``).
+        """
+        per_country = self.places.groupBy("countrycode").agg(F.count(F.lit(1)).alias("n"))
+        counts = collect_bounded(per_country, MAX_LITERAL_NAMES)
+        if counts is None or "isos" not in units.columns or self._places.residual_rows is None:
+            return None
+        counts = sorted((r["countrycode"], r["n"]) for r in counts if r["countrycode"] is not None)
+        count_map = (F.map_from_arrays(F.array(*[F.lit(c) for c, _ in counts]),
+                                       F.array(*[F.lit(n).cast("long") for _, n in counts]))
+                     if counts else F.create_map().cast("map<string,bigint>"))
+        admitted = F.aggregate("isos", F.lit(0).cast("long"),
+                               lambda acc, iso: acc + F.coalesce(F.element_at(count_map, iso), F.lit(0).cast("long")))
+        text = F.col("text")
+        exact = F.col("single") | (F.contains(text, F.col("guard")) & F.regexp_like(text, F.col("pattern")))
+        # computed in its own projection: expressions listed next to a generator are
+        # evaluated above it, once per exploded row
+        per_doc = units.select("doc_id", "text", "isos", "words", admitted.alias("n_admitted"))
+        tokens = per_doc.select("doc_id", "text", "isos", "n_admitted", F.explode_outer("words").alias("__tok"))
+        joined = tokens.join(self._places.anchored, (F.col("__tok") == F.col("anchor")) & exact, "left")
+        hit = F.col("row_index").isNotNull()
+        gated = hit & F.array_contains("isos", F.col("countrycode"))
+        out = joined.select("doc_id", "n_admitted", hit.cast("long").alias("u"), gated.cast("long").alias("g"))
+        if self._places.residual_rows:
+            extra = self._hits(units, self._places, keep=("isos",))
+            out = out.unionByName(extra.select(
+                "doc_id", F.lit(0).cast("long").alias("n_admitted"), F.lit(1).cast("long").alias("u"),
+                F.array_contains("isos", F.col("countrycode")).cast("long").alias("g")))
+        return out.groupBy("doc_id").agg(F.max("n_admitted").alias("n_admitted"),
+                                         F.sum("u").alias("n_ungated"), F.sum("g").alias("n_gated"))
+
     @staticmethod
     def _hits(units: DataFrame, index: _Index, gate_col: str | None = None,
               keep: tuple[str, ...] = ()) -> DataFrame:
