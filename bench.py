@@ -24,7 +24,8 @@ HEADLINE = ["place_match", "country_match", "country_gate", "match_export", "doc
             "run_totals", "place_counts", "reporting_effort", "union_runs", "whole_word_filter",
             "corpus_slice", "tag_text", "page_meta", "tokens", "tagged_tokens", "np_candidates",
             "entity_candidates", "candidate_country_match", "candidate_place_match",
-            "entity_place_match", "token_exact_match", "ngram_match"]
+            "entity_place_match", "token_exact_match", "ngram_match", "conversation_place_match",
+            "effort_by_quality"]
 
 
 def main() -> None:

@@ -140,6 +140,27 @@ def q_reporting_effort(spark, sf_dir):
     return report.reporting_effort(i.matches(keep=("lang",)))
 
 
+def q_conversation_place_match(spark, sf_dir):
+    """M1 over a second corpus: every conversation turn is an article of its own."""
+    i = inputs(spark, sf_dir)
+    turns = spread(i.table("conversations"), "conv_id").select(
+        F.col("conv_id").alias("doc_id"), "turn", "role", "text")
+    m = match_corpus(turns, i.gaz, on="text", keep=("turn", "role"))
+    return m.select(F.col("doc_id").alias("conv_id"), "turn", "role", "row_index", "name", "countrycode")
+
+
+def q_effort_by_quality(spark, sf_dir):
+    """A4 grouped by the quality label of the labelled documents (inner join on doc_id;
+    the label table is joined after the matches are reduced to one row per document
+    and country)."""
+    i = inputs(spark, sf_dir)
+    per_doc = i.matches().groupBy("doc_id", "countrycode").agg(F.count(F.lit(1)).alias("n"))
+    labels = i.table("labels").select("doc_id", "quality")
+    return (per_doc.join(labels, "doc_id")
+                   .groupBy(F.col("countrycode").alias("iso"), "quality")
+                   .agg(F.sum("n").alias("n_matches"), F.count(F.lit(1)).alias("n_docs")))
+
+
 def q_union_runs(spark, sf_dir):
     i = inputs(spark, sf_dir)
     en = F.col("lang") == "en"
@@ -234,6 +255,8 @@ QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "place_counts": q_place_counts,
     "reporting_effort": q_reporting_effort,
     "union_runs": q_union_runs,
+    "conversation_place_match": q_conversation_place_match,
+    "effort_by_quality": q_effort_by_quality,
     "whole_word_filter": q_whole_word_filter,
     "corpus_slice": q_corpus_slice,
     "tag_text": q_tag_text,
@@ -390,6 +413,20 @@ FROM m JOIN documents d ON d.doc_id = m.doc_id WHERE d.lang = 'en'
 UNION ALL
 SELECT 'other' AS run, m.doc_id, m.row_index, m.geonameid, m.name, m.countrycode
 FROM m JOIN documents d ON d.doc_id = m.doc_id WHERE d.lang <> 'en' OR d.lang IS NULL"""),
+    "conversation_place_match": O.with_ctes(G, rf"""
+ct AS (SELECT DISTINCT conv_id, turn, unnest(regexp_extract_all(text, '{O.W}+')) AS tok FROM conversations),
+chit AS (SELECT DISTINCT ct.conv_id, ct.turn, c.iso FROM ct JOIN country c ON ct.tok = c.country),
+cum AS (
+  SELECT ct.conv_id, ct.turn, p.* FROM ct JOIN place p ON ct.tok = p.name
+  UNION ALL
+  SELECT v.conv_id, v.turn, p.* FROM conversations v JOIN place p ON contains(p.name, ' ') AND contains(v.text, p.name)
+  WHERE {O.boundary_match('v.text', 'p.name')})""", body="""
+SELECT cum.conv_id, cum.turn, v.role, cum.row_index, cum.name, cum.countrycode
+FROM cum JOIN chit h ON h.conv_id = cum.conv_id AND h.turn = cum.turn AND h.iso = cum.countrycode
+JOIN conversations v ON v.conv_id = cum.conv_id AND v.turn = cum.turn"""),
+    "effort_by_quality": O.with_ctes(*GM, body="""
+SELECT m.countrycode AS iso, l.quality, count(*) AS n_matches, count(DISTINCT m.doc_id) AS n_docs
+FROM m JOIN labels l ON l.doc_id = m.doc_id GROUP BY m.countrycode, l.quality"""),
     "whole_word_filter": f"""
 SELECT doc_id, lang FROM documents WHERE {O.boundary_match('text', "'" + WHOLE_WORD_PHRASE + "'")}""",
     "corpus_slice": f"""
