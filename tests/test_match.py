@@ -125,3 +125,15 @@ def test_gate_counts_single_pass(spark):
     rows = {r.doc_id: (r.n_admitted, r.n_ungated, r.n_gated) for r in gaz.gate_counts(gaz.text_units(docs)).collect()}
     # Kenya admits 3 rows (0, 1, 6); Uganda 3 (3, 4, 5)
     assert rows == {0: (3, 2, 1), 1: (0, 2, 0), 2: (6, 3, 3), 3: (0, 0, 0)}
+
+
+@pytest.mark.parametrize("max_bytes, anchors_shipped", [(200, True), (1, False)])
+def test_index_above_broadcast_bound(spark, monkeypatch, max_bytes, anchors_shipped):
+    import toponymic.operators.names as n
+    monkeypatch.setattr(n, "MAX_BROADCAST_BYTES", max_bytes)
+    texts = ["Cases in Nairobi, Kenya.", "Kenya and Uganda: Nairobi.", "Uganda: Fort Portal.", "Nairobi", ""]
+    gaz = gazetteer(spark)
+    idx = gaz._places
+    assert not idx.broadcast and (idx.anchor_set is not None) == anchors_shipped
+    rows = places_in_text(docs_df(spark, texts), gaz).collect()
+    assert sorted((r.doc_id, r.row_index) for r in rows) == [(0, 0), (1, 0), (1, 5), (2, 4)]

@@ -51,17 +51,34 @@ def token_array(text: str | Column) -> Column:
     return F.regexp_extract_all(col_of(text), F.lit(TOKEN), 0)
 
 
+def _first(tok: Column) -> Column:
+    return F.substring(tok, 1, 1)
+
+
+def _is_mark(tok: Column) -> Column:
+    """First character is not a word character (tested on that character only)."""
+    return _first(tok).rlike(r"^[^\p{L}\p{N}_]")
+
+
+def _is_number(tok: Column) -> Column:
+    return _first(tok).between("0", "9") & tok.rlike("^[0-9]+$")
+
+
+def _is_capital(tok: Column) -> Column:
+    return _first(tok).rlike(r"^\p{Lu}")
+
+
 def tag_rule(tok: Column, lexicon: Column | None = None) -> Column:
     """The tag of one token. ``lexicon`` is an optional map<string,string> (checked first)."""
     low = F.lower(tok)
-    rules = (F.when(tok.rlike(r"^[^\p{L}\p{N}_]"), ".")
-              .when(tok.rlike("^[0-9]+$"), "CD")
+    rules = (F.when(_is_mark(tok), ".")
+              .when(_is_number(tok), "CD")
               .when(low.isin(DT_WORDS), "DT")
               .when(low.isin(IN_WORDS), "IN")
               .when(low.isin(CC_WORDS), "CC")
               .when(low.isin(VB_WORDS), "VB")
               .when(low.isin(TO_WORDS), "TO")
-              .when(tok.rlike(r"^\p{Lu}"), "NNP")
+              .when(_is_capital(tok), "NNP")
               .when(tok.endswith(ADVERB_SUFFIX), "RB")
               .when(tok.endswith(GERUND_SUFFIX), "VBG")
               .when(tok.endswith(PAST_SUFFIX), "VBD")
@@ -96,8 +113,8 @@ def class_rule(tok: Column, lexicon: Column | None = None) -> Column:
     capital P; NN and NNS N)."""
     low = F.lower(tok)
     closed = DT_WORDS + IN_WORDS + CC_WORDS + VB_WORDS + TO_WORDS
-    rules = (F.when(tok.rlike(r"^[^\p{L}\p{N}_]") | tok.rlike("^[0-9]+$") | low.isin(closed), "O")
-              .when(tok.rlike(r"^\p{Lu}"), "P")
+    rules = (F.when(_is_mark(tok) | _is_number(tok) | low.isin(closed), "O")
+              .when(_is_capital(tok), "P")
               .when(_any([tok.endswith(s) for s in (ADVERB_SUFFIX, GERUND_SUFFIX, PAST_SUFFIX)]), "O")
               .when(_any([tok.endswith(s) for s in ADJ_SUFFIXES]), "J")
               .otherwise("N"))

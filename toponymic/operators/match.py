@@ -32,7 +32,7 @@ from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
 from toponymic.functions.words import distinct_word_runs
-from toponymic.operators.names import (MAX_LITERAL_NAMES, broadcast_if_bounded, collect_bounded,
+from toponymic.operators.names import (MAX_LITERAL_NAMES, boundary, collect_bounded, fits_broadcast,
                                        literal_array, name_index)
 
 PLACE_COLS = ["row_index", "geonameid", "name", "asciiname", "latitude", "longitude",
@@ -82,7 +82,9 @@ class CountryLookup:
 @dataclass
 class _Index:
     """A name index split into the anchored part (joined) and the rest (checked by regex)."""
-    anchored: DataFrame          # broadcast-hinted when bounded
+    anchored: DataFrame          # broadcast-hinted when its size is proven small
+    broadcast: bool
+    anchor_set: DataFrame | None  # distinct anchors, broadcast, when the index itself is not
     residual: DataFrame          # names without an anchor
     residual_rows: list | None   # the same, inlined when bounded
     payload: list[str]
@@ -93,9 +95,17 @@ class _Index:
         # keep it materialized instead of re-deriving it each time (recomputed from
         # lineage if an executor holding it is lost).
         index = index.persist(StorageLevel.MEMORY_AND_DISK)
-        anchored = broadcast_if_bounded(index.where(F.col("anchor").isNotNull()))
+        anchored = index.where(F.col("anchor").isNotNull()).select("anchor", "single", "guard", "body", *payload)
+        small = fits_broadcast(anchored)
+        anchor_set = None
+        if not small:
+            # Too big to ship whole: ship only its distinct anchors, so the text side is
+            # cut down to tokens that can match before it is shuffled on the token.
+            anchors = anchored.select(F.col("anchor").alias("__key")).distinct()
+            anchor_set = F.broadcast(anchors) if fits_broadcast(anchors) else None
         residual = index.where(F.col("anchor").isNull())
-        return cls(anchored, residual, collect_bounded(residual, MAX_LITERAL_NAMES), payload)
+        return cls(F.broadcast(anchored) if small else anchored, small, anchor_set, residual,
+                   collect_bounded(residual, MAX_LITERAL_NAMES), payload)
 
 
 class Gazetteer:
@@ -120,7 +130,9 @@ class Gazetteer:
     @cached_property
     def lookup(self) -> CountryLookup | None:
         """The inlined country list, or None above ``MAX_LITERAL_NAMES`` rows."""
-        rows = collect_bounded(self._country_index.select(*_COUNTRY_ENTRY.fieldNames()), MAX_LITERAL_NAMES)
+        entries = self._country_index.select("iso", "anchor", "single", "guard",
+                                             boundary(F.col("body")).alias("pattern"))
+        rows = collect_bounded(entries, MAX_LITERAL_NAMES)
         return None if rows is None else CountryLookup(rows)
 
     @cached_property
@@ -229,7 +241,7 @@ class Gazetteer:
         admitted = F.aggregate("isos", F.lit(0).cast("long"),
                                lambda acc, iso: acc + F.coalesce(F.element_at(count_map, iso), F.lit(0).cast("long")))
         text = F.col("text")
-        exact = F.col("single") | (F.contains(text, F.col("guard")) & F.regexp_like(text, F.col("pattern")))
+        exact = F.col("single") | (F.contains(text, F.col("guard")) & F.regexp_like(text, boundary(F.col("body"))))
         # computed in its own projection: expressions listed next to a generator are
         # evaluated above it, once per exploded row
         per_doc = units.select("doc_id", "text", "isos", "words", admitted.alias("n_admitted"))
@@ -259,12 +271,14 @@ class Gazetteer:
         def exact(entry) -> Column:
             # one-run names are settled by the anchor; others need the guard substring
             # and then the boundary regex (And/Or short-circuit in generated code)
-            return entry("single") | (F.contains(text, entry("guard")) & F.regexp_like(text, entry("pattern")))
+            return entry("single") | (F.contains(text, entry("guard")) & F.regexp_like(text, boundary(entry("body"))))
 
         # explode_outer: a plain explode makes the optimizer infer size(words) > 0 and
         # push it below the projection, which would tokenize every text twice; the
         # null token of an empty array simply finds no join partner.
         tokens = units.select(*carry, F.explode_outer("words").alias("__tok"))
+        if index.anchor_set is not None:
+            tokens = tokens.join(index.anchor_set, F.col("__tok") == F.col("__key"), "left_semi")
         out = (tokens.join(index.anchored, F.col("__tok") == F.col("anchor"))
                      .where(gate(F.col) & exact(F.col))
                      .select(*keys, *index.payload))
@@ -272,14 +286,14 @@ class Gazetteer:
         if index.residual_rows is None:
             # Too many unanchored names to inline: an exact nested-loop theta join.
             extra = units.select(*carry).join(
-                index.residual, gate(F.col) & F.regexp_like(text, F.col("pattern")))
+                index.residual, gate(F.col) & F.regexp_like(text, boundary(F.col("body"))))
             return out.unionByName(extra.select(*keys, *index.payload))
         if index.residual_rows:
             schema = T.StructType([f for f in index.residual.schema.fields
-                                   if f.name in index.payload + ["guard", "pattern"]])
+                                   if f.name in index.payload + ["guard", "body"]])
             names = literal_array(index.residual_rows, schema)
             extra = units.select(*carry, F.explode_outer(F.filter(
-                names, lambda e: gate(lambda c: e[c]) & F.regexp_like(text, e["pattern"]))).alias("__e"))
+                names, lambda e: gate(lambda c: e[c]) & F.regexp_like(text, boundary(e["body"])))).alias("__e"))
             extra = extra.where(F.col("__e").isNotNull())
             out = out.unionByName(extra.select(*keys, *[F.col("__e")[c].alias(c) for c in index.payload]))
         return out

@@ -17,27 +17,30 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
-from toponymic.functions.words import boundary_pattern, longest_run, word_runs
+from toponymic.functions.words import BOUNDARY, escape_regex, longest_run, word_runs
 
 # Size bounds for data that is broadcast or inlined into the plan.
-MAX_BROADCAST_NAMES = 5_000_000   # rows of a name index shipped to every executor
-MAX_LITERAL_NAMES = 5_000         # rows inlined into an expression (country lists)
+MAX_BROADCAST_NAMES = 2_000_000         # rows of a name index shipped to every executor
+MAX_BROADCAST_BYTES = 256 * 1024 ** 2   # estimated bytes of the same
+MAX_LITERAL_NAMES = 5_000               # rows inlined into an expression (country lists)
 
 _SINGLE_RUN = r"^[\p{L}\p{N}_]+$"
 _SAFE_RUN = r"(?<![\p{L}\p{N}_.])[\p{L}\p{N}_]+(?![\p{L}\p{N}_.])"
 _META_NOT_DOT = r"[\\^$|?*+()\[\]{}]"
 _META_ANY = r"[\\^$.|?*+()\[\]{}]"
 
-INDEX_FIELDS = ["anchor", "single", "guard", "pattern"]
+INDEX_FIELDS = ["anchor", "single", "guard", "body"]
 
 
 def name_index(names: DataFrame, name_col: str = "name", regex_names: bool = False) -> DataFrame:
-    """Add ``anchor``, ``single``, ``guard`` and ``pattern`` to a table of names.
+    """Add ``anchor``, ``single``, ``guard`` and ``body`` to a table of names.
 
     * ``anchor``  – the word run joined on; null when the name has none usable.
     * ``single``  – the name is one word run, so the anchor equality is the whole test.
     * ``guard``   – a literal substring the text must contain (cheap pre-check).
-    * ``pattern`` – the boundary regex checked on the text for the other names.
+    * ``body``    – the name as a regex body (escaped unless ``regex_names``); the
+                    boundary regex is ``boundary(body)``, built where it is checked so
+                    the broadcast index does not carry the boundary text per name.
 
     Null and empty names are dropped (a missing name would raise in the reference).
     """
@@ -58,10 +61,15 @@ def name_index(names: DataFrame, name_col: str = "name", regex_names: bool = Fal
         anchor.alias("anchor"),
         single.alias("single"),
         guard.alias("guard"),
-        boundary_pattern(n, regex_names).alias("pattern"),
+        (n if regex_names else escape_regex(n)).alias("body"),
     )
 
 
+def boundary(body: Column) -> Column:
+    """``\\b body \\b`` with Python's boundary semantics (see ``functions.words``)."""
+    return F.concat(F.lit(BOUNDARY), body, F.lit(BOUNDARY))
+
+
 def row_bound(df: DataFrame, max_rows: int) -> int | None:
     """Row count of ``df`` if it is at most ``max_rows``, else None.
 
@@ -71,15 +79,34 @@ def row_bound(df: DataFrame, max_rows: int) -> int | None:
     return n if n <= max_rows else None
 
 
-def broadcast_if_bounded(df: DataFrame, max_rows: int = MAX_BROADCAST_NAMES) -> DataFrame:
-    """Broadcast hint only behind a proven row bound; otherwise leave the join to the
+def estimated_bytes(df: DataFrame) -> int:
+    """Rough row-size sum: string lengths plus 8 bytes per other field."""
+    parts = [F.coalesce(F.length(f.name), F.lit(0)) if isinstance(f.dataType, T.StringType) else F.lit(8)
+             for f in df.schema.fields]
+    total = df.select(sum(parts[1:], parts[0]).alias("b") if parts else F.lit(0).alias("b")) \
+              .agg(F.sum("b")).collect()[0][0]
+    return int(total or 0)
+
+
+def fits_broadcast(df: DataFrame, max_rows: int | None = None, max_bytes: int | None = None) -> bool:
+    """True when ``df`` is proven small: a bounded row count first (cheap on a large
+    input), then an estimate of its bytes."""
+    max_rows = MAX_BROADCAST_NAMES if max_rows is None else max_rows
+    max_bytes = MAX_BROADCAST_BYTES if max_bytes is None else max_bytes
+    return row_bound(df, max_rows) is not None and estimated_bytes(df) <= max_bytes
+
+
+def broadcast_if_bounded(df: DataFrame, max_rows: int | None = None,
+                         max_bytes: int | None = None) -> DataFrame:
+    """Broadcast hint only behind a proven size bound; otherwise leave the join to the
     planner (sort-merge on the key, AQE splits skewed keys, a runtime bloom filter
     trims the large side before its shuffle)."""
-    return F.broadcast(df) if row_bound(df, max_rows) is not None else df
+    return F.broadcast(df) if fits_broadcast(df, max_rows, max_bytes) else df
 
 
-def collect_bounded(df: DataFrame, max_rows: int = MAX_LITERAL_NAMES) -> list | None:
+def collect_bounded(df: DataFrame, max_rows: int | None = None) -> list | None:
     """Rows of a small table, or None when it exceeds the bound."""
+    max_rows = MAX_LITERAL_NAMES if max_rows is None else max_rows
     rows = df.limit(max_rows + 1).collect()
     return rows if len(rows) <= max_rows else None
 

@@ -9,8 +9,8 @@ from __future__ import annotations
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from toponymic.functions.text import token_array
-from toponymic.operators.candidates import token_arrays, tokens_long
+from toponymic.functions.text import tag_rule, token_array
+from toponymic.operators.candidates import lexicon_map, token_arrays, tokens_long
 from toponymic.operators.match import PLACE_COLS, Gazetteer
 from toponymic.operators.names import broadcast_if_bounded
 
@@ -23,10 +23,12 @@ def exact_token_matches(docs: DataFrame, places: DataFrame, text_col: str = "tex
     repeated name is reported each time, in token order by ``pos``.
     """
     tok = token_arrays(docs, text_col, strip=False)
-    nouns = tokens_long(tok, lexicon=lexicon).where(F.col("tag").startswith("NN"))
     names = places.select(F.col("name").alias("token")).where(F.col("token").isNotNull()).distinct()
-    return nouns.join(broadcast_if_bounded(names), "token", "left_semi") \
-                .select("doc_id", "pos", "token", "tag")
+    # the name test and the noun test commute: the hash semi-join first drops almost every
+    # token, so the tag rules run only on tokens that are names
+    named = tokens_long(tok, with_tags=False).join(broadcast_if_bounded(names), "token", "left_semi")
+    tagged = named.select("doc_id", "pos", "token", tag_rule(F.col("token"), lexicon_map(lexicon)).alias("tag"))
+    return tagged.where(F.col("tag").startswith("NN"))
 
 
 def ngram_names(places: DataFrame, max_n: int) -> DataFrame:
