@@ -70,30 +70,23 @@ def boundary(body: Column) -> Column:
     return F.concat(F.lit(BOUNDARY), body, F.lit(BOUNDARY))
 
 
-def row_bound(df: DataFrame, max_rows: int) -> int | None:
-    """Row count of ``df`` if it is at most ``max_rows``, else None.
-
-    Counts at most ``max_rows + 1`` rows, so the check stays cheap on a large input.
-    """
-    n = df.limit(max_rows + 1).count()
-    return n if n <= max_rows else None
-
-
-def estimated_bytes(df: DataFrame) -> int:
-    """Rough row-size sum: string lengths plus 8 bytes per other field."""
+def _row_bytes(df: DataFrame) -> Column:
+    """Rough size of a row: string lengths plus 8 bytes per other field."""
     parts = [F.coalesce(F.length(f.name), F.lit(0)) if isinstance(f.dataType, T.StringType) else F.lit(8)
              for f in df.schema.fields]
-    total = df.select(sum(parts[1:], parts[0]).alias("b") if parts else F.lit(0).alias("b")) \
-              .agg(F.sum("b")).collect()[0][0]
-    return int(total or 0)
+    return sum(parts[1:], parts[0]) if parts else F.lit(0)
 
 
 def fits_broadcast(df: DataFrame, max_rows: int | None = None, max_bytes: int | None = None) -> bool:
-    """True when ``df`` is proven small: a bounded row count first (cheap on a large
-    input), then an estimate of its bytes."""
+    """True when ``df`` is proven small: at most ``max_rows`` rows and about ``max_bytes``.
+
+    One job over at most ``max_rows + 1`` rows, so the check stays cheap on a large input.
+    """
     max_rows = MAX_BROADCAST_NAMES if max_rows is None else max_rows
     max_bytes = MAX_BROADCAST_BYTES if max_bytes is None else max_bytes
-    return row_bound(df, max_rows) is not None and estimated_bytes(df) <= max_bytes
+    n, size = df.limit(max_rows + 1).select(_row_bytes(df).alias("b")) \
+                .agg(F.count(F.lit(1)), F.sum("b")).collect()[0]
+    return n <= max_rows and (size or 0) <= max_bytes
 
 
 def broadcast_if_bounded(df: DataFrame, max_rows: int | None = None,
