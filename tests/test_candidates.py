@@ -10,7 +10,7 @@ from fixtures import docs_df, gazetteer
 from toponymic.functions.text import coded_units, NP_SPAN, ENTITY_SPAN, chunk
 from toponymic.operators.candidates import (candidate_docs, candidates_from_tagged, candidates_long, token_arrays,
                                             tokens_long)
-from toponymic.operators.tokens import exact_token_matches
+from toponymic.operators.tokens import exact_token_matches, noun_names
 from toponymic.plans.jobs import match_corpus
 
 
@@ -45,12 +45,14 @@ def test_candidate_bag(spark):                                           # 22
     rows = match_corpus(docs, gaz, on="noun_phrases").collect()
     # "Kenya" (0) opens the gate; both phrases holding Nairobi report row 0 (bag)
     assert sorted((r.cand_id, r.row_index) for r in rows) == [(4, 0), (8, 0)]
+    once = match_corpus(docs, gaz, on="noun_phrases", distinct=True).collect()
+    assert [(r.doc_id, r.row_index) for r in once] == [(0, 0)]
 
 
 def test_exact_token_match(spark):                                       # 23
     from fixtures import places_df
     docs = docs_df(spark, ["Nairobi sees Nairobi"])
-    rows = exact_token_matches(docs, places_df(spark)).orderBy("pos").collect()
+    rows = exact_token_matches(docs, noun_names(places_df(spark))).orderBy("pos").collect()
     assert [(r.pos, r.token) for r in rows] == [(0, "Nairobi"), (2, "Nairobi")]
 
 

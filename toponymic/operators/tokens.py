@@ -6,6 +6,7 @@ broadcast) name table in a hash join; nothing is shuffled on the corpus side.
 
 from __future__ import annotations
 
+from pyspark import StorageLevel
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
@@ -15,20 +16,30 @@ from toponymic.operators.match import PLACE_COLS, Gazetteer
 from toponymic.operators.names import broadcast_if_bounded
 
 
-def exact_token_matches(docs: DataFrame, places: DataFrame, text_col: str = "text",
-                        lexicon=None) -> DataFrame:
+def noun_names(places: DataFrame, lexicon=None) -> DataFrame:
+    """Distinct gazetteer names whose tag starts with ``NN``, with that tag. A token's tag
+    depends on its text only, so the noun test runs once per name, on the small side.
+
+    Persisted: besides saving the recomputation, a cached relation exposes no
+    constraints, so the optimizer does not copy the tag test back onto every corpus
+    token through the join key.
+    """
+    names = places.select(F.col("name").alias("token")).where(F.col("token").isNotNull()).distinct()
+    return (names.select("token", tag_rule(F.col("token"), lexicon_map(lexicon)).alias("tag"))
+                 .where(F.col("tag").startswith("NN"))
+                 .persist(StorageLevel.MEMORY_AND_DISK))
+
+
+def exact_token_matches(docs: DataFrame, nouns: DataFrame, text_col: str = "text") -> DataFrame:
     """Noun tokens (tag starts with ``NN``) equal to any gazetteer name, exactly.
 
-    Not country-gated; one row per token occurrence (doc_id, pos, token, tag), so a
-    repeated name is reported each time, in token order by ``pos``.
+    ``nouns`` comes from ``noun_names``. Not country-gated; one row per token occurrence
+    (doc_id, pos, token, tag), so a repeated name is reported each time, in token order
+    by ``pos``. The corpus side is a plain hash probe against the broadcast nouns.
     """
     tok = token_arrays(docs, text_col, strip=False)
-    names = places.select(F.col("name").alias("token")).where(F.col("token").isNotNull()).distinct()
-    # the name test and the noun test commute: the hash semi-join first drops almost every
-    # token, so the tag rules run only on tokens that are names
-    named = tokens_long(tok, with_tags=False).join(broadcast_if_bounded(names), "token", "left_semi")
-    tagged = named.select("doc_id", "pos", "token", tag_rule(F.col("token"), lexicon_map(lexicon)).alias("tag"))
-    return tagged.where(F.col("tag").startswith("NN"))
+    return (tokens_long(tok, with_tags=False).join(broadcast_if_bounded(nouns), "token")
+                                              .select("doc_id", "pos", "token", "tag"))
 
 
 def ngram_names(places: DataFrame, max_n: int) -> DataFrame:

@@ -20,14 +20,23 @@ STRATEGIES = ("text", "noun_phrases", "entities")
 
 
 def match_corpus(docs: DataFrame, gaz: Gazetteer, on: str = "text", text_col: str = "text",
-                 keep: tuple[str, ...] = (), gate: bool = True, lexicon=None) -> DataFrame:
-    """Gated place matches: one row per (document[, candidate], place row)."""
+                 keep: tuple[str, ...] = (), gate: bool = True, lexicon=None,
+                 distinct: bool = False) -> DataFrame:
+    """Gated place matches: one row per (document[, candidate], place row).
+
+    Candidate strategies keep the reference's bag semantics (a place named in two
+    phrases is reported twice); ``distinct=True`` reduces them to one row per
+    (document, place row), deduplicated map-side before a shuffle on that pair.
+    """
     if on == "text":
         return gaz.places_in(gaz.text_units(docs, text_col, carry=keep), gate=gate, keep=keep)
     if on not in STRATEGIES:
         raise ValueError(f"on must be one of {STRATEGIES}")
     per_doc = gaz.candidate_docs(candidates(docs, on, text_col, keep, lexicon))
-    return gaz.places_in(gaz.candidate_units(per_doc, keep), gate=gate, keep=keep)
+    found = gaz.places_in(gaz.candidate_units(per_doc, keep), gate=gate, keep=keep)
+    if distinct:
+        return found.drop("cand_id").dropDuplicates(["doc_id", "row_index"])
+    return found
 
 
 def candidates(docs: DataFrame, on: str, text_col: str = "text", keep: tuple[str, ...] = (),

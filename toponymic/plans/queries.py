@@ -21,7 +21,7 @@ from toponymic.operators import report
 from toponymic.operators.candidates import candidate_docs, candidates_long, token_arrays, tokenize, tokens_long
 from toponymic.operators.match import Gazetteer
 from toponymic.operators.names import broadcast_if_bounded
-from toponymic.operators.tokens import exact_token_matches, ngram_matches
+from toponymic.operators.tokens import exact_token_matches, ngram_matches, noun_names
 from toponymic.plans import oracle as O
 from toponymic.plans.jobs import match_corpus, with_article_meta
 from toponymic.sources.corpus import spread
@@ -67,6 +67,10 @@ class Inputs:
         trained entity chunker the reference uses labels them as places)."""
         return self.countries.select(F.col("country").alias("token"), F.lit("NNP").alias("tag"))
 
+    @cached_property
+    def nouns(self) -> DataFrame:
+        return noun_names(self.places)
+
     def matches(self, keep: tuple[str, ...] = ()) -> DataFrame:
         return match_corpus(self.docs, self.gaz, on="text", keep=keep)
 
@@ -237,7 +241,7 @@ def q_entity_place_match(spark, sf_dir):
 
 def q_token_exact_match(spark, sf_dir):
     i = inputs(spark, sf_dir)
-    return exact_token_matches(i.docs, i.places)
+    return exact_token_matches(i.docs, i.nouns)
 
 
 def q_ngram_match(spark, sf_dir):
