@@ -111,3 +111,16 @@ def test_stream_chunks_equal_batch(spark, scratch):
     assert totals.total_matches == batch.count()
     assert totals.articles_with_match == batch.select("doc_id").distinct().count()
     assert all(glob.glob(f"{c}/part-*.csv") for c in totals.chunks)
+
+
+def test_command_line_job(spark, scratch):
+    from toponymic.plans.run import parse_args, run
+    make_corpus(f"{scratch}/arts")
+    write(f"{scratch}/geo/cities.txt", "\n".join(PLACE_LINES) + "\n")
+    write(f"{scratch}/geo/countryInfo.txt", "#ISO\tCountry\nKE\tKenya\nNA\tNamibia\nUG\tUganda\n")
+    common = ["--articles", f"{scratch}/arts", "--places", f"{scratch}/geo/cities.txt",
+              "--countries", f"{scratch}/geo/countryInfo.txt"]
+    batch = run(spark, parse_args(common + ["--out", f"{scratch}/out1"]))
+    assert (batch["articles_processed"], batch["articles_with_match"], batch["total_matches"]) == (5, 3, 3)
+    chunked = run(spark, parse_args(common + ["--out", f"{scratch}/out2", "--chunk", "2"]))
+    assert (chunked["articles_processed"], chunked["total_matches"], len(chunked["outputs"])) == (5, 3, 3)
