@@ -137,3 +137,13 @@ def test_index_above_broadcast_bound(spark, monkeypatch, max_bytes, anchors_ship
     assert not idx.broadcast and (idx.anchor_set is not None) == anchors_shipped
     rows = places_in_text(docs_df(spark, texts), gaz).collect()
     assert sorted((r.doc_id, r.row_index) for r in rows) == [(0, 0), (1, 0), (1, 5), (2, 4)]
+
+
+def test_name_without_word_characters(spark):
+    # no word run to anchor on: the inlined residual path applies Python's \b rules
+    # (a boundary before '-' needs a word character before it)
+    gaz = gazetteer(spark, places=[(0, "---", "KE"), (1, "Nairobi", "KE")])
+    rows = places_in_text(docs_df(spark, ["Kenya a---b Nairobi", "Kenya a --- b"]), gaz).collect()
+    assert sorted((r.doc_id, r.row_index) for r in rows) == [(0, 0), (0, 1)]
+    import re as _re
+    assert _re.search(r"\b---\b", "Kenya a---b Nairobi") and not _re.search(r"\b---\b", "Kenya a --- b")

@@ -124,3 +124,9 @@ def test_command_line_job(spark, scratch):
     assert (batch["articles_processed"], batch["articles_with_match"], batch["total_matches"]) == (5, 3, 3)
     chunked = run(spark, parse_args(common + ["--out", f"{scratch}/out2", "--chunk", "2"]))
     assert (chunked["articles_processed"], chunked["total_matches"], len(chunked["outputs"])) == (5, 3, 3)
+
+
+def test_countries_reader_short_lines(spark, scratch):
+    write(f"{scratch}/geo/c.txt", "ISO\tISO3\tCountry\tCapital\nKE\tKEN\tKenya\nUG\tUGA\tUganda\tKampala\n")
+    rows = sorted((r.iso, r.country, r.Capital) for r in read_countries(spark, f"{scratch}/geo/c.txt").collect())
+    assert rows == [("KE", "Kenya", None), ("UG", "Uganda", "Kampala")]

@@ -74,4 +74,4 @@ def whole_word(text: str | Column, name: str | Column, regex_names: bool = False
 def longest_run(runs: Column) -> Column:
     """Longest string of an array (ties: the smallest), null for an empty array."""
     keyed = F.transform(runs, lambda r: F.struct((-F.length(r)).alias("k"), r.alias("v")))
-    return F.element_at(F.sort_array(keyed), 1).getField("v")
+    return F.get(F.sort_array(keyed), 0).getField("v")   # null (not an error) when empty

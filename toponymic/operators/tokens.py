@@ -49,7 +49,7 @@ def ngram_names(places: DataFrame, max_n: int) -> DataFrame:
     return (places.select(*PLACE_COLS, ntoks.alias("__ntoks"))
                   .where(F.size("__ntoks").between(1, max_n)
                          & (F.array_join("__ntoks", " ") == F.col("name")))
-                  .select(*PLACE_COLS, F.col("__ntoks")[0].alias("first"),
+                  .select(*PLACE_COLS, F.get(F.col("__ntoks"), 0).alias("first"),
                           F.size("__ntoks").alias("n")))
 
 

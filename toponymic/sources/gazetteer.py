@@ -49,7 +49,7 @@ def read_countries(spark: SparkSession, path: str) -> DataFrame:
     names = [h.lstrip("#").strip() for h in header[0]["line"].split("\t")]
     fields = F.split(F.col("line"), "\t")
     data = lines.where(~F.col("line").startswith("#") & ~is_header & (F.length("line") > 0))
-    cols = [F.element_at(fields, k + 1).alias(n) for k, n in enumerate(names)]
+    cols = [F.get(fields, k).alias(n) for k, n in enumerate(names)]   # short lines: null
     table = data.select(*cols)
     return table.select(F.col("ISO").alias("iso"), F.col("Country").alias("country"),
                         *[c for c in names if c not in ("ISO", "Country")])
