@@ -66,3 +66,17 @@ def test_tag_text(spark, html, expected):
 def test_tag_text_other_tag(spark):
     df = spark.createDataFrame([("<h1>T</h1><p>x</p><h1>U",)], "html string")
     assert df.select(markup.tag_text("html", "h1").alias("t")).collect()[0].t == "T\n\nU\n\n"
+
+
+def test_nested_tag_text(spark):
+    from toponymic.operators.nested_markup import element_text, nested_tag_text
+    html = ('<div class="a">Outer <div>inner &amp; more</div> tail<script>var d="<div>x</div>";</script>'
+            "</div><div>second<!-- c --></div><DIV>open")
+    want = "Outer inner & more tail\n\ninner & more\n\nsecond\n\nopen\n\n"
+    assert element_text(html, "div") == want
+    df = spark.createDataFrame([(1, html), (2, None), (3, "<p>no divs</p>")], "page_id long, html string")
+    got = {r.page_id: r.text for r in nested_tag_text(df, "html", "div").collect()}
+    assert got == {1: want, 2: None, 3: ""}
+    # for paragraphs both extractions agree on well-formed markup
+    p = "<p>a <b>b</b></p><p>c</p>"
+    assert element_text(p, "p") == "a b\n\nc\n\n"

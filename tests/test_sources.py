@@ -130,3 +130,10 @@ def test_countries_reader_short_lines(spark, scratch):
     write(f"{scratch}/geo/c.txt", "ISO\tISO3\tCountry\tCapital\nKE\tKEN\tKenya\nUG\tUGA\tUganda\tKampala\n")
     rows = sorted((r.iso, r.country, r.Capital) for r in read_countries(spark, f"{scratch}/geo/c.txt").collect())
     assert rows == [("KE", "Kenya", None), ("UG", "Uganda", "Kampala")]
+
+
+def test_article_docs_nested_tags(spark, scratch):
+    write(f"{scratch}/arts/a.nxml", "<article><front><journal-title>J</journal-title></front>"
+                                    "<body><sec>Kenya <sec>Nairobi</sec></sec></body></article>")
+    rows = article_docs(read_articles(spark, f"{scratch}/arts"), tag="sec", nested=True).collect()
+    assert [(r.text, r.journal) for r in rows] == [("Kenya Nairobi\n\nNairobi\n\n", "J")]

@@ -1,0 +1,71 @@
+"""Text of elements that may nest in themselves (P2 for tags such as ``div``).
+
+The regex extraction of ``functions.markup`` ends an element at the next block tag,
+which is right for paragraphs (a ``p`` cannot contain a ``p``). When the requested tag
+can nest in itself, the text of an outer element includes the text of the inner ones,
+so this variant parses each document with the standard library's HTML parser inside a
+``mapInPandas`` task: Spark partitions the documents, each task parses its own rows in
+Arrow batches, and nothing but the per-row result leaves the task.
+
+Rules: every element ``tag`` in document order, its text = all text inside it (inner
+elements included, script/style/comments excluded, entities decoded), each followed by
+two newlines; an unclosed element ends where its enclosing element or the document ends.
+"""
+
+from __future__ import annotations
+
+from html.parser import HTMLParser
+
+from pyspark.sql import DataFrame
+from pyspark.sql import types as T
+
+_SKIP = {"script", "style"}
+
+
+class _TagText(HTMLParser):
+    def __init__(self, tag: str):
+        super().__init__(convert_charrefs=True)
+        self.tag = tag
+        self.open: list[list[str]] = []     # text parts of each open target element
+        self.found: list[list[str]] = []    # every target element, in document order
+        self.skip = 0
+
+    def handle_starttag(self, tag, attrs):
+        if tag in _SKIP:
+            self.skip += 1
+        elif tag == self.tag:
+            parts: list[str] = []
+            self.open.append(parts)
+            self.found.append(parts)
+
+    def handle_endtag(self, tag):
+        if tag in _SKIP:
+            self.skip = max(0, self.skip - 1)
+        elif tag == self.tag and self.open:
+            self.open.pop()
+
+    def handle_data(self, data):
+        if not self.skip:
+            for parts in self.open:
+                parts.append(data)
+
+
+def element_text(markup: str | None, tag: str) -> str | None:
+    if markup is None:
+        return None
+    parser = _TagText(tag.lower())
+    parser.feed(markup)
+    parser.close()
+    return "".join("".join(parts) + "\n\n" for parts in parser.found)
+
+
+def nested_tag_text(df: DataFrame, markup_col: str, tag: str, out_col: str = "text") -> DataFrame:
+    """``df`` with ``out_col`` added (the text of every ``tag`` element, see the module
+    rules); all other columns pass through the same task unchanged."""
+    schema = T.StructType(df.schema.fields + [T.StructField(out_col, T.StringType())])
+
+    def per_batch(batches):
+        for pdf in batches:
+            yield pdf.assign(**{out_col: [element_text(m, tag) for m in pdf[markup_col]]})
+
+    return df.mapInPandas(per_batch, schema)

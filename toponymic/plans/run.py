@@ -33,6 +33,7 @@ def parse_args(argv: list[str] | None = None) -> argparse.Namespace:
     p.add_argument("--out", required=True, help="output folder")
     p.add_argument("--strategy", choices=STRATEGIES, default="text")
     p.add_argument("--tag", default="p", help="element whose text is matched")
+    p.add_argument("--nested", action="store_true", help="parse markup: the tag may contain itself")
     p.add_argument("--chunk", type=int, default=None, help="files per output chunk (stream mode)")
     p.add_argument("--prefix", default="", help="prefix of the run folder name")
     p.add_argument("--regex-names", action="store_true", help="treat names as regular expressions")
@@ -45,10 +46,11 @@ def run(spark: SparkSession, args: argparse.Namespace) -> dict:
         gaz = Gazetteer(read_places(spark, args.places), read_countries(spark, args.countries),
                         regex_names=args.regex_names)
         t = run_chunked(spark, args.articles, gaz, args.out, files_per_chunk=args.chunk, tag=args.tag,
-                        on=args.strategy, prefix=args.prefix)
+                        on=args.strategy, prefix=args.prefix, nested=args.nested)
         return {"articles_processed": t.articles_processed, "articles_with_match": t.articles_with_match,
                 "total_matches": t.total_matches, "outputs": t.chunks}
-    docs, places, countries = load_inputs(spark, args.articles, args.places, args.countries, args.tag)
+    docs, places, countries = load_inputs(spark, args.articles, args.places, args.countries, args.tag,
+                                          args.nested)
     gaz = Gazetteer(places, countries, regex_names=args.regex_names)
     matches = match_corpus(docs, gaz, on=args.strategy, keep=tuple(META_FIELDS))
     path = write_csv(export_matches(matches), chunk_path(args.out, run_stamp(), 1, args.prefix))

@@ -37,11 +37,21 @@ def with_path(raw: DataFrame) -> DataFrame:
     return raw.select(F.col("_metadata.file_path").alias("path"), F.col("value").alias("markup"))
 
 
-def article_docs(articles: DataFrame, tag: str = "p") -> DataFrame:
+def article_docs(articles: DataFrame, tag: str = "p", nested: bool = False) -> DataFrame:
     """One row per article: doc_id (the path), text of every ``tag`` element, and the
-    five metadata fields (year, pub_type, journal, doi, pmid)."""
+    five metadata fields (year, pub_type, journal, doi, pmid).
+
+    ``nested=True`` parses the markup (``operators.nested_markup``) for tags that can
+    contain themselves; the default regex extraction suits paragraphs.
+    """
     meta = markup.article_meta(F.col("markup"))
+    if nested:
+        from toponymic.operators.nested_markup import nested_tag_text
+        articles = nested_tag_text(articles, "markup", tag, "__text")
+        text = F.col("__text")
+    else:
+        text = markup.tag_text("markup", tag)
     return articles.select(
         F.col("path").alias("doc_id"),
-        markup.tag_text("markup", tag).alias("text"),
+        text.alias("text"),
         *[meta[f].alias(f) for f in META_FIELDS])

@@ -56,7 +56,7 @@ def read_countries(spark: SparkSession, path: str) -> DataFrame:
 
 
 def load_inputs(spark: SparkSession, article_root: str, places_path: str, countries_path: str,
-                tag: str = "p") -> tuple[DataFrame, DataFrame, DataFrame]:
+                tag: str = "p", nested: bool = False) -> tuple[DataFrame, DataFrame, DataFrame]:
     """(article docs, places, countries)."""
-    docs = article_docs(read_articles(spark, article_root), tag)
+    docs = article_docs(read_articles(spark, article_root), tag, nested)
     return docs, read_places(spark, places_path), read_countries(spark, countries_path)

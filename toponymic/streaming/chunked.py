@@ -40,14 +40,15 @@ class RunTotals:
 
 def run_chunked(spark: SparkSession, article_root: str, gaz: Gazetteer, out_dir: str,
                 files_per_chunk: int = 10_000, tag: str = "p", on: str = "text",
-                prefix: str = "", checkpoint: str | None = None, ext: str = ".nxml") -> RunTotals:
+                prefix: str = "", checkpoint: str | None = None, ext: str = ".nxml",
+                nested: bool = False) -> RunTotals:
     totals = RunTotals()
     stamp = run_stamp()
     _ = gaz.lookup  # prepare the gazetteer once, on the driver, before any batch
 
     def one_chunk(batch: DataFrame, batch_id: int) -> None:
         docs_seen, matched = Observation(f"docs_{batch_id}"), Observation(f"matches_{batch_id}")
-        docs = article_docs(batch, tag).observe(docs_seen, F.count(F.lit(1)).alias("n"))
+        docs = article_docs(batch, tag, nested).observe(docs_seen, F.count(F.lit(1)).alias("n"))
         matches = match_corpus(docs, gaz, on=on, keep=tuple(META_FIELDS))
         export = export_matches(matches).observe(matched, F.count(F.lit(1)).alias("n"))
         path = write_csv(export, chunk_path(out_dir, stamp, batch_id + 1, prefix))
