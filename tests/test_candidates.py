@@ -87,3 +87,17 @@ def test_inrow_chunker_equals_window_islands(spark, kind):
     a = sorted(map(tuple, inrow.collect()))
     b = sorted(map(tuple, islands.collect()))
     assert a == b and len(a) > 50
+
+
+def test_supplied_tags_path_equals_in_row_path(spark):
+    texts = ["Kenya is big. Nairobi is hot; Nairobi area", "Uganda: Fort Portal town (Kampala) and Kenya Mombasa",
+             "St. John Kenya", "", "Kampala Nairobi"]
+    docs = docs_df(spark, texts)
+    gaz = gazetteer(spark)
+    in_row = match_corpus(docs, gaz, on="noun_phrases")
+    tagged = tokens_long(token_arrays(docs))                       # (doc_id, pos, token, tag) as if supplied
+    units = gaz.phrase_units(candidates_from_tagged(tagged, "noun_phrases"))
+    supplied = gaz.places_in(units)                                # gate by join on (doc_id, iso)
+    key = lambda r: (r.doc_id, r.cand_id, r.row_index)
+    a, b = sorted(map(key, in_row.collect())), sorted(map(key, supplied.collect()))
+    assert a == b and len(a) >= 4

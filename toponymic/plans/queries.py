@@ -18,7 +18,7 @@ from toponymic.functions import markup
 from toponymic.functions import text as textf
 from toponymic.functions.words import whole_word
 from toponymic.operators import report
-from toponymic.operators.candidates import candidate_docs, candidates_long, token_arrays, tokenize, tokens_long
+from toponymic.operators.candidates import candidate_docs, candidates_long, token_arrays, tokens_long
 from toponymic.operators.match import Gazetteer
 from toponymic.operators.names import broadcast_if_bounded
 from toponymic.operators.tokens import exact_token_matches, ngram_matches, noun_names

@@ -78,11 +78,3 @@ def fixture_places(benchmark: DataFrame) -> DataFrame:
         (F.length("name") * 1000 + r).cast("long").alias("population"),
         F.concat(F.lit("N"), (r % N_COUNTRIES).cast("string")).alias("countrycode"),
     )
-
-
-def fixture_inputs(spark: SparkSession, sf_dir: str) -> tuple[DataFrame, DataFrame, DataFrame]:
-    """(documents, places, countries) for the driver tables at ``sf_dir``."""
-    benchmark = read_table(spark, sf_dir, "benchmark")
-    nation = read_table(spark, sf_dir, "nation")
-    docs = read_table(spark, sf_dir, "documents")
-    return docs, fixture_places(benchmark), fixture_countries(benchmark, nation)
