@@ -79,7 +79,7 @@ _INPUTS: dict[tuple, Inputs] = {}
 
 
 def inputs(spark: SparkSession, sf_dir: str) -> Inputs:
-    key = (spark.sparkContext.applicationId, sf_dir)
+    key = (spark.conf.get("spark.app.id", None) or id(spark), sf_dir)
     if key not in _INPUTS:
         _INPUTS[key] = Inputs(spark, sf_dir)
     return _INPUTS[key]

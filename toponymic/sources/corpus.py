@@ -16,8 +16,11 @@ SPLITS_PER_CORE = 4
 
 
 def spread(df: DataFrame, key: str) -> DataFrame:
-    spark = df.sparkSession
-    target = spark.sparkContext.defaultParallelism * SPLITS_PER_CORE
-    if df.rdd.getNumPartitions() >= spark.sparkContext.defaultParallelism:
+    try:
+        cores = df.sparkSession.sparkContext.defaultParallelism
+        splits = df.rdd.getNumPartitions()
+    except Exception:   # no driver-side context (e.g. a Spark Connect session): leave as is
         return df
-    return df.repartition(target, key)
+    if splits >= cores:
+        return df
+    return df.repartition(cores * SPLITS_PER_CORE, key)
