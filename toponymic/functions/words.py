@@ -71,7 +71,8 @@ def whole_word(text: str | Column, name: str | Column, regex_names: bool = False
     return F.when(F.contains(text_c, name_c), regex_hit).otherwise(F.lit(False))
 
 
-def longest_run(runs: Column) -> Column:
-    """Longest string of an array (ties: the smallest), null for an empty array."""
+def longest_run(runs: Column, rank: int = 0) -> Column:
+    """The ``rank``-th longest string of an array (ties: the smallest first); null when
+    the array is shorter."""
     keyed = F.transform(runs, lambda r: F.struct((-F.length(r)).alias("k"), r.alias("v")))
-    return F.get(F.sort_array(keyed), 0).getField("v")   # null (not an error) when empty
+    return F.get(F.sort_array(keyed), rank).getField("v")   # null (not an error) when absent

@@ -47,6 +47,16 @@ _COUNTRY_ENTRY = T.StructType([
 ])
 
 
+def _exact(entry) -> Column:
+    """Exactness check after the anchor join, cheapest test first (And/Or short-circuit in
+    generated code): one-run names are settled by the anchor; others need their second
+    run among the row's words, then the guard substring, then the boundary regex."""
+    text = F.col("text")
+    second_ok = entry("second").isNull() | F.array_contains(F.col("words"), entry("second"))
+    return entry("single") | (second_ok & F.contains(text, entry("guard"))
+                              & F.regexp_like(text, boundary(entry("body"))))
+
+
 class CountryLookup:
     """A bounded country table inlined into the plan, evaluated per text row."""
 
@@ -95,7 +105,8 @@ class _Index:
         # keep it materialized instead of re-deriving it each time (recomputed from
         # lineage if an executor holding it is lost).
         index = index.persist(StorageLevel.MEMORY_AND_DISK)
-        anchored = index.where(F.col("anchor").isNotNull()).select("anchor", "single", "guard", "body", *payload)
+        anchored = index.where(F.col("anchor").isNotNull()).select("anchor", "second", "single", "guard", "body",
+                                                                   *payload)
         small = fits_broadcast(anchored)
         anchor_set = None
         if not small:
@@ -240,12 +251,12 @@ class Gazetteer:
                      if counts else F.create_map().cast("map<string,bigint>"))
         admitted = F.aggregate("isos", F.lit(0).cast("long"),
                                lambda acc, iso: acc + F.coalesce(F.element_at(count_map, iso), F.lit(0).cast("long")))
-        text = F.col("text")
-        exact = F.col("single") | (F.contains(text, F.col("guard")) & F.regexp_like(text, boundary(F.col("body"))))
+        exact = _exact(F.col)
         # computed in its own projection: expressions listed next to a generator are
         # evaluated above it, once per exploded row
         per_doc = units.select("doc_id", "text", "isos", "words", admitted.alias("n_admitted"))
-        tokens = per_doc.select("doc_id", "text", "isos", "n_admitted", F.explode_outer("words").alias("__tok"))
+        tokens = per_doc.select("doc_id", "text", "isos", "words", "n_admitted",
+                                F.explode_outer("words").alias("__tok"))
         joined = tokens.join(self._places.anchored, (F.col("__tok") == F.col("anchor")) & exact, "left")
         hit = F.col("row_index").isNotNull()
         gated = hit & F.array_contains("isos", F.col("countrycode"))
@@ -262,16 +273,13 @@ class Gazetteer:
     def _hits(units: DataFrame, index: _Index, gate_col: str | None = None,
               keep: tuple[str, ...] = ()) -> DataFrame:
         keys = [k for k in ("doc_id", "cand_id") if k in units.columns] + list(keep)
-        carry = list(dict.fromkeys(keys + ["text"] + ([gate_col] if gate_col else [])))
+        carry = list(dict.fromkeys(keys + ["text", "words"] + ([gate_col] if gate_col else [])))
         text = F.col("text")
 
         def gate(entry) -> Column:
             return F.array_contains(F.col(gate_col), entry("countrycode")) if gate_col else F.lit(True)
 
-        def exact(entry) -> Column:
-            # one-run names are settled by the anchor; others need the guard substring
-            # and then the boundary regex (And/Or short-circuit in generated code)
-            return entry("single") | (F.contains(text, entry("guard")) & F.regexp_like(text, boundary(entry("body"))))
+        exact = _exact
 
         # explode_outer: a plain explode makes the optimizer infer size(words) > 0 and
         # push it below the projection, which would tokenize every text twice; the

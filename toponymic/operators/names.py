@@ -29,13 +29,15 @@ _SAFE_RUN = r"(?<![\p{L}\p{N}_.])[\p{L}\p{N}_]+(?![\p{L}\p{N}_.])"
 _META_NOT_DOT = r"[\\^$|?*+()\[\]{}]"
 _META_ANY = r"[\\^$.|?*+()\[\]{}]"
 
-INDEX_FIELDS = ["anchor", "single", "guard", "body"]
+INDEX_FIELDS = ["anchor", "second", "single", "guard", "body"]
 
 
 def name_index(names: DataFrame, name_col: str = "name", regex_names: bool = False) -> DataFrame:
-    """Add ``anchor``, ``single``, ``guard`` and ``body`` to a table of names.
+    """Add ``anchor``, ``second``, ``single``, ``guard`` and ``body`` to a table of names.
 
     * ``anchor``  – the word run joined on; null when the name has none usable.
+    * ``second``  – another word run of a multi-run literal name (the next longest): it
+                    must be among the text's words too, a cheap test before any scan.
     * ``single``  – the name is one word run, so the anchor equality is the whole test.
     * ``guard``   – a literal substring the text must contain (cheap pre-check).
     * ``body``    – the name as a regex body (escaped unless ``regex_names``); the
@@ -50,15 +52,18 @@ def name_index(names: DataFrame, name_col: str = "name", regex_names: bool = Fal
         plain = ~n.rlike(_META_ANY)
         anchor = F.when(n.rlike(_META_NOT_DOT), F.lit(None).cast("string")) \
                   .otherwise(longest_run(F.regexp_extract_all(n, F.lit(_SAFE_RUN), 0)))
+        second = F.when(plain, longest_run(word_runs(n), 1))
         guard = F.when(plain, n).otherwise(anchor)
         single = plain & n.rlike(_SINGLE_RUN)
     else:
         anchor = longest_run(word_runs(n))
+        second = longest_run(word_runs(n), 1)
         guard = n
         single = n.rlike(_SINGLE_RUN)
     return named.select(
         "*",
         anchor.alias("anchor"),
+        second.alias("second"),
         single.alias("single"),
         guard.alias("guard"),
         (n if regex_names else escape_regex(n)).alias("body"),
