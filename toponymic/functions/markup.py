@@ -91,6 +91,12 @@ def element_attrs(element: Column, tag: str) -> Column:
     return F.regexp_extract(element, element_pattern(tag), 1)
 
 
+def start_tag_attrs(markup: str | Column, tag: str) -> Column:
+    """Attribute text of the first ``tag`` start tag ('' when it has none or is absent);
+    reads the start tag only, not the element."""
+    return F.regexp_extract(col_of(markup), rf"(?is)<{tag}(\s[^>]*)?>", 1)
+
+
 def attribute(attrs: Column, attr: str) -> Column:
     """Value of ``attr`` in an attribute string, or null."""
     m = F.regexp_extract(attrs, attribute_pattern(attr), 0)

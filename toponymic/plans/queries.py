@@ -191,7 +191,7 @@ def q_tag_text(spark, sf_dir):
 
 def q_page_meta(spark, sf_dir):
     pages = inputs(spark, sf_dir).pages
-    html_attrs = markup.element_attrs(markup.first_element("html", "html"), "html")
+    html_attrs = markup.start_tag_attrs("html", "html")
     article = markup.element_content(markup.first_element("html", "article"), "article")
     host = F.regexp_extract("url", HOST_PATTERN, 1)
     return pages.select(
