@@ -174,11 +174,14 @@ class Gazetteer:
         document's country set comes from all its phrases, in the row, before exploding.
         """
         other = [c for c in cands.columns if c not in ("doc_id", "cands")]
+        # The chunker joins whole tokens (maximal word runs or single marks) with single
+        # spaces, so splitting on ' ' yields every word run of the phrase (plus marks and
+        # '', which never equal an anchor): the same set as the regex, for less work.
         per_doc = cands.select(
             "doc_id", *other,
             F.transform("cands", lambda c: F.struct(
                 c["cand_id"].alias("cand_id"), c["phrase"].alias("phrase"),
-                distinct_word_runs(c["phrase"]).alias("words"))).alias("cands"))
+                F.array_distinct(F.split(c["phrase"], " ")).alias("words"))).alias("cands"))
         if self.lookup is not None:
             all_words = F.array_distinct(F.flatten(F.transform("cands", lambda c: c["words"])))
             per_doc = per_doc.select("*", self.lookup.hit(all_words).alias("__hit"))
