@@ -137,3 +137,14 @@ def test_article_docs_nested_tags(spark, scratch):
                                     "<body><sec>Kenya <sec>Nairobi</sec></sec></body></article>")
     rows = article_docs(read_articles(spark, f"{scratch}/arts"), tag="sec", nested=True).collect()
     assert [(r.text, r.journal) for r in rows] == [("Kenya Nairobi\n\nNairobi\n\n", "J")]
+
+
+def test_stream_resume_skips_committed_chunks(spark, scratch):
+    make_corpus(f"{scratch}/arts")
+    gaz = gazetteer(spark)
+    first = run_chunked(spark, f"{scratch}/arts", gaz, f"{scratch}/out", files_per_chunk=2, run_id="r1")
+    assert first.articles_processed == 5
+    write(f"{scratch}/arts/new/x9.nxml", ARTICLE.format(i=9, text="Kenya: Nairobi"))
+    again = run_chunked(spark, f"{scratch}/arts", gaz, f"{scratch}/out", files_per_chunk=2, run_id="r1")
+    assert (again.articles_processed, again.total_matches, len(again.chunks)) == (1, 1, 1)
+    assert again.chunks[0].endswith("run=r1/chunk=4")

@@ -36,6 +36,7 @@ def parse_args(argv: list[str] | None = None) -> argparse.Namespace:
     p.add_argument("--nested", action="store_true", help="parse markup: the tag may contain itself")
     p.add_argument("--chunk", type=int, default=None, help="files per output chunk (stream mode)")
     p.add_argument("--prefix", default="", help="prefix of the run folder name")
+    p.add_argument("--run-id", default=None, help="stream mode: name of the run; reuse it to resume")
     p.add_argument("--regex-names", action="store_true", help="treat names as regular expressions")
     p.add_argument("--master", default=None, help="Spark master for a local run")
     return p.parse_args(argv)
@@ -46,7 +47,7 @@ def run(spark: SparkSession, args: argparse.Namespace) -> dict:
         gaz = Gazetteer(read_places(spark, args.places), read_countries(spark, args.countries),
                         regex_names=args.regex_names)
         t = run_chunked(spark, args.articles, gaz, args.out, files_per_chunk=args.chunk, tag=args.tag,
-                        on=args.strategy, prefix=args.prefix, nested=args.nested)
+                        on=args.strategy, prefix=args.prefix, nested=args.nested, run_id=args.run_id)
         return {"articles_processed": t.articles_processed, "articles_with_match": t.articles_with_match,
                 "total_matches": t.total_matches, "outputs": t.chunks}
     docs, places, countries = load_inputs(spark, args.articles, args.places, args.countries, args.tag,

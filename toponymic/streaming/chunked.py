@@ -7,8 +7,10 @@ and ``foreachBatch`` runs the ordinary batch matcher on each micro-batch and wri
 that chunk's CSV. The matcher is stateless per file, so no state store is needed.
 
 The gazetteer is prepared once, outside the batches (its country list is inlined into
-the plan). The streaming checkpoint records which files each batch took, so a restarted
-run continues where it stopped; each chunk's output is committed atomically. Totals are
+the plan). The streaming checkpoint (under ``spark.checkpoint.dir``) records which files
+each batch took, so a restarted run continues where it stopped; each chunk's output is
+committed atomically and written idempotently (one folder per batch id, overwritten if
+that batch runs again). Totals are
 gathered with ``DataFrame.observe`` during each chunk's write; documents with a match
 are counted on the chunk's written output.
 """
@@ -41,9 +43,13 @@ class RunTotals:
 def run_chunked(spark: SparkSession, article_root: str, gaz: Gazetteer, out_dir: str,
                 files_per_chunk: int = 10_000, tag: str = "p", on: str = "text",
                 prefix: str = "", checkpoint: str | None = None, ext: str = ".nxml",
-                nested: bool = False) -> RunTotals:
+                nested: bool = False, run_id: str | None = None) -> RunTotals:
+    """Run (or resume) the chunked job. ``run_id`` names the run's output folder and, by
+    default, its checkpoint; passing the id of an interrupted run resumes it: batches the
+    checkpoint has committed are skipped, and a batch that was cut short is re-run and
+    overwrites its own chunk folder. Totals count the batches run by this call."""
     totals = RunTotals()
-    stamp = run_stamp()
+    stamp = run_id or run_stamp()
     _ = gaz.lookup  # prepare the gazetteer once, on the driver, before any batch
 
     def one_chunk(batch: DataFrame, batch_id: int) -> None:
@@ -51,7 +57,8 @@ def run_chunked(spark: SparkSession, article_root: str, gaz: Gazetteer, out_dir:
         docs = article_docs(batch, tag, nested).observe(docs_seen, F.count(F.lit(1)).alias("n"))
         matches = match_corpus(docs, gaz, on=on, keep=tuple(META_FIELDS))
         export = export_matches(matches).observe(matched, F.count(F.lit(1)).alias("n"))
-        path = write_csv(export, chunk_path(out_dir, stamp, batch_id + 1, prefix))
+        # overwrite: a batch re-run after a restart replaces its own partial output
+        path = write_csv(export, chunk_path(out_dir, stamp, batch_id + 1, prefix), mode="overwrite")
         totals.articles_processed += docs_seen.get["n"]
         totals.total_matches += matched.get["n"]
         # distinct documents with a match, from the chunk just written (matches only)
