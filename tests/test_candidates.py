@@ -101,3 +101,25 @@ def test_supplied_tags_path_equals_in_row_path(spark):
     key = lambda r: (r.doc_id, r.cand_id, r.row_index)
     a, b = sorted(map(key, in_row.collect())), sorted(map(key, supplied.collect()))
     assert a == b and len(a) >= 4
+
+
+def test_chunker_equals_python_greedy_regex(spark):
+    import re as _re
+    rnd = random.Random(5)
+    tagset = ["JJ", "JJS", "NN", "NNS", "NNP", "NNPS", "VB", "IN", "."]
+    seqs = [[rnd.choice(tagset) for _ in range(rnd.randint(0, 30))] for _ in range(120)]
+    lex, texts = {}, []
+    for d, seq in enumerate(seqs):
+        words = [f"d{d}w{p}" for p in range(len(seq))]
+        lex.update(zip(words, seq))
+        texts.append(" ".join(words))
+    docs = docs_df(spark, texts)
+    rows = candidates_long(candidate_docs(token_arrays(docs), "noun_phrases", lexicon=lex)).collect()
+    got = sorted((r.doc_id, r.cand_id, len(r.phrase.split())) for r in rows)
+    # reference semantics: <JJ>*<NN.*>+ as a greedy, leftmost, non-overlapping regex
+    # over one letter per tag (J = JJ exactly, N = NN*, O = other)
+    want = []
+    for d, seq in enumerate(seqs):
+        letters = "".join("J" if t == "JJ" else "N" if t.startswith("NN") else "O" for t in seq)
+        want += [(d, m.start(), m.end() - m.start()) for m in _re.finditer("J*N+", letters)]
+    assert got == sorted(want) and len(want) > 100
