@@ -6,12 +6,13 @@ Plan of the full-text match, per document row and in one stage (no shuffle):
 2. ``isos``   = countries named in the text. The country table is small and size-checked,
    so it is inlined as a literal array: a hash intersection with the row's words finds
    the anchored countries, and only multi-word names run a regex on the text.
-3. ``explode(words)`` equi-joins the place index on ``anchor`` (broadcast behind a row
-   bound; above it the planner shuffles on the anchor, with AQE skew splitting and a
-   runtime bloom filter on the text side).
-4. The gate (``array_contains(isos, countrycode)``) and the residual whole-word regex for
-   multi-word names run as one filter right after the join, while the text is still in
-   the row; the text is never shuffled or joined back.
+3. ``explode(words)`` equi-joins the place index on ``anchor``, broadcast behind a size
+   check (rows and bytes). Above it, the tokens are first semi-joined with the broadcast
+   set of distinct anchors and the join shuffles on the anchor, with AQE skew splitting.
+4. The gate (``array_contains(isos, countrycode)``) and the exactness check for
+   multi-word names (second word run among the row's words, then the name as a
+   substring, then the boundary regex) are the join condition, evaluated while the text
+   is still in the row; the text is never shuffled or joined back.
 
 A country table above the literal bound falls back to row-wise country hits and a
 semi-join on ``(doc_id, iso)``, which the planner shuffles on both keys.
