@@ -151,6 +151,12 @@ class Gazetteer:
     def _countries(self) -> _Index:
         return _Index.build(self._country_index, ["iso"])
 
+    @cached_property
+    def _places_per_country(self) -> list | None:
+        """(countrycode, n) rows of the gazetteer, bounded like the country list."""
+        per_country = self.places.groupBy("countrycode").agg(F.count(F.lit(1)).alias("n"))
+        return collect_bounded(per_country, MAX_LITERAL_NAMES)
+
     @cached_property
     def _places(self) -> _Index:
         return _Index.build(name_index(self.places.select(*PLACE_COLS), "name", self.regex_names), PLACE_COLS)
@@ -245,8 +251,7 @@ class Gazetteer:
         hit, and one aggregation per document follows. Returns None when a bound does not
         hold (callers then combine ``countries_in`` and ``places_in``).
         """
-        per_country = self.places.groupBy("countrycode").agg(F.count(F.lit(1)).alias("n"))
-        counts = collect_bounded(per_country, MAX_LITERAL_NAMES)
+        counts = self._places_per_country
         if counts is None or "isos" not in units.columns or self._places.residual_rows is None:
             return None
         counts = sorted((r["countrycode"], r["n"]) for r in counts if r["countrycode"] is not None)
