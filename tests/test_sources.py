@@ -35,8 +35,10 @@ def make_corpus(root):
 
 def test_article_scan_is_recursive_and_exact(spark, scratch):
     make_corpus(f"{scratch}/arts")
-    paths = sorted(r.path.split("/arts/")[1] for r in read_articles(spark, f"{scratch}/arts").collect())
+    rows = read_articles(spark, f"{scratch}/arts").collect()
+    paths = sorted(r.path.split("/arts/")[1] for r in rows)
     assert paths == ["a/b/x0.nxml", "a/b/x1.nxml", "c/x2.nxml", "c/x3.nxml", "d/e/f/x4.nxml"]
+    assert sorted(r.relpath for r in rows) == paths
 
 
 def test_article_docs_meta(spark, scratch):

@@ -8,6 +8,8 @@ DTD never fails the job.
 
 from __future__ import annotations
 
+import os
+
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
@@ -28,9 +30,13 @@ def article_reader(spark: SparkSession, ext: str = ".nxml", stream: bool = False
 
 
 def read_articles(spark: SparkSession, root: str, ext: str = ".nxml") -> DataFrame:
-    """(path, markup): one row per article file under ``root``."""
-    df = article_reader(spark, ext).load(root)
-    return with_path(df)
+    """(path, markup, relpath): one row per article file under ``root``; ``relpath`` is
+    the path below ``root`` (the form the reference's corpus scan returns)."""
+    df = with_path(article_reader(spark, ext).load(root))
+    below = root.rstrip("/") + "/"
+    if "://" not in below and not below.startswith("file:"):
+        below = os.path.abspath(below) + "/"
+    return df.select("*", F.substring_index(F.col("path"), below, -1).alias("relpath"))
 
 
 def with_path(raw: DataFrame) -> DataFrame:
