@@ -58,6 +58,13 @@ def _exact(entry) -> Column:
                               & F.regexp_like(text, boundary(entry("body"))))
 
 
+def _phrase_words(phrase: Column) -> Column:
+    """Word set of a chunker phrase. The chunker joins whole tokens (maximal word runs or
+    single marks) with single spaces, so splitting on ' ' yields every word run of the
+    phrase (plus marks and '', which never equal an anchor): the regex's set, for less."""
+    return F.array_distinct(F.split(phrase, " "))
+
+
 class CountryLookup:
     """A bounded country table inlined into the plan, evaluated per text row."""
 
@@ -175,22 +182,15 @@ class Gazetteer:
         return base
 
     def candidate_docs(self, cands: DataFrame) -> DataFrame:
-        """One row per document: doc_id, cands (cand_id, phrase, words) and isos.
+        """One row per document: doc_id, its other columns, cands (cand_id, phrase) and,
+        when the country list is inlined, isos.
 
         ``cands`` holds ``doc_id`` and ``cands: array<struct<cand_id, phrase>>``; the
         document's country set comes from all its phrases, in the row, before exploding.
         """
-        other = [c for c in cands.columns if c not in ("doc_id", "cands")]
-        # The chunker joins whole tokens (maximal word runs or single marks) with single
-        # spaces, so splitting on ' ' yields every word run of the phrase (plus marks and
-        # '', which never equal an anchor): the same set as the regex, for less work.
-        per_doc = cands.select(
-            "doc_id", *other,
-            F.transform("cands", lambda c: F.struct(
-                c["cand_id"].alias("cand_id"), c["phrase"].alias("phrase"),
-                F.array_distinct(F.split(c["phrase"], " ")).alias("words"))).alias("cands"))
+        per_doc = cands
         if self.lookup is not None:
-            all_words = F.array_distinct(F.flatten(F.transform("cands", lambda c: c["words"])))
+            all_words = F.array_distinct(F.flatten(F.transform("cands", lambda c: _phrase_words(c["phrase"]))))
             per_doc = per_doc.select("*", self.lookup.hit(all_words).alias("__hit"))
             phrases = F.transform("cands", lambda c: c["phrase"])
             per_doc = per_doc.select(*[c for c in per_doc.columns if c != "__hit"],
@@ -199,13 +199,14 @@ class Gazetteer:
 
     @staticmethod
     def candidate_units(per_doc: DataFrame, keep: tuple[str, ...] = ()) -> DataFrame:
-        """One row per phrase: doc_id, cand_id, text (the phrase), words[, isos], keep."""
-        cols = ["doc_id", F.col("c.cand_id").alias("cand_id"), F.col("c.phrase").alias("text"),
-                F.col("c.words").alias("words"), *keep]
+        """One row per phrase: doc_id, cand_id, text (the phrase), words[, isos], keep.
+        The phrase's words are computed after the explode, in generated code."""
+        cols = ["doc_id", F.col("c.cand_id").alias("cand_id"), F.col("c.phrase").alias("text"), *keep]
         if "isos" in per_doc.columns:
             cols.append("isos")
-        return (per_doc.select("*", F.explode_outer("cands").alias("c"))
-                       .where(F.col("c").isNotNull()).select(*cols))
+        units = (per_doc.select("*", F.explode_outer("cands").alias("c"))
+                        .where(F.col("c").isNotNull()).select(*cols))
+        return units.select("*", _phrase_words(F.col("text")).alias("words"))
 
     @staticmethod
     def phrase_units(cands_long: DataFrame) -> DataFrame:
