@@ -130,21 +130,39 @@ def coded_units(tokens: Column, lexicon: Column | None = None) -> Column:
         F.lit("\n"), class_rule(t, lexicon), F.lpad(i.cast("string"), POS_WIDTH, "0"), t)), "")
 
 
+def chunk_spans(tokens: Column, pattern: str, lexicon: Column | None = None) -> Column:
+    """array<string>: the coded units of each leftmost, greedy, non-overlapping match of
+    ``pattern`` over the tag classes (the chunker's semantics). Decode with
+    ``span_cand_id`` / ``span_phrase`` (after an explode they run in generated code)."""
+    return F.regexp_extract_all(coded_units(tokens, lexicon), F.lit(pattern), 0)
+
+
+def span_cand_id(span: Column) -> Column:
+    """Position of the span's first token."""
+    return F.substring(span, 3, POS_WIDTH).cast("long")
+
+
+def span_phrase(span: Column) -> Column:
+    """The span's words, each followed by one space."""
+    return F.regexp_replace(span, _UNIT_TOKEN, "$1 ")
+
+
+def spans_words(spans: Column) -> Column:
+    """Distinct tokens of all spans of a document, in one regex pass."""
+    return F.array_distinct(F.regexp_extract_all(F.array_join(spans, ""), F.lit(_UNIT_TOKEN), 1))
+
+
 def chunk(tokens: Column, pattern: str, lexicon: Column | None = None) -> Column:
-    """array<struct<cand_id:long, phrase:string>> for the leftmost, greedy,
-    non-overlapping matches of ``pattern`` over the tag classes (the chunker's semantics).
-    phrase = its words each followed by one space; cand_id = position of the first token."""
-    matches = F.regexp_extract_all(coded_units(tokens, lexicon), F.lit(pattern), 0)
-    return F.transform(matches, lambda m: F.struct(
-        F.substring(m, 3, POS_WIDTH).cast("long").alias("cand_id"),
-        F.regexp_replace(m, _UNIT_TOKEN, "$1 ").alias("phrase")))
+    """array<struct<cand_id:long, phrase:string>> of the chunks (see ``chunk_spans``)."""
+    return F.transform(chunk_spans(tokens, pattern, lexicon), lambda m: F.struct(
+        span_cand_id(m).alias("cand_id"), span_phrase(m).alias("phrase")))
 
 
 def noun_phrases(tokens: Column, lexicon: Column | None = None) -> Column:
-    """Chunks of the grammar ``<JJ>*<NN.*>+``."""
-    return chunk(tokens, NP_SPAN, lexicon)
+    """Spans of the grammar ``<JJ>*<NN.*>+``."""
+    return chunk_spans(tokens, NP_SPAN, lexicon)
 
 
 def entity_phrases(tokens: Column, lexicon: Column | None = None) -> Column:
-    """X5 (default rule): runs of proper-noun tokens."""
-    return chunk(tokens, ENTITY_SPAN, lexicon)
+    """X5 (default rule): spans of proper-noun runs."""
+    return chunk_spans(tokens, ENTITY_SPAN, lexicon)

@@ -15,8 +15,8 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-from toponymic.functions.text import (entity_phrases, noun_phrases, strip_parens, tag_array, tag_class,
-                                      tag_rule, token_array)
+from toponymic.functions.text import (entity_phrases, noun_phrases, span_cand_id, span_phrase, strip_parens,
+                                      tag_array, tag_class, tag_rule, token_array)
 from toponymic.operators.names import MAX_LITERAL_NAMES, collect_bounded
 
 KINDS = ("noun_phrases", "entities")
@@ -72,7 +72,8 @@ def token_arrays(docs: DataFrame, text_col: str = "text", key: str = "doc_id", s
 
 def candidate_docs(tok: DataFrame, kind: str = "noun_phrases", carry: tuple[str, ...] = (),
                    lexicon: DataFrame | dict | None = None) -> DataFrame:
-    """One row per document: doc_id, the ``carry`` columns, cands array<struct<cand_id, phrase>>.
+    """One row per document: doc_id, the ``carry`` columns and ``spans`` (array<string>,
+    the chunker's coded spans; see ``functions.text.chunk_spans``).
 
     ``tok`` needs ``tokens`` (from ``token_arrays`` or ``tokenize``); the tag class of each
     token is computed in the same pass that codes the tag string.
@@ -80,14 +81,15 @@ def candidate_docs(tok: DataFrame, kind: str = "noun_phrases", carry: tuple[str,
     if kind not in KINDS:
         raise ValueError(f"kind must be one of {KINDS}")
     build = noun_phrases if kind == "noun_phrases" else entity_phrases
-    return tok.select("doc_id", *carry, build(F.col("tokens"), lexicon_map(lexicon)).alias("cands"))
+    return tok.select("doc_id", *carry, build(F.col("tokens"), lexicon_map(lexicon)).alias("spans"))
 
 
 def candidates_long(cands: DataFrame) -> DataFrame:
-    """doc_id, cand_id, phrase – one row per candidate."""
-    return (cands.select("doc_id", F.explode_outer("cands").alias("c"))
-                 .where(F.col("c").isNotNull())
-                 .select("doc_id", F.col("c.cand_id").alias("cand_id"), F.col("c.phrase").alias("phrase")))
+    """doc_id, cand_id, phrase – one row per candidate (decoded after the explode)."""
+    return (cands.select("doc_id", F.explode_outer("spans").alias("s"))
+                 .where(F.col("s").isNotNull())
+                 .select("doc_id", span_cand_id(F.col("s")).alias("cand_id"),
+                         span_phrase(F.col("s")).alias("phrase")))
 
 
 def candidates_from_tagged(tagged: DataFrame, kind: str = "noun_phrases",

@@ -32,6 +32,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
+from toponymic.functions.text import span_cand_id, span_phrase, spans_words
 from toponymic.functions.words import distinct_word_runs
 from toponymic.operators.names import (MAX_LITERAL_NAMES, boundary, collect_bounded, fits_broadcast,
                                        literal_array, name_index)
@@ -182,17 +183,13 @@ class Gazetteer:
         return base
 
     def candidate_docs(self, cands: DataFrame) -> DataFrame:
-        """One row per document: doc_id, its other columns, cands (cand_id, phrase) and,
-        when the country list is inlined, isos.
-
-        ``cands`` holds ``doc_id`` and ``cands: array<struct<cand_id, phrase>>``; the
-        document's country set comes from all its phrases, in the row, before exploding.
-        """
+        """One row per document: doc_id, its other columns, ``spans`` (the chunker's coded
+        spans) and, when the country list is inlined, ``isos``: the countries named in any
+        of its phrases, found in the row before exploding."""
         per_doc = cands
         if self.lookup is not None:
-            all_words = F.array_distinct(F.flatten(F.transform("cands", lambda c: _phrase_words(c["phrase"]))))
-            per_doc = per_doc.select("*", self.lookup.hit(all_words).alias("__hit"))
-            phrases = F.transform("cands", lambda c: c["phrase"])
+            per_doc = per_doc.select("*", self.lookup.hit(spans_words(F.col("spans"))).alias("__hit"))
+            phrases = F.transform("spans", span_phrase)
             per_doc = per_doc.select(*[c for c in per_doc.columns if c != "__hit"],
                                      self.lookup.isos(phrases, F.col("__hit")).alias("isos"))
         return per_doc
@@ -200,12 +197,12 @@ class Gazetteer:
     @staticmethod
     def candidate_units(per_doc: DataFrame, keep: tuple[str, ...] = ()) -> DataFrame:
         """One row per phrase: doc_id, cand_id, text (the phrase), words[, isos], keep.
-        The phrase's words are computed after the explode, in generated code."""
-        cols = ["doc_id", F.col("c.cand_id").alias("cand_id"), F.col("c.phrase").alias("text"), *keep]
-        if "isos" in per_doc.columns:
-            cols.append("isos")
-        units = (per_doc.select("*", F.explode_outer("cands").alias("c"))
-                        .where(F.col("c").isNotNull()).select(*cols))
+        Spans are decoded after the explode, in generated code."""
+        cols = ["doc_id", *keep] + (["isos"] if "isos" in per_doc.columns else [])
+        units = (per_doc.select(*cols, F.explode_outer("spans").alias("s"))
+                        .where(F.col("s").isNotNull())
+                        .select(*cols, span_cand_id(F.col("s")).alias("cand_id"),
+                                span_phrase(F.col("s")).alias("text")))
         return units.select("*", _phrase_words(F.col("text")).alias("words"))
 
     @staticmethod
@@ -227,7 +224,7 @@ class Gazetteer:
         if "isos" in units.columns:
             return (units.select("doc_id", F.explode_outer("isos").alias("iso"))
                          .where(F.col("iso").isNotNull()))
-        if "cands" in units.columns:
+        if "spans" in units.columns:
             units = self.candidate_units(units)
         return self._hits(units, self._countries).select("doc_id", "iso").distinct()
 
