@@ -147,3 +147,22 @@ def test_name_without_word_characters(spark):
     assert sorted((r.doc_id, r.row_index) for r in rows) == [(0, 0), (0, 1)]
     import re as _re
     assert _re.search(r"\b---\b", "Kenya a---b Nairobi") and not _re.search(r"\b---\b", "Kenya a --- b")
+
+
+def test_regex_names_equal_unescaped_regex_loop(spark):
+    rnd = random.Random(9)
+    texts = ["".join(rnd.choice(WORDS) + rnd.choice(SEPS) for _ in range(rnd.randint(0, 25)))
+             for _ in range(300)]
+    from fixtures import COUNTRIES
+    # names used as patterns: dots (safe anchors elsewhere), groups and classes (no anchor)
+    places = [(0, "Nair.bi", "KE"), (1, "St. John", "KE"), (2, "Fort.Portal", "UG"), (3, "K(a|e)mpala", "UG"),
+              (4, "Kam[p]ala", "UG"), (5, "Nairobi", "UG"), (6, "ab.", "KE"), (7, ".Kenya", "KE")]
+    gaz = gazetteer(spark, True, places=places)
+    got = {(r.doc_id, r.row_index) for r in places_in_text(docs_df(spark, texts), gaz).collect()}
+    want = set()
+    for d, text in enumerate(texts):
+        found = {iso for iso, name in COUNTRIES if re.search(r"\b" + name + r"\b", text)}
+        for row, name, cc in places:
+            if cc in found and re.search(r"\b" + name + r"\b", text):
+                want.add((d, row))
+    assert got == want and len(want) > 20
