@@ -123,3 +123,17 @@ def test_chunker_equals_python_greedy_regex(spark):
         letters = "".join("J" if t == "JJ" else "N" if t.startswith("NN") else "O" for t in seq)
         want += [(d, m.start(), m.end() - m.start()) for m in _re.finditer("J*N+", letters)]
     assert got == sorted(want) and len(want) > 100
+
+
+def test_candidates_with_join_gate_equal_in_row_gate(spark, monkeypatch):
+    texts = ["Kenya is big. Nairobi is hot; Nairobi area", "Uganda: Fort Portal town (Kampala) and Kenya Mombasa",
+             "Big Windhoek Namibia", "Kampala Nairobi", ""]
+    docs = docs_df(spark, texts)
+    key = lambda r: (r.doc_id, r.cand_id, r.row_index)
+    in_row = sorted(map(key, match_corpus(docs, gazetteer(spark), on="noun_phrases").collect()))
+    import toponymic.operators.match as m
+    monkeypatch.setattr(m, "MAX_LITERAL_NAMES", 1)          # country list no longer inlined
+    gaz = gazetteer(spark)
+    assert gaz.lookup is None
+    joined = sorted(map(key, match_corpus(docs, gaz, on="noun_phrases").collect()))
+    assert joined == in_row and len(in_row) >= 4
