@@ -7,13 +7,14 @@ atomically, so a retried task or a lost executor cannot leave half a chunk behin
 
 from __future__ import annotations
 
-import time
+from datetime import datetime
 
 from pyspark.sql import DataFrame
 
 
 def run_stamp() -> str:
-    return time.strftime("%Y-%m-%d_%H-%M-%S")
+    """Start time of a run; microseconds keep two quick runs into one folder apart."""
+    return datetime.now().strftime("%Y-%m-%d_%H-%M-%S_%f")
 
 
 def chunk_path(out_dir: str, stamp: str, chunk: int, prefix: str = "") -> str:
