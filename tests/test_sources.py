@@ -126,6 +126,8 @@ def test_command_line_job(spark, scratch):
     assert (batch["articles_processed"], batch["articles_with_match"], batch["total_matches"]) == (5, 3, 3)
     chunked = run(spark, parse_args(common + ["--out", f"{scratch}/out2", "--chunk", "2"]))
     assert (chunked["articles_processed"], chunked["total_matches"], len(chunked["outputs"])) == (5, 3, 3)
+    sliced = run(spark, parse_args(common + ["--out", f"{scratch}/out3", "--slice", "1:2"]))   # x1, x2
+    assert (sliced["articles_processed"], sliced["total_matches"]) == (2, 0)
 
 
 def test_countries_reader_short_lines(spark, scratch):
