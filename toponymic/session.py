@@ -44,8 +44,9 @@ def get_session(master: str | None = None, app: str = "toponymic",
 def checkpoint_dir(spark: SparkSession) -> str:
     """The shared folder named by ``spark.checkpoint.dir``.
 
-    The cluster's setting always wins. Only when it is unset (local tests) is a
-    fresh scratch folder created and registered with the session.
+    The cluster's setting always wins. Only when it is unset on a local master (tests)
+    is a fresh scratch folder created and registered with the session; on a cluster an
+    unset setting is an error.
     """
     configured = spark.conf.get("spark.checkpoint.dir", None)
     if not configured:
@@ -55,6 +56,10 @@ def checkpoint_dir(spark: SparkSession) -> str:
             configured = None
     if configured:
         return configured
+    master = spark.conf.get("spark.master", "") or ""
+    if not master.startswith("local"):
+        # a machine-local folder is not shared by a cluster's executors and driver restarts
+        raise ValueError("set spark.checkpoint.dir to a shared folder for this cluster")
     local = tempfile.mkdtemp(prefix="toponymic-ckpt-", dir=os.environ.get("TMPDIR", "/tmp"))
     spark.conf.set("spark.checkpoint.dir", local)
     try:
