@@ -4,9 +4,11 @@ from __future__ import annotations
 
 from collections.abc import Callable
 
+import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import functions as F
 
-from toponymic.llm import fingerprints
+from toponymic.llm import bpe, fingerprints, langid, quality, secrets, simhash
 
 Query = Callable[[SparkSession, str], DataFrame]
 
@@ -20,5 +22,50 @@ def op1_fingerprints(spark: SparkSession, sf_dir: str) -> DataFrame:
     return fingerprints.edited_copies(table(spark, sf_dir, "documents").select("doc_id", "text"))
 
 
-QUERIES: dict[str, Query] = {"op1_fingerprints": op1_fingerprints}
+def op3_secrets(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Secrets of every document: pattern counts and digest, and all spans."""
+    docs = table(spark, sf_dir, "documents")
+    found = secrets.secret_spans(docs, secrets.train(docs))
+    count = lambda kind: F.size(F.filter("spans", lambda s: s["kind"] == kind)).cast("long")
+    joined = lambda spans: F.array_join(
+        F.transform(spans, lambda s: F.concat_ws(":", s["kind"], s["start"].cast("string"), s["end"].cast("string"))), ",")
+    return found.select(
+        "doc_id", *(count(k).alias(f"n_{k}") for k in secrets.KINDS),
+        F.sha2(joined(F.filter("spans", lambda s: s["kind"] != "random")), 256).alias("base_sha256"),
+        joined(F.col("spans")).alias("spans"))
+
+
+def op4_quality(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Counts of every document, the fixed rule, and the label model's verdict."""
+    judged = quality.quality(table(spark, sf_dir, "documents")).withColumn("base_failed", quality.base_failed())
+    return judged.select("doc_id", "n_words", "word_chars", "n_symbols", "n_dup_lines", "n_repeat_words", "base_failed",
+                         (~F.col("base_failed") & F.col("good")).alias("kept"), "quality")
+
+
+def op5_simhash(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Fingerprint and near-duplicate component of every document."""
+    found = simhash.near_duplicates(table(spark, sf_dir, "documents"))
+    return found.select("doc_id", simhash.hexadecimal(F.col("fp")).alias("fingerprint"), "component_id")
+
+
+def op7_language(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Predicted language of every document, learned from the rows that are not held out."""
+    docs = table(spark, sf_dir, "documents")
+    profiles = langid.train(docs.where(~langid.held_out()))
+    return langid.predict(docs, profiles).select("doc_id", langid.held_out().alias("held_out"), "lang_pred", "score")
+
+
+def op8_byte_bpe(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Ids of every document, and the text they decode to, as digests."""
+    return bpe.digests(table(spark, sf_dir, "documents"), public_tokenizers.path("byte_bpe_50k.json"))
+
+
+QUERIES: dict[str, Query] = {
+    "op1_fingerprints": op1_fingerprints,
+    "op3_secrets": op3_secrets,
+    "op4_quality": op4_quality,
+    "op5_simhash": op5_simhash,
+    "op7_language": op7_language,
+    "op8_byte_bpe": op8_byte_bpe,
+}
 ORACLES: dict[str, str] = {}
