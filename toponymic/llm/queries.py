@@ -8,7 +8,7 @@ import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from toponymic.llm import bpe, fingerprints, langid, quality, secrets, simhash
+from toponymic.llm import bpe, fingerprints, langid, quality, rans, secrets, simhash
 
 Query = Callable[[SparkSession, str], DataFrame]
 
@@ -22,6 +22,12 @@ def op1_fingerprints(spark: SparkSession, sf_dir: str) -> DataFrame:
     return fingerprints.edited_copies(table(spark, sf_dir, "documents").select("doc_id", "text"))
 
 
+def op2_token_files(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Ids of every document, written as coded files and read back."""
+    folder = rans.token_files(table(spark, sf_dir, "documents"), public_tokenizers.path("word_bpe_49k.json"), end_id=1)
+    return rans.read_digests(spark, folder)
+
+
 def op3_secrets(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Secrets of every document: pattern counts and digest, and all spans."""
     docs = table(spark, sf_dir, "documents")
@@ -62,6 +68,7 @@ def op8_byte_bpe(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 QUERIES: dict[str, Query] = {
     "op1_fingerprints": op1_fingerprints,
+    "op2_token_files": op2_token_files,
     "op3_secrets": op3_secrets,
     "op4_quality": op4_quality,
     "op5_simhash": op5_simhash,
