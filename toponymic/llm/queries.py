@@ -8,7 +8,7 @@ import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from toponymic.llm import bpe, fingerprints, langid, quality, rans, secrets, simhash
+from toponymic.llm import bpe, fingerprints, langid, packing, pii, quality, rans, secrets, simhash
 
 Query = Callable[[SparkSession, str], DataFrame]
 
@@ -66,6 +66,24 @@ def op8_byte_bpe(spark: SparkSession, sf_dir: str) -> DataFrame:
     return bpe.digests(table(spark, sf_dir, "documents"), public_tokenizers.path("byte_bpe_50k.json"))
 
 
+def op9_packing(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Sequence, offset and length of every piece of every document, in words."""
+    docs = table(spark, sf_dir, "documents")
+    text = F.col("text")
+    return packing.pack(docs, packing.words(text), F.col("source"), packing.exact_copies(text))
+
+
+#: Key of the registered queries, for repeatable results; a real run passes its own secret.
+PII_KEY = b"surrogates of the registered queries"
+
+
+def op10_surrogates(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Text of every document with surrogates, and how many entities of each kind it had."""
+    docs = table(spark, sf_dir, "documents").select("doc_id", "text")
+    found = pii.surrogate_texts(docs, PII_KEY)
+    return found.select("doc_id", "text", *(F.col(pii.FOUND)[i].alias(f"n_{k}") for i, k in enumerate(pii.KINDS)))
+
+
 QUERIES: dict[str, Query] = {
     "op1_fingerprints": op1_fingerprints,
     "op2_token_files": op2_token_files,
@@ -74,5 +92,7 @@ QUERIES: dict[str, Query] = {
     "op5_simhash": op5_simhash,
     "op7_language": op7_language,
     "op8_byte_bpe": op8_byte_bpe,
+    "op9_packing": op9_packing,
+    "op10_surrogates": op10_surrogates,
 }
 ORACLES: dict[str, str] = {}
