@@ -8,7 +8,7 @@ import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from toponymic.llm import bpe, fingerprints, langid, packing, pii, quality, rans, secrets, simhash
+from toponymic.llm import bpe, fingerprints, html_text, langid, packing, pii, quality, rans, secrets, simhash
 
 Query = Callable[[SparkSession, str], DataFrame]
 
@@ -54,6 +54,11 @@ def op5_simhash(spark: SparkSession, sf_dir: str) -> DataFrame:
     return found.select("doc_id", simhash.hexadecimal(F.col("fp")).alias("fingerprint"), "component_id")
 
 
+def op6_page_text(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Visible text of every page."""
+    return html_text.visible_text(table(spark, sf_dir, "pages")).withColumn("n_chars", F.length("text").cast("long"))
+
+
 def op7_language(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Predicted language of every document, learned from the rows that are not held out."""
     docs = table(spark, sf_dir, "documents")
@@ -90,6 +95,7 @@ QUERIES: dict[str, Query] = {
     "op3_secrets": op3_secrets,
     "op4_quality": op4_quality,
     "op5_simhash": op5_simhash,
+    "op6_page_text": op6_page_text,
     "op7_language": op7_language,
     "op8_byte_bpe": op8_byte_bpe,
     "op9_packing": op9_packing,
