@@ -27,6 +27,8 @@ from pyspark.sql.window import Window
 from toponymic.llm import texts
 
 PROFILE = 400
+#: Score below which a text counts as written in none of the learned languages.
+LEAST = 0.2
 UNKNOWN = "und"
 _EDGE = 1       # a code point that is no letter, for the boundary of a word
 
@@ -161,6 +163,19 @@ def predict(docs: DataFrame, profiles: Profiles, id_col: str = "doc_id", text_co
     return docs.select(id_col, text_col).mapInArrow(run, schema)
 
 
+def known_language(docs: DataFrame, profiles: Profiles, text_col: str = "text", least: float = LEAST) -> DataFrame:
+    """The rows of ``docs``, with their columns, whose text is in a learned language: not
+    ``und``, and with a score of at least ``least``. Map-only."""
+    at = docs.columns.index(text_col)
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            found = profiles.predict(texts.strings(batch.column(at)))
+            yield batch.filter(pa.array([lang != UNKNOWN and score >= least for lang, score in found], pa.bool_()))
+
+    return docs.mapInArrow(run, docs.schema)
+
+
 def held_out(id_col: str = "doc_id") -> Column:
     """Rows that training must not see: a quarter of them, by the CRC of the id as text."""
     return F.coalesce(F.crc32(F.col(id_col).cast("string")) % 4 == 2, F.lit(False))

@@ -33,7 +33,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
-from toponymic.llm import storage
+from toponymic.llm import frames, storage
 
 KINDS = ("email", "ip", "phone", "card", "ssn", "name")
 ROUNDS = 8
@@ -310,9 +310,10 @@ def surrogate_texts(docs: DataFrame, key: bytes, id_col: str = "doc_id", text_co
     """``docs`` with surrogates in ``text_col`` and ``FOUND`` (numbers of entities by ``KINDS``).
 
     One pass gathers the distinct entities (narrow rows) for the collision check, the
-    other replaces. The documents are joined only with the exceptions, and only if there
+    other replaces. A column of the name ``FOUND`` is replaced. The documents are joined only with the exceptions, and only if there
     are any; Spark chooses the join by their measured size.
     """
+    docs = docs.drop(FOUND)
     found = storage.written(entities(docs, key, id_col, text_col), "entities")
     distinct = storage.written(found.select("kind", "normal", "surrogate").distinct(), "distinct")
     moved = exceptions(distinct, key)
@@ -320,7 +321,8 @@ def surrogate_texts(docs: DataFrame, key: bytes, id_col: str = "doc_id", text_co
     text_at = docs.columns.index(text_col)
     if moved is None:
         return docs.mapInArrow(_replaced(key, schema.names, text_at, None), schema)
-    own = (found.join(moved, ["kind", "normal"]).groupBy(F.col(id_col).alias("__id"))
-           .agg(F.collect_list(F.struct("kind", "normal", "attempt")).alias("__attempts")))
-    joined = docs.join(own, docs[id_col].eqNullSafe(own["__id"]), "left").select(*[docs[c] for c in docs.columns], "__attempts")
+    own, attempts = frames.fresh(docs, "__own"), frames.fresh(docs, "__attempts")
+    tries = (found.join(moved, ["kind", "normal"]).groupBy(F.col(id_col).alias(own))
+             .agg(F.collect_set(F.struct("kind", "normal", "attempt")).alias(attempts)))
+    joined = docs.join(tries, F.col(id_col).eqNullSafe(F.col(own)), "left").select(*docs.columns, attempts)
     return joined.mapInArrow(_replaced(key, schema.names, text_at, len(docs.columns)), schema)

@@ -21,7 +21,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
-from toponymic.llm import storage, texts
+from toponymic.llm import frames, storage, texts
 
 WINDOW = 5
 KEEP = 0.5
@@ -123,22 +123,23 @@ def features(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text") ->
     return docs.select(id_col, text_col).mapInArrow(run, schema)
 
 
-def _share(part: str, whole: str) -> Column:
+def _share(part: Column, whole: Column) -> Column:
     """A share, null (so that its rule abstains) where there is nothing to share."""
-    return F.col(part) / F.when(F.col(whole) > 0, F.col(whole))
+    return part / F.when(whole > 0, whole)
 
 
 def _vote(good: Column, bad: Column) -> Column:
     return F.when(bad, F.lit(-1)).when(good, F.lit(1)).otherwise(F.lit(0))
 
 
-def rules() -> dict[str, Column]:
+def rules(prefix: str = "") -> dict[str, Column]:
     """The rules over the counts; each gives 1 (good), -1 (bad) or 0 (abstains)."""
-    symbols, plain = _share("n_symbols", "n_words"), _share("n_plain_words", "n_words")
-    letters, upper = _share("n_letter_words", "n_words"), _share("n_upper", "n_letters")
-    marks, repeat = _share("n_marks", "n_words"), _share("n_repeat_words", "n_words")
-    dup, doubled = _share("n_dup_lines", "n_lines"), _share("n_doubled_words", "n_words")
-    length, distinct = _share("word_chars", "n_words"), _share("n_distinct_words", "n_words")
+    c = {name: F.col(prefix + name) for name in _FEATURES}
+    per_word = lambda name: _share(c[name], c["n_words"])       # noqa: E731
+    symbols, plain, letters, marks = map(per_word, ("n_symbols", "n_plain_words", "n_letter_words", "n_marks"))
+    repeat, doubled, distinct = map(per_word, ("n_repeat_words", "n_doubled_words", "n_distinct_words"))
+    length = per_word("word_chars")
+    upper, dup = _share(c["n_upper"], c["n_letters"]), _share(c["n_dup_lines"], c["n_lines"])
     return {
         "symbols": _vote(symbols <= 0.1, symbols > 0.1),
         "plain": _vote(plain >= 0.6, plain < 0.6),
@@ -146,11 +147,11 @@ def rules() -> dict[str, Column]:
         "upper": _vote(upper <= 0.3, upper > 0.3),
         "marks": _vote(marks <= 0.5, marks > 0.5),
         "repeat": _vote(repeat <= 0.2, repeat > 0.2),
-        "lines": _vote(F.lit(False), (F.col("n_lines") >= 4) & (dup > 0.4)),
-        "distinct": _vote(F.lit(False), (F.col("n_words") <= 64) & (distinct < 0.6)),
+        "lines": _vote(F.lit(False), (c["n_lines"] >= 4) & (dup > 0.4)),
+        "distinct": _vote(F.lit(False), (c["n_words"] <= 64) & (distinct < 0.6)),
         "doubled": _vote(doubled <= 0.25, doubled > 0.25),
         "word_length": _vote((length >= 2) & (length <= 10), (length < 2) | (length > 10)),
-        "words": _vote(F.col("n_words") >= 50, F.col("n_words") < 5),
+        "words": _vote(c["n_words"] >= 50, c["n_words"] < 5),
     }
 
 
@@ -180,25 +181,48 @@ def fit(patterns: np.ndarray, weights: np.ndarray, iterations: int = ITERATIONS)
     return posterior
 
 
-def judge(counted: DataFrame, keep: float = KEEP) -> DataFrame:
-    """Adds ``quality`` (posterior) and ``good`` to a table of counts (read twice)."""
-    votes = rules()
-    coded = counted.withColumn("__votes", sum(((v + 1) * 3 ** i for i, v in enumerate(votes.values())), F.lit(0)))
-    seen = coded.groupBy("__votes").count().orderBy("__votes").collect()    # at most 3 ** 11 rows
+def _code(prefix: str = "") -> Column:
+    """All votes of a row as one number."""
+    return sum(((v + 1) * 3 ** i for i, v in enumerate(rules(prefix).values())), F.lit(0))
+
+
+def train(counted: DataFrame) -> DataFrame:
+    """``__votes``, ``quality``: the posterior of every vote pattern of a table of counts, at
+    most 3 ** 11 rows."""
+    seen = counted.groupBy(_code().alias("__votes")).count().orderBy("__votes").collect()   # a row for each pattern
     codes = np.array([r["__votes"] for r in seen], dtype=np.int64)
-    patterns = np.stack([codes // 3 ** i % 3 - 1 for i in range(len(votes))], axis=1)
+    patterns = np.stack([codes // 3 ** i % 3 - 1 for i in range(len(rules()))], axis=1)
     posterior = fit(patterns, np.array([r["count"] for r in seen], dtype=float))
-    table = counted.sparkSession.createDataFrame(
+    return counted.sparkSession.createDataFrame(
         [(int(c), float(p)) for c, p in zip(codes, posterior)], "__votes int, quality double")
-    return (coded.join(F.broadcast(table), "__votes", "left").drop("__votes")
-            .withColumn("good", F.coalesce(F.col("quality") >= keep, F.lit(False))))
 
 
 def quality(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", keep: float = KEEP) -> DataFrame:
     """``id_col``, the counts, ``quality`` and ``good`` of every row; texts are read once."""
-    return judge(storage.written(features(docs, id_col, text_col), "quality"), keep)
+    counted = storage.written(features(docs, id_col, text_col), "quality")
+    return (counted.withColumn("__votes", _code()).join(F.broadcast(train(counted)), "__votes", "left").drop("__votes")
+            .withColumn("good", F.coalesce(F.col("quality") >= keep, F.lit(False))))
+
+
+def good_documents(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", keep: float = KEEP) -> DataFrame:
+    """The rows of ``docs`` that neither the fixed rule nor the label model rejects, with
+    their columns. Texts are counted twice, so that no text is shuffled."""
+    model = train(storage.written(features(docs, id_col, text_col), "quality"))
+    prefix = frames.fresh(docs, "__q")
+    fields = [T.StructField(prefix + c, T.LongType()) for c in _FEATURES]
+
+    def make(column: pa.Array) -> list[pa.Array]:
+        table = counts(texts.utf8(column))
+        return [pa.array(table[:, j]) for j in range(len(_FEATURES))]
+
+    votes, score = frames.fresh(docs, "__votes"), frames.fresh(docs, "__quality")
+    model = model.withColumnsRenamed({"__votes": votes, "quality": score})
+    judged = frames.with_columns(docs, text_col, fields, make).withColumn(votes, _code(prefix))
+    return (judged.join(F.broadcast(model), votes, "left").where(~base_failed(prefix) & (F.col(score) >= keep))
+            .select(*docs.columns))
 
 
-def base_failed() -> Column:
+def base_failed(prefix: str = "") -> Column:
     """The fixed rule beside the model: too few words, or too many of them repeated."""
-    return (F.col("n_words") < 10) | (100 * F.col("n_repeat_words") > 20 * F.col("n_words"))
+    words, repeated = F.col(prefix + "n_words"), F.col(prefix + "n_repeat_words")
+    return (words < 10) | (100 * repeated > 20 * words)

@@ -29,7 +29,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
-from toponymic.llm import storage, texts
+from toponymic.llm import frames, storage, texts
 
 WORDS = 3
 BITS = 2
@@ -191,12 +191,12 @@ def links(nodes: DataFrame, bits: int = BITS) -> DataFrame:
     return postings(nodes, bits).mapInArrow(_forest(bits), "a long, b long").distinct()
 
 
-def components(edges: DataFrame, nodes: DataFrame) -> DataFrame:
-    """``fp``, ``label`` for every node with a link; equal labels: one component. ``label`` is the
-    smallest ``id`` of the component's nodes (nulls last).
+def components(edges: DataFrame) -> DataFrame:
+    """``fp``, ``label`` for every node with a link: the smallest fingerprint (as a signed number)
+    that its links reach, which names the component.
 
     Each round takes the least label among a node and its neighbours, then jumps to the
-    label's own label. Labels are nodes until the end; every round is written, so a lost
+    label's own label. Every round is written, so a lost
     executor costs no more than a round.
     """
     both = storage.written(edges.unionByName(edges.select(F.col("b").alias("a"), F.col("a").alias("b"))), "edges")
@@ -212,16 +212,43 @@ def components(edges: DataFrame, nodes: DataFrame) -> DataFrame:
         if new.where("label <> old").isEmpty():
             break
         state = new.select("fp", "label")
-    named = state.join(nodes, "fp").groupBy("label").agg(F.min("id").alias("id"))
-    return state.join(named, "label").select("fp", "id")
+    return state
+
+
+def _labelled(marked: DataFrame, id_col: str, bits: int) -> DataFrame:
+    """``fp``, ``id`` (smallest of its rows), ``label`` of each distinct fingerprint."""
+    nodes = storage.written(marked.groupBy("fp").agg(F.min(id_col).alias("id")), "nodes")
+    linked = components(links(nodes.select("fp"), bits))
+    return nodes.join(linked, "fp", "left").select("fp", "id", F.coalesce("label", "fp").alias("label"))
 
 
 def near_duplicates(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text",
                     size: int = WORDS, bits: int = BITS) -> DataFrame:
     """``id_col``, ``fp`` and ``component_id`` (smallest ``id_col`` that links reach) of every row."""
     marked = storage.written(fingerprints(docs, id_col, text_col, size), "simhash")
-    nodes = storage.written(marked.groupBy("fp").agg(F.min(id_col).alias("id")), "nodes")
-    linked = components(links(nodes.select("fp"), bits), nodes)
-    named = nodes.join(linked.withColumnRenamed("id", "least"), "fp", "left").select(
-        "fp", F.coalesce("least", "id").alias("component_id"))
+    nodes = storage.written(_labelled(marked, id_col, bits), "components")
+    least = nodes.groupBy("label").agg(F.min("id").alias("component_id"))
+    named = nodes.join(least, "label").select("fp", "component_id")
     return marked.join(named, "fp").select(id_col, "fp", "component_id")
+
+
+def without_near_duplicates(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text",
+                            size: int = WORDS, bits: int = BITS) -> DataFrame:
+    """One row of ``docs``, with its columns, of each component: the one of the smallest id
+    (nulls last), then of the smallest fingerprint; any one of rows equal in both.
+
+    Texts are shuffled once, on the pair of id and fingerprint, so copies are no hot key.
+    """
+    marked = storage.written(fingerprints(docs, id_col, text_col, size), "simhash")
+    none = F.col("id").isNull()
+    kept = (_labelled(marked, id_col, bits).groupBy("label").agg(F.min(F.struct(none.alias("none"), "id", "fp")).alias("kept"))
+            .select("kept.none", "kept.id", "kept.fp"))
+    fp, null = frames.fresh(docs, "__fp"), frames.fresh(docs, "__null")
+    own = frames.fresh(docs, "__id")
+    kept = storage.written(kept.select(F.col("fp").alias(fp), F.col("none").alias(null),
+                                       F.coalesce("id", F.lit(0)).alias(own)), "kept")
+    rows = frames.with_columns(docs, text_col, [T.StructField(fp, T.LongType())],
+                               lambda column: [pa.array(simhashes(texts.utf8(column), size).view(np.int64))])
+    rows = rows.withColumns({null: F.col(id_col).isNull(), own: F.coalesce(F.col(id_col), F.lit(0))})
+    return (rows.join(kept.hint("merge"), [fp, null, own], "left_semi").dropDuplicates([fp, null, own])
+            .select(*docs.columns))
