@@ -10,9 +10,8 @@ from pyspark.sql import types as T
 
 
 def fresh(df: DataFrame, name: str) -> str:
-    """A column name that ``df`` doesn't have, whatever its columns are called."""
-    taken = {c.lower() for c in df.columns}
-    while name.lower() in taken:
+    """A name with which no column of ``df`` begins, whatever its columns are called."""
+    while any(c.lower().startswith(name.lower()) for c in df.columns):
         name += "_"
     return name
 

@@ -2,11 +2,13 @@
 
 Three patterns label strings for certain: values assigned to a secret's name, access
 keys, and long runs of hexadecimal digits. They are also the labelled samples of random
-strings from which one first-order Markov model of characters is trained; everything
-else in the corpus trains the other, of ordinary identifiers. Both are counted over all
-documents (a table of 69 x 69 counts for each class leaves the executors). A run of 16
-or more identifier characters with a letter and a digit, outside the pattern spans, is a
-secret when its log-likelihood ratio, random against ordinary, reaches ``MIN_LLR``.
+strings: a first-order Markov model of characters is trained on the matches of each
+pattern, beside one of uniformly random letters and digits; everything else in the
+corpus, but for the runs in question, trains the model of ordinary identifiers. All are counted over all documents (a
+table of 69 x 69 counts for each model leaves the executors). A run of 16 or more
+identifier characters with a letter and a digit, outside the pattern spans, is a secret
+when its log-likelihood ratio, the best of the random models (which weigh the same)
+against ordinary, reaches ``MIN_LLR``.
 
 Defined cases: a null text is empty and has no spans; offsets are code points with an
 exclusive end; equal rows give equal results; an empty table gives an empty table and a
@@ -30,7 +32,8 @@ from toponymic.llm import texts
 KINDS = ("assign", "access", "hex", "random")
 MIN_RUN = 16
 MIN_LLR = 12.0
-#: Weight, in transitions for each preceding character, of the uniform prior of each model.
+#: Weight, in transitions for each preceding character, of the frequencies of single characters,
+#: on which a model falls back where it has seen few transitions.
 PRIOR = 20.0
 
 _ASSIGN = re.compile(r"""(?:password|passwd|secret|token|api_?key)["']?\x20*[:=]\x20*["']?([A-Za-z0-9+/_.=-]+)""",
@@ -68,41 +71,46 @@ def _transitions(data: bytes) -> np.ndarray:
 
 
 def _count(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-    ordinary, random = np.zeros(_K * _K, np.int64), np.zeros(_K * _K, np.int64)
+    tables = np.zeros((len(KINDS), _K * _K), dtype=np.int64)        # the patterns' kinds, then ordinary text
     for batch in batches:
         for text, raw in zip(texts.strings(batch.column(0)), texts.utf8(batch.column(0))):
             spans = base_spans(text, raw)
             if spans:
-                random += _transitions(b"\n".join(text[v:e].encode() for _, _, e, v in spans))
-                for start, _, end, _ in spans:
+                for start, kind, end, value in spans:
+                    tables[kind] += _transitions(text[value:end].encode())
                     text = text[:start] + " " * (end - start) + text[end:]
                 raw = text.encode("utf-8", "surrogatepass")
-            ordinary += _transitions(raw)
-    for kind, counts in (("ordinary", ordinary), ("random", random)):
+            if b"x" * MIN_RUN in raw.translate(_RUN_MARK):          # runs in question are no labelled samples
+                text = _RUN.sub(lambda m: " " if _MIXED.match(m.group()) else m.group(), text)
+                raw = text.encode("utf-8", "surrogatepass")
+            tables[-1] += _transitions(raw)
+    for model, counts in enumerate(tables):
         at = np.flatnonzero(counts)
         if len(at):
-            yield pa.RecordBatch.from_arrays([pa.array([kind] * len(at)), pa.array(at), pa.array(counts[at])],
-                                             names=["kind", "step", "n"])
+            yield pa.RecordBatch.from_arrays([pa.array([model] * len(at), pa.int32()), pa.array(at), pa.array(counts[at])],
+                                             names=["model", "step", "n"])
 
 
 def train(docs: DataFrame, text_col: str = "text") -> np.ndarray:
-    """Log-likelihood ratio of every transition, counted over all rows of ``docs``."""
-    counts = (docs.select(text_col).mapInArrow(_count, "kind string, step long, n long")
-              .groupBy("kind", "step").agg(F.sum("n").alias("n")))
-    logs = {}
-    table = {"ordinary": np.zeros((_K, _K)), "random": np.zeros((_K, _K))}
-    for r in counts.collect():      # at most 2 * 69 * 69 rows
-        table[r["kind"]].flat[r["step"]] = r["n"]
-    for kind, n in table.items():
-        n = n[1:, 1:] + PRIOR / (_K - 1)
-        logs[kind] = np.log(n / n.sum(axis=1, keepdims=True))
-    return logs["random"] - logs["ordinary"]
+    """Log-likelihood ratio of every transition for each random model, counted over all
+    rows of ``docs``."""
+    counts = (docs.select(text_col).mapInArrow(_count, "model int, step long, n long")
+              .groupBy("model", "step").agg(F.sum("n").alias("n")))
+    tables = np.zeros((len(KINDS), _K, _K))
+    for r in counts.collect():      # at most 4 * 69 * 69 rows
+        tables[r["model"]].flat[r["step"]] = r["n"]
+    tables = tables[:, 1:, 1:]
+    single = tables.sum(axis=1, keepdims=True) + 1                  # how often each character follows any other
+    tables = tables + PRIOR * single / single.sum(axis=2, keepdims=True)
+    logs = np.log(tables / tables.sum(axis=2, keepdims=True))
+    uniform = np.full((1, _K - 1, _K - 1), -np.log(62))
+    return np.concatenate([logs[:-1], uniform]) - logs[-1]
 
 
 def llr(run: str, ratios: np.ndarray) -> float:
     """Log-likelihood ratio of an identifier, random against ordinary."""
     code = _CODE[np.frombuffer(run.encode("ascii"), dtype=np.uint8)] - 1
-    return float(ratios[code[:-1], code[1:]].sum())
+    return float(ratios[:, code[:-1], code[1:]].sum(axis=1).max() - np.log(len(ratios)))
 
 
 def spans(text: str, ratios: np.ndarray, raw: bytes | None = None) -> list[tuple[int, int, int]]:
