@@ -20,7 +20,7 @@ def test_ids_are_the_library_s():
 
 
 def test_a_full_cache_changes_nothing(monkeypatch):
-    monkeypatch.setattr(rans, "CACHE", 3)
+    monkeypatch.setattr(rans, "CACHE", 4)
     whole, fast = Tokenizer.from_file(PATH), rans.WordIds(PATH)
     t = "one two three four five two one"
     assert np.frombuffer(fast.ids(t), "<u4").tolist() == whole.encode(t, add_special_tokens=False).ids

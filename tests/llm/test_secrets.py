@@ -21,9 +21,9 @@ def plain_base(text):
 def corpus():
     rng = random.Random(3)
     words = ["the", "connection", "handler", "processing", "configuration", "information", "representation", "of", "and",
-             "internationalization", "characteristically", "user_account_manager_factory", "getElementsByTagName2"]
+             "internationalization", "characteristically", "user_account_manager_factory", "getElementsByTagName2", "HTTPServerV2", "README", "QUARTZ", "xyz", "Jazz", "2024", "Wolf", "Kiwi", "MAX_VALUE_10"]
     rows = []
-    for i in range(200):
+    for i in range(600):
         text = " ".join(rng.choices(words, k=60))
         if i % 5 == 0:
             text += ' token = "' + "".join(rng.choices("0123456789abcdef", k=40)) + '" end'
@@ -48,7 +48,7 @@ def test_random_strings_without_a_name_are_found(spark):
     rows = corpus()
     rng = random.Random(9)
     planted = {}
-    for i in range(1000, 1040):
+    for i in range(1000, 1020):
         key = "".join(rng.choices(string.ascii_letters + string.digits, k=32))
         rows.append((i, "see the handler " + key + " and configuration", None))
         planted[i] = (16, 48)
@@ -56,8 +56,8 @@ def test_random_strings_without_a_name_are_found(spark):
     ratios = secrets.train(df)
     found = {r["doc_id"]: r["spans"] for r in secrets.secret_spans(df, ratios).collect()}
     caught = sum(any((s["start"], s["end"]) == span for s in found[i]) for i, span in planted.items())
-    assert caught >= 38
-    assert not any(s["kind"] == "random" for i in range(200) for s in found[i])     # ordinary identifiers stay
+    assert caught >= 19
+    assert not any(s["kind"] == "random" for i in range(600) for s in found[i])     # ordinary identifiers stay
     assert secrets.llr("internationalization2", ratios) < 0 < secrets.llr("x7Qz0Kp3Vw9Lr2Bt", ratios)
 
 

@@ -27,6 +27,7 @@ from __future__ import annotations
 
 import functools
 import zlib
+from array import array
 from collections.abc import Iterator
 
 import numpy as np
@@ -44,7 +45,8 @@ BITS = 20
 BLOCK = 1 << 19
 LANES = 512
 STEPS = 256
-CACHE = 500_000
+#: Entries kept of each of the two caches of a worker. Results don't depend on it.
+CACHE = 800_000
 _LOW = np.uint64(1 << 31)
 _WORD = np.uint64(32)
 
@@ -169,35 +171,37 @@ class WordIds:
         self.tokenizer.no_padding()
         self.tokenizer.no_truncation()
         self.model = self.tokenizer.model
-        self.known: dict[str, bytes] = {"": b""}
+        self.stretches, self.cores = texts.Cache(CACHE), texts.Cache(CACHE)
         self.shown = {b: s for b, s in byte_symbols().items()}
 
-    def _model(self, piece: str) -> list[int]:
-        return [t.id for t in self.model.tokenize(piece.encode().decode("latin-1").translate(self.shown))]
+    def _model(self, piece: str) -> bytes:
+        """Ids of letters, or of marks, in lower case; kept, as a word comes with various marks."""
+        found = self.cores.young.get(piece) or self.cores.get(piece)
+        if found is None:
+            if not piece.isascii():
+                shown = piece.encode().decode("latin-1").translate(self.shown)
+            else:
+                shown = piece
+            found = array("I", [t.id for t in self.model.tokenize(shown)]).tobytes()
+            self.cores.put(piece, found)
+        return found
 
     def _stretch(self, w: str) -> bytes:
         core = w.rstrip(",.")
-        if core.isalpha() and core[-1] <= "\xff" and max(core) <= "\xff":
-            ids = self._model(core.lower()) + (self._model(w[len(core):]) if len(core) < len(w) else [])
+        if core.isalpha() and (core.isascii() or max(core) <= "\xff"):
+            found = self._model(core.lower())
+            if len(core) < len(w):
+                found += self._model(w[len(core):])
         else:
-            ids = self.tokenizer.encode(w, add_special_tokens=False).ids
-        return np.array(ids, dtype="<u4").tobytes()
+            found = array("I", self.tokenizer.encode(w, add_special_tokens=False).ids).tobytes()
+        if len(w) <= 64:
+            self.stretches.put(w, found)
+        return found
 
     def ids(self, text: str) -> bytes:
         """Little-endian 32-bit ids of a text."""
-        known = self.known
-        out = []
-        for w in text.replace("\n", " ").split(" "):
-            found = known.get(w)
-            if found is None:
-                found = self._stretch(w)
-                if len(known) >= CACHE:
-                    known.clear()
-                    known[""] = b""
-                if len(w) <= 64:
-                    known[w] = found
-            out.append(found)
-        return b"".join(out)
+        known, older, make = self.stretches.young.get, self.stretches.get, self._stretch
+        return b"".join([known(w) or older(w) or make(w) for w in text.replace("\n", " ").split(" ") if w])
 
 
 @functools.lru_cache(maxsize=2)

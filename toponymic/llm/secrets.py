@@ -4,7 +4,7 @@ Three patterns label strings for certain: values assigned to a secret's name, ac
 keys, and long runs of hexadecimal digits. They are also the labelled samples of random
 strings: a first-order Markov model of characters is trained on the matches of each
 pattern, beside one of uniformly random letters and digits; everything else in the
-corpus, but for the runs in question, trains the model of ordinary identifiers. All are counted over all documents (a
+corpus trains the model of ordinary identifiers. All are counted over all documents (a
 table of 69 x 69 counts for each model leaves the executors). A run of 16 or more
 identifier characters with a letter and a digit, outside the pattern spans, is a secret
 when its log-likelihood ratio, the best of the random models (which weigh the same)
@@ -80,9 +80,6 @@ def _count(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
                     tables[kind] += _transitions(text[value:end].encode())
                     text = text[:start] + " " * (end - start) + text[end:]
                 raw = text.encode("utf-8", "surrogatepass")
-            if b"x" * MIN_RUN in raw.translate(_RUN_MARK):          # runs in question are no labelled samples
-                text = _RUN.sub(lambda m: " " if _MIXED.match(m.group()) else m.group(), text)
-                raw = text.encode("utf-8", "surrogatepass")
             tables[-1] += _transitions(raw)
     for model, counts in enumerate(tables):
         at = np.flatnonzero(counts)

@@ -33,6 +33,27 @@ def utf8(column: pa.Array) -> list[bytes]:
     return [x if x is not None else b"" for x in column.cast(pa.large_binary()).to_pylist()]
 
 
+class Cache:
+    """A bounded cache in two generations: when the young one is full it becomes the old
+    one, and what is used again moves back, so frequent entries stay."""
+
+    def __init__(self, size: int):
+        self.size, self.young, self.old = max(1, size // 2), {}, {}
+
+    def get(self, key):
+        """For keys that ``young`` lacks: the value from the old generation, or None."""
+        found = self.old.get(key)
+        if found is not None:
+            self.put(key, found)
+        return found
+
+    def put(self, key, value) -> None:
+        if len(self.young) >= self.size:
+            self.old = dict(self.young)
+            self.young.clear()          # stays the same object, so a reader may hold its get
+        self.young[key] = value
+
+
 def chunks(lengths: list[int], most: int = CHUNK_BYTES) -> Iterator[tuple[int, int]]:
     """Consecutive index ranges whose lengths add up to ``most`` at most, or single items."""
     lo = total = 0
