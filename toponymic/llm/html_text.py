@@ -35,6 +35,7 @@ BLOCK = frozenset("address article aside blockquote body center dd details dialo
                   "figure footer form h1 h2 h3 h4 h5 h6 header hgroup hr html legend li main menu nav ol optgroup option "
                   "p pre search section summary ul table caption thead tbody tfoot tr xmp".split())
 SPACED = frozenset("p h1 h2 h3 h4 h5 h6 ul ol dl blockquote pre table figure dir menu".split())
+HEADINGS = frozenset("h1 h2 h3 h4 h5 h6".split())
 LISTS = frozenset("ul ol menu dir".split())
 _ENDS_P = BLOCK - {"body", "html", "caption", "thead", "tbody", "tfoot", "tr", "legend", "option", "optgroup"}
 #: Start tag -> open elements that it ends, and the elements beyond which none is looked for.
@@ -154,8 +155,7 @@ def build(page: str) -> Node:
                 open_("tr", {})
             elif value == "tr" and stack[-1].tag == "table":
                 open_("tbody", {})
-            if value[0] == "h" and value in ("h1", "h2", "h3", "h4", "h5", "h6") and stack[-1].tag in (
-                    "h1", "h2", "h3", "h4", "h5", "h6"):
+            if value in HEADINGS and stack[-1].tag in HEADINGS:
                 stack.pop()
             open_(value, attrs)
         else:
@@ -165,6 +165,8 @@ def build(page: str) -> Node:
             if value == "p" and not any(x.tag == "p" for x in stack):
                 stack[-1].children.append(Node("p", {}))
                 continue
+            if value in HEADINGS:                             # ends whichever heading is open
+                value = next((x.tag for x in reversed(stack) if x.tag in HEADINGS), value)
             beyond = {"table"} if value in ("tr", "td", "th", "thead", "tbody", "tfoot") else \
                 () if value in ("table", "body", "html", "div", "article", "section", "main") else _SCOPE
             for i in range(len(stack) - 1, 0, -1):
