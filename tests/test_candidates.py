@@ -137,3 +137,39 @@ def test_candidates_with_join_gate_equal_in_row_gate(spark, monkeypatch):
     assert gaz.lookup is None
     joined = sorted(map(key, match_corpus(docs, gaz, on="noun_phrases").collect()))
     assert joined == in_row and len(in_row) >= 4
+
+
+def test_lexicon_of_any_size(spark):
+    """50,000 entries take the join path and give what a literal lexicon gives."""
+    from toponymic.operators.candidates import candidate_docs, candidates_long, token_arrays, tokens_long
+    from toponymic.plans.jobs import match_corpus
+    docs = docs_df(spark, ["Kenya: the zebra town Nairobi area. Runs", "Uganda fort zebra", ""]).withColumn("journal", F.lit("j"))
+    small = [("zebra", "JJ"), ("zebra", "VB"), ("Runs", "VB"), (None, "NN")]
+    big = small + [(f"x{i}", "VB") for i in range(50_000)]
+    schema = "token string, tag string"
+    lex, large = spark.createDataFrame(small, schema), spark.createDataFrame(big, schema)
+    rows = lambda df: sorted(map(tuple, df.collect()))     # noqa: E731
+    tok = token_arrays(docs)
+    tags = rows(tokens_long(tok, lexicon=lex))
+    assert ("zebra", "JJ") in {(r[2], r[3]) for r in tags}     # the smallest tag of a repeated token
+    assert rows(tokens_long(tok, lexicon=large)) == tags
+    assert rows(tokens_long(tok, lexicon=dict(large.dropna().collect()))) != []
+    gaz = gazetteer(spark)
+    for on in ("noun_phrases", "entities"):
+        a, b = (match_corpus(docs, gaz, on=on, lexicon=x, keep=("journal",)) for x in (lex, large))
+        assert rows(a.select("doc_id", "cand_id", "row_index", "journal")) == rows(b.select("doc_id", "cand_id", "row_index", "journal")) != []
+    assert candidates_long(candidate_docs(tok, lexicon=lex)).count() > 0
+
+
+def test_supplied_tags_end_to_end(spark):
+    from toponymic.plans.jobs import match_corpus
+    gaz = gazetteer(spark)
+    tagged = spark.createDataFrame(
+        [(1, 0, "Kenya", "XX", True), (1, 1, "saw", "VB", False), (1, 2, "Nairobi", "XX", True), (2, 0, "Nairobi", "NN", False)],
+        "doc_id long, pos int, token string, tag string, place boolean")
+    docs = spark.createDataFrame([(1, "a"), (2, "b")], "doc_id long, journal string")
+    got = match_corpus(docs, gaz, on="entities", tagged=tagged, entity_col="place", keep=("journal",)).collect()
+    assert [(r.doc_id, r.cand_id, r.row_index, r.journal) for r in got] == [(1, 2, 0, "a")]
+    assert match_corpus(None, gaz, on="noun_phrases", tagged=tagged).collect() == []
+    with pytest.raises(ValueError):
+        match_corpus(docs, gaz, on="text", tagged=tagged)

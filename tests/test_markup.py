@@ -1,14 +1,12 @@
 """Metadata and tag text extraction: FIXTURES cases 12-17 and the paragraph rules."""
 
 import pytest
-from pyspark.sql import functions as F
 
-from toponymic.functions import markup
+from toponymic.operators.article_markup import article_fields, element_text, with_article_fields, with_tag_text
 
 
 def meta_of(spark, xml):
-    df = spark.createDataFrame([(xml,)], "markup string")
-    return df.select(markup.article_meta(F.col("markup")).alias("m")).collect()[0].m.asDict()
+    return article_fields(xml)[1]
 
 
 def test_year_and_pub_type(spark):                                       # 12
@@ -43,11 +41,39 @@ def test_doctype_and_unclosed_p(spark):                                  # 17
     xml = ('<!DOCTYPE article PUBLIC "-//NLM//DTD v3.0//EN" "journalpublishing3.dtd">'
            '<article><front><pub-date pub-type="epub"><year> 1999 </year></pub-date></front>'
            "<body><p>One <b>bold</b><p>Two</body></article>")
-    df = spark.createDataFrame([(xml,)], "markup string")
-    row = df.select(markup.article_meta(F.col("markup")).alias("m"),
-                    markup.tag_text("markup").alias("t")).collect()[0]
-    assert row.m.year == 1999
-    assert row.t == "One bold\n\nTwo\n\n"
+    df = spark.createDataFrame([(1, xml), (2, None)], "k int, markup string")
+    rows = {r.k: r for r in with_article_fields(df, "markup").collect()}
+    assert rows[1].meta.year == 1999
+    assert rows[1].text == "One bold\n\nTwo\n\n"
+    assert rows[2].text is None and rows[2].meta.year is None
+
+
+@pytest.mark.parametrize("front, want", [
+    ("<!-- <journal-title>Old</journal-title> --><journal-title>New</journal-title>", {"journal": "New"}),
+    ("<article-id pub-id-type='doi'/><article-id pub-id-type='pmid'>5</article-id>", {"doi": None, "pmid": "5"}),
+    ("<article-id x-pub-id-type='doi'>7</article-id>", {"doi": None}),
+    ("<pub-date pub-type=\"e'pub\"><year>2001</year></pub-date>", {"year": 2001, "pub_type": "e'pub"}),
+    ("<journal-title>S&#x000E3;o &eacute; &#233;</journal-title>", {"journal": "São é é"}),
+    ("<pub-date pub-type='x'><year>MMI</year></pub-date>", {"year": None, "pub_type": None}),
+    ("<journal-title></journal-title>", {"journal": None}),
+])
+def test_traps_in_front(spark, front, want):
+    meta = meta_of(spark, f"<article><front>{front}</front><back><journal-title>no</journal-title></back></article>")
+    assert {k: meta[k] for k in want} == want
+
+
+@pytest.mark.parametrize("markup, want", [
+    ("<p>A <list><list-item><p>B</p></list-item></list> then Nairobi, Kenya</p>", "A B then Nairobi, Kenya\n\nB\n\n"),
+    ("<p>a <table><tr><td>x</td></tr></table> after</p>", "a x after\n\n"),
+    ("<p>S&#x000E3;o Paulo, &#233;&eacute; &amp;lt;</p>", "São Paulo, éé &lt;\n\n"),
+    ("<p>open <b>x<p>two</p></b>", "open x\n\ntwo\n\n"),
+    ("<p>One <ul><li>a<li>b</ul>more", "One \n\n"),
+    ("<p>a <b>b</p> c</b> <p>d", "a b\n\nd\n\n"),
+    ("<p>x<![CDATA[ <y> ]]></p>", "x <y> \n\n"),
+    ("<p a='>'>q</p>", "q\n\n"),
+])
+def test_paragraphs_keep_all_their_text(markup, want):
+    assert element_text(markup) == want
 
 
 @pytest.mark.parametrize("html, expected", [
@@ -60,23 +86,21 @@ def test_doctype_and_unclosed_p(spark):                                  # 17
 ])
 def test_tag_text(spark, html, expected):
     df = spark.createDataFrame([(html,)], "html string")
-    assert df.select(markup.tag_text("html", "p").alias("t")).collect()[0].t == expected
+    assert with_tag_text(df, "html", "p", "t").collect()[0].t == expected
 
 
 def test_tag_text_other_tag(spark):
     df = spark.createDataFrame([("<h1>T</h1><p>x</p><h1>U",)], "html string")
-    assert df.select(markup.tag_text("html", "h1").alias("t")).collect()[0].t == "T\n\nU\n\n"
+    assert with_tag_text(df, "html", "h1", "t").collect()[0].t == "T\n\nU\n\n"
 
 
 def test_nested_tag_text(spark):
-    from toponymic.operators.nested_markup import element_text, nested_tag_text
     html = ('<div class="a">Outer <div>inner &amp; more</div> tail<script>var d="<div>x</div>";</script>'
             "</div><div>second<!-- c --></div><DIV>open")
     want = "Outer inner & more tail\n\ninner & more\n\nsecond\n\nopen\n\n"
     assert element_text(html, "div") == want
     df = spark.createDataFrame([(1, html), (2, None), (3, "<p>no divs</p>")], "page_id long, html string")
-    got = {r.page_id: r.text for r in nested_tag_text(df, "html", "div").collect()}
+    got = {r.page_id: r.text for r in with_tag_text(df, "html", "div").collect()}
     assert got == {1: want, 2: None, 3: ""}
-    # for paragraphs both extractions agree on well-formed markup
     p = "<p>a <b>b</b></p><p>c</p>"
     assert element_text(p, "p") == "a b\n\nc\n\n"

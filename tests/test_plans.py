@@ -5,14 +5,14 @@ import re
 
 import pytest
 
-import __spark_entry__ as E
+from toponymic.plans.queries import ORACLES, QUERIES
 
 SF = "/root/testdata/sf0.001"
 pytestmark = pytest.mark.skipif(not os.path.isdir(SF), reason="driver tables not present")
 
 
 def plan_of(spark, name):
-    df = E.queries()[name](spark, SF)
+    df = QUERIES[name](spark, SF)
     return df._jdf.queryExecution().executedPlan().toString()
 
 
@@ -54,3 +54,14 @@ def test_tag_test_stays_on_the_gazetteer_side(spark):
     plan = plan_of(spark, "token_exact_match")
     token_side = plan.split("BroadcastExchange")[0]
     assert "RLIKE" not in token_side
+
+
+@pytest.mark.parametrize("name, array", [("place_match", "words"), ("candidate_place_match", "spans"), ("ngram_match", "toks")])
+def test_the_gate_comes_before_the_explode(spark, name, array):
+    """Units without a country lose their array in the generator's input, and texts are tokenized once."""
+    plan = QUERIES[name](spark, SF)._jdf.queryExecution().optimizedPlan().toString()
+    generators = re.findall(r"Generate (?:pos)?explode\((.*?)\), ", plan)
+    assert any("size(isos" in g or "CASE WHEN" in g for g in generators) or re.search(r"CASE WHEN \(size\(isos", plan)
+    text = re.search(r"\(text#(\d+)|\btext#(\d+)", next(x for x in reversed(plan.split("\n")) if "doc_id#" in x and "Relation" in x))
+    ident = text.group(1) or text.group(2)
+    assert len(re.findall(rf"regexp_extract_all\(text#{ident}\b", plan)) <= (2 if name == "ngram_match" else 1)

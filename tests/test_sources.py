@@ -3,12 +3,14 @@
 import glob
 import os
 
+import pytest
+
 from fixtures import gazetteer
 from toponymic.operators.report import export_matches
 from toponymic.plans.jobs import match_corpus
 from toponymic.sources.articles import META_FIELDS, article_docs, read_articles
 from toponymic.sources.gazetteer import PLACES_SCHEMA, load_inputs, read_countries, read_places
-from toponymic.sources.sinks import write_csv
+from toponymic.sources.sinks import read_csv, write_csv
 from toponymic.streaming.chunked import run_chunked
 
 ARTICLE = ('<!DOCTYPE article PUBLIC "-//NLM//DTD v3.0//EN" "journalpublishing3.dtd"><article><front>'
@@ -128,6 +130,7 @@ def test_command_line_job(spark, scratch):
     assert (chunked["articles_processed"], chunked["total_matches"], len(chunked["outputs"])) == (5, 3, 3)
     sliced = run(spark, parse_args(common + ["--out", f"{scratch}/out3", "--slice", "1:2"]))   # x1, x2
     assert (sliced["articles_processed"], sliced["total_matches"]) == (2, 0)
+    assert (sliced["articles_total"], sliced["percent_complete"]) == (5, 40.0)
 
 
 def test_countries_reader_short_lines(spark, scratch):
@@ -139,7 +142,7 @@ def test_countries_reader_short_lines(spark, scratch):
 def test_article_docs_nested_tags(spark, scratch):
     write(f"{scratch}/arts/a.nxml", "<article><front><journal-title>J</journal-title></front>"
                                     "<body><sec>Kenya <sec>Nairobi</sec></sec></body></article>")
-    rows = article_docs(read_articles(spark, f"{scratch}/arts"), tag="sec", nested=True).collect()
+    rows = article_docs(read_articles(spark, f"{scratch}/arts"), tag="sec").collect()
     assert [(r.text, r.journal) for r in rows] == [("Kenya Nairobi\n\nNairobi\n\n", "J")]
 
 
@@ -150,5 +153,48 @@ def test_stream_resume_skips_committed_chunks(spark, scratch):
     assert first.articles_processed == 5
     write(f"{scratch}/arts/new/x9.nxml", ARTICLE.format(i=9, text="Kenya: Nairobi"))
     again = run_chunked(spark, f"{scratch}/arts", gaz, f"{scratch}/out", files_per_chunk=2, run_id="r1")
-    assert (again.articles_processed, again.total_matches, len(again.chunks)) == (1, 1, 1)
-    assert again.chunks[0].endswith("run=r1/chunk=4")
+    assert [c.rpartition("/")[2] for c in again.new_chunks] == ["chunk=4"]
+    # totals cover the whole run, the chunks of the first call included
+    assert (again.articles_processed, again.total_matches) == (6, first.total_matches + 1)
+    assert len(again.chunks) == 4 and again.percent_complete == 100.0
+    finished = run_chunked(spark, f"{scratch}/arts", gaz, f"{scratch}/out", files_per_chunk=2, run_id="r1")
+    assert finished.new_chunks == [] and finished.articles_processed == 6
+
+
+def test_stream_takes_files_of_any_age(spark, scratch):
+    make_corpus(f"{scratch}/arts")
+    gaz = gazetteer(spark)
+    run_chunked(spark, f"{scratch}/arts", gaz, f"{scratch}/out", run_id="old")
+    write(f"{scratch}/arts/new/x9.nxml", ARTICLE.format(i=9, text="Kenya: Nairobi"))
+    os.utime(f"{scratch}/arts/new/x9.nxml", (1e9, 1e9))
+    again = run_chunked(spark, f"{scratch}/arts", gaz, f"{scratch}/out", run_id="old")
+    assert again.articles_processed == 6 and len(again.new_chunks) == 1
+
+
+def test_a_run_id_belongs_to_one_input_and_output(spark, scratch):
+    make_corpus(f"{scratch}/arts")
+    make_corpus(f"{scratch}/arts2")
+    gaz = gazetteer(spark)
+    run_chunked(spark, f"{scratch}/arts", gaz, f"{scratch}/out", run_id="mine")
+    for root, out in (("arts", "out2"), ("arts2", "out")):
+        with pytest.raises(ValueError):
+            run_chunked(spark, f"{scratch}/{root}", gaz, f"{scratch}/{out}", run_id="mine")
+
+
+def test_totals_with_line_breaks_and_quotes(spark, scratch):
+    from toponymic.plans.run import parse_args, run
+    odd = ARTICLE.replace("J{i}", ' "J{i}",\nnew line ')
+    for i, text in enumerate(TEXTS[:2]):
+        write(f"{scratch}/arts/x{i}.nxml", odd.format(i=i, text=text))
+    write(f"{scratch}/geo/cities.txt", "\n".join(PLACE_LINES) + "\n")
+    write(f"{scratch}/geo/countryInfo.txt", "#ISO\tCountry\nKE\tKenya\nNA\tNamibia\nUG\tUganda\n")
+    common = ["--articles", f"{scratch}/arts", "--places", f"{scratch}/geo/cities.txt",
+              "--countries", f"{scratch}/geo/countryInfo.txt"]
+    for i, extra in enumerate(([], ["--chunk", "1"])):
+        t = run(spark, parse_args(common + ["--out", f"{scratch}/out{i}", *extra]))
+        assert (t["articles_total"], t["articles_processed"], t["articles_with_match"], t["total_matches"]) == (2, 2, 1, 1)
+        assert t["percent_complete"] == 100.0
+        schema = "doc_id string, geonameid long, name string, asciiname string, latitude double, longitude double, " \
+                 "population long, year int, pub_type string, journal string, doi string, pmid string, row_index long"
+        rows = [r for p in t["outputs"] for r in read_csv(spark, p, schema).collect()]
+        assert [(r.journal, r.name) for r in rows] == [(' "J0",\nnew line ', "Nairobi")]

@@ -1,15 +1,8 @@
-"""Lenient markup extraction with built-in regex expressions.
+"""Page fields cut out of markup with built-in regex expressions.
 
-``xpath`` fails the whole job on one malformed row or on a DOCTYPE naming an external DTD,
-and journal articles and web pages carry both, so elements are cut out with regular
-expressions instead. The rules (what we define, close to an HTML parser):
-
-* ``<script>``, ``<style>`` and comments are removed first (a script may hold ``"</p>"``);
-* an element of ``tag`` starts at ``<tag>`` or ``<tag attr...>`` (case-insensitive) and
-  ends at the first ``</tag>``, the next block-level tag, or the end of the document;
-* its text is the content with inner tags removed and the common entities decoded.
-
-Every pattern avoids look-arounds so the SQL oracle can use the same text in RE2.
+Articles and paragraph text are parsed (``operators.article_markup``); these column
+expressions read single elements and attributes of pages (title, language, heading). The
+patterns avoid look-arounds so the SQL oracle can use the same text in RE2.
 """
 
 from __future__ import annotations
@@ -30,7 +23,6 @@ ENTITIES = [("&lt;", "<"), ("&gt;", ">"), ("&quot;", '"'), ("&#39;", "'"), ("&ap
 
 NOISE = r"(?is)<script(\s[^>]*)?>.*?</script\s*>|<style(\s[^>]*)?>.*?</style\s*>|<!--.*?-->"
 ANY_TAG = r"<[^>]*>"
-SENTINEL = "\u0001"
 
 
 def open_tag(tag: str) -> str:
@@ -49,7 +41,8 @@ def element_pattern(tag: str) -> str:
 
 
 def attribute_pattern(attr: str) -> str:
-    return rf"""(?is)(^|\s){attr}\s*=\s*["']([^"']*)["']"""
+    """Group 2: the value with its quotes (either mark may stand inside the other)."""
+    return rf"""(?is)(^|\s){attr}\s*=\s*("[^"]*"|'[^']*')"""
 
 
 def decode_entities(s: Column) -> Column:
@@ -62,21 +55,6 @@ def inner_text(fragment: Column) -> Column:
     return decode_entities(F.regexp_replace(fragment, ANY_TAG, ""))
 
 
-def strip_noise(markup: str | Column) -> Column:
-    return F.regexp_replace(col_of(markup), NOISE, "")
-
-
-def tag_text(markup: str | Column, tag: str = "p") -> Column:
-    """Text of every ``tag`` element in document order, each followed by two newlines;
-    ``''`` when there is none (P2)."""
-    marked = F.regexp_replace(strip_noise(markup), open_tag(tag), SENTINEL)
-    parts = F.split(marked, SENTINEL)
-    elements = F.slice(parts, 2, F.greatest(F.size(parts) - 1, F.lit(0)))
-    texts = F.transform(elements, lambda f: F.concat(
-        inner_text(F.regexp_replace(f, cut_after(tag), "")), F.lit("\n\n")))
-    return F.array_join(texts, "")
-
-
 def first_element(markup: str | Column, tag: str) -> Column:
     """The first ``tag`` element (whole match), or null when absent."""
     m = F.regexp_extract(col_of(markup), element_pattern(tag), 0)
@@ -99,39 +77,11 @@ def start_tag_attrs(markup: str | Column, tag: str) -> Column:
 
 def attribute(attrs: Column, attr: str) -> Column:
     """Value of ``attr`` in an attribute string, or null."""
-    m = F.regexp_extract(attrs, attribute_pattern(attr), 0)
-    return F.when(m != "", F.regexp_extract(attrs, attribute_pattern(attr), 2))
+    quoted = F.regexp_extract(attrs, attribute_pattern(attr), 2)
+    return F.when(quoted != "", F.substring(quoted, 2, F.length(quoted) - 2))
 
 
 def first_text(markup: str | Column, tag: str) -> Column:
     """Text of the first ``tag`` element, or null when there is none."""
     el = first_element(markup, tag)
     return F.when(el.isNotNull(), inner_text(element_content(el, tag)))
-
-
-def first_with_attribute(markup: str | Column, tag: str, attr: str, value: str) -> Column:
-    """Text of the first ``tag`` element whose ``attr`` equals ``value``, or null."""
-    pat = rf"""(?is)<{tag}\s[^>]*{attr}\s*=\s*["']{value}["'][^>]*>(.*?)(</{tag}\s*>|\z)"""
-    m = F.regexp_extract(col_of(markup), pat, 0)
-    return F.when(m != "", inner_text(F.regexp_extract(col_of(markup), pat, 1)))
-
-
-def article_meta(markup: str | Column) -> Column:
-    """struct(year int, pub_type string, journal string, doi string, pmid string) (P1a-d).
-
-    All fields are read inside the first ``front`` element. ``year`` and ``pub_type`` come
-    from the first ``pub-date`` and are all-or-nothing: both null unless both exist.
-    """
-    front = element_content(first_element(markup, "front"), "front")
-    pub_date = first_element(front, "pub-date")
-    # int() of the year text: blanks trimmed, anything else non-numeric gives null
-    year_val = first_text(element_content(pub_date, "pub-date"), "year").try_cast("int")
-    pub_type = attribute(element_attrs(pub_date, "pub-date"), "pub-type")
-    both = year_val.isNotNull() & pub_type.isNotNull()
-    return F.struct(
-        F.when(both, year_val).alias("year"),
-        F.when(both, pub_type).alias("pub_type"),
-        first_text(front, "journal-title").alias("journal"),
-        first_with_attribute(front, "article-id", "pub-id-type", "doi").alias("doi"),
-        first_with_attribute(front, "article-id", "pub-id-type", "pmid").alias("pmid"),
-    )

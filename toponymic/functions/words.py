@@ -38,11 +38,6 @@ def distinct_word_runs(text: str | Column) -> Column:
     return F.array_distinct(word_runs(text))
 
 
-def tokens(text: str | Column) -> Column:
-    """Word runs and single non-space marks, in order (array<string>)."""
-    return F.regexp_extract_all(col_of(text), F.lit(TOKEN), 0)
-
-
 def escape_regex(name: str | Column) -> Column:
     return F.regexp_replace(col_of(name), _META, r"\\$1")
 

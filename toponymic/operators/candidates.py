@@ -12,55 +12,63 @@ numbers the phrases, and each phrase is assembled from its own (short) token gro
 
 from __future__ import annotations
 
-from pyspark.sql import Column, DataFrame, Window
+from pyspark.sql import Column, DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
 from toponymic.functions.text import (entity_phrases, noun_phrases, span_cand_id, span_phrase, strip_parens,
-                                      tag_array, tag_class, tag_rule, token_array)
-from toponymic.operators.names import MAX_LITERAL_NAMES, collect_bounded
+                                      tag_class, tag_rule, token_array)
+from toponymic.operators.names import MAX_LITERAL_NAMES, broadcast_if_bounded, collect_bounded
 
 KINDS = ("noun_phrases", "entities")
 
 
+def lexicon_table(lexicon: DataFrame | dict, spark: SparkSession | None = None) -> DataFrame:
+    """(token, tag): one row per token, the smallest of its tags; null tokens are left out."""
+    if isinstance(lexicon, dict):
+        lexicon = (spark or SparkSession.getActiveSession()).createDataFrame(list(lexicon.items()), "token string, tag string")
+    return lexicon.where(F.col("token").isNotNull()).groupBy("token").agg(F.min("tag").alias("tag"))
+
+
 def lexicon_map(lexicon: DataFrame | dict | None) -> Column | None:
-    """A bounded (token -> tag) lexicon as a map literal, checked before the rules."""
-    if lexicon is None:
-        return None
+    """A lexicon as a map literal, checked before the rules; None without one. Raises
+    ``LexiconTooLarge`` above ``MAX_LITERAL_NAMES`` entries, where callers join instead."""
     if isinstance(lexicon, DataFrame):
-        rows = collect_bounded(lexicon.select("token", "tag"), MAX_LITERAL_NAMES)
+        rows = collect_bounded(lexicon_table(lexicon), MAX_LITERAL_NAMES)
         if rows is None:
-            raise ValueError(f"lexicon above {MAX_LITERAL_NAMES} entries: supply tags as a column instead")
+            raise LexiconTooLarge
         lexicon = {r["token"]: r["tag"] for r in rows}
+    elif lexicon and len(lexicon) > MAX_LITERAL_NAMES:
+        raise LexiconTooLarge
     if not lexicon:
         return None
     keys, vals = zip(*sorted(lexicon.items()))
     return F.map_from_arrays(F.array(*[F.lit(k) for k in keys]), F.array(*[F.lit(v) for v in vals]))
 
 
-def tokenize(docs: DataFrame, text_col: str = "text", key: str = "doc_id", strip: bool = True,
-             lexicon: DataFrame | dict | None = None, carry: tuple[str, ...] = ()) -> DataFrame:
-    """One row per document: doc_id, the ``carry`` columns, tokens, tags.
+class LexiconTooLarge(ValueError):
+    """The lexicon can't be inlined; tags come from a join."""
 
-    ``strip`` applies the parenthesis strip (the candidate scripts do; the exact-token
-    scratch job does not).
-    """
-    text = strip_parens(text_col) if strip else F.col(text_col)
-    lex = lexicon_map(lexicon)
-    return (docs.select(F.col(key).alias("doc_id"), *carry, token_array(text).alias("tokens"))
-                .select("doc_id", *carry, "tokens", tag_array(F.col("tokens"), lex).alias("tags")))
+
+def tag_tokens(tokens: DataFrame, lexicon: DataFrame | dict | None = None) -> DataFrame:
+    """Adds ``tag`` to a table with ``token``: from the lexicon, of any size, else by rule."""
+    try:
+        return tokens.select("*", tag_rule(F.col("token"), lexicon_map(lexicon)).alias("tag"))
+    except LexiconTooLarge:
+        known = lexicon_table(lexicon, tokens.sparkSession).withColumnRenamed("tag", "__tag")
+        return (tokens.join(broadcast_if_bounded(known), "token", "left")
+                      .select(*tokens.columns, F.coalesce(F.col("__tag"), tag_rule(F.col("token"), None)).alias("tag")))
 
 
 def tokens_long(tok: DataFrame, with_tags: bool = True, lexicon: DataFrame | dict | None = None) -> DataFrame:
     """doc_id, pos (long, 0-based), token[, tag] – one row per token occurrence.
 
-    The tag is computed after the explode, as a plain (code-generated) column.
+    The tag is computed after the explode, as a plain (code-generated) column, or joined
+    where the lexicon is large.
     """
     out = (tok.select("doc_id", F.posexplode_outer("tokens").alias("pos", "token"))
               .where(F.col("token").isNotNull())
               .select("doc_id", F.col("pos").cast("long").alias("pos"), "token"))
-    if with_tags:
-        out = out.select("*", tag_rule(F.col("token"), lexicon_map(lexicon)).alias("tag"))
-    return out
+    return tag_tokens(out, lexicon) if with_tags else out
 
 
 def token_arrays(docs: DataFrame, text_col: str = "text", key: str = "doc_id", strip: bool = True,
@@ -75,8 +83,9 @@ def candidate_docs(tok: DataFrame, kind: str = "noun_phrases", carry: tuple[str,
     """One row per document: doc_id, the ``carry`` columns and ``spans`` (array<string>,
     the chunker's coded spans; see ``functions.text.chunk_spans``).
 
-    ``tok`` needs ``tokens`` (from ``token_arrays`` or ``tokenize``); the tag class of each
-    token is computed in the same pass that codes the tag string.
+    ``tok`` needs ``tokens`` (from ``token_arrays``); the tag class of each token is
+    computed in the same pass that codes the tag string. The lexicon must fit a literal
+    (``LexiconTooLarge``); ``plans.jobs`` takes the long path for a larger one.
     """
     if kind not in KINDS:
         raise ValueError(f"kind must be one of {KINDS}")

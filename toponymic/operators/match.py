@@ -12,7 +12,11 @@ Plan of the full-text match, per document row and in one stage (no shuffle):
 4. The gate (``array_contains(isos, countrycode)``) and the exactness check for
    multi-word names (second word run among the row's words, then the name as a
    substring, then the boundary regex) are the join condition, evaluated while the text
-   is still in the row; the text is never shuffled or joined back.
+   is still in the row. Units without a country are not exploded at all.
+
+Above the broadcast bound only ``(unit, token, isos)`` rows are shuffled on the token. Names
+of one run are settled there; for the others the candidates ``(unit, place)`` meet each
+text once, by the unit's key, so no text is ever copied for its tokens.
 
 A country table above the literal bound falls back to row-wise country hits and a
 semi-join on ``(doc_id, iso)``, which the planner shuffles on both keys.
@@ -173,7 +177,8 @@ class Gazetteer:
     def text_units(self, docs: DataFrame, text_col: str = "text", key: str = "doc_id",
                    carry: tuple[str, ...] = ()) -> DataFrame:
         """One row per document: doc_id, text, words, (when inlined) isos, and the
-        ``carry`` columns (document metadata that rides along to the matches)."""
+        ``carry`` columns (document metadata that rides along to the matches). ``key`` tells
+        the units of one gate apart; where it takes several columns, pass a struct of them."""
         base = docs.select(F.col(key).alias("doc_id"), F.col(text_col).alias("text"), *carry)
         base = base.select("doc_id", "text", *carry, distinct_word_runs("text").alias("words"))
         if self.lookup is not None:
@@ -195,11 +200,14 @@ class Gazetteer:
         return per_doc
 
     @staticmethod
-    def candidate_units(per_doc: DataFrame, keep: tuple[str, ...] = ()) -> DataFrame:
+    def candidate_units(per_doc: DataFrame, keep: tuple[str, ...] = (), gate: bool = False) -> DataFrame:
         """One row per phrase: doc_id, cand_id, text (the phrase), words[, isos], keep.
-        Spans are decoded after the explode, in generated code."""
-        cols = ["doc_id", *keep] + (["isos"] if "isos" in per_doc.columns else [])
-        units = (per_doc.select(*cols, F.explode_outer("spans").alias("s"))
+        Spans are decoded after the explode, in generated code. With ``gate`` the phrases
+        of a document without any country are left out before the explode."""
+        inline = "isos" in per_doc.columns
+        cols = ["doc_id", *keep] + (["isos"] if inline else [])
+        spans = F.when(F.size("isos") > 0, F.col("spans")) if gate and inline else F.col("spans")
+        units = (per_doc.select(*cols, F.explode_outer(spans).alias("s"))
                         .where(F.col("s").isNotNull())
                         .select(*cols, span_cand_id(F.col("s")).alias("cand_id"),
                                 span_phrase(F.col("s")).alias("text")))
@@ -236,7 +244,7 @@ class Gazetteer:
         hits = self._hits(units, self._places, gate_col="isos" if inline_gate else None, keep=keep)
         if gate and not inline_gate:
             found = self.countries_in(units).withColumnRenamed("doc_id", "__doc")
-            hits = hits.join(found, (hits.doc_id == found["__doc"]) & (hits.countrycode == found.iso),
+            hits = hits.join(found, hits.doc_id.eqNullSafe(found["__doc"]) & (hits.countrycode == found.iso),
                              "left_semi")
         return hits.select(*keys, *keep, *PLACE_COLS)
 
@@ -262,6 +270,8 @@ class Gazetteer:
         # computed in its own projection: expressions listed next to a generator are
         # evaluated above it, once per exploded row
         per_doc = units.select("doc_id", "text", "isos", "words", admitted.alias("n_admitted"))
+        if not self._places.broadcast:      # the join below would shuffle whole texts
+            return None
         tokens = per_doc.select("doc_id", "text", "isos", "words", "n_admitted",
                                 F.explode_outer("words").alias("__tok"))
         joined = tokens.join(self._places.anchored, (F.col("__tok") == F.col("anchor")) & exact, "left")
@@ -290,13 +300,17 @@ class Gazetteer:
 
         # explode_outer: a plain explode makes the optimizer infer size(words) > 0 and
         # push it below the projection, which would tokenize every text twice; the
-        # null token of an empty array simply finds no join partner.
-        tokens = units.select(*carry, F.explode_outer("words").alias("__tok"))
-        if index.anchor_set is not None:
-            tokens = tokens.join(index.anchor_set, F.col("__tok") == F.col("__key"), "left_semi")
-        out = (tokens.join(index.anchored, F.col("__tok") == F.col("anchor"))
-                     .where(gate(F.col) & exact(F.col))
-                     .select(*keys, *index.payload))
+        # null token of an empty array simply finds no join partner. For the same reason
+        # a unit that the gate leaves without any country loses its words here, in the
+        # generator's input, and not in a filter.
+        words = F.when(F.size(gate_col) > 0, F.col("words")) if gate_col else F.col("words")
+        if index.broadcast:
+            tokens = units.select(*carry, F.explode_outer(words).alias("__tok"))
+            out = (tokens.join(index.anchored, F.col("__tok") == F.col("anchor"))
+                         .where(gate(F.col) & exact(F.col))
+                         .select(*keys, *index.payload))
+        else:
+            out = _shuffled_hits(units, index, words, gate, keys, [gate_col] if gate_col else [])
 
         if index.residual_rows is None:
             # Too many unanchored names to inline: an exact nested-loop theta join.
@@ -314,6 +328,29 @@ class Gazetteer:
         return out
 
 
+def _shuffled_hits(units: DataFrame, index: _Index, words: Column, gate, keys: list[str],
+                   gate_cols: list[str]) -> DataFrame:
+    """Hits when the index is too big to broadcast: tokens are shuffled without their text.
+
+    A unit is known by its keys and a hash of its text, so units that share a key are
+    told apart; units equal in both are one text, and each of them keeps its own tokens.
+    """
+    ids = [k for k in ("doc_id", "cand_id") if k in units.columns] + ["__text"]
+    marked = units.withColumn("__text", F.xxhash64("text"))
+    carried = list(dict.fromkeys(keys + ids + gate_cols))
+    tokens = marked.select(*carried, F.explode_outer(words).alias("__tok"))
+    if index.anchor_set is not None:
+        tokens = tokens.join(index.anchor_set, F.col("__tok") == F.col("__key"), "left_semi")
+    found = tokens.join(index.anchored, F.col("__tok") == F.col("anchor")).where(gate(F.col))
+    settled = found.where(F.col("single")).select(*keys, *index.payload)
+    open_ = found.where(~F.col("single")).select(*carried, "second", "single", "guard", "body", *index.payload)
+    texts = marked.select(*[F.col(i).alias(f"__{i}") for i in ids], "text", "words") \
+                  .dropDuplicates([f"__{i}" for i in ids])
+    same = [F.col(i).eqNullSafe(F.col(f"__{i}")) for i in ids]
+    checked = open_.join(texts, same).where(_exact(F.col))
+    return settled.unionByName(checked.select(*keys, *index.payload))
+
+
 def countries_in_text(docs: DataFrame, gaz: Gazetteer, text_col: str = "text") -> DataFrame:
     return gaz.countries_in(gaz.text_units(docs, text_col))
 

@@ -29,8 +29,6 @@ _SAFE_RUN = r"(?<![\p{L}\p{N}_.])[\p{L}\p{N}_]+(?![\p{L}\p{N}_.])"
 _META_NOT_DOT = r"[\\^$|?*+()\[\]{}]"
 _META_ANY = r"[\\^$.|?*+()\[\]{}]"
 
-INDEX_FIELDS = ["anchor", "second", "single", "guard", "body"]
-
 
 def name_index(names: DataFrame, name_col: str = "name", regex_names: bool = False) -> DataFrame:
     """Add ``anchor``, ``second``, ``single``, ``guard`` and ``body`` to a table of names.
@@ -76,8 +74,8 @@ def boundary(body: Column) -> Column:
 
 
 def _row_bytes(df: DataFrame) -> Column:
-    """Rough size of a row: string lengths plus 8 bytes per other field."""
-    parts = [F.coalesce(F.length(f.name), F.lit(0)) if isinstance(f.dataType, T.StringType) else F.lit(8)
+    """Rough size of a row: bytes of its strings plus 8 per other field."""
+    parts = [F.coalesce(F.octet_length(f.name), F.lit(0)) if isinstance(f.dataType, T.StringType) else F.lit(8)
              for f in df.schema.fields]
     return sum(parts[1:], parts[0]) if parts else F.lit(0)
 

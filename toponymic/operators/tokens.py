@@ -10,8 +10,8 @@ from pyspark import StorageLevel
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from toponymic.functions.text import tag_rule, token_array
-from toponymic.operators.candidates import lexicon_map, token_arrays, tokens_long
+from toponymic.functions.text import token_array
+from toponymic.operators.candidates import tag_tokens, token_arrays, tokens_long
 from toponymic.operators.match import PLACE_COLS, Gazetteer
 from toponymic.operators.names import broadcast_if_bounded
 
@@ -25,7 +25,7 @@ def noun_names(places: DataFrame, lexicon=None) -> DataFrame:
     token through the join key.
     """
     names = places.select(F.col("name").alias("token")).where(F.col("token").isNotNull()).distinct()
-    return (names.select("token", tag_rule(F.col("token"), lexicon_map(lexicon)).alias("tag"))
+    return (tag_tokens(names, lexicon)
                  .where(F.col("tag").startswith("NN"))
                  .persist(StorageLevel.MEMORY_AND_DISK))
 
@@ -61,15 +61,20 @@ def ngram_matches(docs: DataFrame, gaz: Gazetteer, text_col: str = "text", max_n
     Equivalent to generating every n-gram and joining it with the names, but only the
     positions whose token starts some name are looked at: each token position joins the
     names on their first token (broadcast hash join), and the following ``n - 1`` tokens
-    are compared for those hits only. The token array rides along in the row.
+    are compared for those hits only. A position carries the ``max_n`` tokens from it on,
+    never the document's token array, so a shuffle on the token stays narrow; documents
+    without any country are not exploded.
     """
     units = gaz.text_units(docs, text_col)
     gate_cols = [c for c in ["isos"] if c in units.columns]
     toks = units.select("doc_id", *gate_cols, token_array(F.col("text")).alias("toks"))
-    at = toks.select("doc_id", *gate_cols, "toks", F.posexplode_outer("toks").alias("pos", "tok"))
+    worth = F.when(F.size("isos") > 0, F.col("toks")) if gate and gate_cols else F.col("toks")
+    at = toks.select("doc_id", *gate_cols, "toks", F.posexplode_outer(worth).alias("pos", "tok"))
+    gram = F.array(*[F.get(F.col("toks"), F.col("pos") + k) for k in range(max_n)])
+    at = at.select("doc_id", *gate_cols, "pos", "tok", gram.alias("gram"))
     names = broadcast_if_bounded(ngram_names(gaz.places, max_n))
     hits = (at.join(names, F.col("tok") == F.col("first"))
-              .where(F.array_join(F.slice("toks", F.col("pos") + 1, F.col("n")), " ") == F.col("name")))
+              .where(F.array_join(F.slice("gram", 1, F.col("n")), " ") == F.col("name")))
     cols = ["doc_id", F.col("pos").cast("long").alias("pos"), F.col("n").alias("n"), *PLACE_COLS]
     if not gate:
         return hits.select(*cols)

@@ -13,27 +13,46 @@ from __future__ import annotations
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from toponymic.operators.candidates import candidate_docs, token_arrays
+from toponymic.operators.candidates import (LexiconTooLarge, candidate_docs, candidates_from_tagged, token_arrays,
+                                            tokens_long)
 from toponymic.operators.match import Gazetteer
 
 STRATEGIES = ("text", "noun_phrases", "entities")
 
 
-def match_corpus(docs: DataFrame, gaz: Gazetteer, on: str = "text", text_col: str = "text",
+def match_corpus(docs: DataFrame | None, gaz: Gazetteer, on: str = "text", text_col: str = "text",
                  keep: tuple[str, ...] = (), gate: bool = True, lexicon=None,
-                 distinct: bool = False) -> DataFrame:
+                 distinct: bool = False, tagged: DataFrame | None = None,
+                 entity_col: str | None = None) -> DataFrame:
     """Gated place matches: one row per (document[, candidate], place row).
 
     Candidate strategies keep the reference's bag semantics (a place named in two
     phrases is reported twice); ``distinct=True`` reduces them to one row per
     (document, place row), deduplicated map-side before a shuffle on that pair.
+
+    ``tagged`` supplies the tokens and tags of another tagger (doc_id, pos, token, tag) for
+    the candidate strategies, ``entity_col`` a boolean column of it that marks entities;
+    ``docs`` is then only read for the ``keep`` columns. A lexicon too large to inline
+    takes the same path, with tags joined to the tokens.
     """
-    if on == "text":
-        return gaz.places_in(gaz.text_units(docs, text_col, carry=keep), gate=gate, keep=keep)
     if on not in STRATEGIES:
         raise ValueError(f"on must be one of {STRATEGIES}")
-    per_doc = gaz.candidate_docs(candidates(docs, on, text_col, keep, lexicon))
-    found = gaz.places_in(gaz.candidate_units(per_doc, keep), gate=gate, keep=keep)
+    if on == "text":
+        if tagged is not None:
+            raise ValueError("tags serve the candidate strategies only")
+        return gaz.places_in(gaz.text_units(docs, text_col, carry=keep), gate=gate, keep=keep)
+    if tagged is None:
+        try:
+            per_doc = gaz.candidate_docs(candidates(docs, on, text_col, keep, lexicon))
+        except LexiconTooLarge:
+            tagged = tokens_long(token_arrays(docs, text_col), lexicon=lexicon)
+    if tagged is None:
+        found = gaz.places_in(gaz.candidate_units(per_doc, keep, gate), gate=gate, keep=keep)
+    else:
+        found = gaz.places_in(gaz.phrase_units(candidates_from_tagged(tagged, on, entity_col)), gate=gate)
+        if keep:
+            own = docs.select(F.col("doc_id").alias("__doc"), *keep)
+            found = found.join(own, F.col("doc_id").eqNullSafe(F.col("__doc"))).drop("__doc")
     if distinct:
         return found.drop("cand_id").dropDuplicates(["doc_id", "row_index"])
     return found

@@ -33,7 +33,9 @@ place AS (
          CAST(row_index % 360 - 180 AS DOUBLE) AS longitude,
          CAST(length(name) * 1000 + row_index AS BIGINT) AS population,
          'N' || CAST(row_index % 25 AS VARCHAR) AS countrycode
-  FROM pname)"""
+  FROM pname),
+place2 AS (   -- names of two words, with both words, so that a text meets them by its words
+  SELECT *, split_part(name, ' ', 1) AS w1, split_part(name, ' ', 2) AS w2 FROM place WHERE contains(name, ' '))"""
 
 DOC_WORDS = rf"""
 dt AS (SELECT DISTINCT doc_id, unnest(regexp_extract_all(text, '{W}+')) AS tok FROM documents),
@@ -51,8 +53,9 @@ MATCHES = rf"""
 um AS (
   SELECT dt.doc_id, p.* FROM dt JOIN place p ON dt.tok = p.name
   UNION ALL
-  SELECT d.doc_id, p.* FROM documents d JOIN place p
-    ON contains(p.name, ' ') AND contains(d.text, p.name)
+  SELECT d.doc_id, p.* EXCLUDE (w1, w2) FROM dt JOIN place2 p ON dt.tok = p.w1
+  JOIN dt d2 ON d2.doc_id = dt.doc_id AND d2.tok = p.w2
+  JOIN documents d ON d.doc_id = dt.doc_id
   WHERE {boundary_match('d.text', 'p.name')}),
 m AS (SELECT um.* FROM um JOIN hit h ON h.doc_id = um.doc_id AND h.iso = um.countrycode)"""
 

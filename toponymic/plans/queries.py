@@ -18,12 +18,14 @@ from toponymic.functions import markup
 from toponymic.functions import text as textf
 from toponymic.functions.words import whole_word
 from toponymic.operators import report
+from toponymic.operators.article_markup import with_article_fields, with_tag_text
 from toponymic.operators.candidates import candidate_docs, candidates_long, token_arrays, tokens_long
 from toponymic.operators.match import Gazetteer
 from toponymic.operators.names import broadcast_if_bounded
 from toponymic.operators.tokens import exact_token_matches, ngram_matches, noun_names
 from toponymic.plans import oracle as O
 from toponymic.plans.jobs import match_corpus, with_article_meta
+from toponymic.sources.articles import META_FIELDS
 from toponymic.sources.corpus import spread
 from toponymic.sources.fixture import fixture_countries, fixture_places, read_table
 
@@ -108,11 +110,11 @@ def q_country_gate(spark, sf_dir):
     admitted = found.join(broadcast_if_bounded(per_country), "iso") \
                     .select("doc_id", F.col("n").alias("a"), F.lit(0).cast("long").alias("u"),
                             F.lit(0).cast("long").alias("g"))
-    ungated = i.gaz.places_in(units, gate=False, keep=("isos",)) \
-        .select("doc_id", F.lit(0).cast("long").alias("a"), F.lit(1).cast("long").alias("u"),
-                F.array_contains("isos", F.col("countrycode")).cast("long").alias("g"))
-    zeros = i.docs.select("doc_id", *[F.lit(0).cast("long").alias(c) for c in "aug"])
-    return (zeros.unionByName(admitted).unionByName(ungated)
+    one, none = F.lit(1).cast("long"), F.lit(0).cast("long")
+    ungated = i.gaz.places_in(units, gate=False).select("doc_id", none.alias("a"), one.alias("u"), none.alias("g"))
+    gated = i.gaz.places_in(units).select("doc_id", none.alias("a"), none.alias("u"), one.alias("g"))
+    zeros = i.docs.select("doc_id", *[none.alias(c) for c in "aug"])
+    return (zeros.unionByName(admitted).unionByName(ungated).unionByName(gated)
                  .groupBy("doc_id")
                  .agg(F.sum("a").alias("n_admitted"), F.sum("u").alias("n_ungated"), F.sum("g").alias("n_gated")))
 
@@ -131,7 +133,7 @@ def q_doc_match_counts(spark, sf_dir):
 
 def q_run_totals(spark, sf_dir):
     i = inputs(spark, sf_dir)
-    return report.run_totals(report.doc_match_counts(i.docs, i.matches()))
+    return report.run_totals(report.doc_match_counts(i.docs, i.matches()), i.table("documents").select("doc_id"))
 
 
 def q_place_counts(spark, sf_dir):
@@ -147,20 +149,20 @@ def q_reporting_effort(spark, sf_dir):
 def q_conversation_place_match(spark, sf_dir):
     """M1 over a second corpus: every conversation turn is an article of its own."""
     i = inputs(spark, sf_dir)
-    turns = spread(i.table("conversations"), "conv_id").select(
-        F.col("conv_id").alias("doc_id"), "turn", "role", "text")
-    m = match_corpus(turns, i.gaz, on="text", keep=("turn", "role"))
-    return m.select(F.col("doc_id").alias("conv_id"), "turn", "role", "row_index", "name", "countrycode")
+    turns = spread(i.table("conversations"), "conv_id", "turn").select(
+        F.struct("conv_id", "turn").alias("doc_id"), "role", "text")
+    m = match_corpus(turns, i.gaz, on="text", keep=("role",))
+    return m.select("doc_id.conv_id", "doc_id.turn", "role", "row_index", "name", "countrycode")
 
 
 def q_effort_by_quality(spark, sf_dir):
-    """A4 grouped by the quality label of the labelled documents (inner join on doc_id;
-    the label table is joined after the matches are reduced to one row per document
-    and country)."""
+    """A4 grouped by the quality label; documents without a label form a group of their
+    own (null). The label table is joined after the matches are reduced to one row per
+    document and country."""
     i = inputs(spark, sf_dir)
     per_doc = i.matches().groupBy("doc_id", "countrycode").agg(F.count(F.lit(1)).alias("n"))
     labels = i.table("labels").select("doc_id", "quality")
-    return (per_doc.join(labels, "doc_id")
+    return (per_doc.join(labels, "doc_id", "left")
                    .groupBy(F.col("countrycode").alias("iso"), "quality")
                    .agg(F.sum("n").alias("n_matches"), F.count(F.lit(1)).alias("n_docs")))
 
@@ -186,7 +188,26 @@ def q_corpus_slice(spark, sf_dir):
 # --------------------------------------------------------------------------- markup
 def q_tag_text(spark, sf_dir):
     pages = inputs(spark, sf_dir).pages
-    return pages.select("page_id", markup.tag_text("html", "p").alias("text"))
+    return with_tag_text(pages.select("page_id", "html"), "html", "p").select("page_id", "text")
+
+
+def _marked_up(docs: DataFrame) -> DataFrame:
+    """Every document as an article: metadata from its columns, traps beside them."""
+    escaped = lambda c: F.replace(F.replace(c, F.lit("&"), F.lit("&amp;")), F.lit("<"), F.lit("&#x3c;"))
+    parts = ["<!DOCTYPE article PUBLIC 'a' 'b.dtd'><article><front><!-- <journal-title>Old</journal-title> -->",
+             "<journal-title>", escaped(F.coalesce("lang", F.lit(""))), " &amp; Co &#xe9;</journal-title>",
+             "<article-id pub-id-type='doi'/><article-id x-pub-id-type='pmid'>0</article-id>",
+             "<article-id pub-id-type=\"pmid\">", F.col("doc_id").cast("string"), "</article-id>",
+             "<pub-date pub-type=\"e'", F.coalesce("source", F.lit("")), "\"><year> ",
+             (1990 + F.col("doc_id") % 30).cast("string"), " </year></pub-date></front><body><p>A list <list><list-item><p>",
+             escaped(F.coalesce("text", F.lit(""))), "</p></list-item></list> ends</p></body></article>"]
+    return docs.select("doc_id", F.concat(*[F.lit(p) if isinstance(p, str) else p for p in parts]).alias("markup"))
+
+
+def q_article_meta(spark, sf_dir):
+    """P1 and P2 over the documents written out as articles."""
+    parsed = with_article_fields(_marked_up(inputs(spark, sf_dir).docs), "markup")
+    return parsed.select("doc_id", *[F.col("meta")[f].alias(f) for f in META_FIELDS], F.md5("text").alias("text_md5"))
 
 
 def q_page_meta(spark, sf_dir):
@@ -239,6 +260,13 @@ def q_entity_place_match(spark, sf_dir):
     return match_corpus(i.docs, i.gaz, on="entities", lexicon=i.entity_lexicon).select(*CAND_MATCH_COLS)
 
 
+def q_tagged_place_match(spark, sf_dir):
+    """M2 with supplied tags: the tokens, their tags and an entity flag come as a table."""
+    i = inputs(spark, sf_dir)
+    tagged = tokens_long(token_arrays(i.docs), lexicon=i.entity_lexicon).withColumn("entity", F.col("tag") == "NNP")
+    return match_corpus(None, i.gaz, on="entities", tagged=tagged, entity_col="entity").select(*CAND_MATCH_COLS)
+
+
 def q_token_exact_match(spark, sf_dir):
     i = inputs(spark, sf_dir)
     return exact_token_matches(i.docs, i.nouns)
@@ -265,6 +293,7 @@ QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "corpus_slice": q_corpus_slice,
     "tag_text": q_tag_text,
     "page_meta": q_page_meta,
+    "article_meta": q_article_meta,
     "tokens": q_tokens,
     "tagged_tokens": q_tagged_tokens,
     "np_candidates": q_np_candidates,
@@ -272,6 +301,7 @@ QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "candidate_country_match": q_candidate_country_match,
     "candidate_place_match": q_candidate_place_match,
     "entity_place_match": q_entity_place_match,
+    "tagged_place_match": q_tagged_place_match,
     "token_exact_match": q_token_exact_match,
     "ngram_match": q_ngram_match,
 }
@@ -343,7 +373,9 @@ chit AS (SELECT DISTINCT cw.doc_id, c.iso FROM cw JOIN country c ON cw.tok = c.c
 cum AS (
   SELECT cw.doc_id, cw.cand_id, p.* FROM cw JOIN place p ON cw.tok = p.name
   UNION ALL
-  SELECT n.doc_id, n.cand_id, p.* FROM {src} n JOIN place p ON contains(p.name, ' ') AND contains(n.phrase, p.name)
+  SELECT n.doc_id, n.cand_id, p.* EXCLUDE (w1, w2) FROM cw JOIN place2 p ON cw.tok = p.w1
+  JOIN cw c2 ON c2.doc_id = cw.doc_id AND c2.cand_id = cw.cand_id AND c2.tok = p.w2
+  JOIN {src} n ON n.doc_id = cw.doc_id AND n.cand_id = cw.cand_id
   WHERE {O.boundary_match('n.phrase', 'p.name')}),
 cm AS (SELECT cum.* FROM cum JOIN chit h ON h.doc_id = cum.doc_id AND h.iso = cum.countrycode)"""
 
@@ -366,7 +398,8 @@ def _first_text(src: str, tag: str) -> str:
 
 def _attribute(attrs: str, attr: str) -> str:
     pat = markup.attribute_pattern(attr).replace("'", "''")
-    return f"CASE WHEN regexp_extract({attrs}, '{pat}', 0) <> '' THEN regexp_extract({attrs}, '{pat}', 2) END"
+    quoted = f"regexp_extract({attrs}, '{pat}', 2)"
+    return f"CASE WHEN {quoted} <> '' THEN substr({quoted}, 2, length({quoted}) - 2) END"
 
 
 def _tag_text_sql(col: str, tag: str) -> str:
@@ -404,7 +437,8 @@ GROUP BY d.doc_id"""),
 c AS (SELECT d.doc_id, count(m.row_index) AS n FROM documents d LEFT JOIN m ON m.doc_id = d.doc_id GROUP BY d.doc_id)""",
                               body="""
 SELECT count(*) AS articles_total, count(*) AS articles_processed, count_if(n > 0) AS articles_with_match,
-       CAST(coalesce(sum(n), 0) AS BIGINT) AS total_matches FROM c"""),
+       CAST(coalesce(sum(n), 0) AS BIGINT) AS total_matches,
+       round(100.0 * count(*) / (SELECT count(*) FROM documents), 2) AS percent_complete FROM c"""),
     "place_counts": O.with_ctes(*GM, body="""
 SELECT c.row_index, p.geonameid, p.name, p.countrycode, c.n AS "count"
 FROM (SELECT row_index, count(*) AS n FROM m GROUP BY row_index) c LEFT JOIN place p ON p.row_index = c.row_index"""),
@@ -423,14 +457,16 @@ chit AS (SELECT DISTINCT ct.conv_id, ct.turn, c.iso FROM ct JOIN country c ON ct
 cum AS (
   SELECT ct.conv_id, ct.turn, p.* FROM ct JOIN place p ON ct.tok = p.name
   UNION ALL
-  SELECT v.conv_id, v.turn, p.* FROM conversations v JOIN place p ON contains(p.name, ' ') AND contains(v.text, p.name)
+  SELECT v.conv_id, v.turn, p.* EXCLUDE (w1, w2) FROM ct JOIN place2 p ON ct.tok = p.w1
+  JOIN ct t2 ON t2.conv_id = ct.conv_id AND t2.turn = ct.turn AND t2.tok = p.w2
+  JOIN conversations v ON v.conv_id = ct.conv_id AND v.turn = ct.turn
   WHERE {O.boundary_match('v.text', 'p.name')})""", body="""
 SELECT cum.conv_id, cum.turn, v.role, cum.row_index, cum.name, cum.countrycode
 FROM cum JOIN chit h ON h.conv_id = cum.conv_id AND h.turn = cum.turn AND h.iso = cum.countrycode
 JOIN conversations v ON v.conv_id = cum.conv_id AND v.turn = cum.turn"""),
     "effort_by_quality": O.with_ctes(*GM, body="""
 SELECT m.countrycode AS iso, l.quality, count(*) AS n_matches, count(DISTINCT m.doc_id) AS n_docs
-FROM m JOIN labels l ON l.doc_id = m.doc_id GROUP BY m.countrycode, l.quality"""),
+FROM m LEFT JOIN labels l ON l.doc_id = m.doc_id GROUP BY m.countrycode, l.quality"""),
     "whole_word_filter": f"""
 SELECT doc_id, lang FROM documents WHERE {O.boundary_match('text', "'" + WHOLE_WORD_PHRASE + "'")}""",
     "corpus_slice": f"""
@@ -442,6 +478,11 @@ SELECT page_id, {_first_text('html', 'title')} AS title,
        nullif(regexp_extract(url, '{HOST_PATTERN}', 1), '') AS host,
        {_first_text(f"regexp_extract(html, '{markup.element_pattern('article')}', 2)", 'h1')} AS heading
 FROM pages""",
+    "article_meta": """
+SELECT doc_id, CAST(1990 + doc_id % 30 AS INTEGER) AS year, concat('e', chr(39), source) AS pub_type,
+       concat(lang, ' & Co é') AS journal, CAST(NULL AS VARCHAR) AS doi, CAST(doc_id AS VARCHAR) AS pmid,
+       md5(concat('A list ', text, ' ends', chr(10), chr(10), text, chr(10), chr(10))) AS text_md5
+FROM documents""",
     "tokens": O.with_ctes(_tokens_cte("tk", True), body="SELECT doc_id, pos, token FROM tk"),
     "tagged_tokens": O.with_ctes(TAGGED, body="SELECT doc_id, pos, token, tag FROM tg"),
     "np_candidates": O.with_ctes(TAGGED, CANDIDATES, body="SELECT doc_id, cand_id, phrase FROM np"),
@@ -453,6 +494,8 @@ FROM pages""",
                                          body="SELECT doc_id, cand_id, row_index, geonameid, name, countrycode FROM cm"),
     "entity_place_match": O.with_ctes(G, TAGGED, ENTITY_TAGGED, ENTITY_CANDIDATES, _candidate_matches("ent"),
                                       body="SELECT doc_id, cand_id, row_index, geonameid, name, countrycode FROM cm"),
+    "tagged_place_match": O.with_ctes(G, TAGGED, ENTITY_TAGGED, ENTITY_CANDIDATES, _candidate_matches("ent"),
+                                      body="SELECT doc_id, cand_id, row_index, geonameid, name, countrycode FROM cm"),
     "token_exact_match": O.with_ctes(G, _tokens_cte("tk0", False), _tagged_cte("tg0", "tk0"), body="""
 SELECT doc_id, pos, token, tag FROM tg0 WHERE tag LIKE 'NN%' AND token IN (SELECT name FROM place)"""),
     "ngram_match": O.with_ctes(G, O.DOC_WORDS, _tokens_cte("tk2", False), """

@@ -14,14 +14,15 @@ import argparse
 import json
 
 from pyspark.sql import SparkSession
+from pyspark.sql import functions as F
 
 from toponymic.operators.match import Gazetteer
 from toponymic.operators.report import doc_match_counts, export_matches, run_totals
 from toponymic.plans.jobs import STRATEGIES, match_corpus
 from toponymic.session import get_session
-from toponymic.sources.articles import META_FIELDS
+from toponymic.sources.articles import META_FIELDS, article_docs, article_paths, path_slice, read_articles
 from toponymic.sources.gazetteer import load_inputs, read_countries, read_places
-from toponymic.sources.sinks import chunk_path, run_stamp, write_csv
+from toponymic.sources.sinks import chunk_path, read_csv, run_stamp, write_csv
 from toponymic.streaming.chunked import run_chunked
 
 
@@ -33,7 +34,6 @@ def parse_args(argv: list[str] | None = None) -> argparse.Namespace:
     p.add_argument("--out", required=True, help="output folder")
     p.add_argument("--strategy", choices=STRATEGIES, default="text")
     p.add_argument("--tag", default="p", help="element whose text is matched")
-    p.add_argument("--nested", action="store_true", help="parse markup: the tag may contain itself")
     p.add_argument("--chunk", type=int, default=None, help="files per output chunk (stream mode)")
     p.add_argument("--prefix", default="", help="prefix of the run folder name")
     p.add_argument("--run-id", default=None, help="stream mode: name of the run; reuse it to resume")
@@ -49,23 +49,26 @@ def run(spark: SparkSession, args: argparse.Namespace) -> dict:
         gaz = Gazetteer(read_places(spark, args.places), read_countries(spark, args.countries),
                         regex_names=args.regex_names)
         t = run_chunked(spark, args.articles, gaz, args.out, files_per_chunk=args.chunk, tag=args.tag,
-                        on=args.strategy, prefix=args.prefix, nested=args.nested, run_id=args.run_id)
-        return {"articles_processed": t.articles_processed, "articles_with_match": t.articles_with_match,
-                "total_matches": t.total_matches, "outputs": t.chunks}
-    docs, places, countries = load_inputs(spark, args.articles, args.places, args.countries, args.tag,
-                                          args.nested)
-    if args.slice:
-        # a slice by position; the walk order is arbitrary, path order makes it repeatable
+                        on=args.strategy, prefix=args.prefix, run_id=args.run_id)
+        return {"articles_total": t.articles_total, "articles_processed": t.articles_processed,
+                "articles_with_match": t.articles_with_match, "total_matches": t.total_matches,
+                "percent_complete": t.percent_complete, "outputs": t.chunks}
+    docs, places, countries = load_inputs(spark, args.articles, args.places, args.countries, args.tag)
+    if args.slice:      # F3: the paths are picked first, then only those articles are read
         offset, count = (int(v) for v in args.slice.split(":"))
-        docs = docs.orderBy("doc_id").offset(offset).limit(count)
+        picked = path_slice(spark, args.articles, offset, count)
+        docs = article_docs(read_articles(spark, args.articles, only=picked), args.tag)
     gaz = Gazetteer(places, countries, regex_names=args.regex_names)
     matches = match_corpus(docs, gaz, on=args.strategy, keep=tuple(META_FIELDS))
-    path = write_csv(export_matches(matches), chunk_path(args.out, run_stamp(), 1, args.prefix))
-    # totals from the written output (matches only) and the corpus keys: no second match
-    written = spark.read.option("header", True).csv(path).selectExpr("doc_id", "row_index")
-    totals = run_totals(doc_match_counts(docs.select("doc_id"), written)).collect()[0].asDict()
-    totals.pop("articles_total", None)
-    return {**totals, "outputs": [path]}
+    export = export_matches(matches)
+    path = write_csv(export, chunk_path(args.out, run_stamp(), 1, args.prefix))
+    # totals from the written output (matches only) and the corpus paths: no second match
+    written = read_csv(spark, path, export.schema).select("doc_id", "row_index")
+    listed = article_paths(spark, args.articles)
+    done = docs.select("doc_id") if args.slice else listed.select(F.col("path").alias("doc_id"))
+    same_form = F.regexp_replace("doc_id", "^file:/+", "file:/")     # listings and scans differ in their slashes
+    counts = doc_match_counts(done.select(same_form.alias("doc_id")), written.withColumn("doc_id", same_form))
+    return {**run_totals(counts, listed).collect()[0].asDict(), "outputs": [path]}
 
 
 def main(argv: list[str] | None = None) -> dict:

@@ -22,11 +22,14 @@ _DEFAULT_CONF = {
 
 def get_session(master: str | None = None, app: str = "toponymic",
                 shuffle_partitions: int | None = None, **conf: str) -> SparkSession:
-    """Return the active session or build one.
+    """Return the active session as it is, or build one with the defaults above.
 
-    On a cluster the session already exists and carries its own settings; this only
-    fills in what is unset. ``master`` is used for local runs (tests, bench).
+    On a cluster the session already exists and carries its own settings, which nothing
+    here changes. ``master`` is used for local runs (tests, bench).
     """
+    live = SparkSession.getActiveSession()
+    if live is not None:
+        return live
     builder = SparkSession.builder.appName(app)
     if master:
         builder = builder.master(master)

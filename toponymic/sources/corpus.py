@@ -15,7 +15,7 @@ from pyspark.sql import DataFrame
 SPLITS_PER_CORE = 4
 
 
-def spread(df: DataFrame, key: str) -> DataFrame:
+def spread(df: DataFrame, *key: str) -> DataFrame:
     try:
         cores = df.sparkSession.sparkContext.defaultParallelism
         splits = df.rdd.getNumPartitions()
@@ -23,4 +23,4 @@ def spread(df: DataFrame, key: str) -> DataFrame:
         return df
     if splits >= cores:
         return df
-    return df.repartition(cores * SPLITS_PER_CORE, key)
+    return df.repartition(cores * SPLITS_PER_CORE, *key)

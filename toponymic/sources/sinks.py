@@ -9,7 +9,8 @@ from __future__ import annotations
 
 from datetime import datetime
 
-from pyspark.sql import DataFrame
+from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql.types import StructType
 
 
 def run_stamp() -> str:
@@ -21,6 +22,16 @@ def chunk_path(out_dir: str, stamp: str, chunk: int, prefix: str = "") -> str:
     return f"{out_dir.rstrip('/')}/{prefix}run={stamp}/chunk={chunk}"
 
 
+#: Quotes inside a field are doubled and blanks around it are kept, on both sides.
+CSV_OPTIONS = {"header": True, "encoding": "UTF-8", "quote": '"', "escape": '"',
+               "ignoreLeadingWhiteSpace": False, "ignoreTrailingWhiteSpace": False}
+
+
 def write_csv(df: DataFrame, path: str, mode: str = "errorifexists") -> str:
-    df.write.mode(mode).option("header", True).option("encoding", "UTF-8").csv(path)
+    df.write.mode(mode).options(**CSV_OPTIONS).csv(path)
     return path
+
+
+def read_csv(spark: SparkSession, path: str | list[str], schema: StructType) -> DataFrame:
+    """What ``write_csv`` wrote; fields may hold line breaks and quotes."""
+    return spark.read.schema(schema).options(**CSV_OPTIONS, multiLine=True).csv(path)
