@@ -42,8 +42,8 @@ from toponymic.llm import ranges, storage, texts
 from toponymic.llm.bpe import byte_symbols
 
 BITS = 20
-BLOCK = 1 << 19
-LANES = 512
+BLOCK = 1 << 20
+LANES = 2048
 STEPS = 256
 #: Entries kept of each of the two caches of a worker. Results don't depend on it.
 CACHE = 800_000
