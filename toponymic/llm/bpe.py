@@ -30,8 +30,8 @@ from toponymic.llm import texts
 
 #: The published pattern that cuts a text before any merge (fixed value).
 PATTERN = r"""'s|'t|'re|'ve|'m|'ll|'d| ?\p{L}+| ?\p{N}+| ?[^\s\p{L}\p{N}]+|\s+(?!\S)|\s+"""
-#: Entries kept of each of the two caches; a full one is emptied. Results don't depend on it.
-CACHE = 500_000
+#: Entries kept of each of the two caches of a worker. Results don't depend on it.
+CACHE = 700_000
 #: White space beside a blank that separates two words; such texts are cut by the pattern as a whole.
 _ODD = re.compile(r"[^\S \n]| [ \n]|\n |\x85")
 
@@ -63,8 +63,8 @@ class Coder:
         self.find_special = re.compile("|".join(map(re.escape, sorted(self.special, key=len, reverse=True)))) \
             if self.special else None
         self.cut = regex.compile(PATTERN).findall
-        self.pieces: dict[str, list[int]] = {}
-        self.stretches: dict[str, list[int]] = {}
+        self.same = list(range(max(self.strings) + 1))      # one object for each id, so that caches share them
+        self.pieces, self.stretches = texts.Cache(CACHE), texts.Cache(CACHE)
 
     def merge(self, ids: list[int]) -> list[int]:
         """Apply merges to a list of symbols, best rank first, leftmost first."""
@@ -100,16 +100,16 @@ class Coder:
                 m = known(ids[h] << 20 | ids[i])
                 if m is not None:
                     push(heap, (m >> 20) << 32 | h)
-        return [x for x in ids if x >= 0]
+        same = self.same
+        return [same[x] for x in ids if x >= 0]
 
     def piece(self, piece: str) -> list[int]:
-        found = self.pieces.get(piece)
+        found = self.pieces.young.get(piece) or self.pieces.get(piece)
         if found is None:
             byte_id = self.byte_id
             found = self.merge([byte_id[b] for b in piece.encode("utf-8", "surrogatepass")])
-            if len(self.pieces) >= CACHE:
-                self.pieces.clear()
-            self.pieces[piece] = found
+            if len(piece) <= 64:
+                self.pieces.put(piece, found)
         return found
 
     def stretch(self, text: str) -> list[int]:
@@ -117,10 +117,8 @@ class Coder:
         out: list[int] = []
         for p in self.cut(text):
             out += self.piece(p)
-        if len(self.stretches) >= CACHE:
-            self.stretches.clear()
         if len(text) <= 64:
-            self.stretches[text] = out
+            self.stretches.put(text, out)
         return out
 
     def plain(self, text: str) -> list[int]:
@@ -137,12 +135,12 @@ class Coder:
             for p in self.cut(text):
                 out += self.piece(p)
             return out
-        known, make = self.stretches.get, self.stretch
+        known, older, make = self.stretches.young.get, self.stretches.get, self.stretch
         head, *rest = text.split(" ")
-        out += known(head) or make(head)
+        out += known(head) or older(head) or make(head)
         for w in rest:
             w = " " + w
-            out += known(w) or make(w)
+            out += known(w) or older(w) or make(w)
         return out
 
     def encode(self, text: str) -> list[int]:
