@@ -63,7 +63,9 @@ def test_links_inside_a_list(make):
     for _ in range(30):
         base, free = rng.getrandbits(64) & ~0xFF00FF, [0, 1, 2, 3, 4, 5, 6, 7, 16, 17, 18, 19, 20]
         values = list({base | sum(1 << b for b in rng.sample(free, rng.randint(0, 6))) for _ in range(60)})
-        assert make(np.array(values, dtype=np.uint64), 2).tolist() == plain_components(values)
+        got, want = make(np.array(values, dtype=np.uint64), 2).tolist(), plain_components(values)
+        assert all(got[x] == x for x in got)                  # a member stands for each component
+        assert len(set(zip(got, want))) == len(set(got)) == len(set(want))
 
 
 def components_of(spark, values, bits=2):

@@ -62,7 +62,7 @@ class Coder:
             self.merges.setdefault(vocab[a] << 20 | vocab[b], rank << 20 | vocab[a + b])
         self.find_special = re.compile("|".join(map(re.escape, sorted(self.special, key=len, reverse=True)))) \
             if self.special else None
-        self.cut = regex.compile(PATTERN).findall
+        self.cut, self.cut_each = regex.compile(PATTERN).findall, regex.compile(PATTERN).finditer
         self.same = list(range(max(self.strings) + 1))      # one object for each id, so that caches share them
         self.pieces, self.stretches = texts.Cache(CACHE), texts.Cache(CACHE)
 
@@ -132,15 +132,18 @@ class Coder:
             return []
         out: list[int] = []
         if _ODD.search(text) or text[0] == " " or text[-1] == " ":
-            for p in self.cut(text):
+            found = self.cut(text) if len(text) <= texts.CHUNK_BYTES else (m.group() for m in self.cut_each(text))
+            for p in found:
                 out += self.piece(p)
             return out
         known, older, make = self.stretches.young.get, self.stretches.get, self.stretch
-        head, *rest = text.split(" ")
-        out += known(head) or older(head) or make(head)
-        for w in rest:
-            w = " " + w
-            out += known(w) or older(w) or make(w)
+        for piece in texts.pieces(text):
+            head, *rest = piece.split(" ")
+            if head:
+                out += known(head) or older(head) or make(head)
+            for w in rest:
+                w = " " + w
+                out += known(w) or older(w) or make(w)
         return out
 
     def encode(self, text: str) -> list[int]:

@@ -31,6 +31,7 @@ PROFILE = 400
 LEAST = 0.2
 UNKNOWN = "und"
 _EDGE = 1       # a code point that is no letter, for the boundary of a word
+_BOUNDARY = np.array([_EDGE], dtype=np.uint32)
 
 
 @functools.lru_cache(maxsize=1)
@@ -43,20 +44,27 @@ def _letters() -> np.ndarray:
 def _points(text: str) -> np.ndarray:
     """Lower-case code points, each stretch of other characters being one boundary."""
     p = np.frombuffer(text.lower().encode("utf-32-le", "surrogatepass"), dtype=np.uint32)
-    p = np.where(_letters()[np.minimum(p, 0x10FFFF)], p, _EDGE).astype(np.uint32)
-    p = np.concatenate([[_EDGE], p, [_EDGE]]).astype(np.uint32)
-    return p[np.concatenate([[True], (p[1:] != _EDGE) | (p[:-1] != _EDGE)])]
+    p = np.where(_letters()[p], p, np.uint32(_EDGE))
+    p = np.concatenate([_BOUNDARY, p, _BOUNDARY])
+    keep = np.ones(len(p), dtype=bool)
+    keep[1:] = (p[1:] != _EDGE) | (p[:-1] != _EDGE)
+    return p[keep]
 
 
 class Grams:
     """N-grams of several texts as small numbers, under the alphabet of those texts."""
 
     def __init__(self, items: list[str]):
-        self.points = [_points(t) for t in items]
-        used = np.unique(np.concatenate(self.points)) if items else np.array([_EDGE], np.uint32)
-        self.alphabet = np.union1d(used, [_EDGE]).astype(np.uint64)      # the boundary comes first
+        points = [_points(t) for t in items]
+        used = np.zeros(0x110000, dtype=bool)
+        used[_EDGE] = True
+        for p in points:
+            used[p] = True
+        self.alphabet = np.flatnonzero(used).astype(np.uint64)           # the boundary comes first
         self.k = len(self.alphabet)
-        self.codes = [np.searchsorted(self.alphabet, p).astype(np.int64) for p in self.points]
+        code = np.zeros(0x110000, dtype=np.int64)
+        code[self.alphabet.astype(np.int64)] = np.arange(self.k)
+        self.codes = [code[p] for p in points]
 
     def of(self, i: int) -> np.ndarray:
         """All n-grams of one text, repeats included: c, k + ab, k + k*k + abc."""
@@ -65,6 +73,11 @@ class Grams:
         abc = ab[:-1] * k + c[2:]
         return np.concatenate([c[c > 0], k + ab, (k + k * k + abc)[c[1:-1] > 0]])
 
+    def counts(self, i: int) -> tuple[np.ndarray, np.ndarray]:
+        """Distinct n-grams of one text, as full numbers, and how often it has them."""
+        found, n = np.unique(self.of(i), return_counts=True)
+        return self.full(found), n
+
     def full(self, codes: np.ndarray) -> np.ndarray:
         """The n-grams' code points in one number, 21 bits each, whatever the alphabet."""
         k, a = self.k, self.alphabet
@@ -79,19 +92,35 @@ class Grams:
         return out
 
 
+def counted(items: list[str]) -> list[tuple[np.ndarray, np.ndarray]]:
+    """Distinct n-grams and counts of each text. A very long text is counted in pieces,
+    which begin at blanks, so that no n-gram is lost."""
+    out: list[tuple[np.ndarray, np.ndarray]] = []
+    for lo, hi in texts.chunks([len(t) for t in items]):
+        if hi - lo > 1 or len(items[lo]) <= texts.CHUNK_BYTES:
+            grams = Grams(items[lo:hi])
+            out += [grams.counts(i) for i in range(hi - lo)]
+            continue
+        parts = [Grams([p]).counts(0) for p in texts.pieces(items[lo])]
+        full, at = np.unique(np.concatenate([f for f, _ in parts]), return_inverse=True)
+        n = np.zeros(len(full), dtype=np.int64)
+        np.add.at(n, at, np.concatenate([c for _, c in parts]))
+        out.append((full, n))
+    return out
+
+
 def _count(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
     """N-gram counts by language of a task's rows."""
     for batch in batches:
         langs, items = batch.column(0).to_pylist(), texts.strings(batch.column(1))
-        for lo, hi in texts.chunks([len(t) for t in items], 4 * texts.CHUNK_BYTES):
+        for lo, hi in texts.chunks([len(t) for t in items]):
             by_lang: dict[str, list[str]] = {}
             for lang, t in zip(langs[lo:hi], items[lo:hi]):
                 by_lang.setdefault(lang, []).append(t)
             for lang, group in by_lang.items():
-                grams = Grams([" ".join(group)])
-                found, n = np.unique(grams.of(0), return_counts=True)
+                found, n = counted([" ".join(group)])[0]
                 yield pa.RecordBatch.from_arrays(
-                    [pa.array([lang] * len(found), pa.string()), pa.array(grams.full(found).astype(np.int64)), pa.array(n)],
+                    [pa.array([lang] * len(found), pa.string()), pa.array(found.astype(np.int64)), pa.array(n)],
                     names=["lang", "gram", "n"])
 
 
@@ -117,18 +146,14 @@ class Profiles:
 
     def predict(self, items: list[str]) -> list[tuple[str, float]]:
         out = []
-        for lo, hi in texts.chunks([len(t) for t in items]):
-            grams = Grams(items[lo:hi])
-            for i in range(hi - lo):
-                if not self.langs or len(grams.codes[i]) < 2:
-                    out.append((UNKNOWN, 0.0))
-                    continue
-                found, n = np.unique(grams.of(i), return_counts=True)
-                full = grams.full(found)
-                top = np.lexsort((full, -n))[:self.size]
-                d = self.distances(full[top])
-                best = int(d.argmin())
-                out.append((self.langs[best], float(1 - d[best] / (len(top) * self.size))))
+        for full, n in counted(items):
+            if not self.langs or not len(full):
+                out.append((UNKNOWN, 0.0))
+                continue
+            top = np.lexsort((full, -n))[:self.size]
+            d = self.distances(full[top])
+            best = int(d.argmin())
+            out.append((self.langs[best], float(1 - d[best] / (len(top) * self.size))))
         return out
 
 

@@ -68,10 +68,10 @@ def counts(items: list[bytes], window: int = WINDOW) -> np.ndarray:
     for lo, hi in texts.chunks([len(t) for t in items]):
         part = items[lo:hi]
         w = texts.Words(part)
-        n, at, ends = w.counts(), w.offsets[:-1], w.offsets[1:] - 1
-        by_text = lambda table: (lambda c: c[ends] - c[at])(_running(table[w.data]))
+        n = w.counts()
+        by_text = lambda table: w.sums(table[w.data])           # noqa: E731
         per_word = lambda mask: (lambda c: c[w.first[1:]] - c[w.first[:-1]])(_running(mask))
-        inside = lambda table: (lambda c: c[w.ends] - c[w.starts])(_running(table[w.data]))
+        inside = lambda table: w.inside(table[w.data])          # noqa: E731
         letters, size = inside(_LETTER), w.ends - w.starts
         hashes = w.hashes()
         owner = np.repeat(np.arange(hi - lo), n)

@@ -201,7 +201,8 @@ class WordIds:
     def ids(self, text: str) -> bytes:
         """Little-endian 32-bit ids of a text."""
         known, older, make = self.stretches.young.get, self.stretches.get, self._stretch
-        return b"".join([known(w) or older(w) or make(w) for w in text.replace("\n", " ").split(" ") if w])
+        return b"".join([b"".join([known(w) or older(w) or make(w) for w in piece.split(" ") if w])
+                         for piece in texts.pieces(text.replace("\n", " "))])
 
 
 @functools.lru_cache(maxsize=2)

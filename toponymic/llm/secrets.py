@@ -66,8 +66,11 @@ def base_spans(text: str, raw: bytes | None = None) -> list[tuple[int, int, int,
 
 
 def _transitions(data: bytes) -> np.ndarray:
-    code = _CODE[np.frombuffer(data, dtype=np.uint8)]
-    return np.bincount(code[:-1] * _K + code[1:], minlength=_K * _K) if len(code) > 1 else np.zeros(_K * _K, np.int64)
+    out = np.zeros(_K * _K, dtype=np.int64)
+    for at in range(0, len(data) - 1, texts.CHUNK_BYTES):
+        code = _CODE[np.frombuffer(data[at:at + texts.CHUNK_BYTES + 1], dtype=np.uint8)]
+        out += np.bincount(code[:-1] * _K + code[1:], minlength=_K * _K)
+    return out
 
 
 def _count(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:

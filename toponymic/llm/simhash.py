@@ -34,6 +34,8 @@ from toponymic.llm import frames, storage, texts
 WORDS = 3
 BITS = 2
 SEED = 42
+#: Shingle hashes whose bits are added up at once.
+TALLIED = 1 << 16
 #: Lists up to this length compare their pairs; longer ones look up flipped bits. Both give the same links.
 PAIRED = 128
 
@@ -47,33 +49,37 @@ def simhashes(items: list[bytes], size: int = WORDS) -> np.ndarray:
     for lo, hi in texts.chunks([len(t) for t in items]):
         # words with one blank between them, so that a shingle is a slice
         lines = [b" ".join(t.translate(_LOWER).split()) for t in items[lo:hi]]
+        total, sizes = np.zeros((hi - lo, 64), dtype=np.int64), np.zeros(hi - lo, dtype=np.int64)
         hashes: list[int] = []
-        sizes = np.zeros(hi - lo, dtype=np.int64)
+        owners: list[tuple[int, int]] = []
+
+        def tally() -> None:
+            """Adds up the bits of the hashes gathered so far, and lets go of them."""
+            if hashes:
+                bits = np.unpackbits(np.array(hashes, dtype=">u8").view(np.uint8).reshape(-1, 8), axis=1)
+                own, n = np.array(owners).T
+                total[own] += np.add.reduceat(bits, np.cumsum(n) - n, axis=0, dtype=np.int64)
+                hashes.clear(), owners.clear()
+
         for i, line in enumerate(lines):
             if not line:
                 continue
-            blanks = np.flatnonzero(np.frombuffer(line, dtype=np.uint8) == 32).tolist()
-            starts, ends = [0, *(b + 1 for b in blanks)], [*blanks, len(line)]
+            blanks = np.flatnonzero(np.frombuffer(line, dtype=np.uint8) == 32)
+            starts, ends = np.concatenate([[0], blanks + 1]), np.concatenate([blanks, [len(line)]])
             if len(starts) <= size:
-                hashes.append(digest(line, SEED))
-                sizes[i] = 1
+                starts, ends = starts[:1], ends[-1:]
             else:
-                hashes += [digest(line[a:b], SEED) for a, b in zip(starts, ends[size - 1:])]
-                sizes[i] = len(starts) - size + 1
-        if not hashes:
-            continue
-        h = np.array(hashes, dtype=np.uint64)
-        held = np.flatnonzero(sizes)
-        ends = np.cumsum(sizes[held])
-        total = np.zeros((len(held), 64), dtype=np.int64)
-        for at in range(0, len(h), 1 << 17):                 # the bit table stays small for any text
-            part = h[at:at + (1 << 17)]
-            bits = np.unpackbits(part.astype(">u8").view(np.uint8).reshape(-1, 8), axis=1)
-            owner = np.searchsorted(ends, np.arange(at, at + len(part)), side="right")
-            cut = np.flatnonzero(np.diff(owner, prepend=-1))
-            total[owner[cut]] += np.add.reduceat(bits, cut, axis=0, dtype=np.int64)
-        ones = total * 2 > sizes[held][:, None]
-        out[lo + held] = np.packbits(ones, axis=1).view(">u8").ravel().astype(np.uint64)
+                starts, ends = starts[:len(starts) - size + 1], ends[size - 1:]
+            sizes[i] = len(starts)
+            for at in range(0, len(starts), TALLIED):
+                some = [digest(line[x:y], SEED) for x, y in zip(starts[at:at + TALLIED].tolist(), ends[at:at + TALLIED].tolist())]
+                hashes += some
+                owners.append((i, len(some)))
+                if len(hashes) >= TALLIED:
+                    tally()
+        tally()
+        ones = total * 2 > sizes[:, None]
+        out[lo:hi] = np.packbits(ones, axis=1).view(">u8").ravel().astype(np.uint64)
     return out
 
 
@@ -120,7 +126,7 @@ def _popcount(x: np.ndarray) -> np.ndarray:
 
 
 def _by_pairs(v: np.ndarray, bits: int) -> np.ndarray:
-    """For each member the smallest member (by place) that its links reach."""
+    """For each member the place of one that stands for all that its links reach."""
     differ = v[:, None] ^ v[None, :]
     tally = 8 - sum(((differ >> np.uint64(8 * p)) & np.uint64(255) != 0).astype(np.int8) for p in range(8))
     linked = tally >= 8 - bits                               # the count filter

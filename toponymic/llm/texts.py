@@ -7,10 +7,12 @@ found here never cut a character.
 
 from __future__ import annotations
 
+import functools
 from collections.abc import Iterator
 
 import numpy as np
 import pyarrow as pa
+import xxhash
 
 #: Bytes of text handled by one round of array operations; a longer text is a round alone.
 CHUNK_BYTES = 1 << 20
@@ -66,6 +68,19 @@ def chunks(lengths: list[int], most: int = CHUNK_BYTES) -> Iterator[tuple[int, i
         yield lo, len(lengths)
 
 
+def pieces(text: str, most: int | None = None) -> Iterator[str]:
+    """A text in pieces of about ``most`` characters, each but the first beginning with a blank
+    (a stretch without any blank stays whole), so that a very long text needs no more memory."""
+    most = CHUNK_BYTES if most is None else most
+    at = 0
+    while at < len(text):
+        end = text.find(" ", at + most) if len(text) - at > most else -1
+        yield text if not at and end < 0 else text[at:end if end >= 0 else None]
+        if end < 0:
+            return
+        at = end
+
+
 def mix(h: np.ndarray) -> np.ndarray:
     """A 64-bit finaliser: every input bit changes every output bit."""
     h = h ^ (h >> np.uint64(33))
@@ -76,18 +91,15 @@ def mix(h: np.ndarray) -> np.ndarray:
 
 
 _VALUES = mix(np.arange(1, 257, dtype=np.uint64))
-_POWERS: dict[str, np.ndarray] = {}
+#: Bytes of a word from which on it is hashed alone, and of the text hashed at once.
+_LONG_WORD, _STRETCH = 1 << 16, 1 << 20
 
 
-def _powers(base: np.uint64, n: int) -> np.ndarray:
-    known = _POWERS.get(str(base))
-    if known is None or len(known) < n:
-        known = np.full(max(n, 2 * CHUNK_BYTES), base, dtype=np.uint64)
-        known[0] = 1
-        known = np.cumprod(known, dtype=np.uint64)
-        if len(known) <= 4 * CHUNK_BYTES:     # the tables of a giant text are not kept
-            _POWERS[str(base)] = known
-    return known[:n]
+@functools.lru_cache(maxsize=2)
+def _powers(base: int) -> np.ndarray:
+    out = np.full(_STRETCH + _LONG_WORD, base, dtype=np.uint64)
+    out[0] = 1
+    return np.cumprod(out, dtype=np.uint64)
 
 
 class Words:
@@ -109,12 +121,38 @@ class Words:
         return np.diff(self.first)
 
     def hashes(self) -> np.ndarray:
-        """A 64-bit hash of every word, the same wherever the word stands."""
-        n = len(self.data)
-        total = np.empty(n + 1, dtype=np.uint64)
-        total[0] = 0
-        np.cumsum(_VALUES[self.data] * _powers(_BASE, n), out=total[1:])
-        return mix((total[self.ends] - total[self.starts]) * _powers(_INVERSE, n)[self.starts])
+        """A 64-bit hash of every word, the same wherever the word stands. The text is taken
+        in stretches, so a very long one needs no more memory."""
+        starts, ends = self.starts, self.ends
+        out = np.empty(len(starts), dtype=np.uint64)
+        long = np.flatnonzero(ends - starts > _LONG_WORD)
+        for i in long.tolist():
+            out[i] = xxhash.xxh64_intdigest(self.data[starts[i]:ends[i]].tobytes())
+        power, inverse = _powers(int(_BASE)), _powers(int(_INVERSE))
+        lo = 0
+        for stop in [*long.tolist(), len(starts)]:
+            while lo < stop:
+                hi = min(stop, max(lo + 1, int(np.searchsorted(starts, starts[lo] + _STRETCH))))
+                a, b = starts[lo], ends[hi - 1]
+                total = np.zeros(b - a + 1, dtype=np.uint64)
+                np.cumsum(_VALUES[self.data[a:b]] * power[:b - a], out=total[1:])
+                begin = starts[lo:hi] - a
+                out[lo:hi] = mix((total[ends[lo:hi] - a] - total[begin]) * inverse[begin])
+                lo = hi
+            lo = stop + 1
+        return out
+
+    def sums(self, mask: np.ndarray) -> np.ndarray:
+        """How many bytes of each text ``mask`` marks."""
+        begin, end = self.offsets[:-1], self.offsets[1:] - 1
+        found = np.add.reduceat(mask, np.stack([begin, end], axis=1).ravel(), dtype=np.int64)[::2] if len(begin) else begin
+        return np.where(end > begin, found, 0)
+
+    def inside(self, mask: np.ndarray) -> np.ndarray:
+        """How many bytes of each word ``mask`` marks."""
+        if not len(self.starts):
+            return self.starts
+        return np.add.reduceat(mask, np.stack([self.starts, self.ends], axis=1).ravel(), dtype=np.int64)[::2]
 
 
 def shingles(words: Words, hashes: np.ndarray, size: int) -> tuple[np.ndarray, np.ndarray]:
