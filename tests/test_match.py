@@ -166,3 +166,16 @@ def test_regex_names_equal_unescaped_regex_loop(spark):
             if cc in found and re.search(r"\b" + name + r"\b", text):
                 want.add((d, row))
     assert got == want and len(want) > 20
+
+
+def test_fallback_tells_units_of_one_key_apart(spark, monkeypatch):
+    """Rows that share a doc_id, rows that repeat and null ids: the shuffle join gives the broadcast join's bag."""
+    import toponymic.operators.names as n
+    rows = [(1, "Uganda: Fort Portal."), (1, "Uganda: Fort and Portal."), (1, "Uganda: Fort Portal."), (None, "Uganda: Fort Portal."),
+            (None, "Kenya: St. John Nairobi"), (2, "Fort Portal"), (2, None)]
+    docs = spark.createDataFrame(rows, "doc_id long, text string")
+    found = lambda: sorted(map(str, places_in_text(docs, gazetteer(spark)).select("doc_id", "row_index").collect()))
+    want = found()
+    assert len(want) == 5
+    monkeypatch.setattr(n, "MAX_BROADCAST_BYTES", 0)
+    assert found() == want

@@ -145,6 +145,13 @@ class Gazetteer:
         self.places = places
         self.countries = countries.select(F.col(iso_col).alias("iso"), F.col(name_col).alias("country"))
         self.regex_names = regex_names
+        self._prepared: dict = {}
+
+    def prepared(self, key, make):
+        """A table derived from the gazetteer, made (and sized) once."""
+        if key not in self._prepared:
+            self._prepared[key] = make()
+        return self._prepared[key]
 
     # ---------------------------------------------------------------- indexes
     @cached_property

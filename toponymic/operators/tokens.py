@@ -20,14 +20,14 @@ def noun_names(places: DataFrame, lexicon=None) -> DataFrame:
     """Distinct gazetteer names whose tag starts with ``NN``, with that tag. A token's tag
     depends on its text only, so the noun test runs once per name, on the small side.
 
-    Persisted: besides saving the recomputation, a cached relation exposes no
+    Sized once, here, and hinted for broadcast if that allows. Persisted: besides saving the recomputation, a cached relation exposes no
     constraints, so the optimizer does not copy the tag test back onto every corpus
     token through the join key.
     """
     names = places.select(F.col("name").alias("token")).where(F.col("token").isNotNull()).distinct()
-    return (tag_tokens(names, lexicon)
-                 .where(F.col("tag").startswith("NN"))
-                 .persist(StorageLevel.MEMORY_AND_DISK))
+    return broadcast_if_bounded(tag_tokens(names, lexicon)
+                                .where(F.col("tag").startswith("NN"))
+                                .persist(StorageLevel.MEMORY_AND_DISK))
 
 
 def exact_token_matches(docs: DataFrame, nouns: DataFrame, text_col: str = "text") -> DataFrame:
@@ -38,7 +38,7 @@ def exact_token_matches(docs: DataFrame, nouns: DataFrame, text_col: str = "text
     by ``pos``. The corpus side is a plain hash probe against the broadcast nouns.
     """
     tok = token_arrays(docs, text_col, strip=False)
-    return (tokens_long(tok, with_tags=False).join(broadcast_if_bounded(nouns), "token")
+    return (tokens_long(tok, with_tags=False).join(nouns, "token")
                                               .select("doc_id", "pos", "token", "tag"))
 
 
@@ -72,7 +72,7 @@ def ngram_matches(docs: DataFrame, gaz: Gazetteer, text_col: str = "text", max_n
     at = toks.select("doc_id", *gate_cols, "toks", F.posexplode_outer(worth).alias("pos", "tok"))
     gram = F.array(*[F.get(F.col("toks"), F.col("pos") + k) for k in range(max_n)])
     at = at.select("doc_id", *gate_cols, "pos", "tok", gram.alias("gram"))
-    names = broadcast_if_bounded(ngram_names(gaz.places, max_n))
+    names = gaz.prepared(("ngram_names", max_n), lambda: broadcast_if_bounded(ngram_names(gaz.places, max_n)))
     hits = (at.join(names, F.col("tok") == F.col("first"))
               .where(F.array_join(F.slice("gram", 1, F.col("n")), " ") == F.col("name")))
     cols = ["doc_id", F.col("pos").cast("long").alias("pos"), F.col("n").alias("n"), *PLACE_COLS]
