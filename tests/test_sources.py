@@ -131,6 +131,11 @@ def test_command_line_job(spark, scratch):
     sliced = run(spark, parse_args(common + ["--out", f"{scratch}/out3", "--slice", "1:2"]))   # x1, x2
     assert (sliced["articles_processed"], sliced["total_matches"]) == (2, 0)
     assert (sliced["articles_total"], sliced["percent_complete"]) == (5, 40.0)
+    numbered = run(spark, parse_args(common + ["--out", f"{scratch}/out4", "--index"]))
+    assert numbered["total_matches"] == 3
+    rows = spark.read.option("header", True).csv(numbered["outputs"]).collect()
+    assert sorted(int(r["index"]) for r in rows) == [0, 1, 2]
+    assert [r["doc_id"] for r in sorted(rows, key=lambda r: int(r["index"]))] == sorted(r["doc_id"] for r in rows)
 
 
 def test_countries_reader_short_lines(spark, scratch):

@@ -15,6 +15,7 @@ import json
 
 from pyspark.sql import SparkSession
 from pyspark.sql import functions as F
+from pyspark.sql import types as T
 
 from toponymic.operators.match import Gazetteer
 from toponymic.operators.report import doc_match_counts, export_matches, run_totals
@@ -22,7 +23,7 @@ from toponymic.plans.jobs import STRATEGIES, match_corpus
 from toponymic.session import get_session
 from toponymic.sources.articles import META_FIELDS, article_docs, article_paths, path_slice, read_articles
 from toponymic.sources.gazetteer import load_inputs, read_countries, read_places
-from toponymic.sources.sinks import chunk_path, read_csv, run_stamp, write_csv
+from toponymic.sources.sinks import INDEX, chunk_path, read_csv, run_stamp, write_csv
 from toponymic.streaming.chunked import run_chunked
 
 
@@ -37,6 +38,7 @@ def parse_args(argv: list[str] | None = None) -> argparse.Namespace:
     p.add_argument("--chunk", type=int, default=None, help="files per output chunk (stream mode)")
     p.add_argument("--prefix", default="", help="prefix of the run folder name")
     p.add_argument("--run-id", default=None, help="stream mode: name of the run; reuse it to resume")
+    p.add_argument("--index", action="store_true", help="batch mode: a leading column of row numbers")
     p.add_argument("--regex-names", action="store_true", help="treat names as regular expressions")
     p.add_argument("--slice", default=None, metavar="OFFSET:COUNT",
                    help="batch mode: only COUNT articles from OFFSET, in path order (e.g. 899:100)")
@@ -61,9 +63,11 @@ def run(spark: SparkSession, args: argparse.Namespace) -> dict:
     gaz = Gazetteer(places, countries, regex_names=args.regex_names)
     matches = match_corpus(docs, gaz, on=args.strategy, keep=tuple(META_FIELDS))
     export = export_matches(matches)
-    path = write_csv(export, chunk_path(args.out, run_stamp(), 1, args.prefix))
+    path = write_csv(export, chunk_path(args.out, run_stamp(), 1, args.prefix),
+                     index_by=["doc_id", "row_index"] if args.index else None)
     # totals from the written output (matches only) and the corpus paths: no second match
-    written = read_csv(spark, path, export.schema).select("doc_id", "row_index")
+    fields = T.StructType([T.StructField(INDEX, T.LongType())] * args.index + export.schema.fields)
+    written = read_csv(spark, path, fields).select("doc_id", "row_index")
     listed = article_paths(spark, args.articles)
     done = docs.select("doc_id") if args.slice else listed.select(F.col("path").alias("doc_id"))
     same_form = F.regexp_replace("doc_id", "^file:/+", "file:/")     # listings and scans differ in their slashes

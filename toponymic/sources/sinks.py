@@ -12,6 +12,8 @@ from datetime import datetime
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql.types import StructType
 
+from toponymic.operators.indexing import with_dense_index
+
 
 def run_stamp() -> str:
     """Start time of a run; microseconds keep two quick runs into one folder apart."""
@@ -27,7 +29,16 @@ CSV_OPTIONS = {"header": True, "encoding": "UTF-8", "quote": '"', "escape": '"',
                "ignoreLeadingWhiteSpace": False, "ignoreTrailingWhiteSpace": False}
 
 
-def write_csv(df: DataFrame, path: str, mode: str = "errorifexists") -> str:
+#: Name of the leading column of row numbers, which has no title in the reference's files.
+INDEX = "index"
+
+
+def write_csv(df: DataFrame, path: str, mode: str = "errorifexists", index_by: list[str] | None = None) -> str:
+    """Writes one output. ``index_by`` adds a leading column of dense row numbers (from 0, in
+    that order), which sorts the rows and keeps them until they are written."""
+    if index_by:
+        numbered = with_dense_index(df, index_by, INDEX)
+        df = numbered.select(INDEX, *df.columns)
     df.write.mode(mode).options(**CSV_OPTIONS).csv(path)
     return path
 
