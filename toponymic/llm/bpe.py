@@ -176,11 +176,9 @@ def encode(docs: DataFrame, path: str, id_col: str = "doc_id", text_col: str = "
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         c = coder(path)
-        for batch in batches:
-            items = texts.strings(batch.column(1))
-            for lo, hi in texts.chunks([len(t) for t in items], 4 * texts.CHUNK_BYTES):
-                ids = pa.array([c.encode(t) for t in items[lo:hi]], pa.list_(pa.int32()))
-                yield pa.RecordBatch.from_arrays([batch.column(0).slice(lo, hi - lo), ids], names=[id_col, "ids"])
+        for batch in texts.small(batches, 1):
+            ids = pa.array([c.encode(t) for t in texts.strings(batch.column(1))], pa.list_(pa.int32()))
+            yield pa.RecordBatch.from_arrays([batch.column(0), ids], names=[id_col, "ids"])
 
     return docs.select(id_col, text_col).mapInArrow(run, schema)
 
@@ -211,7 +209,7 @@ def digests(docs: DataFrame, path: str) -> DataFrame:
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         c = coder(path)
         decimal = {i: str(i) for i in c.strings}.__getitem__
-        for batch in batches:
+        for batch in texts.small(batches, 1):
             n, by_ids, by_text = [], [], []
             for text in texts.strings(batch.column(1)):
                 ids = c.encode(text)

@@ -90,7 +90,7 @@ def fingerprints(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text"
     kind = docs.schema[id_col].dataType
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for batch in batches:
+        for batch in texts.small(batches, 1):
             found = sketches(texts.utf8(batch.column(1)), scale, size)
             yield pa.RecordBatch.from_arrays(
                 [batch.column(0), pa.array([as_text(s) for s in found], pa.string())],
@@ -161,15 +161,13 @@ def _compare(scale: int, size: int):
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         ids, items, own = [], [], []
-        for batch in batches:
-            new = batch.column(1).to_pylist()
-            for lo, hi in texts.chunks([len(t) for t in new], 4 * texts.CHUNK_BYTES):
-                ids += batch.column(0).slice(lo, hi - lo).to_pylist()
-                items += new[lo:hi]
-                own += [c == 0 for c in batch.column(2).slice(lo, hi - lo).to_pylist()]
-                if len(items) > 1:
-                    yield rows(ids, items, own)
-                    ids, items, own = ids[-1:], items[-1:], own[-1:]
+        for batch in texts.small(batches, 1):
+            ids += batch.column(0).to_pylist()
+            items += batch.column(1).to_pylist()
+            own += [c == 0 for c in batch.column(2).to_pylist()]
+            if len(items) > 1:
+                yield rows(ids, items, own)
+                ids, items, own = ids[-1:], items[-1:], own[-1:]
 
     return run
 

@@ -8,6 +8,8 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import types as T
 
+from toponymic.llm import texts
+
 
 def fresh(df: DataFrame, name: str) -> str:
     """A name with which no column of ``df`` begins, whatever its columns are called."""
@@ -23,7 +25,7 @@ def with_columns(df: DataFrame, text_col: str, fields: list[T.StructField],
     at, names = df.columns.index(text_col), schema.names
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for batch in batches:
+        for batch in texts.small(batches, at):
             yield pa.RecordBatch.from_arrays([*batch.columns, *make(batch.column(at))], names=names)
 
     return df.mapInArrow(run, schema)

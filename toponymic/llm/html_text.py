@@ -24,6 +24,8 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import types as T
 
+from toponymic.llm import texts
+
 ALIGNED = 40
 
 VOID = frozenset("area base br col embed hr img input link meta param source track wbr".split())
@@ -399,7 +401,7 @@ def visible_text(pages: DataFrame, id_col: str = "page_id", html_col: str = "htm
     schema = T.StructType([T.StructField(id_col, pages.schema[id_col].dataType), T.StructField("text", T.StringType())])
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for batch in batches:
+        for batch in texts.small(batches, 1):
             found = [page_text(x) for x in batch.column(1).to_pylist()]
             yield pa.RecordBatch.from_arrays([batch.column(0), pa.array(found, pa.string())], names=schema.names)
 

@@ -111,7 +111,7 @@ def counted(items: list[str]) -> list[tuple[np.ndarray, np.ndarray]]:
 
 def _count(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
     """N-gram counts by language of a task's rows."""
-    for batch in batches:
+    for batch in texts.small(batches, 1):
         langs, items = batch.column(0).to_pylist(), texts.strings(batch.column(1))
         for lo, hi in texts.chunks([len(t) for t in items]):
             by_lang: dict[str, list[str]] = {}
@@ -179,7 +179,7 @@ def predict(docs: DataFrame, profiles: Profiles, id_col: str = "doc_id", text_co
                            T.StructField("lang_pred", T.StringType()), T.StructField("score", T.DoubleType())])
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for batch in batches:
+        for batch in texts.small(batches, 1):
             found = profiles.predict(texts.strings(batch.column(1)))
             yield pa.RecordBatch.from_arrays(
                 [batch.column(0), pa.array([x for x, _ in found], pa.string()), pa.array([s for _, s in found], pa.float64())],
@@ -194,7 +194,7 @@ def known_language(docs: DataFrame, profiles: Profiles, text_col: str = "text",
     at = docs.columns.index(text_col)
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for batch in batches:
+        for batch in texts.small(batches, at):
             found = profiles.predict(texts.strings(batch.column(at)))
             yield batch.filter(pa.array([lang != UNKNOWN and score >= least for lang, score in found], pa.bool_()))
 

@@ -33,7 +33,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
-from toponymic.llm import frames, storage
+from toponymic.llm import frames, storage, texts
 
 KINDS = ("email", "ip", "phone", "card", "ssn", "name")
 ROUNDS = 8
@@ -229,7 +229,7 @@ def entities(docs: DataFrame, key: bytes, id_col: str = "doc_id", text_col: str
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         keyed = Surrogates(key)
-        for batch in batches:
+        for batch in texts.small(batches, 1):
             at, kinds, normals = [], [], []
             for i, text in enumerate(batch.column(1).to_pylist()):
                 for kind, normal in sorted({(k, n) for _, _, k, n in find(text)}) if text else ():
@@ -289,7 +289,7 @@ def replace(text: str, keyed: Surrogates, attempts: dict[tuple[str, str], int])
 def _replaced(key: bytes, names: list[str], text_at: int, attempts_at: int | None):
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         keyed = Surrogates(key)
-        for batch in batches:
+        for batch in texts.small(batches, text_at):
             items, counts = [], []
             tries = batch.column(attempts_at).to_pylist() if attempts_at is not None else [None] * batch.num_rows
             for text, own in zip(batch.column(text_at).to_pylist(), tries):

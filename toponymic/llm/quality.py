@@ -115,7 +115,7 @@ def features(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text") ->
                           + [T.StructField(c, T.LongType()) for c in _FEATURES])
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for batch in batches:
+        for batch in texts.small(batches, 1):
             table = counts(texts.utf8(batch.column(1)))
             yield pa.RecordBatch.from_arrays([batch.column(0), *(pa.array(table[:, j]) for j in range(len(_FEATURES)))],
                                              names=schema.names)

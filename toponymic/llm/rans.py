@@ -224,7 +224,7 @@ def tokenized(docs: DataFrame, path: str, end_id: int, id_col: str = "doc_id", t
     """``doc_id``, ``n``, ``ids`` (packed, end id included) of every row; map-only."""
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         coder, tool, end = word_ids(path), zstandard.ZstdCompressor(level=1), end_id.to_bytes(4, "little")
-        for batch in batches:
+        for batch in texts.small(batches, 1):
             raw = [coder.ids(t) + end for t in texts.strings(batch.column(1))]
             yield pa.RecordBatch.from_arrays(
                 [batch.column(0), pa.array([len(r) // 4 for r in raw], pa.int64()),
@@ -238,7 +238,7 @@ def tokenized(docs: DataFrame, path: str, end_id: int, id_col: str = "doc_id", t
 def _counts(size: int):
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         tool, n = zstandard.ZstdDecompressor(), np.zeros(size, dtype=np.int64)
-        for batch in batches:
+        for batch in texts.small(batches, 0):
             for packed in batch.column(0).to_pylist():
                 n += np.bincount(_unpacked(packed, tool), minlength=size)
         at = np.flatnonzero(n)
@@ -271,7 +271,7 @@ def _blocks(frequencies: np.ndarray, starts: dict[int, int], size: int):
                    **encode(np.concatenate(ids), table)}
             return pa.RecordBatch.from_arrays([pa.array([row[k]], kind) for k, kind in _ARROW.items()], names=list(_ARROW))
 
-        for batch in batches:
+        for batch in texts.small(batches, 2):
             for p, doc, packed in zip(*(c.to_pylist() for c in batch.columns)):
                 new = _unpacked(packed, tool)
                 if ids and (p != part or sum(map(len, ids)) + len(new) > size):

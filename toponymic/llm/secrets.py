@@ -75,7 +75,7 @@ def _transitions(data: bytes) -> np.ndarray:
 
 def _count(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
     tables = np.zeros((len(KINDS), _K * _K), dtype=np.int64)        # the patterns' kinds, then ordinary text
-    for batch in batches:
+    for batch in texts.small(batches, 0):
         for text, raw in zip(texts.strings(batch.column(0)), texts.utf8(batch.column(0))):
             spans = base_spans(text, raw)
             if spans:
@@ -136,7 +136,7 @@ def secret_spans(docs: DataFrame, ratios: np.ndarray, id_col: str = "doc_id", te
     kind = pa.list_(pa.struct([("kind", pa.string()), ("start", pa.int64()), ("end", pa.int64())]))
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for batch in batches:
+        for batch in texts.small(batches, 1):
             found = [[{"kind": KINDS[k], "start": s, "end": e} for s, k, e in spans(text, ratios, raw)]
                      for text, raw in zip(texts.strings(batch.column(1)), texts.utf8(batch.column(1)))]
             yield pa.RecordBatch.from_arrays([batch.column(0), pa.array(found, kind)], names=[id_col, "spans"])

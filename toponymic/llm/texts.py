@@ -12,6 +12,7 @@ from collections.abc import Iterator
 
 import numpy as np
 import pyarrow as pa
+import pyarrow.compute as pc
 import xxhash
 
 #: Bytes of text handled by one round of array operations; a longer text is a round alone.
@@ -68,6 +69,15 @@ def chunks(lengths: list[int], most: int = CHUNK_BYTES) -> Iterator[tuple[int, i
         yield lo, len(lengths)
 
 
+def small(batches: Iterator[pa.RecordBatch], column: int, most: int = 4 * CHUNK_BYTES) -> Iterator[pa.RecordBatch]:
+    """The same rows in batches of at most ``most`` bytes of text (or one row), so that a worker's memory
+    doesn't follow the number of rows that Spark puts in a batch."""
+    for batch in batches:
+        lengths = pc.fill_null(pc.binary_length(batch.column(column)), 0).to_pylist()
+        for lo, hi in chunks(lengths, most):
+            yield batch.slice(lo, hi - lo)
+
+
 def pieces(text: str, most: int | None = None) -> Iterator[str]:
     """A text in pieces of about ``most`` characters, each but the first beginning with a blank
     (a stretch without any blank stays whole), so that a very long text needs no more memory."""
