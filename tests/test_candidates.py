@@ -7,7 +7,7 @@ import pytest
 from pyspark.sql import functions as F
 
 from fixtures import docs_df, gazetteer
-from toponymic.functions.text import coded_units, NP_SPAN, ENTITY_SPAN, chunk
+from toponymic.functions.text import NP_SPAN, ENTITY_SPAN, chunk
 from toponymic.operators.candidates import (candidate_docs, candidates_from_tagged, candidates_long, token_arrays,
                                             tokens_long)
 from toponymic.operators.tokens import exact_token_matches, noun_names

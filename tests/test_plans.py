@@ -5,7 +5,7 @@ import re
 
 import pytest
 
-from toponymic.plans.queries import ORACLES, QUERIES
+from toponymic.plans.queries import QUERIES
 
 SF = "/root/testdata/sf0.001"
 pytestmark = pytest.mark.skipif(not os.path.isdir(SF), reason="driver tables not present")
@@ -65,3 +65,15 @@ def test_the_gate_comes_before_the_explode(spark, name, array):
     text = re.search(r"\(text#(\d+)|\btext#(\d+)", next(x for x in reversed(plan.split("\n")) if "doc_id#" in x and "Relation" in x))
     ident = text.group(1) or text.group(2)
     assert len(re.findall(rf"regexp_extract_all\(text#{ident}\b", plan)) <= (2 if name == "ngram_match" else 1)
+
+
+def test_a_live_session_keeps_its_settings(spark):
+    from toponymic.session import get_session
+    old = spark.conf.get("spark.sql.session.timeZone")
+    spark.conf.set("spark.sql.session.timeZone", "America/New_York")
+    try:
+        assert get_session(shuffle_partitions=77) is not None
+        assert spark.conf.get("spark.sql.session.timeZone") == "America/New_York"
+        assert spark.conf.get("spark.sql.shuffle.partitions") != "77"
+    finally:
+        spark.conf.set("spark.sql.session.timeZone", old)
