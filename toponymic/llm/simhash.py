@@ -234,7 +234,9 @@ def near_duplicates(docs: DataFrame, id_col: str = "doc_id", text_col: str = "te
     marked = storage.written(fingerprints(docs, id_col, text_col, size), "simhash")
     nodes = storage.written(_labelled(marked, id_col, bits), "components")
     least = nodes.groupBy("label").agg(F.min("id").alias("component_id"))
-    named = nodes.join(least, "label").select("fp", "component_id")
+    # written, so that both sides of the join are plain shuffles, which Spark splits where a
+    # fingerprint is shared by many documents
+    named = storage.written(nodes.join(least, "label").select("fp", "component_id"), "named")
     return marked.join(named, "fp").select(id_col, "fp", "component_id")
 
 
