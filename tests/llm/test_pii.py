@@ -110,5 +110,29 @@ def test_collisions_are_resolved(spark, monkeypatch):
     assert final["u0.x@mail0.example.com"] == "same@mail.example.com"        # the first of a group keeps its own
 
 
+def test_small_spaces_have_room(spark):
+    """All given names and all initials behind titles, and short addresses: each still gets a surrogate of its own."""
+    lines = [f"{title} {n} wrote" for title, names in zip(("Mrs", "Mr"), pii.GIVEN["latin"]) for n in names[:12]]
+    lines += [f"{title} {c} wrote" for title in ("Mr", "Ms") for c in "ABCDEFGHIJKLMNOPQRSTUVWXYZ"]
+    lines += [f"to {c}@b.example" for c in "aeiou"]
+    df = spark.createDataFrame([(i, t, None, None, None) for i, t in enumerate(lines)], SCHEMA)
+    got = {r["doc_id"]: r["text"] for r in pii.surrogate_texts(df, KEY).collect()}
+    old, new = [[t.split(" ")[1] for t in ts] for ts in (lines, [got[i] for i in range(len(lines))])]
+    assert len(set(new)) >= len(set(old)) and not set(old) & set(new)
+    assert all(len({o for o, n in zip(old, new) if n == one}) == 1 for one in new)
+    with_given = [(r, got[i]) for i, r in enumerate(lines[:24])]
+    for line, fresh in with_given:                                                # a given name stays one of its gender
+        female = line.startswith("Mrs")
+        assert set(fresh.split(" ")[1].split("-")) <= set(pii.GIVEN["latin"][0 if female else 1])
+
+
+def test_a_space_without_a_free_value_is_reported(spark, monkeypatch):
+    monkeypatch.setattr(pii, "MOST_ATTEMPTS", 2)
+    s = pii.Surrogates(KEY)
+    state = spark.createDataFrame([("ssn", str(d), s.of("ssn", str(d))) for d in range(10)], "kind string, normal string, surrogate string")
+    with pytest.raises(ValueError, match="no free surrogate"):
+        pii.exceptions(state, KEY)
+
+
 def test_empty_table(spark):
     assert pii.surrogate_texts(spark.createDataFrame([], SCHEMA), KEY).collect() == []

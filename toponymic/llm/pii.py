@@ -13,7 +13,8 @@ entity's normal form alone, so an entity has one surrogate wherever it stands:
 
 Then the corpus is checked: an entity whose surrogate another entity shares, or whose
 surrogate is itself an entity of the corpus, gets the next attempt, until none is left
-(``exceptions``). Only these rare entities are joined back to the documents that hold
+(``exceptions``). From the attempt ``GROWN`` on a name or e-mail address gets longer, so a
+small space (given names, initials) is never used up. Only these rare entities are joined back to the documents that hold
 them; everything else is replaced without a join.
 
 Defined cases: a null text stays null and has no entities; a text without entities stays
@@ -37,6 +38,11 @@ from toponymic.llm import frames, storage, texts
 
 KINDS = ("email", "ip", "phone", "card", "ssn", "name")
 ROUNDS = 8
+#: Attempts of the length of the entity; each later one is longer by a letter or a given name.
+GROWN = 2
+#: Digits and addresses keep their length, so a corpus may hold all of a space; this many
+#: attempts fail only then.
+MOST_ATTEMPTS = 100
 
 #: Given names by script and gender; the first of each pair of lists is female.
 GIVEN = {
@@ -129,7 +135,9 @@ class Surrogates:
                 a = (a + self._number(f"{label}|{n}|{r}|{b}", sizes[0])) % sizes[0]
         return f"{a:0{half}d}{b:0{n - half}d}"
 
-    def _letters(self, text: str, label: str) -> str:
+    def _letters(self, text: str, label: str, attempt: int = 0) -> str:
+        letters = [c for c in text.lower() if c.isalpha()] or ["a"]
+        text += "".join(letters[i % len(letters)] for i in range(attempt - GROWN + 1))
         out = []
         for i, c in enumerate(text):
             low = c.lower()
@@ -153,7 +161,7 @@ class Surrogates:
         if kind == "email":
             local, _, domain = normal.partition("@")
             host, _, top = domain.rpartition(".")
-            return f"{self._letters(local, label + '|' + domain)}@{self._letters(host, label)}.{top}"
+            return f"{self._letters(local, label + '|' + domain, attempt)}@{self._letters(host, label)}.{top}"
         if kind == "ip":
             return self._ip(normal, label)
         if kind == "phone":
@@ -169,10 +177,10 @@ class Surrogates:
         first, *rest = whole.split(" ")
         script, known = _GIVEN.get(first, ("latin" if rest and gender and first.isascii() else None, None))
         if script is None:
-            new = self._letters(first, f"{label}|{whole}")
+            new = self._letters(first, f"{label}|{whole}", attempt)
         else:
             names = [n for n in GIVEN[script][int(gender) if gender else known] if n != first]
-            new = names[self._number(f"{label}|given|{whole}", len(names))]
+            new = "-".join(names[self._number(f"{label}|given|{i or ''}{whole}", len(names))] for i in range(max(1, attempt - GROWN + 2)))
         return f"{gender}|" + " ".join([new, *(self._letters(w, f"{label}|{whole}") for w in rest)])
 
     def _ip(self, normal: str, label: str) -> str:
@@ -268,6 +276,9 @@ def exceptions(found: DataFrame, key: bytes) -> DataFrame | None:
         if bad.isEmpty():
             return state.where("attempt > 0").select("kind", "normal", "attempt") if moved else None
         moved = True
+        if state.agg(F.max("attempt")).first()[0] >= MOST_ATTEMPTS:
+            kinds = sorted(r["kind"] for r in bad.select("kind").distinct().collect())
+            raise ValueError(f"no free surrogate after {MOST_ATTEMPTS} attempts: {', '.join(kinds)}")
         again = (state.join(bad, ["kind", "normal"], "left_semi").select("kind", "normal", (F.col("attempt") + 1).alias("attempt"))
                  .mapInArrow(redo, "kind string, normal string, attempt int, surrogate string"))
         state = storage.written(state.join(bad, ["kind", "normal"], "left_anti").unionByName(again), "surrogates")
