@@ -134,5 +134,37 @@ def test_a_space_without_a_free_value_is_reported(spark, monkeypatch):
         pii.exceptions(state, KEY)
 
 
+def replaced(spark, lines):
+    df = spark.createDataFrame([(i, t, None, None, None) for i, t in enumerate(lines)], SCHEMA)
+    got = {r["doc_id"]: r["text"] for r in pii.surrogate_texts(df, KEY).collect()}
+    return [got[i] for i in range(len(lines))]
+
+
+def test_one_person_and_one_number_have_one_surrogate(spark):
+    lines = ["Mrs Anna Berg,", "Anna Berg,", "Dr Anna Berg,", "Mr Berg,", "James Berg,", "Mr Zorblin Kraal,", "Prof Zorblin Kraal,",
+             "+1 (476) 555-6291 x", "+14765556291 x", "(476) 555-6291 x", "+49 30 12345678 x", "+493012345678 x", "+4930 12345678 x"]
+    # enough others for attempts, and titled names that take the surrogates of some
+    lines += [f"Mr {c}," for c in "BCDFGHKLMNPRSTVZ"] + [f"Ms {c} Berg," for c in "AEIOU"]
+    got = replaced(spark, lines)
+    name = lambda i: got[i].partition(" ")[2]             # noqa: E731
+    assert got[1] == name(0) == name(2) and got[1].split()[1] == name(3) == got[4].split()[1]
+    assert name(5) == name(6) and name(5).split()[0] in pii.GIVEN["latin"][1]
+    assert got[1].split()[0] in pii.GIVEN["latin"][0] and got[4].split()[0] in pii.GIVEN["latin"][1]
+    digits = [re.sub(r"\D", "", t) for t in got[7:13]]
+    assert digits[0] == digits[1] == "1" + digits[2] and digits[3] == digits[4] == digits[5] and digits[3].startswith("49")
+    assert not {t.split(" ", 1)[1].rstrip(",") for t in lines[13:29]} & {t.split(" ", 1)[1].rstrip(",") for t in got[13:29]}
+
+
+def test_an_attempt_moves_all_forms_of_an_entity(spark):
+    s = pii.Surrogates(KEY)
+    first = [n for n in (s.of("phone", "1|14765556291"), s.of("surname", "Berg"), s.of("name", "|Anna Berg"))]
+    lines = ["+1 (476) 555-6291 x", "+14765556291 x", "476-555-6291 x", "+" + first[0][2:] + " x", "Mr Berg,", "Anna Berg,", "Mrs Anna Berg,",
+             f"Mr {first[1]},"]
+    got = replaced(spark, lines)
+    digits = [re.sub(r"\D", "", t) for t in got[:4]]
+    assert digits[0] == digits[1] == "1" + digits[2] != first[0][2:] and digits[3] != digits[0]
+    assert got[5] == got[6][4:] and got[5].split()[1] == got[4][3:] != first[1] + ","
+
+
 def test_empty_table(spark):
     assert pii.surrogate_texts(spark.createDataFrame([], SCHEMA), KEY).collect() == []

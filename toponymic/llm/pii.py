@@ -9,7 +9,11 @@ entity's normal form alone, so an entity has one surrogate wherever it stands:
   numbers never share a surrogate; separators, a country code and the validity of a
   card's check digit stay;
 * letters become letters of the same class (vowel or not), script and case; a known given name
-  becomes another of the same gender and script.
+  becomes another of the same gender and script;
+* an entity is what a reader sees: a name without its title, a number with its country code,
+  however it is written (a number without one has the form of country 1). Each word of a name
+  after the given name has a surrogate of its own, so 'Mr Smith' and 'James Smith' keep one
+  surname. A known given name that stands alone behind a title counts as a given name.
 
 Then the corpus is checked: an entity whose surrogate another entity shares, or whose
 surrogate is itself an entity of the corpus, gets the next attempt, until none is left
@@ -26,11 +30,12 @@ from __future__ import annotations
 
 import hashlib
 import hmac
+import itertools
 import re
 from collections.abc import Iterator
 
 import pyarrow as pa
-from pyspark.sql import DataFrame
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
@@ -75,6 +80,7 @@ _TITLES = {"Mrs": 0, "Ms": 0, "Miss": 0, "Frau": 0, "Madame": 0, "Señora": 0, "
 _HINT = re.compile(r"[0-9@]")
 
 Span = tuple[int, int, str, str]        # start, end, kind, normal form
+Moved = dict[tuple[str, str], tuple[int, str]]      # kind, normal form -> attempt, normal form that stands for it
 
 
 def _names(text: str) -> Iterator[Span]:
@@ -105,10 +111,30 @@ def find(text: str) -> list[Span]:
     return sorted(found + names) if names else found
 
 
+#: Country codes of one and two digits; all others have three.
+_CODES = frozenset("1 7 20 27 30 31 32 33 34 36 39 40 41 43 44 45 46 47 48 49 51 52 53 54 55 56 57 58 60 61 62 63 64 65 66 "
+                   "81 82 84 86 90 91 92 93 94 95 98".split())
+
+
 def _country(phone: str) -> int:
-    """Digits of the country code at the front of a phone number."""
-    m = re.match(r"\+(\d{1,3})(?=\D)", phone)
-    return len(m.group(1)) if m else 0
+    """Digits of the country code at the front of a phone number, whatever its format."""
+    digits = re.sub(r"\D", "", phone)
+    return next((n for n in (1, 2) if digits[:n] in _CODES), 3) if phone.startswith("+") else 0
+
+
+def _parts(normal: str) -> tuple[str, str | None, list[str]]:
+    """Gender, given name and other words of a name."""
+    gender, _, whole = normal.partition("|")
+    words = whole.split(" ")
+    return (gender, words[0], words[1:]) if len(words) > 1 or words[0] in _GIVEN else (gender, None, words)
+
+
+def checked(kind: str, normal: str) -> list[tuple[str, str]]:
+    """The entities whose surrogates must be distinct for this one to be."""
+    if kind != "name":
+        return [(kind, normal)]
+    _, given, rest = _parts(normal)
+    return [("surname", w) for w in rest] + ([(kind, normal)] if given else [])
 
 
 class Surrogates:
@@ -116,6 +142,7 @@ class Surrogates:
 
     def __init__(self, key: bytes):
         self.key = key
+        self._orders: dict[tuple[str, int], list[str]] = {}
 
     def _number(self, what: str, below: int) -> int:
         return int.from_bytes(hmac.new(self.key, what.encode(), hashlib.sha256).digest()[:16], "big") % below
@@ -155,8 +182,31 @@ class Surrogates:
             out.append(new)
         return "".join(out)
 
-    def of(self, kind: str, normal: str, attempt: int = 0) -> str:
-        """Normal form of the surrogate."""
+    def _word(self, word: str, attempt: int) -> str:
+        """A word of a name; never a known given name."""
+        for i in itertools.count():
+            new = self._letters(word, f"surname|{attempt}|{i or ''}", attempt + i // 4)
+            if not any(part in _GIVEN for part in new.split("-")):
+                return new
+
+    def _given(self, given: str, gender: str, whole: str, attempt: int) -> str:
+        """A given name: at first by a permutation of the names of its script and gender, then
+        by the whole name."""
+        script, known = _GIVEN.get(given, ("latin" if gender and given.isascii() else None, None))
+        if script is None:
+            return self._letters(given, f"given|{attempt}|{whole if attempt else ''}", attempt)
+        which = script, int(gender) if gender else known
+        if which not in self._orders:
+            self._orders[which] = sorted(GIVEN[script][which[1]], key=lambda n: self._number(f"given|{n}", 1 << 64))
+        names = self._orders[which]
+        if not attempt and given in names:
+            return names[(names.index(given) + 1) % len(names)]
+        names = [n for n in names if n != given]
+        return "-".join(names[self._number(f"given|{attempt}|{i}|{whole if attempt else given}", len(names))]
+                        for i in range(max(1, attempt - GROWN + 2)))
+
+    def of(self, kind: str, normal: str, attempt: int = 0, moved: Moved = {}) -> str:
+        """Normal form of the surrogate; ``moved`` has the attempts of a name's other words."""
         label = f"{kind}|{attempt}"
         if kind == "email":
             local, _, domain = normal.partition("@")
@@ -167,21 +217,17 @@ class Surrogates:
         if kind == "phone":
             keep, _, digits = normal.partition("|")
             n = int(keep)
-            return f"{n}|{digits[:n]}{self._digits(digits[n:], label + digits[:n])}"
+            return f"{n}|{digits[:n]}{self._digits(digits[n:], label + (digits[:n] or '1'))}"
         if kind == "card":
             body = normal[0] + self._digits(normal[1:-1], label + normal[0])
             return body + str((int(normal[-1]) - _check(normal[:-1]) + _check(body)) % 10)
         if kind == "ssn":
             return self._digits(normal, label)
-        gender, _, whole = normal.partition("|")
-        first, *rest = whole.split(" ")
-        script, known = _GIVEN.get(first, ("latin" if rest and gender and first.isascii() else None, None))
-        if script is None:
-            new = self._letters(first, f"{label}|{whole}", attempt)
-        else:
-            names = [n for n in GIVEN[script][int(gender) if gender else known] if n != first]
-            new = "-".join(names[self._number(f"{label}|given|{i or ''}{whole}", len(names))] for i in range(max(1, attempt - GROWN + 2)))
-        return f"{gender}|" + " ".join([new, *(self._letters(w, f"{label}|{whole}") for w in rest)])
+        if kind == "surname":
+            return self._word(normal, attempt)
+        gender, given, rest = _parts(normal)
+        new = [self._given(given, gender, normal.partition("|")[2], attempt)] if given else []
+        return f"{gender}|" + " ".join(new + [self._word(w, moved.get(("surname", w), (0, w))[0]) for w in rest])
 
     def _ip(self, normal: str, label: str) -> str:
         """A permutation of all addresses, walked on until the class (private, loopback,
@@ -199,9 +245,10 @@ class Surrogates:
             if _ip_class(x) == want:
                 return ".".join(map(str, x.to_bytes(4, "big")))
 
-    def shown(self, kind: str, value: str, normal: str, attempt: int = 0) -> str:
+    def shown(self, kind: str, value: str, normal: str, moved: Moved = {}) -> str:
         """The surrogate in the form of ``value``: its separators, case and grouping."""
-        new = self.of(kind, normal, attempt)
+        attempt, normal = moved.get((kind, normal), (0, normal))
+        new = self.of(kind, normal, attempt, moved)
         if kind == "email":
             return "".join(n.upper() if v.isupper() and len(n.upper()) == 1 else n for v, n in zip(value, new)) \
                 if len(value) == len(new) else new
@@ -231,7 +278,7 @@ def _check(digits: str) -> int:
 
 def entities(docs: DataFrame, key: bytes, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
     """``id_col``, ``kind``, ``normal``, ``surrogate`` (first attempt), once for each
-    entity of each row; map-only."""
+    ``checked`` entity of each row; map-only."""
     schema = T.StructType([T.StructField(id_col, docs.schema[id_col].dataType)]
                           + [T.StructField(c, T.StringType()) for c in ("kind", "normal", "surrogate")])
 
@@ -240,7 +287,7 @@ def entities(docs: DataFrame, key: bytes, id_col: str = "doc_id", text_col: str
         for batch in texts.small(batches, 1):
             at, kinds, normals = [], [], []
             for i, text in enumerate(batch.column(1).to_pylist()):
-                for kind, normal in sorted({(k, n) for _, _, k, n in find(text)}) if text else ():
+                for kind, normal in sorted({c for _, _, k, n in find(text) for c in checked(k, n)}) if text else ():
                     at.append(i), kinds.append(kind), normals.append(normal)
             new = [keyed.of(k, n) for k, n in zip(kinds, normals)]
             yield pa.RecordBatch.from_arrays(
@@ -251,10 +298,11 @@ def entities(docs: DataFrame, key: bytes, id_col: str = "doc_id", text_col: str
 
 
 def exceptions(found: DataFrame, key: bytes) -> DataFrame | None:
-    """``kind``, ``normal``, ``attempt`` of the entities whose first surrogate collides, or
-    None if there are none. ``found``: the distinct entities with first surrogates (a
-    written table). A phone number's country code and a name's gender are no part of what a
-    reader sees, so they don't tell surrogates apart."""
+    """``kind``, ``normal``, ``attempt``, ``own`` of the entities that don't take their first
+    surrogate, or None if there are none. ``found``: the distinct entities with first
+    surrogates (a written table). A phone number's mark of its country code and a name's gender
+    are no part of what a reader sees: normal forms seen alike are one entity, for which the
+    least of them stands (``own``; a number keeps its own form)."""
     def redo(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         keyed = Surrogates(key)
         for batch in batches:
@@ -263,10 +311,16 @@ def exceptions(found: DataFrame, key: bytes) -> DataFrame | None:
             yield pa.RecordBatch.from_arrays([*batch.columns, pa.array(new, pa.string())],
                                              names=["kind", "normal", "attempt", "surrogate"])
 
-    seen = lambda c: F.regexp_replace(F.col(c), r"^\d*\|", "")                # noqa: E731
-    known = found.select("kind", seen("normal").alias("shown")).distinct()
-    state = found.select("kind", "normal", F.lit(0).alias("attempt"), "surrogate")
-    moved = False
+    def seen(c: str) -> Column:
+        national = (F.col("kind") == "phone") & F.col(c).startswith("0|")
+        return F.when(national, F.concat(F.lit("1"), F.substring(c, 3, 99))).otherwise(F.regexp_replace(c, r"^\d*\|", ""))
+
+    words = lambda kind: found.where(F.col("kind").isin("name", "surname")).select(       # noqa: E731
+        F.lit(kind).alias("kind"), F.explode(F.split(seen("normal"), " ")).alias("shown"))
+    known = found.select("kind", seen("normal").alias("shown")).union(words("name")).union(words("surname")).distinct()
+    groups = storage.written(found.groupBy("kind", seen("normal").alias("form")).agg(
+        F.min(F.struct("normal", "surrogate")).alias("own")).select("kind", "form", "own.*"), "groups")
+    state = groups.select("kind", "normal", F.lit(0).alias("attempt"), "surrogate")
     while True:
         shown = state.withColumn("shown", seen("surrogate"))
         real = shown.join(known, ["kind", "shown"], "left_semi").select("kind", "normal")
@@ -274,17 +328,23 @@ def exceptions(found: DataFrame, key: bytes) -> DataFrame | None:
         twice = shown.join(first, ["kind", "shown"]).where("normal <> first").select("kind", "normal")
         bad = storage.written(real.unionByName(twice).distinct(), "collisions")
         if bad.isEmpty():
-            return state.where("attempt > 0").select("kind", "normal", "attempt") if moved else None
-        moved = True
+            break
         if state.agg(F.max("attempt")).first()[0] >= MOST_ATTEMPTS:
             kinds = sorted(r["kind"] for r in bad.select("kind").distinct().collect())
             raise ValueError(f"no free surrogate after {MOST_ATTEMPTS} attempts: {', '.join(kinds)}")
         again = (state.join(bad, ["kind", "normal"], "left_semi").select("kind", "normal", (F.col("attempt") + 1).alias("attempt"))
                  .mapInArrow(redo, "kind string, normal string, attempt int, surrogate string"))
         state = storage.written(state.join(bad, ["kind", "normal"], "left_anti").unionByName(again), "surrogates")
+    own = groups.join(state.select("kind", F.col("normal"), "attempt"), ["kind", "normal"]).select(
+        "kind", "form", F.col("normal").alias("own"), "attempt", seen("surrogate").alias("first"))
+    moved = found.withColumn("form", seen("normal")).join(own, ["kind", "form"]).where(
+        (F.col("attempt") > 0) | ((F.col("kind") == "name") & (seen("surrogate") != F.col("first"))))
+    moved = storage.written(moved.select("kind", "normal", "attempt", F.when(F.col("kind") == "name", F.col("own"))
+                                         .otherwise(F.col("normal")).alias("own")), "moved")
+    return None if moved.isEmpty() else moved
 
 
-def replace(text: str, keyed: Surrogates, attempts: dict[tuple[str, str], int]) -> tuple[str, list[Span]]:
+def replace(text: str, keyed: Surrogates, moved: Moved) -> tuple[str, list[Span]]:
     """The text with surrogates, and the spans they replace."""
     found = find(text)
     if not found:
@@ -292,7 +352,7 @@ def replace(text: str, keyed: Surrogates, attempts: dict[tuple[str, str], int])
     out, at = [], 0
     for start, end, kind, normal in found:
         out.append(text[at:start])
-        out.append(keyed.shown(kind, text[start:end], normal, attempts.get((kind, normal), 0)))
+        out.append(keyed.shown(kind, text[start:end], normal, moved))
         at = end
     return "".join(out) + text[at:], found
 
@@ -304,8 +364,8 @@ def _replaced(key: bytes, names: list[str], text_at: int, attempts_at: int | Non
             items, counts = [], []
             tries = batch.column(attempts_at).to_pylist() if attempts_at is not None else [None] * batch.num_rows
             for text, own in zip(batch.column(text_at).to_pylist(), tries):
-                attempts = {(e["kind"], e["normal"]): e["attempt"] for e in own or ()}
-                new, found = replace(text, keyed, attempts) if text else (text, [])
+                moved = {(e["kind"], e["normal"]): (e["attempt"], e["own"]) for e in own or ()}
+                new, found = replace(text, keyed, moved) if text else (text, [])
                 items.append(new)
                 counts.append([sum(k == kind for _, _, k, _ in found) for kind in KINDS])
             kept = [c for i, c in enumerate(batch.columns) if i != attempts_at]
@@ -335,6 +395,6 @@ def surrogate_texts(docs: DataFrame, key: bytes, id_col: str = "doc_id", text_co
         return docs.mapInArrow(_replaced(key, schema.names, text_at, None), schema)
     own, attempts = frames.fresh(docs, "__own"), frames.fresh(docs, "__attempts")
     tries = (found.join(moved, ["kind", "normal"]).groupBy(F.col(id_col).alias(own))
-             .agg(F.collect_set(F.struct("kind", "normal", "attempt")).alias(attempts)))
+             .agg(F.collect_set(F.struct("kind", "normal", "attempt", "own")).alias(attempts)))
     joined = docs.join(tries, F.col(id_col).eqNullSafe(F.col(own)), "left").select(*docs.columns, attempts)
     return joined.mapInArrow(_replaced(key, schema.names, text_at, len(docs.columns)), schema)
