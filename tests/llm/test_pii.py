@@ -166,5 +166,23 @@ def test_an_attempt_moves_all_forms_of_an_entity(spark):
     assert got[5] == got[6][4:] and got[5].split()[1] == got[4][3:] != first[1] + ","
 
 
+@pytest.mark.parametrize("text,want", [
+    ("Mr O'Brien left", "O'Brien"), ("Mr O’Neill.", "O’Neill"), ("Anna Smith-Jones said", "Anna Smith-Jones"),
+    ("Frau Müller-Lüdenscheidt", "Müller-Lüdenscheidt"), ("Mr Smith's dog", "Smith"), ("Anna Berg’s dog", "Anna Berg"),
+    ("Mrs D'Angelo-O'Hara's", "D'Angelo-O'Hara"), ("'Mr Smith' and Dr Lee-", "Smith")])
+def test_names_with_marks_are_whole(text, want):
+    assert pii.find(text)[0][3].partition("|")[2] == want
+
+
+def test_no_part_of_a_marked_name_remains(spark):
+    lines = ["Mr O'Brien wrote", "Mr O'Connor wrote", "Anna Smith-Jones wrote", "Frau Müller-Lüdenscheidt wrote", "Mr Brien's wrote"]
+    got = replaced(spark, lines)
+    for old, new in zip(lines, got):
+        assert new.endswith(" wrote")
+        for part in re.findall(r"\w{3,}", old)[:-1]:
+            assert part == "Frau" or part not in new
+    assert got[0] != got[1] and re.fullmatch(r"Mr \w'\w{5} wrote", got[0]) and re.fullmatch(r"Mr \w{5}'s wrote", got[4])
+
+
 def test_empty_table(spark):
     assert pii.surrogate_texts(spark.createDataFrame([], SCHEMA), KEY).collect() == []

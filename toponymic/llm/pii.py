@@ -63,7 +63,8 @@ _LETTERS = [("aeiou", "bcdfghklmnprstvz"), ("àáâäèéêëìíîïòóôöù
             ("аеиоу", "бвгдзклмнпрст"), ("αειου", "βγδζκλμνπρσ")]
 _CLASS = {c: letters for pair in _LETTERS for letters in pair for c in letters}
 
-_WORD = r"[^\W\d_][^\W\d_'’-]*"
+#: Letters, with single apostrophes or hyphens between them; a possessive s is no part.
+_WORD = r"[^\W\d_](?:(?:-|['’](?![sS]\b))?[^\W\d_])*"
 _FIND = re.compile("|".join((
     r"(?P<email>[\w.+%-]+@(?:[^\W_](?:[\w-]*[^\W_])?\.)+[^\W\d_]{2,})",
     r"(?P<ip>(?<!\w)(?<!\d\.)(?:(?:25[0-5]|2[0-4]\d|1?\d?\d)\.){3}(?:25[0-5]|2[0-4]\d|1?\d?\d)(?!\w|\.\d))",
