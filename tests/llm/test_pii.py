@@ -184,5 +184,29 @@ def test_no_part_of_a_marked_name_remains(spark):
     assert got[0] != got[1] and re.fullmatch(r"Mr \w'\w{5} wrote", got[0]) and re.fullmatch(r"Mr \w{5}'s wrote", got[4])
 
 
+@pytest.mark.parametrize("text,want", [
+    ("said John Smith and Mary Johnson, Michael Brown.", ["|John Smith", "|Mary Johnson", "|Michael Brown"]),
+    ("Anna Maria Berg, Jean-Pierre Dupont", ["|Anna Maria Berg", "|Jean-Pierre Dupont"]), ("Priya Sharma met Mehmet Yılmaz", ["|Priya Sharma", "|Mehmet Yılmaz"]),
+    ("Дмитро Коваль и Ольга Петрова", ["|Дмитро Коваль", "|Ольга Петрова"]), ("محمد الأنصاري قال", ["|محمد الأنصاري"]), ("محمد قال", []),
+    ("Herr 田中 und Dr محمد", ["1|田中", "|محمد"]), ("The Quick Brown fox John ran, Mary went", []), ("Mr John Smith", ["1|John Smith"]),
+    ("Xanthor Smith", []), ("Zebedee Quill", [])])
+def test_names_of_the_table_are_found(text, want):
+    assert [n for _, _, k, n in pii.find(text) if k == "name"] == want
+
+
+def test_a_table_adds_given_names(spark, monkeypatch):
+    lines = ["by Xanthor Smith here", "by Mr Smith here", "by Zebedee Quill here", "by Ἀχιλλεύς Νέστωρ here", "by Nobody Known here"]
+    names = spark.createDataFrame([("Xanthor", "latin", 1), ("Zebedee", "latin", 0), ("Zebedee", "latin", 1), ("Ἀχιλλεύς", "other", None), (None, None, None)],
+                                  "name string, script string, gender int")
+    df = spark.createDataFrame([(i, t, None, None, None) for i, t in enumerate(lines)], SCHEMA)
+    got = {r["doc_id"]: r["text"].split(" ") for r in pii.surrogate_texts(df, KEY, names=names).collect()}
+    assert got[0][1] in pii.GIVEN["latin"][1] and got[0][2] == got[1][2] != "Smith"
+    assert got[2][1] in {*pii.GIVEN["latin"][0], *pii.GIVEN["latin"][1]} and got[2][2] != "Quill"
+    assert got[3][1] != "Ἀχιλλεύς" and got[3][2] != "Νέστωρ" and got[4] == lines[4].split(" ")
+    monkeypatch.setattr(pii, "MOST_NAMES", 2)
+    with pytest.raises(ValueError, match="given names"):
+        pii.surrogate_texts(df, KEY, names=names)
+
+
 def test_empty_table(spark):
     assert pii.surrogate_texts(spark.createDataFrame([], SCHEMA), KEY).collect() == []

@@ -2,7 +2,8 @@
 
 Entities: e-mail addresses, IPv4 addresses, phone numbers, card and account numbers (13 to
 19 digits), social security numbers (3-2-4 digits) and personal names (after a title, or
-a known given name with a surname). A surrogate depends on a secret key, the type and the
+known given names with a surname; ``given`` has the names that are known, a table can add
+more). A surrogate depends on a secret key, the type and the
 entity's normal form alone, so an entity has one surrogate wherever it stands:
 
 * digits go through a keyed Feistel permutation of all numbers of their length, so two
@@ -40,6 +41,7 @@ from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
 from toponymic.llm import frames, storage, texts
+from toponymic.llm.given import GIVEN
 
 KINDS = ("email", "ip", "phone", "card", "ssn", "name")
 ROUNDS = 8
@@ -49,14 +51,22 @@ GROWN = 2
 #: attempts fail only then.
 MOST_ATTEMPTS = 100
 
-#: Given names by script and gender; the first of each pair of lists is female.
-GIVEN = {
-    "latin": (("Alice", "Anna", "Maria", "Laura", "Julia", "Emma", "Claire", "Sofia", "Elena", "Ingrid", "Carmen", "Sarah"),
-              ("James", "Peter", "Thomas", "Daniel", "Martin", "Carlos", "Pierre", "Stefan", "Robert", "David", "Miguel", "Lukas")),
-    "cyrillic": (("Анна", "Мария", "Елена", "Ольга", "Ирина", "Наталья"), ("Иван", "Пётр", "Сергей", "Алексей", "Дмитрий", "Николай")),
-    "greek": (("Μαρία", "Ελένη", "Άννα", "Σοφία"), ("Γιώργος", "Νίκος", "Κώστας", "Δημήτρης")),
-}
-_GIVEN = {name: (script, gender) for script, both in GIVEN.items() for gender, names in enumerate(both) for name in names}
+#: Names that detection knows: script and gender (None: both). Surrogates are drawn from ``GIVEN``.
+Known = dict[str, tuple[str, int | None]]
+
+
+def _known() -> Known:
+    known: Known = {}
+    for script, both in GIVEN.items():
+        for gender, names in enumerate(both):
+            known |= {n: (script, None if n in known else gender) for n in names}
+    return known
+
+
+_GIVEN = _known()
+#: Bounds of a table of further given names, under which it is sent to all tasks.
+MOST_NAMES = 500_000
+MOST_NAME_BYTES = 16 << 20
 
 #: Letters by script: vowels, then the others. A surrogate keeps class, script and case.
 _LETTERS = [("aeiou", "bcdfghklmnprstvz"), ("àáâäèéêëìíîïòóôöùúûü", "çñß"),
@@ -74,8 +84,10 @@ _FIND = re.compile("|".join((
     r"(?P<ssn>(?<![\w-])\d{3}-\d{2}-\d{4}(?![\w-]))",
 )))
 _NAME = re.compile(
-    r"\b(?P<title>Mrs|Mr|Ms|Miss|Dr|Prof|Herr|Frau|Madame|Monsieur|Señora|Señor|Sra|Sr)(?P<gap>\.? )(?P<titled>" + _WORD + r"(?: " + _WORD + r"){0,2})"
-    r"|\b(?P<given>" + "|".join(map(re.escape, sorted(_GIVEN, key=len, reverse=True))) + r") (?P<surname>" + _WORD + r")\b")
+    r"\b(?P<title>Mrs|Mr|Ms|Miss|Dr|Prof|Herr|Frau|Madame|Monsieur|Señora|Señor|Sra|Sr)\.? (?=(?P<titled>" + _WORD + r"(?: " + _WORD + r"){0,2}))")
+#: A word that may be a given name, before another word; then the words after it.
+_FIRST = re.compile(r"\b[^\W\d_a-zß-öø-ÿа-яёα-ωά-ώ](?:(?:-|['’](?![sS]\b))?[^\W\d_])*(?= [^\W\d_])")
+_AFTER = re.compile(r"(?: " + _WORD + r"\b){1,4}")
 _TITLES = {"Mrs": 0, "Ms": 0, "Miss": 0, "Frau": 0, "Madame": 0, "Señora": 0, "Sra": 0,
            "Mr": 1, "Herr": 1, "Monsieur": 1, "Señor": 1, "Sr": 1}
 _HINT = re.compile(r"[0-9@]")
@@ -84,21 +96,50 @@ Span = tuple[int, int, str, str]        # start, end, kind, normal form
 Moved = dict[tuple[str, str], tuple[int, str]]      # kind, normal form -> attempt, normal form that stands for it
 
 
-def _names(text: str) -> Iterator[Span]:
+def _given_in(known: Known, word: str) -> tuple[str, int | None] | None:
+    """Script and gender of a given name, a compound one by its first part."""
+    return known.get(word) or (known.get(word.partition("-")[0]) if "-" in word else None)
+
+
+def _names(text: str, known: Known) -> Iterator[Span]:
+    titled = []
     for m in _NAME.finditer(text):
-        start, end = m.span("titled") if m.group("titled") else (m.start("given"), m.end())
+        start, end = m.span("titled")
         words = text[start:end].split(" ")
-        while words and not words[-1][0].isupper():                  # a name ends with its last capital word
+        while words and words[-1][0].islower():                      # a name ends with its last capital word
             words.pop()
-        if not words or not all(w[0].isupper() for w in words):
-            words = words[:next((i for i, w in enumerate(words) if not w[0].isupper()), len(words))]
-        if not words or (m.group("given") and len(words) < 2):
+        words = words[:next((i for i, w in enumerate(words) if w[0].islower() or _NAME.match(w + " x")), len(words))]
+        if words:
+            titled.append((m.start(), start + len(" ".join(words))))
+            yield start, titled[-1][1], "name", f"{_TITLES.get(m.group('title'), '')}|" + " ".join(words)
+    at = end = 0                                                     # next titled name, end of the last plain one
+    for m in _FIRST.finditer(text):
+        if m.start() < end or not _given_in(known, m.group()):
             continue
-        gender = _TITLES.get(m.group("title") or "", "")
-        yield start, start + len(" ".join(words)), "name", f"{gender}|" + " ".join(words)
-
-
-def find(text: str) -> list[Span]:
+        while at < len(titled) and titled[at][1] <= m.start():
+            at += 1
+        after = _AFTER.match(text, m.end())
+        words = after.group()[1:].split(" ") if after else []
+        n = 0                                                        # further given names, then one surname
+        while n < len(words) and _follows(known, m.group(), words[n]):
+            n += 1
+            if not _given_in(known, words[n - 1]):
+                break
+        end_of = m.end() + len(" ".join(["", *words[:n]]))
+        if n and not (at < len(titled) and titled[at][0] < end_of):
+            end = end_of
+            yield m.start(), end, "name", "|" + text[m.start():end]
+
+
+def _follows(known: Known, given: str, word: str) -> bool:
+    """Whether a word can follow a given name: a capital one; in a script without capitals only
+    another given name, or an Arabic name with the article."""
+    if given[0].isupper():
+        return word[0].isupper()
+    return word in known or word.startswith("\u0627\u0644") and len(word) > 3
+
+
+def find(text: str, known: Known = _GIVEN) -> list[Span]:
     """Entities of a text, leftmost first, without overlaps."""
     found: list[Span] = []
     if _HINT.search(text):
@@ -108,7 +149,7 @@ def find(text: str) -> list[Span]:
             if kind == "phone":
                 normal = f"{_country(value)}|{normal}"
             found.append((m.start(), m.end(), kind, normal))
-    names = [n for n in _names(text) if not any(s < n[1] and n[0] < e for s, e, _, _ in found)]
+    names = [n for n in _names(text, known) if not any(s < n[1] and n[0] < e for s, e, _, _ in found)]
     return sorted(found + names) if names else found
 
 
@@ -123,26 +164,27 @@ def _country(phone: str) -> int:
     return next((n for n in (1, 2) if digits[:n] in _CODES), 3) if phone.startswith("+") else 0
 
 
-def _parts(normal: str) -> tuple[str, str | None, list[str]]:
+def _parts(normal: str, known: Known) -> tuple[str, str | None, list[str]]:
     """Gender, given name and other words of a name."""
     gender, _, whole = normal.partition("|")
     words = whole.split(" ")
-    return (gender, words[0], words[1:]) if len(words) > 1 or words[0] in _GIVEN else (gender, None, words)
+    return (gender, words[0], words[1:]) if len(words) > 1 or _given_in(known, words[0]) else (gender, None, words)
 
 
-def checked(kind: str, normal: str) -> list[tuple[str, str]]:
+def checked(kind: str, normal: str, known: Known = _GIVEN) -> list[tuple[str, str]]:
     """The entities whose surrogates must be distinct for this one to be."""
     if kind != "name":
         return [(kind, normal)]
-    _, given, rest = _parts(normal)
+    _, given, rest = _parts(normal, known)
     return [("surname", w) for w in rest] + ([(kind, normal)] if given else [])
 
 
 class Surrogates:
     """Keyed replacements of normal forms."""
 
-    def __init__(self, key: bytes):
+    def __init__(self, key: bytes, known: Known | None = None):
         self.key = key
+        self.known = known or _GIVEN
         self._orders: dict[tuple[str, int], list[str]] = {}
 
     def _number(self, what: str, below: int) -> int:
@@ -187,16 +229,16 @@ class Surrogates:
         """A word of a name; never a known given name."""
         for i in itertools.count():
             new = self._letters(word, f"surname|{attempt}|{i or ''}", attempt + i // 4)
-            if not any(part in _GIVEN for part in new.split("-")):
+            if not any(part in self.known for part in new.split("-")):
                 return new
 
     def _given(self, given: str, gender: str, whole: str, attempt: int) -> str:
         """A given name: at first by a permutation of the names of its script and gender, then
         by the whole name."""
-        script, known = _GIVEN.get(given, ("latin" if gender and given.isascii() else None, None))
-        if script is None:
+        script, of_name = _given_in(self.known, given) or ("latin" if gender and given.isascii() else None, None)
+        if script not in GIVEN:
             return self._letters(given, f"given|{attempt}|{whole if attempt else ''}", attempt)
-        which = script, int(gender) if gender else known
+        which = script, int(gender) if gender else self._number(f"gender|{given}", 2) if of_name is None else of_name
         if which not in self._orders:
             self._orders[which] = sorted(GIVEN[script][which[1]], key=lambda n: self._number(f"given|{n}", 1 << 64))
         names = self._orders[which]
@@ -226,7 +268,7 @@ class Surrogates:
             return self._digits(normal, label)
         if kind == "surname":
             return self._word(normal, attempt)
-        gender, given, rest = _parts(normal)
+        gender, given, rest = _parts(normal, self.known)
         new = [self._given(given, gender, normal.partition("|")[2], attempt)] if given else []
         return f"{gender}|" + " ".join(new + [self._word(w, moved.get(("surname", w), (0, w))[0]) for w in rest])
 
@@ -277,18 +319,32 @@ def _check(digits: str) -> int:
 
 # ---------------------------------------------------------------- the operator
 
-def entities(docs: DataFrame, key: bytes, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
+def known_names(names: DataFrame) -> Known:
+    """The built-in given names and those of a table: ``name``, ``script`` (one of ``GIVEN``,
+    or any other, whose names get surrogates letter by letter), ``gender`` (0 female, 1 male,
+    null both). Rows and bytes are counted before the table leaves the executors."""
+    rows = names.where("name is not null and name <> ''").groupBy("name").agg(
+        F.min("script").alias("script"), F.min("gender").alias("low"), F.max("gender").alias("high"),
+        F.count_if(F.col("gender").isNull()).alias("open"))
+    n, size = rows.agg(F.count("*"), F.coalesce(F.sum(F.octet_length("name") + F.octet_length(F.coalesce("script", F.lit("")))), F.lit(0))).first()
+    if n > MOST_NAMES or size > MOST_NAME_BYTES:
+        raise ValueError(f"{n} given names of {size} bytes; at most {MOST_NAMES} of {MOST_NAME_BYTES}")
+    return _GIVEN | {r["name"]: (r["script"] or "", None if r["open"] or r["low"] != r["high"] else int(r["low"])) for r in rows.collect()}
+
+
+def entities(docs: DataFrame, key: bytes, id_col: str = "doc_id", text_col: str = "text",
+             known: Known | None = None) -> DataFrame:
     """``id_col``, ``kind``, ``normal``, ``surrogate`` (first attempt), once for each
     ``checked`` entity of each row; map-only."""
     schema = T.StructType([T.StructField(id_col, docs.schema[id_col].dataType)]
                           + [T.StructField(c, T.StringType()) for c in ("kind", "normal", "surrogate")])
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        keyed = Surrogates(key)
+        keyed = Surrogates(key, known)
         for batch in texts.small(batches, 1):
             at, kinds, normals = [], [], []
             for i, text in enumerate(batch.column(1).to_pylist()):
-                for kind, normal in sorted({c for _, _, k, n in find(text) for c in checked(k, n)}) if text else ():
+                for kind, normal in sorted({c for _, _, k, n in find(text, keyed.known) for c in checked(k, n, keyed.known)}) if text else ():
                     at.append(i), kinds.append(kind), normals.append(normal)
             new = [keyed.of(k, n) for k, n in zip(kinds, normals)]
             yield pa.RecordBatch.from_arrays(
@@ -298,14 +354,14 @@ def entities(docs: DataFrame, key: bytes, id_col: str = "doc_id", text_col: str
     return docs.select(id_col, text_col).mapInArrow(run, schema)
 
 
-def exceptions(found: DataFrame, key: bytes) -> DataFrame | None:
+def exceptions(found: DataFrame, key: bytes, names: Known | None = None) -> DataFrame | None:
     """``kind``, ``normal``, ``attempt``, ``own`` of the entities that don't take their first
     surrogate, or None if there are none. ``found``: the distinct entities with first
     surrogates (a written table). A phone number's mark of its country code and a name's gender
     are no part of what a reader sees: normal forms seen alike are one entity, for which the
     least of them stands (``own``; a number keeps its own form)."""
     def redo(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        keyed = Surrogates(key)
+        keyed = Surrogates(key, names)
         for batch in batches:
             kinds, normals, attempts = (c.to_pylist() for c in batch.columns)
             new = [keyed.of(k, n, a) for k, n, a in zip(kinds, normals, attempts)]
@@ -347,7 +403,7 @@ def exceptions(found: DataFrame, key: bytes) -> DataFrame | None:
 
 def replace(text: str, keyed: Surrogates, moved: Moved) -> tuple[str, list[Span]]:
     """The text with surrogates, and the spans they replace."""
-    found = find(text)
+    found = find(text, keyed.known)
     if not found:
         return text, found
     out, at = [], 0
@@ -358,9 +414,9 @@ def replace(text: str, keyed: Surrogates, moved: Moved) -> tuple[str, list[Span]
     return "".join(out) + text[at:], found
 
 
-def _replaced(key: bytes, names: list[str], text_at: int, attempts_at: int | None):
+def _replaced(key: bytes, names: list[str], text_at: int, attempts_at: int | None, known: Known | None):
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        keyed = Surrogates(key)
+        keyed = Surrogates(key, known)
         for batch in texts.small(batches, text_at):
             items, counts = [], []
             tries = batch.column(attempts_at).to_pylist() if attempts_at is not None else [None] * batch.num_rows
@@ -379,23 +435,26 @@ def _replaced(key: bytes, names: list[str], text_at: int, attempts_at: int | Non
 FOUND = "pii_found"
 
 
-def surrogate_texts(docs: DataFrame, key: bytes, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
+def surrogate_texts(docs: DataFrame, key: bytes, id_col: str = "doc_id", text_col: str = "text",
+                    names: DataFrame | None = None) -> DataFrame:
     """``docs`` with surrogates in ``text_col`` and ``FOUND`` (numbers of entities by ``KINDS``).
 
     One pass gathers the distinct entities (narrow rows) for the collision check, the
     other replaces. A column of the name ``FOUND`` is replaced. The documents are joined only with the exceptions, and only if there
-    are any; Spark chooses the join by their measured size.
+    are any; Spark chooses the join by their measured size. ``names``: further given names to
+    detect (``known_names``).
     """
     docs = docs.drop(FOUND)
-    found = storage.written(entities(docs, key, id_col, text_col), "entities")
+    known = None if names is None else known_names(names)
+    found = storage.written(entities(docs, key, id_col, text_col, known), "entities")
     distinct = storage.written(found.select("kind", "normal", "surrogate").distinct(), "distinct")
-    moved = exceptions(distinct, key)
+    moved = exceptions(distinct, key, known)
     schema = T.StructType([*docs.schema.fields, T.StructField(FOUND, T.ArrayType(T.IntegerType()))])
     text_at = docs.columns.index(text_col)
     if moved is None:
-        return docs.mapInArrow(_replaced(key, schema.names, text_at, None), schema)
+        return docs.mapInArrow(_replaced(key, schema.names, text_at, None, known), schema)
     own, attempts = frames.fresh(docs, "__own"), frames.fresh(docs, "__attempts")
     tries = (found.join(moved, ["kind", "normal"]).groupBy(F.col(id_col).alias(own))
              .agg(F.collect_set(F.struct("kind", "normal", "attempt", "own")).alias(attempts)))
     joined = docs.join(tries, F.col(id_col).eqNullSafe(F.col(own)), "left").select(*docs.columns, attempts)
-    return joined.mapInArrow(_replaced(key, schema.names, text_at, len(docs.columns)), schema)
+    return joined.mapInArrow(_replaced(key, schema.names, text_at, len(docs.columns), known), schema)
