@@ -110,8 +110,10 @@ def test_collisions_are_resolved(spark, monkeypatch):
     assert final["u0.x@mail0.example.com"] == "same@mail.example.com"        # the first of a group keeps its own
 
 
-def test_small_spaces_have_room(spark):
+@pytest.mark.parametrize("most", [0, 100_000])
+def test_small_spaces_have_room(spark, monkeypatch, most):
     """All given names and all initials behind titles, and short addresses: each still gets a surrogate of its own."""
+    monkeypatch.setattr(pii, "MOST_MOVED", most)                      # joined, or sent to all tasks
     lines = [f"{title} {n} wrote" for title, names in zip(("Mrs", "Mr"), pii.GIVEN["latin"]) for n in names[:12]]
     lines += [f"{title} {c} wrote" for title in ("Mr", "Ms") for c in "ABCDEFGHIJKLMNOPQRSTUVWXYZ"]
     lines += [f"to {c}@b.example" for c in "aeiou"]

@@ -19,8 +19,8 @@ entity's normal form alone, so an entity has one surrogate wherever it stands:
 Then the corpus is checked: an entity whose surrogate another entity shares, or whose
 surrogate is itself an entity of the corpus, gets the next attempt, until none is left
 (``exceptions``). From the attempt ``GROWN`` on a name or e-mail address gets longer, so a
-small space (given names, initials) is never used up. Only these rare entities are joined back to the documents that hold
-them; everything else is replaced without a join.
+small space (given names, initials) is never used up. Only these rare entities are sent to all tasks or, if there are many, joined
+back to the documents that hold them; everything else is replaced without a join.
 
 Defined cases: a null text stays null and has no entities; a text without entities stays
 as it is; overlapping candidates go to the leftmost, then to the first type above; equal
@@ -67,6 +67,9 @@ _GIVEN = _known()
 #: Bounds of a table of further given names, under which it is sent to all tasks.
 MOST_NAMES = 500_000
 MOST_NAME_BYTES = 16 << 20
+#: Bounds of the moved entities, under which they are sent to all tasks instead of joined to the documents.
+MOST_MOVED = 100_000
+MOST_MOVED_BYTES = 8 << 20
 
 #: Letters by script: vowels, then the others. A surrogate keeps class, script and case.
 _LETTERS = [("aeiou", "bcdfghklmnprstvz"), ("àáâäèéêëìíîïòóôöùúûü", "çñß"),
@@ -375,8 +378,11 @@ def exceptions(found: DataFrame, key: bytes, names: Known | None = None) -> Data
     words = lambda kind: found.where(F.col("kind").isin("name", "surname")).select(       # noqa: E731
         F.lit(kind).alias("kind"), F.explode(F.split(seen("normal"), " ")).alias("shown"))
     known = found.select("kind", seen("normal").alias("shown")).union(words("name")).union(words("surname")).distinct()
-    groups = storage.written(found.groupBy("kind", seen("normal").alias("form")).agg(
-        F.min(F.struct("normal", "surrogate")).alias("own")).select("kind", "form", "own.*"), "groups")
+    several = F.col("kind").isin("name", "phone")                     # kinds with several forms of one entity
+    groups = found.where(several).groupBy("kind", seen("normal").alias("form")).agg(
+        F.min(F.struct("normal", "surrogate")).alias("own")).select("kind", "form", "own.*")
+    groups = storage.written(found.where(~several).select("kind", F.col("normal").alias("form"), "normal", "surrogate")
+                             .unionByName(groups), "groups")
     state = groups.select("kind", "normal", F.lit(0).alias("attempt"), "surrogate")
     while True:
         shown = state.withColumn("shown", seen("surrogate"))
@@ -414,14 +420,14 @@ def replace(text: str, keyed: Surrogates, moved: Moved) -> tuple[str, list[Span]
     return "".join(out) + text[at:], found
 
 
-def _replaced(key: bytes, names: list[str], text_at: int, attempts_at: int | None, known: Known | None):
+def _replaced(key: bytes, names: list[str], text_at: int, attempts_at: int | None, known: Known | None, everywhere: Moved = {}):
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         keyed = Surrogates(key, known)
         for batch in texts.small(batches, text_at):
             items, counts = [], []
             tries = batch.column(attempts_at).to_pylist() if attempts_at is not None else [None] * batch.num_rows
             for text, own in zip(batch.column(text_at).to_pylist(), tries):
-                moved = {(e["kind"], e["normal"]): (e["attempt"], e["own"]) for e in own or ()}
+                moved = {(e["kind"], e["normal"]): (e["attempt"], e["own"]) for e in own} if own else everywhere
                 new, found = replace(text, keyed, moved) if text else (text, [])
                 items.append(new)
                 counts.append([sum(k == kind for _, _, k, _ in found) for kind in KINDS])
@@ -441,7 +447,7 @@ def surrogate_texts(docs: DataFrame, key: bytes, id_col: str = "doc_id", text_co
 
     One pass gathers the distinct entities (narrow rows) for the collision check, the
     other replaces. A column of the name ``FOUND`` is replaced. The documents are joined only with the exceptions, and only if there
-    are any; Spark chooses the join by their measured size. ``names``: further given names to
+    are more of them than are sent to all tasks; Spark chooses the join by their measured size. ``names``: further given names to
     detect (``known_names``).
     """
     docs = docs.drop(FOUND)
@@ -453,6 +459,10 @@ def surrogate_texts(docs: DataFrame, key: bytes, id_col: str = "doc_id", text_co
     text_at = docs.columns.index(text_col)
     if moved is None:
         return docs.mapInArrow(_replaced(key, schema.names, text_at, None, known), schema)
+    n, size = moved.agg(F.count("*"), F.sum(F.octet_length("normal") + F.octet_length("own"))).first()
+    if n <= MOST_MOVED and size <= MOST_MOVED_BYTES:
+        everywhere = {(r["kind"], r["normal"]): (r["attempt"], r["own"]) for r in moved.collect()}
+        return docs.mapInArrow(_replaced(key, schema.names, text_at, None, known, everywhere), schema)
     own, attempts = frames.fresh(docs, "__own"), frames.fresh(docs, "__attempts")
     tries = (found.join(moved, ["kind", "normal"]).groupBy(F.col(id_col).alias(own))
              .agg(F.collect_set(F.struct("kind", "normal", "attempt", "own")).alias(attempts)))
