@@ -61,6 +61,37 @@ def test_random_strings_without_a_name_are_found(spark):
     assert secrets.llr("internationalization2", ratios) < 0 < secrets.llr("x7Qz0Kp3Vw9Lr2Bt", ratios)
 
 
+def test_keys_without_digits_in_paths_and_around_hexadecimal_digits_are_found(spark):
+    rng = random.Random(4)
+    ratios = secrets.train(spark.createDataFrame(corpus(), SCHEMA))
+    draw = lambda letters, n: "".join(rng.choices(letters, k=n))                     # noqa: E731
+    alnum, caught = string.ascii_letters + string.digits, {}
+    for i in range(20):
+        path = "é user/account/connection/configuration/information/handler/"
+        cases = {"letters": ("é the ", draw(string.ascii_lowercase, 24), " key"), "short": ("the ", draw(alnum, 12), " handler"),
+                 "path": (path, draw(alnum, 16), " end"), "inner": (path, draw(alnum, 24), "/configuration/information")}
+        for kind, (before, key, after) in cases.items():
+            found = secrets.spans(before + key + after, ratios)
+            caught[kind] = caught.get(kind, 0) + ((len(before), 3, len(before) + len(key)) in found)
+            assert all(after not in (before + key + after)[s:e] for s, _, e in found)
+        keys = draw(alnum, 20), draw(alnum, 20)
+        caught["two"] = caught.get("two", 0) + (secrets.spans("at " + "/information/".join(keys) + " end", ratios) == [(3, 3, 23), (36, 3, 56)])
+        text = "at " + draw(alnum, 20) + "G" + "0123456789abcdef" * 2 + "H" + draw(alnum, 20) + " end"
+        covered = {j for s, _, e in secrets.spans(text, ratios) for j in range(s, e)}
+        caught["hex"] = caught.get("hex", 0) + (covered == set(range(3, len(text) - 4)))
+    assert all(n >= 18 for n in caught.values()), caught
+
+
+def test_long_texts_in_pieces(monkeypatch, spark):
+    ratios = secrets.train(spark.createDataFrame(corpus(), SCHEMA))
+    text = "é the handler x7Qz0Kp3Vw9Lr2BtY5 and " * 30 + "token=abcdefgh x7Qz0Kp3Vw9Lr2BtY5"
+    whole = secrets.spans(text, ratios)
+    assert len(whole) == 32 and {text[s:e] for s, k, e in whole if k == 3} == {"x7Qz0Kp3Vw9Lr2BtY5"}
+    for most in (1, 7, 100):
+        monkeypatch.setattr(secrets.texts, "CHUNK_BYTES", most)
+        assert secrets.spans(text, ratios) == whole
+
+
 def test_query_digests_and_edge_rows(spark, tmp_path):
     rows = corpus()[:20] + [(500, None, "x"), (501, "", None), (None, "token=abcdef", None), (502, "é" * 200000 + " token=abcdefg", None)]
     rows += [rows[0]]

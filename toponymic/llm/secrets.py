@@ -5,10 +5,11 @@ keys, and long runs of hexadecimal digits. They are also the labelled samples of
 strings: a first-order Markov model of characters is trained on the matches of each
 pattern, beside one of uniformly random letters and digits; everything else in the
 corpus trains the model of ordinary identifiers. All are counted over all documents (a
-table of 69 x 69 counts for each model leaves the executors). A run of 16 or more
-identifier characters with a letter and a digit, outside the pattern spans, is a secret
-when its log-likelihood ratio, the best of the random models (which weigh the same)
-against ordinary, reaches ``MIN_LLR``.
+table of 69 x 69 counts for each model leaves the executors). Every run of ``MIN_RUN`` or
+more identifier characters, less the pattern spans in it, is split at separators.
+Neighbouring tokens for which one random model (all weigh the same) has a higher likelihood
+than ordinary text, as a whole or in a part that alone is enough, are a secret from a
+log-likelihood ratio of ``MIN_LLR`` and ``MIN_RUN`` characters on.
 
 Defined cases: a null text is empty and has no spans; offsets are code points with an
 exclusive end; equal rows give equal results; an empty table gives an empty table and a
@@ -30,7 +31,7 @@ from toponymic.llm import texts
 
 #: Kinds in the order in which spans with one start are listed.
 KINDS = ("assign", "access", "hex", "random")
-MIN_RUN = 16
+MIN_RUN = 8
 MIN_LLR = 12.0
 #: Weight, in transitions for each preceding character, of the frequencies of single characters,
 #: on which a model falls back where it has seen few transitions.
@@ -40,16 +41,18 @@ _ASSIGN = re.compile(r"""(?:password|passwd|secret|token|api_?key)["']?\x20*[:=]
                      re.IGNORECASE | re.ASCII)
 _ACCESS = re.compile(r"AKIA[A-Z0-9]+")
 _HEX = re.compile(r"[0-9a-f]{24,}")     # maximal runs, so the same as dropping short ones
-_RUN = re.compile(r"[A-Za-z0-9+/_=-]{%d,}" % MIN_RUN)
-_MIXED = re.compile(r"(?=[^0-9]*[0-9])(?=[^A-Za-z]*[A-Za-z])", re.ASCII)
+_SEPARATORS = b"+/_=-"
 
 _ALPHABET = b"ABCDEFGHIJKLMNOPQRSTUVWXYZabcdefghijklmnopqrstuvwxyz0123456789+/_.=-"
 _K = len(_ALPHABET) + 1
 _CODE = np.zeros(256, dtype=np.int64)   # 0: any other byte, that is, a boundary
 _CODE[list(_ALPHABET)] = np.arange(1, _K)
 _HEX_MARK = bytes(104 if c in b"0123456789abcdef" else 32 for c in range(256))
-_RUN_MARK = bytes(120 if c in b"ABCDEFGHIJKLMNOPQRSTUVWXYZabcdefghijklmnopqrstuvwxyz0123456789+/_=-" else 32
-                  for c in range(256))
+_IN_RUN = np.zeros(256, dtype=bool)
+_IN_RUN[[c for c in _ALPHABET if c != ord(".")]] = True
+_RUN_MARK = bytes(120 if c else 32 for c in _IN_RUN)
+_SPLITS = np.zeros(256, dtype=bool)
+_SPLITS[list(_SEPARATORS)] = True
 
 
 def base_spans(text: str, raw: bytes | None = None) -> list[tuple[int, int, int, int]]:
@@ -93,7 +96,7 @@ def _count(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
 
 def train(docs: DataFrame, text_col: str = "text") -> np.ndarray:
     """Log-likelihood ratio of every transition for each random model, counted over all
-    rows of ``docs``."""
+    rows of ``docs``. A separator may speak against a random string, but not for one."""
     counts = (docs.select(text_col).mapInArrow(_count, "model int, step long, n long")
               .groupBy("model", "step").agg(F.sum("n").alias("n")))
     tables = np.zeros((len(KINDS), _K, _K))
@@ -104,7 +107,9 @@ def train(docs: DataFrame, text_col: str = "text") -> np.ndarray:
     tables = tables + PRIOR * single / single.sum(axis=2, keepdims=True)
     logs = np.log(tables / tables.sum(axis=2, keepdims=True))
     uniform = np.full((1, _K - 1, _K - 1), -np.log(62))
-    return np.concatenate([logs[:-1], uniform]) - logs[-1]
+    ratios = np.concatenate([logs[:-1], uniform]) - logs[-1]
+    split = _SPLITS[list(_ALPHABET)]
+    return np.where(split[:, None] | split, np.minimum(ratios, 0), ratios)
 
 
 def llr(run: str, ratios: np.ndarray) -> float:
@@ -113,17 +118,93 @@ def llr(run: str, ratios: np.ndarray) -> float:
     return float(ratios[:, code[:-1], code[1:]].sum(axis=1).max() - np.log(len(ratios)))
 
 
+def _without(text: str, base: list[tuple[int, int, int, int]]) -> str:
+    """The text with blanks in place of the base spans."""
+    out, at = [], 0
+    for start, _, end, _ in base:
+        if end > at:
+            out += [text[at:start], " " * (end - max(at, start))]
+            at = end
+    return "".join([*out, text[at:]])
+
+
+def _gains(sums: np.ndarray, least: float) -> np.ndarray:
+    """For each model the ratio of a token, or of its best part of ``MIN_RUN`` characters or
+    more if that alone is enough. ``sums``: running sums at its characters."""
+    whole = sums[:, -1] - sums[:, 0]
+    if sums.shape[1] < MIN_RUN:
+        return whole
+    best = (sums[:, MIN_RUN - 1:] - np.minimum.accumulate(sums, axis=1)[:, :sums.shape[1] - MIN_RUN + 1]).max(axis=1)
+    return np.where(best >= least, best, whole)
+
+
+def _random_parts(run: np.ndarray, ratios: np.ndarray) -> list[tuple[int, int]]:
+    """Start and end of the random parts of a run (bytes): neighbouring tokens between separators
+    that one random model explains better, from ``MIN_RUN`` characters on."""
+    least = MIN_LLR + np.log(len(ratios))
+    code = _CODE[run] - 1
+    sums = np.zeros((len(ratios), len(run)))
+    np.cumsum(ratios[:, code[:-1], code[1:]], axis=1, out=sums[:, 1:])
+    cuts = [-1, *np.flatnonzero(_SPLITS[run]).tolist(), len(run)]
+    tokens = [(a + 1, b, _gains(sums[:, a + 1:b], least)) for a, b in zip(cuts, cuts[1:]) if b > a + 1]
+    found = []
+    for model in range(len(ratios)):
+        total = start = end = 0
+        for a, b, gains in [*tokens, (0, 0, None)]:
+            gain = -1 if gains is None else gains[model]
+            if gain > 0:
+                start, end, total = (start if total else a), b, total + gain
+            elif gain < 0:                                            # a single letter (0) parts nothing
+                if total >= least and end - start >= MIN_RUN:
+                    found.append((start, end))
+                total = 0
+    merged: list[tuple[int, int]] = []
+    for start, end in sorted(found):
+        if merged and start < merged[-1][1]:
+            merged[-1] = merged[-1][0], max(end, merged[-1][1])
+        else:
+            merged.append((start, end))
+    return merged
+
+
+def _random_spans(raw: bytes, ratios: np.ndarray) -> Iterator[tuple[int, int]]:
+    """Start and end, in code points, of the random parts of all runs of a text."""
+    best = np.maximum(ratios.max(axis=0), 0)                          # no part of a run gains more than this
+    least = MIN_LLR + np.log(len(ratios))
+    at = points = 0
+    while at < len(raw):
+        stop = at + texts.CHUNK_BYTES
+        while stop < len(raw) and _IN_RUN[raw[stop]]:                 # never inside a run
+            stop += 1
+        data = np.frombuffer(raw[at:stop], dtype=np.uint8)
+        edges = np.flatnonzero(np.diff(_IN_RUN[data], prepend=False, append=False))
+        starts, ends = edges[::2], edges[1::2]
+        long = ends - starts >= MIN_RUN
+        starts, ends = starts[long], ends[long]
+        position = None
+        if len(starts):
+            code = _CODE[data] - 1                                    # -1, any other byte, is met between runs only
+            sums = np.concatenate([[0.0], np.cumsum(best[code[:-1], code[1:]])])
+            for s, e in zip(starts, ends):
+                if sums[e - 1] - sums[s] < least:
+                    continue
+                for a, b in _random_parts(data[s:e], ratios):
+                    if position is None:
+                        position = points + np.concatenate([[0], np.cumsum((data & 0xC0) != 0x80)])
+                    yield int(position[s + a]), int(position[s + b])
+        points += int(((data & 0xC0) != 0x80).sum())
+        at = stop
+
+
 def spans(text: str, ratios: np.ndarray, raw: bytes | None = None) -> list[tuple[int, int, int]]:
-    """(start, kind number, end) of all secrets, pattern spans and runs found random."""
+    """(start, kind number, end) of all secrets, pattern spans and parts of runs found random."""
     raw = text.encode("utf-8", "surrogatepass") if raw is None else raw
     base = base_spans(text, raw)
     found = [(s, k, e) for s, k, e, _ in base]
+    if base:
+        raw = _without(text, base).encode("utf-8", "surrogatepass")
     if b"x" * MIN_RUN in raw.translate(_RUN_MARK):
-        for m in _RUN.finditer(text):
-            if any(s < m.end() and m.start() < e for s, _, e, _ in base) or not _MIXED.match(m.group()):
-                continue
-            if llr(m.group(), ratios) >= MIN_LLR:
-                found.append((m.start(), 3, m.end()))
+        found += [(s, 3, e) for s, e in _random_spans(raw, ratios)]
     return sorted(found)
 
 
