@@ -64,6 +64,31 @@ def test_estimates_and_merge():
                                   if v < (1 << 64) // fingerprints.SCALE or v == min(p[0], q[0])}
 
 
+def test_a_short_text_in_a_long_one():
+    words = [f"w{i}" for i in range(3000)]
+    long = " ".join(words)
+    for n in (1, 3, 5, 6, 10, 14, 40, 130):
+        for at in range(0, 400, 20):
+            short = " ".join(words[at:at + n])
+            a, b = fingerprints.sketches([short.encode(), long.encode()])
+            x, y = plain_shingles(short, 5), plain_shingles(long, 5)
+            inside = len(x & y) / len(x)
+            assert fingerprints.containment(a, b) == inside
+            assert fingerprints.containment(a, fingerprints.merge(a, b)) == 1
+            if n <= 14:
+                assert fingerprints.likeness(a, b) == len(x & y) / len(x | y)
+            stored = [np.array(s) for s in (a, b)]                    # read back: without the shingles
+            known = stored[0][0] < (1 << 64) // fingerprints.SCALE
+            assert fingerprints.containment(*stored) == ((inside if n >= 5 else 0) if known else None)
+            assert (fingerprints.likeness(*stored) is None) == (not known)
+
+
+def test_a_short_pair_has_its_exact_shares(spark):
+    rows = [(2, "a b c d e f g h i j", None), (1, "a b c d e f g h i k", None)]
+    got = {r["doc_id"]: r for r in fingerprints.edited_copies(spark.createDataFrame(rows, SCHEMA)).collect()}
+    assert got[2]["near_next"] == 5 / 7 and got[2]["contained_next"] == 5 / 6
+
+
 def edited(rows):
     """The edited texts by the plain rule, in descending order of id, then by text."""
     order = sorted(rows, key=lambda r: (r[0] is None, -(r[0] or 0), r[1] or ""))

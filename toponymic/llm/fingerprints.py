@@ -1,10 +1,14 @@
 """Threshold-scaled sketches of documents.
 
 A document's sketch holds every five-word shingle hash below ``2**64 / scale``, plus the
-smallest hash of all (so that a short text is never left without one). Sketches merge:
-the union's sketch is the union of both, cut to the threshold and its smallest hash. The
-share of one sketch found in another estimates the containment of one text in the other
-however unequal their sizes, as both were cut at the same threshold.
+smallest hash of all, a tag by which a short text is never left without one. Sketches
+merge: the union's sketch is the union of both, cut to the threshold and its smallest
+hash. The share of one sketch found in another estimates the containment of one text in
+the other however unequal their sizes, as both were cut at the same threshold; a tag above
+the threshold has no part in it. A text with fewer than ``FEW`` hashes below the threshold
+is too short for an estimate: all shingles are compared instead, which sketches made from
+texts have at hand. Where they are not at hand (sketches read back), a side without any
+hash below the threshold makes the answer None, unknown.
 
 Defined cases: a null text is the empty text; a text of fewer than five words is one
 shingle; a text without words has an empty sketch, which equals another empty one
@@ -27,19 +31,40 @@ from toponymic.llm import ranges, texts
 
 SCALE = 8
 WORDS = 5
+FEW = 16
 
 
-def sketches(items: list[bytes], scale: int = SCALE, size: int = WORDS) -> list[np.ndarray]:
-    """The sketch of each text: rising, distinct 64-bit hashes."""
-    out: list[np.ndarray] = []
-    below = np.uint64((1 << 64) // scale - 1) if scale > 1 else np.uint64((1 << 64) - 1)
+class Sketch(np.ndarray):
+    """Rising, distinct hashes, with their scale and, if at hand, the hashes of all shingles."""
+
+    def __array_finalize__(self, other: np.ndarray | None) -> None:
+        self.scale = getattr(other, "scale", SCALE)
+        self.found = None
+
+    @classmethod
+    def of(cls, hashes: np.ndarray, scale: int, found: np.ndarray | None) -> Sketch:
+        out = np.asarray(hashes).view(cls)
+        out.scale, out.found = scale, found
+        return out
+
+
+def _threshold(scale: int) -> np.uint64:
+    """The highest hash that is kept."""
+    return np.uint64((1 << 64) // scale - 1)
+
+
+def sketches(items: list[bytes], scale: int = SCALE, size: int = WORDS, whole: bool = True) -> list[Sketch]:
+    """The sketch of each text: rising, distinct 64-bit hashes. ``whole``: with all shingles at hand."""
+    out: list[Sketch] = []
+    below = _threshold(scale)
     for lo, hi in texts.chunks([len(t) for t in items]):
         words = texts.Words(items[lo:hi])
         found, owner = texts.shingles(words, words.hashes(), size)
         if not len(found):
-            out += [np.zeros(0, np.uint64)] * (hi - lo)
+            out += [Sketch.of(np.zeros(0, np.uint64), scale, found if whole else None)] * (hi - lo)
             continue
         at = np.flatnonzero(np.diff(owner, prepend=-1))
+        part = np.searchsorted(owner, np.arange(hi - lo + 1))
         kept = found <= below
         hashes = np.concatenate([found[kept], np.minimum.reduceat(found, at)])
         docs = np.concatenate([owner[kept], owner[at]])
@@ -49,34 +74,50 @@ def sketches(items: list[bytes], scale: int = SCALE, size: int = WORDS) -> list[
         new[1:] = (hashes[1:] != hashes[:-1]) | (docs[1:] != docs[:-1])
         hashes, docs = hashes[new], docs[new]
         cut = np.searchsorted(docs, np.arange(hi - lo + 1))
-        out += [hashes[cut[i]:cut[i + 1]] for i in range(hi - lo)]
+        out += [Sketch.of(hashes[cut[i]:cut[i + 1]], scale, found[part[i]:part[i + 1]] if whole else None) for i in range(hi - lo)]
     return out
 
 
-def merge(a: np.ndarray, b: np.ndarray, scale: int = SCALE) -> np.ndarray:
+def merge(a: np.ndarray, b: np.ndarray, scale: int = SCALE) -> Sketch:
     """The sketch of two documents' shingles taken together."""
-    both = np.union1d(a, b)
-    below = np.uint64((1 << 64) // scale - 1) if scale > 1 else np.uint64((1 << 64) - 1)
-    return both[(both <= below) | (np.arange(len(both)) == 0)]
+    both = np.union1d(np.asarray(a), np.asarray(b))
+    found = [getattr(x, "found", None) for x in (a, b)]
+    return Sketch.of(both[(both <= _threshold(scale)) | (np.arange(len(both)) == 0)], scale,
+                     None if any(f is None for f in found) else np.concatenate(found))
 
 
 def shared(a: np.ndarray, b: np.ndarray) -> int:
-    return len(np.intersect1d(a, b, assume_unique=True))
+    return len(np.intersect1d(np.asarray(a), np.asarray(b), assume_unique=True))
+
 
+def _comparable(a: np.ndarray, b: np.ndarray) -> tuple[np.ndarray, np.ndarray] | None:
+    """What the estimates count: hashes below the threshold, all shingles if these are few, or
+    None if a side has none."""
+    below = _threshold(max(getattr(x, "scale", SCALE) for x in (a, b)))
+    low = [np.asarray(x)[np.asarray(x) <= below] for x in (a, b)]
+    found = [getattr(x, "found", None) for x in (a, b)]
+    if min(map(len, low)) < FEW and all(f is not None for f in found):
+        return np.unique(found[0]), np.unique(found[1])
+    return (low[0], low[1]) if all(map(len, low)) else None
 
-def likeness(a: np.ndarray, b: np.ndarray) -> float:
+
+def likeness(a: np.ndarray, b: np.ndarray) -> float | None:
     """Estimated share of common shingles among all shingles of both (0 to 1)."""
     if not len(a) or not len(b):
         return float(len(a) == len(b))
-    common = shared(a, b)
-    return common / (len(a) + len(b) - common)
+    sides = _comparable(a, b)
+    if sides is None:
+        return None
+    common = shared(*sides)
+    return common / (len(sides[0]) + len(sides[1]) - common)
 
 
-def containment(a: np.ndarray, b: np.ndarray) -> float:
+def containment(a: np.ndarray, b: np.ndarray) -> float | None:
     """Estimated share of the first document's shingles that the second has (0 to 1)."""
-    if not len(a):
-        return 1.0
-    return shared(a, b) / len(a)
+    if not len(a) or not len(b):
+        return float(not len(a))
+    sides = _comparable(a, b)
+    return None if sides is None else shared(*sides) / len(sides[0])
 
 
 def as_text(sketch: np.ndarray) -> str:
@@ -91,7 +132,7 @@ def fingerprints(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text"
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in texts.small(batches, 1):
-            found = sketches(texts.utf8(batch.column(1)), scale, size)
+            found = sketches(texts.utf8(batch.column(1)), scale, size, whole=False)
             yield pa.RecordBatch.from_arrays(
                 [batch.column(0), pa.array([as_text(s) for s in found], pa.string())],
                 names=[id_col, "fingerprint"])
