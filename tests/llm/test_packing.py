@@ -1,11 +1,12 @@
 import random
 from collections import Counter, defaultdict
 
+import public_tokenizers
 import pytest
 
 from pyspark.sql import functions as F
 
-from toponymic.llm import packing, queries
+from toponymic.llm import bpe, packing, queries, simhash
 
 SCHEMA = "doc_id long, text string, lang string, source string, bin string, shard string"
 
@@ -97,3 +98,31 @@ def test_repeats_nulls_and_empty(spark, tmp_path):
     placed = [r["bin"] for r in rows if r["doc_id"] in (1, 4)]
     assert len(set(placed)) == 4                              # one source, or copies up to case and spacing: apart
     assert packing.pack(df.limit(0), F.lit(1), F.col("source"), F.lit(None)).collect() == []
+
+
+def test_near_copies_are_apart(spark, tmp_path):
+    rng = random.Random(8)
+    base = ["w%d" % rng.randrange(10 ** 6) for _ in range(400)]
+    texts = [" ".join(base)]
+    while len(texts) < 12:                                    # one word changed, within the bits of op 5
+        other = list(base)
+        other[rng.randrange(len(base))] = "x%d" % len(texts)
+        a, b = simhash.simhashes([texts[0].encode(), " ".join(other).encode()])
+        if int(a ^ b).bit_count() <= simhash.BITS:
+            texts.append(" ".join(other))
+    rows = [(i, t, None, f"s{i}", None, None) for i, t in enumerate(texts + ["short text %d of its own kind" % (i * i) for i in range(30)])]
+    rows += [(None, texts[0].upper(), None, "a", None, None), (0, texts[0], None, "b", None, None), (90, None, None, "c", None, None)]
+    spark.createDataFrame(rows, SCHEMA).write.parquet(str(tmp_path / "documents.parquet"))
+    got = queries.op9_packing(spark, str(tmp_path)).collect()
+    assert len(got) == len(rows)
+    bins = [r["bin"] for r in got if r["piece_length"] == 400]
+    assert len(bins) == len(set(bins)) == 14
+    assert len({r["bin"] for r in got if r["bin"] is not None}) == 14
+
+
+def test_lengths_in_tokens(spark):
+    path = public_tokenizers.path("byte_bpe_50k.json")
+    df = spark.createDataFrame([(1, "internationalization of words", None, "s", None, None), (2, None, None, "s", None, None)], SCHEMA)
+    counted = packing.with_tokens(df, path)
+    got = {r["doc_id"]: r["piece_length"] for r in packing.pack_near_copies(counted, F.col("n_tokens"), F.col("source")).collect()}
+    assert got == {1: len(bpe.coder(path).encode("internationalization of words")), 2: 0} and got[1] > 3

@@ -21,8 +21,12 @@ an empty table.
 from __future__ import annotations
 
 import pandas as pd
+import pyarrow as pa
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
+from pyspark.sql import types as T
+
+from toponymic.llm import bpe, frames, simhash, storage, texts
 
 CAPACITY = 2048
 SHARD = 5000
@@ -109,6 +113,16 @@ def words(text: Column) -> Column:
     return F.coalesce(F.regexp_count(text, F.lit(r"[^\x20\x09-\x0D]+")), F.lit(0)).cast("long")
 
 
+def with_tokens(docs: DataFrame, path: str, column: str = "n_tokens", text_col: str = "text") -> DataFrame:
+    """``docs`` with the number of byte-level BPE ids of the text (the tokenizer file of
+    operator 8), as a length for ``pack`` or ``pack_near_copies``."""
+    def count(batch: pa.Array) -> list[pa.Array]:
+        coder = bpe.coder(path)
+        return [pa.array([len(coder.encode(t)) for t in texts.strings(batch)], pa.int64())]
+
+    return frames.with_columns(docs, text_col, [T.StructField(column, T.LongType())], count)
+
+
 def exact_copies(text: Column) -> Column:
     """Cluster of documents with equal texts up to case and white space (null: no text)."""
     return F.when(text.isNotNull(), F.xxhash64(F.regexp_replace(F.lower(text), r"[\x20\x09-\x0D]+", " ")))
@@ -127,6 +141,27 @@ def pack(docs: DataFrame, length: Column, source: Column, cluster: Column, id_co
     return pack_items(items, capacity, shard)
 
 
+def pack_near_copies(docs: DataFrame, length: Column, source: Column, id_col: str = "doc_id", text_col: str = "text",
+                     capacity: int = CAPACITY, shard: int = SHARD) -> DataFrame:
+    """``pack`` with the near-duplicate component of the text as the cluster (null: no text).
+
+    The components are those of operator 5 over texts in lower case with single blanks, so
+    copies equal up to case and white space are always of one cluster. Rows are joined to
+    their component by the fingerprint, never by ``doc_id``; texts are read once.
+    """
+    text = F.col(text_col)
+    rows = docs.select(
+        F.col(id_col).cast("long").alias("doc_id"), F.coalesce(length, F.lit(0)).cast("long").alias("length"),
+        F.when(source.isNotNull(), F.xxhash64(source)).alias("source"), text.isNotNull().alias("is_text"),
+        F.regexp_replace(F.lower(text), r"[\x20\x09-\x0D]+", " ").alias("text"))
+    marked = storage.written(
+        frames.with_columns(rows, "text", [T.StructField("fp", T.LongType())],
+                            lambda column: [pa.array(simhash.simhashes(texts.utf8(column)).view("int64"))]).drop("text"), "lengths")
+    labels = storage.written(simhash._labelled(marked, "doc_id", simhash.BITS).select("fp", "label"), "clusters")
+    items = marked.join(labels, "fp").select("doc_id", "length", "source", F.when(F.col("is_text"), F.col("label")).alias("cluster"))
+    return pack_items(storage.written(items, "items"), capacity, shard)
+
+
 def pack_items(items: DataFrame, capacity: int = CAPACITY, shard: int = SHARD) -> DataFrame:
     """``pack`` for a table of ``doc_id, length, source, cluster`` (longs)."""
     shards = max(1, -(-items.count() // shard))
