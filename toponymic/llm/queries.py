@@ -8,7 +8,8 @@ import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from toponymic.llm import bpe, fingerprints, html_text, langid, packing, pii, quality, rans, secrets, simhash
+from toponymic.llm import (bpe, centroids, chat, cluster_sql, fingerprints, html_text, langid, packing, pii, quality, rans,
+                           secrets, simhash)
 
 Query = Callable[[SparkSession, str], DataFrame]
 
@@ -88,6 +89,45 @@ def op10_surrogates(spark: SparkSession, sf_dir: str) -> DataFrame:
     return found.select("doc_id", "text", *(F.col(pii.FOUND)[i].alias(f"n_{k}") for i, k in enumerate(pii.KINDS)))
 
 
+#: Text of both turns of the conversation that op 11 adds: marks of usual templates and a backslash.
+ODD_TURN = "\\### Assistant: </turn> ok"
+
+
+def op11_chat(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Every conversation, and one of marks, folded from events and formatted; digests read back from that."""
+    odd = spark.range(2).select(F.lit(-7).cast("long").alias("conv_id"), F.col("id").alias("turn"),
+                                F.when(F.col("id") == 0, "user").otherwise("assistant").alias("role"),
+                                F.lit(ODD_TURN).alias("text"))
+    rows = table(spark, sf_dir, "conversations").select("conv_id", "turn", "role", "text").unionByName(odd)
+    made = chat.format_log(chat.logged(rows))
+    read = made.select("conv_id", F.char_length("formatted").cast("long").alias("formatted_chars"),
+                       chat.read_turns(F.col("formatted")).alias("turns"),
+                       chat.read_loss(F.col("formatted"), F.col("loss")).alias("learned"))
+    line = F.transform("turns", lambda t: F.concat(t["role"], F.lit("\n"), t["text"], F.lit("\n")))
+    return read.select("conv_id", F.size("turns").cast("long").alias("n_turns"),
+                       F.sha2(F.array_join(line, ""), 256).alias("turns_sha256"),
+                       F.char_length("learned").cast("long").alias("loss_chars"),
+                       F.sha2("learned", 256).alias("loss_sha256"), "formatted_chars")
+
+
+OP11_SQL = f"""
+WITH turns AS (SELECT conv_id, turn, coalesce(role, '') AS role, coalesce(text, '') AS text FROM conversations
+               UNION ALL SELECT -7, 0, 'user', '{ODD_TURN}' UNION ALL SELECT -7, 1, 'assistant', '{ODD_TURN}')
+SELECT conv_id, count(*) AS n_turns,
+       sha256(string_agg(role || chr(10) || text || chr(10), '' ORDER BY turn, role, text)) AS turns_sha256,
+       CAST(sum(CASE WHEN role = 'assistant' THEN length(text) ELSE 0 END) AS BIGINT) AS loss_chars,
+       sha256(string_agg(CASE WHEN role = 'assistant' THEN text ELSE '' END, '' ORDER BY turn, role, text)) AS loss_sha256,
+       CAST(sum(length(role) + length(text) + len(regexp_extract_all(text, '</?turn')) + 17) AS BIGINT) AS formatted_chars
+FROM turns GROUP BY conv_id"""
+
+
+def op13_clusters(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Cluster and distance of every vector of 64 components, with the inertia and the final centroids."""
+    found = centroids.cluster(table(spark, sf_dir, "embeddings"))
+    return (found.rows.join(F.broadcast(found.table()), "cluster")        # one row per centroid
+                 .select("vec_id", "cluster", "distance", "cluster_inertia", "inertia", "centroid_sha256"))
+
+
 QUERIES: dict[str, Query] = {
     "op1_fingerprints": op1_fingerprints,
     "op2_token_files": op2_token_files,
@@ -99,5 +139,10 @@ QUERIES: dict[str, Query] = {
     "op8_byte_bpe": op8_byte_bpe,
     "op9_packing": op9_packing,
     "op10_surrogates": op10_surrogates,
+    "op11_chat": op11_chat,
+    "op13_clusters": op13_clusters,
+}
+ORACLES: dict[str, str] = {
+    "op11_chat": OP11_SQL,
+    "op13_clusters": cluster_sql.clustering_sql(),
 }
-ORACLES: dict[str, str] = {}
