@@ -8,7 +8,7 @@ Log: one row per event of a conversation, ``conv_id``, ``seq`` (order of the eve
 - ``message``     the message, whole; starts it anew if it was there;
 - ``delta``       text that is appended to the message;
 - ``edit``        text that takes the place of all that the message holds;
-- ``regenerate``  empties the message; what earlier events said about later messages is void.
+- ``regenerate``  the message begins anew, with the text of this event if it has one; what earlier events said about later messages is void.
 
 ``fold`` groups the events of a message (so a conversation with very many events is shared
 by many tasks), voids what a regeneration of an earlier message cut off (a running maximum

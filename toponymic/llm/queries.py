@@ -8,7 +8,7 @@ import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from toponymic.llm import (bpe, centroids, chat, cluster_sql, fingerprints, html_text, langid, packing, pii, quality, rans,
+from toponymic.llm import (align, bpe, centroids, chat, cluster_sql, fingerprints, html_text, langid, packing, pii, quality, rans,
                            secrets, simhash)
 
 Query = Callable[[SparkSession, str], DataFrame]
@@ -121,6 +121,12 @@ SELECT conv_id, count(*) AS n_turns,
 FROM turns GROUP BY conv_id"""
 
 
+def op12_alignment(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Tokens, groups and links of two tokenizers over every document, with the corpus' counts of the links."""
+    return align.aligned_documents(table(spark, sf_dir, "documents"), public_tokenizers.path("byte_bpe_50k.json"),
+                                   public_tokenizers.path("piece_bpe_32k.model"))
+
+
 def op13_clusters(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Cluster and distance of every vector of 64 components, with the inertia and the final centroids."""
     found = centroids.cluster(table(spark, sf_dir, "embeddings"))
@@ -140,6 +146,7 @@ QUERIES: dict[str, Query] = {
     "op9_packing": op9_packing,
     "op10_surrogates": op10_surrogates,
     "op11_chat": op11_chat,
+    "op12_alignment": op12_alignment,
     "op13_clusters": op13_clusters,
 }
 ORACLES: dict[str, str] = {
