@@ -4,6 +4,7 @@ import hashlib
 import random
 from collections import Counter, defaultdict
 
+import numpy as np
 import public_tokenizers as P
 import pytest
 import sentencepiece
@@ -103,17 +104,19 @@ def test_long_texts_in_pieces_and_small_caches(monkeypatch, brute):
     monkeypatch.setattr(texts, "CHUNK_BYTES", 50)
     monkeypatch.setattr(align, "CACHE", 4)
     tool = align.Aligner(A, B)
-    for text in [*fuzzed(60), "one two  three " * 30, "x" * 500, " y" * 90]:
-        doc = align.Document()
-        for piece in align.cuts(text, 20):
-            doc.add(tool.stretches([" " + s for s in align._CUT.split(piece)]))
-        assert doc.row()[:5] == next(iter(brute([text])))[:5]
+    items = [*fuzzed(60), "one two  three " * 30, "x" * 500, " y" * 90, *ODD]
+    found = [doc.row()[:5] for doc in tool.documents([t or "" for t in items], 20)]
+    assert found == [w[:5] for w in brute(items)]
 
 
 def test_group_with_many_links_counts_distinct_pairs_only():
-    left, right = [1, 2] * 5000, [3] * 7000
-    keys, times = align.count_pairs([(left, right)], [])
-    assert keys.tolist() == [1 << 32 | 3, 2 << 32 | 3] and times.tolist() == [5000 * 7000] * 2
+    left, right = [1 << 2, 2 << 2] * 5000, [3 << 2 | 2] * 7000
+    left[-1] |= 1
+    right[-1] |= 1
+    code = np.array(left + right + [1 << 2 | 1, 3 << 2 | 3], np.uint32)
+    keys, times, n = align.linked(code, np.zeros(len(code), np.int64))
+    assert keys.tolist() == [1 << 20 | 3, 2 << 20 | 3] and times.tolist() == [5000 * 7000 + 1, 5000 * 7000]
+    assert n.tolist() == [[10001, 7001, 2, 10000 * 7000 + 1]]
 
 
 def test_nulls_repeats_and_empty_table(spark, brute):

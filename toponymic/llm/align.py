@@ -32,7 +32,7 @@ import functools
 import hashlib
 import os
 import re
-from collections.abc import Callable, Iterator
+from collections.abc import Iterator
 
 import numpy as np
 import pyarrow as pa
@@ -47,17 +47,26 @@ from toponymic.llm.bpe import byte_symbols
 #: Pairs whose counts are sent to all tasks (16 bytes each).
 HEAD = 1 << 20
 #: Stretches that a worker keeps, and the longest of them in characters.
-CACHE, LONGEST = 300_000, 64
+CACHE, LONGEST = 700_000, 64
+#: A pair is A's id << SHIFT | B's id, so vocabularies have 2^SHIFT entries at most.
+SHIFT = 20
+#: Characters of new stretches that are encoded at once, and links of a group whose pairs are laid out one by one.
+JOINED, FEW = 1 << 13, 64
 #: Pairs counted in a task before equal ones are added up, and distinct ones kept before they are sent on.
 GATHER, KEEP = 1 << 21, 1 << 22
-#: Bits of a pair that hold the B id.
-SHIFT = 32
-
 _CUT = re.compile(r"(?<=\S) (?=\S)")
 
 
+#: Stands for a stretch whose tokens' bytes aren't its own.
+BAD = np.array([0xFFFFFFFF], np.uint32).tobytes()
+
+
 class Aligner:
-    """Both tokenizers of a worker, and what they gave for frequent stretches."""
+    """Both tokenizers of a worker, and the codes of frequent stretches.
+
+    The code of a stretch has a number for each token: its id, its side (0 for A, 1 for B) and
+    whether it is the last of its side in its group; group by group, A before B.
+    """
 
     def __init__(self, path_a: str, path_b: str):
         os.environ["TOKENIZERS_PARALLELISM"] = "false"      # a task has one core
@@ -75,129 +84,149 @@ class Aligner:
             self.bytes_a[i] = b"".join(back[c] if c in back else c.encode() for c in s)
         self.b = sentencepiece.SentencePieceProcessor(model_file=path_b)
         pieces = [self.b.id_to_piece(i) for i in range(self.b.get_piece_size())]
-        self.is_byte = [self.b.is_byte(i) for i in range(len(pieces))]
+        self.is_byte = np.array([self.b.is_byte(i) for i in range(len(pieces))])
         self.bytes_b = [bytes([int(p[3:5], 16)]) if byte else p.replace("▁", " ").encode()
                         for p, byte in zip(pieces, self.is_byte)]
         if any(re.search("[^▁]▁", p) for p in pieces):
             raise ValueError("a piece of the sentencepiece model goes over a blank: texts can't be taken by stretches")
+        if max(len(self.bytes_a), len(pieces)) > 1 << SHIFT:
+            raise ValueError(f"a vocabulary of over 2^{SHIFT} entries")
+        self.len_a, self.len_b = (np.array([len(x) for x in t], np.int64) for t in (self.bytes_a, self.bytes_b))
+        self.text = [f"{i}{end}" for i in range(max(len(self.bytes_a), len(pieces))) for end in (",", "|", ",", ";")]
         self.known = texts.Cache(CACHE)
 
-    def stretches(self, found: list[str]) -> list[tuple | None]:
-        """What each stretch (with its leading blank) gives; see ``align``."""
+    def codes(self, found: list[str]) -> list[bytes]:
+        """The code of every stretch (each with its leading blank)."""
         young, old = self.known.young.get, self.known.get
         out = [young(s) or old(s) for s in found]
         missing = list(dict.fromkeys(s for s, x in zip(found, out) if x is None))
         if missing:
             fresh = {}
-            for lo, hi in texts.chunks([len(s) for s in missing], texts.CHUNK_BYTES):
-                some = missing[lo:hi]
-                for s, a, b in zip(some, self.a.encode_batch(some, add_special_tokens=False),
-                                   self.b.encode([s[1:] for s in some], return_type="proto", num_threads=1)):
-                    fresh[s] = x = self.align(s, a, b)
-                    if len(s) <= LONGEST:
-                        self.known.put(s, x)
+            # stretches that begin or end with white space, or hold B's own mark for a blank, are encoded alone
+            plain = [s for s in missing if len(s) > 1 and not s[1].isspace() and not s[-1].isspace() and "\u2581" not in s]
+            for lo, hi in texts.chunks([len(s) for s in plain], JOINED):
+                fresh.update(zip(plain[lo:hi], self.align(plain[lo:hi])))
+            for s in missing:
+                x = fresh.get(s)
+                if x is None:
+                    x = fresh[s] = self.align([s])[0]
+                if len(s) <= LONGEST:
+                    self.known.put(s, x)
             out = [fresh[s] if x is None else x for s, x in zip(found, out)]
         return out
 
-    def align(self, s: str, enc, proto) -> tuple:
-        """(tokens of A, of B, groups, links, digest text, distinct pairs, their numbers) of one stretch;
-        ``(-1,)`` if the bytes of the tokens aren't those of the stretch."""
-        data = s.encode("utf-8", "surrogatepass")
-        a_ids, bytes_a, bytes_b = enc.ids, self.bytes_a, self.bytes_b
-        b_ids, b_ends = [], []
-        for p in proto.pieces:
-            b_ids.append(p.id)
-            b_ends.append(p.end + 1)                        # the blank in front isn't in B's text
-        a_bytes, b_bytes = [bytes_a[i] for i in a_ids], [bytes_b[i] for i in b_ids]
-        if b"".join(a_bytes) != data or b"".join(b_bytes) != data:
-            return (-1,)
-        a_ends = [e for _, e in enc.offsets]
-        if len(data) == len(s):
-            groups = cut(a_ids, a_ends, b_ids, b_ends)      # one byte a character: the offsets are exact
-        else:
-            groups = self.refine(data, a_ids, enc.offsets, a_bytes, b_ids, proto.pieces, b_bytes)
-        if len(groups) == len(a_ids) == len(b_ids):         # one token of each in every group
-            pairs = [x << SHIFT | y for x, y in zip(a_ids, b_ids)]
-            links = len(pairs)
-        else:
-            pairs = [x << SHIFT | y for left, right in groups if len(left) * len(right) <= 64
-                     for x in left for y in right]
-            links = sum(len(left) * len(right) for left, right in groups)
-        if links <= 64:
-            counts = dict.fromkeys(pairs, 0)
-            for x in pairs:
-                counts[x] += 1
-            keys, times = np.array(list(counts), np.uint64), np.array(list(counts.values()), np.uint32)
-        else:
-            keys, times = count_pairs(groups, pairs)
-        digest = ";".join([",".join(map(str, left)) + "|" + ",".join(map(str, right)) for left, right in groups])
-        return (len(a_ids), len(b_ids), len(groups), links, digest, keys.tobytes(), times.tobytes())
-
-    def refine(self, data: bytes, a_ids, a_spans, a_bytes, b_ids, b_pieces, b_bytes) -> list[tuple]:
-        """Groups of a stretch with multibyte characters: coarse cuts first, then each part."""
-        at = np.cumsum([0] + [len(c) for c in a_bytes]).tolist()
-        # byte offset of every character, to read A's character offsets in the bytes that B's spans count
-        place = np.flatnonzero((np.frombuffer(data, np.uint8) & 0xC0) != 0x80).tolist() + [len(data)]
-        # a token ends between characters where its span ends and the next one's begins
-        next_a = [lo for lo, _ in a_spans[1:]] + [len(place) - 1]
-        coarse_a = {place[hi]: i + 1 for i, ((_, hi), lo) in enumerate(zip(a_spans, next_a)) if lo == hi}
-        coarse_b = {}
-        for i, p in enumerate(b_pieces):
-            if not (self.is_byte[p.id] and p.end == p.begin):      # a byte inside a character has an empty span
-                coarse_b[p.end + 1] = i + 1
-        groups: list[tuple] = []
-        a_lo = b_lo = lo = 0
-        for end in sorted(coarse_a.keys() & coarse_b.keys()):
-            a_hi, b_hi = coarse_a[end], coarse_b[end]
-            if a_hi == a_lo or b_hi == b_lo or at[a_hi] != end:
-                continue
-            if a_hi - a_lo == 1 or b_hi - b_lo == 1:
-                groups.append((a_ids[a_lo:a_hi], b_ids[b_lo:b_hi]))
-            elif data[lo:end].isascii() and not any(self.is_byte[i] for i in b_ids[b_lo:b_hi]):
-                groups += cut(a_ids[a_lo:a_hi], [place[hi] for _, hi in a_spans[a_lo:a_hi]],
-                              b_ids[b_lo:b_hi], [p.end + 1 for p in b_pieces[b_lo:b_hi]])
-            else:
-                groups += cut(a_ids[a_lo:a_hi], np.cumsum([len(x) for x in a_bytes[a_lo:a_hi]]).tolist(),
-                              b_ids[b_lo:b_hi], np.cumsum([len(x) for x in b_bytes[b_lo:b_hi]]).tolist())
-            a_lo, b_lo, lo = a_hi, b_hi, end
-        if a_lo < len(a_ids):                               # no coarse cut at the end
-            groups += cut(a_ids[a_lo:], np.cumsum([len(x) for x in a_bytes[a_lo:]]).tolist(),
-                          b_ids[b_lo:], np.cumsum([len(x) for x in b_bytes[b_lo:]]).tolist())
-        return groups
-
-
-def cut(a_ids: list[int], a_ends: list[int], b_ids: list[int], b_ends: list[int]) -> list[tuple]:
-    """Groups of tokens between the ends that both have; both lists end at the same byte."""
-    if a_ends == b_ends:
-        return [((x,), (y,)) for x, y in zip(a_ids, b_ids)]
-    groups, i, j, a_lo, b_lo = [], 0, 0, 0, 0
-    n, m = len(a_ends), len(b_ends)
-    while i < n and j < m:
-        x, y = a_ends[i], b_ends[j]
-        if x < y:
-            i += 1
-        elif y < x:
-            j += 1
-        else:
-            i, j = i + 1, j + 1
-            groups.append((a_ids[a_lo:i], b_ids[b_lo:j]))
-            a_lo, b_lo = i, j
-    return groups
-
-
-def count_pairs(groups: list[tuple], small: list[int]) -> tuple[np.ndarray, np.ndarray]:
-    """Distinct pairs of the groups and how often each is linked. ``small``: pairs of the groups with up to 64 links;
-    larger groups are counted from their distinct ids, so a group costs its distinct pairs, not its links."""
-    keys, times = [np.array(small, np.uint64)], [np.ones(len(small), np.uint64)]
-    for left, right in groups:
-        if len(left) * len(right) > 64:
-            (x, nx), (y, ny) = (np.unique(np.array(ids, np.uint64), return_counts=True) for ids in (left, right))
-            keys.append((x[:, None] << np.uint64(SHIFT) | y[None]).ravel())
-            times.append((nx[:, None] * ny[None]).ravel().astype(np.uint64))
-    keys, times = summed(np.concatenate(keys), np.concatenate(times))
-    if len(times) and times.max() >= 1 << 32:
-        raise OverflowError("a pair is linked over 2^32 times in one stretch")
-    return keys, times.astype(np.uint32)
+    def documents(self, items: list[str], most: int = texts.CHUNK_BYTES) -> list["Document"]:
+        """Every text aligned; pieces of several texts are looked up together, up to about ``most`` characters."""
+        out, waiting, size = [Document() for _ in items], [], 0
+        for doc, text in zip(out, items):
+            for piece in cuts(text, most) if text else ():
+                waiting.append((doc, [" " + s for s in _CUT.split(piece)]))
+                size += len(piece)
+                if size >= most:
+                    self.add(waiting)
+                    waiting, size = [], 0
+        self.add(waiting)
+        return out
+
+    def add(self, pieces: list[tuple["Document", list[str]]]) -> None:
+        """Aligns pieces and adds each to its text."""
+        codes, at, left = self.codes([s for _, found in pieces for s in found]), 0, []
+        for doc, found in pieces:
+            code = np.frombuffer(b"".join(codes[at:at + len(found)]), np.uint32)
+            at += len(found)
+            doc.bad = doc.bad or code.max() == 0xFFFFFFFF
+            if not doc.bad:
+                left.append((doc, code))
+        if not left:
+            return
+        size = [len(c) for _, c in left]
+        all_ = np.concatenate([c for _, c in left])
+        keys, times, n = linked(all_, np.repeat(np.arange(len(left)), size))
+        stop = np.searchsorted(keys, np.arange(1, len(left) + 1, dtype=np.uint64) << np.uint64(2 * SHIFT)).tolist()
+        text = self.text.__getitem__
+        for i, ((doc, code), lo, hi) in enumerate(zip(left, [0, *stop], stop)):
+            doc.add("".join(map(text, code.tolist())), n[i], keys[lo:hi] - np.uint64(i << 2 * SHIFT), times[lo:hi])
+
+    def align(self, some: list[str]) -> list[bytes]:
+        """Codes of several stretches that are encoded as one text."""
+        text = "".join(some)
+        whole = text.encode()
+        enc = self.a.encode(text, add_special_tokens=False)
+        a_ids, spans = enc.ids, enc.offsets
+        pieces = self.b.encode(text[1:], return_type="proto").pieces
+        found = [(p.id, p.end) for p in pieces]
+        b_ids = [x for x, _ in found]
+        if b"".join(map(self.bytes_a.__getitem__, a_ids)) != whole or b"".join(map(self.bytes_b.__getitem__, b_ids)) != whole:
+            return [BAD] if len(some) == 1 else [self.align([s])[0] for s in some]
+        flat_a, flat_b = np.array(a_ids, np.int64), np.array(b_ids, np.int64)
+
+        # coarse: A's spans count characters; a token ends inside a character if the next one begins before its end
+        span = np.array(spans, np.int64)
+        end_a = span[:, 1]
+        if len(whole) != len(text):
+            place = np.flatnonzero(np.concatenate([(np.frombuffer(whole, np.uint8) & 0xC0) != 0x80, [True]]))
+            inside = np.zeros(len(span), bool)
+            inside[:-1] = span[1:, 0] < span[:-1, 1]
+            end_a = np.where(inside, np.cumsum(self.len_a[flat_a]), place[end_a])       # refined by decoded bytes
+        # B's spans count bytes, without the blank in front; a fallback byte that isn't a character's last has an empty one
+        ends = np.array([x for _, x in found], np.int64)
+        inside = self.is_byte[flat_b]
+        if inside.any():
+            inside &= ends == np.concatenate([[0], ends[:-1]])
+        end_b = np.where(inside, np.cumsum(self.len_b[flat_b]), ends + 1)
+
+        # groups lie between the ends that both have
+        both = np.intersect1d(end_a, end_b, assume_unique=True)
+        group_a, group_b = np.searchsorted(both, end_a), np.searchsorted(both, end_b)
+        all_a, all_b = np.bincount(group_a, minlength=len(both)), np.bincount(group_b, minlength=len(both))
+        before_b, through_a = np.cumsum(all_b) - all_b, np.cumsum(all_a)
+        code = np.empty(len(flat_a) + len(flat_b), np.uint32)
+        code[np.arange(len(flat_a)) + before_b[group_a]] = flat_a << 2 | (both[group_a] == end_a)
+        code[np.arange(len(flat_b)) + through_a[group_b]] = flat_b << 2 | 2 | (both[group_b] == end_b)
+        packed = code.tobytes()
+        stop = np.cumsum([len(s.encode()) for s in some])
+        cuts = ((np.searchsorted(end_a, stop, "right") + np.searchsorted(end_b, stop, "right")) * 4).tolist()
+        return [packed[lo:hi] for lo, hi in zip([0, *cuts], cuts)]
+
+
+def linked(code: np.ndarray, owner: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+    """Distinct pairs of the codes of several texts and how often each is linked, in rising order
+    of text and pair; and tokens of A, of B, groups and links of every text.
+
+    ``owner``: the number of the text of each code. A group's pairs are laid out only where it
+    has few; a large one is counted from its distinct ids, so it costs its distinct
+    pairs and not its links. The result's keys have the text's number above the pair.
+    """
+    is_b, last = (code & 2) > 0, (code & 1) > 0
+    at_a, at_b = np.flatnonzero(~is_b), np.flatnonzero(is_b)
+    shift = np.uint64(SHIFT)
+    ids = (code >> 2).astype(np.uint64)
+    a, b = owner[at_a].astype(np.uint64) << shift | ids[at_a], ids[at_b]
+    end_a, end_b = np.flatnonzero(last[at_a]) + 1, np.flatnonzero(last[at_b]) + 1
+    n_a, n_b = end_a.copy(), end_b.copy()
+    n_a[1:] -= end_a[:-1]
+    n_b[1:] -= end_b[:-1]
+    links = n_a * n_b
+    few = links <= FEW
+    # token by token of A: its pairs with all tokens of B in its group
+    turn = np.repeat(np.where(few, n_b, 0), n_a)
+    first = np.repeat(end_b - n_b, n_a) - (np.cumsum(turn) - turn)
+    keys = np.repeat(a, turn) << shift | b[np.repeat(first, turn) + np.arange(turn.sum())]
+    keys.sort()
+    new = np.flatnonzero(np.concatenate([[True], keys[1:] != keys[:-1]])) if len(keys) else np.zeros(0, np.int64)
+    keys, times = keys[new], np.diff(np.append(new, len(keys))).astype(np.uint64)
+    for g in np.flatnonzero(~few).tolist():
+        (x, nx), (y, ny) = (np.unique(i[end - n:end], return_counts=True) for i, end, n in
+                            ((a, end_a[g], n_a[g]), (b, end_b[g], n_b[g])))
+        keys = np.concatenate([keys, (x[:, None] << shift | y[None]).ravel()])
+        times = np.concatenate([times, (nx[:, None] * ny[None]).ravel().astype(np.uint64)])
+    if not few.all():
+        keys, times = summed(keys, times)
+    of = owner[at_b[end_b - 1]]
+    texts_ = int(owner[-1]) + 1
+    n = np.stack([np.bincount(owner[at_a], minlength=texts_), np.bincount(owner[at_b], minlength=texts_),
+                  np.bincount(of, minlength=texts_), np.bincount(of, links, minlength=texts_).astype(np.int64)], axis=1)
+    return keys, times, n
 
 
 def summed(keys: np.ndarray, times: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
@@ -216,12 +245,6 @@ def aligner(path_a: str, path_b: str) -> Aligner:
     return Aligner(path_a, path_b)
 
 
-def split(text: str) -> Iterator[list[str]]:
-    """The stretches of a text, each with its leading blank, in lists of about 1 MB."""
-    for piece in cuts(text):
-        yield [" " + s for s in _CUT.split(piece)]
-
-
 def cuts(text: str, most: int = texts.CHUNK_BYTES) -> Iterator[str]:
     """A text in pieces of about ``most`` characters, cut at blanks that separate stretches; those blanks are left out."""
     at = 0
@@ -235,31 +258,26 @@ def cuts(text: str, most: int = texts.CHUNK_BYTES) -> Iterator[str]:
 
 
 class Document:
-    """Counts, digest and pairs of one text, put together from its stretches."""
+    """Counts, digest and pairs of one text, put together from its pieces."""
 
     def __init__(self):
         self.n = np.zeros(4, dtype=np.int64)
         self.digest, self.begun, self.bad = hashlib.sha256(), False, False
         self.keys, self.times = np.zeros(0, np.uint64), np.zeros(0, np.uint64)
 
-    def add(self, found: list[tuple]) -> None:
-        if self.bad or any(len(x) == 1 for x in found):
-            self.bad = True
-            return
-        n_a, n_b, groups, links, digest, keys, times = zip(*found)
-        self.n += [sum(n_a), sum(n_b), sum(groups), sum(links)]
-        self.digest.update(((";" if self.begun else "") + ";".join(digest)).encode())
+    def add(self, groups: str, n: np.ndarray, keys: np.ndarray, times: np.ndarray) -> None:
+        self.digest.update(((";" if self.begun else "") + groups[:-1]).encode())
         self.begun = True
-        new = np.frombuffer(b"".join(keys), np.uint64)
-        often = np.frombuffer(b"".join(times), np.uint32).astype(np.uint64)
+        self.n += n
         if len(self.keys):
-            new, often = np.concatenate([self.keys, new]), np.concatenate([self.times, often])
-        self.keys, self.times = summed(new, often)
+            keys, times = summed(np.concatenate([self.keys, keys]), np.concatenate([self.times, times]))
+        self.keys, self.times = keys, times
 
     def row(self) -> tuple:
         if self.bad or not self.begun:
             return 0, 0, 0, 0, "", b"", b""
-        steps = np.diff(self.keys, prepend=np.uint64(0))    # rising keys: small steps take little space
+        steps = self.keys.copy()                            # rising keys: small steps take little space
+        steps[1:] -= self.keys[:-1]
         return (*self.n.tolist(), self.digest.hexdigest(), steps.tobytes(), self.times.tobytes())
 
 
@@ -282,10 +300,7 @@ def documents(docs: DataFrame, path_a: str, path_b: str, id_col: str = "doc_id",
         key = TaskContext.get().partitionId() << 36
         for batch in texts.small(batches, 1):
             rows = []
-            for text in texts.strings(batch.column(1)):
-                doc = Document()
-                for found in split(text) if text else ():
-                    doc.add(tool.stretches(found))
+            for doc in tool.documents(texts.strings(batch.column(1))):
                 rows.append((key, *doc.row()))
                 key += 1
             yield pa.RecordBatch.from_arrays(
@@ -299,7 +314,7 @@ def _pairs(steps: bytes, times: bytes) -> tuple[np.ndarray, np.ndarray]:
 
 
 def pair_counts(aligned: DataFrame) -> DataFrame:
-    """``pair`` (A id in the upper 32 bits, B id in the lower), ``n``: documents that hold it linked."""
+    """``pair`` (A id << SHIFT | B id), ``n``: documents that hold it linked."""
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         out = lambda k, n: pa.RecordBatch.from_arrays(      # noqa: E731
             [pa.array(k.astype(np.int64)), pa.array(n.astype(np.int64))], names=["pair", "n"])
