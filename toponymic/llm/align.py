@@ -29,6 +29,7 @@ documents of their own, with or without an id. Other columns are not looked at;
 from __future__ import annotations
 
 import functools
+import gc
 import hashlib
 import os
 import re
@@ -118,14 +119,20 @@ class Aligner:
     def documents(self, items: list[str], most: int = texts.CHUNK_BYTES) -> list["Document"]:
         """Every text aligned; pieces of several texts are looked up together, up to about ``most`` characters."""
         out, waiting, size = [Document() for _ in items], [], 0
-        for doc, text in zip(out, items):
-            for piece in cuts(text, most) if text else ():
-                waiting.append((doc, [" " + s for s in _CUT.split(piece)]))
-                size += len(piece)
-                if size >= most:
-                    self.add(waiting)
-                    waiting, size = [], 0
-        self.add(waiting)
+        collects = gc.isenabled()
+        gc.disable()        # millions of short-lived tuples and no cycles: the collector would only walk the caches
+        try:
+            for doc, text in zip(out, items):
+                for piece in cuts(text, most) if text else ():
+                    waiting.append((doc, [" " + s for s in _CUT.split(piece)]))
+                    size += len(piece)
+                    if size >= most:
+                        self.add(waiting)
+                        waiting, size = [], 0
+            self.add(waiting)
+        finally:
+            if collects:
+                gc.enable()
         return out
 
     def add(self, pieces: list[tuple["Document", list[str]]]) -> None:
