@@ -8,7 +8,7 @@ from pyspark.sql import functions as F
 
 from fixtures import docs_df, gazetteer
 from toponymic.functions.text import NP_SPAN, ENTITY_SPAN, chunk
-from toponymic.operators.candidates import (candidate_docs, candidates_from_tagged, candidates_long, token_arrays,
+from toponymic.operators.candidates import (candidate_docs, candidates_from_tagged, candidates_long, tagged_docs, token_arrays,
                                             tokens_long)
 from toponymic.operators.tokens import exact_token_matches, noun_names
 from toponymic.plans.jobs import match_corpus
@@ -173,3 +173,44 @@ def test_supplied_tags_end_to_end(spark):
     assert match_corpus(None, gaz, on="noun_phrases", tagged=tagged).collect() == []
     with pytest.raises(ValueError):
         match_corpus(docs, gaz, on="text", tagged=tagged)
+
+
+@pytest.mark.parametrize("kind", ["noun_phrases", "entities"])
+def test_tagged_docs_equal_window_islands(spark, kind):
+    """Sparse positions in any order, tokens of any shape, null tags: the one-exchange form and the islands agree."""
+    rnd = random.Random(17)
+    tags = ["JJ", "JJR", "NN", "NNS", "NNP", "NNP", "VB", None]
+    rows = []
+    for d in range(120):
+        for p in sorted(rnd.sample(range(10 ** 6), rnd.randint(0, 30))):
+            rows.append((None if d == 7 else f"d{d}", p, rnd.choice(["x", "U.S.", "don't", "New York", "P000000012z", "é", ""]),
+                         rnd.choice(tags), rnd.random() < 0.4))
+    rnd.shuffle(rows)
+    tagged = spark.createDataFrame(rows, "doc_id string, pos int, token string, tag string, flag boolean").repartition(5)
+    flag = "flag" if kind == "entities" else None
+    key = lambda r: (r.doc_id or "", r.cand_id, r.phrase)
+    got = sorted(map(key, candidates_long(tagged_docs(tagged, kind, flag)).collect()))
+    assert got == sorted(map(key, candidates_from_tagged(tagged, kind, flag).collect())) and len(got) > 100
+    assert tagged_docs(tagged.limit(0), kind).count() == 0
+
+
+def test_supplied_tags_gate_before_the_explode(spark):
+    """Tokens that hold several word runs; countries in other phrases of the document; one exchange of the tokens."""
+    gaz = gazetteer(spark)
+    rows = [(1, 0, "St. John's Kenya", "NNP"), (1, 5, "is", "VB"), (1, 9, "Nairobi", "NNP"), (1, 12, "Nairobi\nNairobi", "NN"),
+            (2, 0, "Nairobi", "NNP"), (3, 3, "Uganda", "NN"), (3, 4, "Kampala", "NN"), (3, 1, "Fort", "NN"), (3, 2, "Portal", "NN"),
+            (3, None, "Kampala", "NN"), (4, 0, None, "NN")]
+    tagged = spark.createDataFrame(rows, "doc_id long, pos long, token string, tag string")
+    got = match_corpus(None, gaz, on="noun_phrases", tagged=tagged)
+    units = gaz.phrase_units(candidates_from_tagged(tagged.where("pos IS NOT NULL"), "noun_phrases"))
+    key = lambda r: (r.doc_id, r.cand_id, r.row_index)
+    assert sorted(map(key, got.collect())) == sorted(map(key, gaz.places_in(units).collect()))
+    assert {r.doc_id for r in got.collect()} == {1, 3}
+    plan = match_corpus(None, gaz, on="noun_phrases", tagged=tagged)._jdf.queryExecution().sparkPlan().toString()
+    assert plan.count("ObjectHashAggregate") == 2 and "SortMergeJoin" not in plan and "Window" not in plan
+
+
+def test_positions_out_of_range_stop_the_job(spark):
+    tagged = spark.createDataFrame([(1, 10 ** 9, "Kenya", "NN")], "doc_id long, pos long, token string, tag string")
+    with pytest.raises(Exception, match="digits at most"):
+        tagged_docs(tagged).collect()

@@ -5,9 +5,11 @@ the chunker's matches come from a regex over the position-coded tag string
 (``functions.text``). Long-form tables are produced by ``posexplode``.
 
 Supplied-tag path: when tags (or an entity flag) come from an external tagger as a long
-table ``(doc_id, pos, token, tag)``, phrases are islands over a window ordered by
-``pos``: a phrase starts where the class changes as the grammar requires, a running sum
-numbers the phrases, and each phrase is assembled from its own (short) token group.
+table ``(doc_id, pos, token, tag)``, ``tagged_docs`` gathers each document's coded tokens with
+one exchange on the document (tasks put their own tokens together first, and tokens outside of
+any phrase travel without their text), and the same regex finds the phrases in the row. So
+countries are known per document before a phrase is exploded. ``candidates_from_tagged``
+is the long form of the same, as islands over a window ordered by ``pos``.
 """
 
 from __future__ import annotations
@@ -15,8 +17,8 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
-from toponymic.functions.text import (entity_phrases, noun_phrases, span_cand_id, span_phrase, strip_parens,
-                                      tag_class, tag_rule, token_array)
+from toponymic.functions.text import (ENTITY_SPAN, NP_SPAN, POS_WIDTH, entity_phrases, noun_phrases, span_cand_id,
+                                      span_phrase, strip_parens, tag_class, tag_rule, token_array)
 from toponymic.operators.names import MAX_LITERAL_NAMES, broadcast_if_bounded, collect_bounded
 
 KINDS = ("noun_phrases", "entities")
@@ -101,6 +103,40 @@ def candidates_long(cands: DataFrame) -> DataFrame:
                          span_phrase(F.col("s")).alias("phrase")))
 
 
+def _tagged_class(kind: str, entity_col: str | None) -> Column:
+    """The class letter of a supplied token; ``entity_col`` replaces the default rule of entities."""
+    if kind not in KINDS:
+        raise ValueError(f"kind must be one of {KINDS}")
+    if kind == "entities":
+        member = F.col(entity_col) if entity_col else (F.col("tag") == "NNP")
+        return F.when(member, "P").otherwise("O")
+    return tag_class(F.col("tag"))
+
+
+def tagged_docs(tagged: DataFrame, kind: str = "noun_phrases", entity_col: str | None = None) -> DataFrame:
+    """One row per document of a supplied long tag table: doc_id and ``spans`` (see
+    ``functions.text.chunk_spans``), as ``candidate_docs`` has them.
+
+    Tokens may be any strings; a line feed inside one counts as a vertical tab, a null token is empty,
+    a null tag or flag is in no phrase. Positions order the tokens, need not be dense and lie
+    between 0 and 10^9 - 1, else the job stops with an error; a token without a position can't be placed and is left
+    out. Tokens with the same position are taken in the order of class and text. A document
+    is one row of the result, as it is in a table of texts.
+    """
+    c = _tagged_class(kind, entity_col)
+    pos = F.col("pos").cast("long")
+    held = F.when(pos.between(0, 10 ** POS_WIDTH - 1), pos).otherwise(
+        F.raise_error(F.lit(f"positions of supplied tokens have {POS_WIDTH} digits at most")).cast("long"))
+    text = F.when(c != "O", F.coalesce(F.translate("token", "\n", "\x0b"), F.lit(""))).otherwise("")
+    units = (tagged.where(F.col("pos").isNotNull())
+                   .select("doc_id", F.struct(held.alias("pos"), c.alias("c"), text.alias("token")).alias("u")))
+    per_doc = units.groupBy("doc_id").agg(F.array_sort(F.collect_list("u")).alias("u"))
+    coded = F.array_join(F.transform("u", lambda x: F.concat(
+        F.lit("\n"), x["c"], F.lpad(x["pos"].cast("string"), POS_WIDTH, "0"), x["token"])), "")
+    return per_doc.select("doc_id", F.regexp_extract_all(coded, F.lit(ENTITY_SPAN if kind == "entities" else NP_SPAN), 0)
+                          .alias("spans"))
+
+
 def candidates_from_tagged(tagged: DataFrame, kind: str = "noun_phrases",
                            entity_col: str | None = None) -> DataFrame:
     """Candidate phrases from a supplied long tag table (doc_id, pos, token, tag).
@@ -108,14 +144,8 @@ def candidates_from_tagged(tagged: DataFrame, kind: str = "noun_phrases",
     For ``kind='entities'`` an optional boolean ``entity_col`` replaces the default rule
     (token tagged ``NNP``). Returns doc_id, cand_id, phrase.
     """
-    if kind not in KINDS:
-        raise ValueError(f"kind must be one of {KINDS}")
+    c = _tagged_class(kind, entity_col)
     w = Window.partitionBy("doc_id").orderBy("pos")
-    if kind == "entities":
-        member = F.col(entity_col) if entity_col else (F.col("tag") == "NNP")
-        c = F.when(member, "P").otherwise("O")
-    else:
-        c = tag_class(F.col("tag"))
     coded = tagged.select("doc_id", "pos", "token", c.alias("c"))
     prev = F.lag("c").over(w)
     if kind == "entities":

@@ -194,20 +194,23 @@ class Gazetteer:
                                self.lookup.isos(F.array(F.col("text")), F.col("__hit")).alias("isos"))
         return base
 
-    def candidate_docs(self, cands: DataFrame) -> DataFrame:
+    def candidate_docs(self, cands: DataFrame, any_tokens: bool = False) -> DataFrame:
         """One row per document: doc_id, its other columns, ``spans`` (the chunker's coded
         spans) and, when the country list is inlined, ``isos``: the countries named in any
-        of its phrases, found in the row before exploding."""
+        of its phrases, found in the row before exploding. ``any_tokens``: the tokens come from
+        another tokenizer, so one may hold several word runs."""
         per_doc = cands
         if self.lookup is not None:
-            per_doc = per_doc.select("*", self.lookup.hit(spans_words(F.col("spans"))).alias("__hit"))
             phrases = F.transform("spans", span_phrase)
+            words = distinct_word_runs(F.array_join(phrases, "\n")) if any_tokens else spans_words(F.col("spans"))
+            per_doc = per_doc.select("*", self.lookup.hit(words).alias("__hit"))
             per_doc = per_doc.select(*[c for c in per_doc.columns if c != "__hit"],
                                      self.lookup.isos(phrases, F.col("__hit")).alias("isos"))
         return per_doc
 
     @staticmethod
-    def candidate_units(per_doc: DataFrame, keep: tuple[str, ...] = (), gate: bool = False) -> DataFrame:
+    def candidate_units(per_doc: DataFrame, keep: tuple[str, ...] = (), gate: bool = False,
+                        any_tokens: bool = False) -> DataFrame:
         """One row per phrase: doc_id, cand_id, text (the phrase), words[, isos], keep.
         Spans are decoded after the explode, in generated code. With ``gate`` the phrases
         of a document without any country are left out before the explode."""
@@ -218,7 +221,7 @@ class Gazetteer:
                         .where(F.col("s").isNotNull())
                         .select(*cols, span_cand_id(F.col("s")).alias("cand_id"),
                                 span_phrase(F.col("s")).alias("text")))
-        return units.select("*", _phrase_words(F.col("text")).alias("words"))
+        return units.select("*", (distinct_word_runs("text") if any_tokens else _phrase_words(F.col("text"))).alias("words"))
 
     @staticmethod
     def phrase_units(cands_long: DataFrame) -> DataFrame:

@@ -13,7 +13,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from toponymic.operators.candidates import (LexiconTooLarge, candidate_docs, candidates_from_tagged, token_arrays,
+from toponymic.operators.candidates import (LexiconTooLarge, candidate_docs, tagged_docs, token_arrays,
                                             tokens_long)
 from toponymic.operators.match import Gazetteer
 
@@ -49,7 +49,8 @@ def match_corpus(docs: DataFrame | None, gaz: Gazetteer, on: str = "text", text_
     if tagged is None:
         found = gaz.places_in(gaz.candidate_units(per_doc, keep, gate), gate=gate, keep=keep)
     else:
-        found = gaz.places_in(gaz.phrase_units(candidates_from_tagged(tagged, on, entity_col)), gate=gate)
+        per_doc = gaz.candidate_docs(tagged_docs(tagged, on, entity_col), any_tokens=True)
+        found = gaz.places_in(gaz.candidate_units(per_doc, gate=gate, any_tokens=True), gate=gate)
         if keep:
             own = docs.select(F.col("doc_id").alias("__doc"), *keep)
             found = found.join(own, F.col("doc_id").eqNullSafe(F.col("__doc"))).drop("__doc")

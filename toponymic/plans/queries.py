@@ -336,7 +336,9 @@ def _tokens_cte(name: str, strip: bool) -> str:
 def _tagged_cte(name: str, src: str, lexicon: str | None = None) -> str:
     tag = _tag_case("token")
     if lexicon:
-        tag = f"CASE WHEN token IN (SELECT token FROM {lexicon}) THEN (SELECT min(tag) FROM {lexicon} l WHERE l.token = {src}.token) ELSE {tag} END"
+        listed = f"(SELECT token AS listed, min(tag) AS known FROM {lexicon} GROUP BY token)"
+        return (f"{name} AS MATERIALIZED (SELECT doc_id, pos, token, coalesce(known, {tag}) AS tag "
+                f"FROM {src} LEFT JOIN {listed} ON listed = token)")
     return f"{name} AS (SELECT doc_id, pos, token, {tag} AS tag FROM {src})"
 
 
@@ -361,16 +363,16 @@ ecl AS (SELECT doc_id, pos, token, {_CLASS} AS c FROM tge),
 ecl2 AS (SELECT *, lag(c) OVER (PARTITION BY doc_id ORDER BY pos) AS pc FROM ecl),
 eng AS (SELECT *, sum(CASE WHEN c = 'P' AND (pc IS NULL OR pc <> 'P') THEN 1 ELSE 0 END)
                   OVER (PARTITION BY doc_id ORDER BY pos ROWS UNBOUNDED PRECEDING) AS gid FROM ecl2),
-ent AS (SELECT doc_id, min(pos) AS cand_id, string_agg(token, ' ' ORDER BY pos) || ' ' AS phrase
+ent AS MATERIALIZED (SELECT doc_id, min(pos) AS cand_id, string_agg(token, ' ' ORDER BY pos) || ' ' AS phrase
         FROM eng WHERE c = 'P' GROUP BY doc_id, gid)"""
 
 
 def _candidate_matches(src: str) -> str:
     """Gated, bag-semantics place matches over candidate table ``src``."""
     return rf"""
-cw AS (SELECT DISTINCT doc_id, cand_id, unnest(regexp_extract_all(phrase, '{O.W}+')) AS tok FROM {src}),
+cw AS MATERIALIZED (SELECT DISTINCT doc_id, cand_id, unnest(regexp_extract_all(phrase, '{O.W}+')) AS tok FROM {src}),
 chit AS (SELECT DISTINCT cw.doc_id, c.iso FROM cw JOIN country c ON cw.tok = c.country),
-cum AS (
+cum AS MATERIALIZED (
   SELECT cw.doc_id, cw.cand_id, p.* FROM cw JOIN place p ON cw.tok = p.name
   UNION ALL
   SELECT n.doc_id, n.cand_id, p.* EXCLUDE (w1, w2) FROM cw JOIN place2 p ON cw.tok = p.w1
