@@ -1,0 +1,79 @@
+"""Texts matched in pieces: the rows of the unsplit texts, names and marks at every cut included."""
+
+import random
+
+import pytest
+from pyspark.sql import functions as F
+
+from fixtures import countries_df, docs_df, gazetteer, places_df
+from toponymic.operators import match
+from toponymic.operators.long_texts import exploded_pieces
+from toponymic.operators.match import Gazetteer, countries_in_text, places_in_text
+from toponymic.plans.jobs import match_corpus
+
+ODD_NAMES = ["ab", "ab cd", "-ab", "ab-", "é", "x_y", "++", "_", "a", "cd ab", "--", "b-", ".b", "ab. cd"]
+
+
+def odd_gazetteer(spark):
+    places = [(i, n, ["A", "B", "C"][i % 3]) for i, n in enumerate(ODD_NAMES)]
+    return Gazetteer(places_df(spark, places), countries_df(spark, [("A", "ab"), ("B", "é cd"), ("C", "-ab")]))
+
+
+def odd_texts(n, seed=4):
+    rnd = random.Random(seed)
+    parts = ["ab", "cd", " ", " ", "-", ".", "é", "_", "x", "y", "++", "\n", "a", "b"]
+    return ["".join(rnd.choices(parts, k=rnd.randint(0, 60))) for _ in range(n)] + [None, "", "ab" * 40, "- " * 40, "_" * 50]
+
+
+@pytest.mark.parametrize("gate", [True, False])
+@pytest.mark.parametrize("inline", [True, False])
+def test_pieces_give_the_rows_of_whole_texts(spark, monkeypatch, gate, inline):
+    if not inline:
+        monkeypatch.setattr(match, "MAX_LITERAL_NAMES", 1)
+    texts = odd_texts(400)
+    # documents that share an id, or have none, are texts of their own
+    docs = docs_df(spark, texts).select(F.when(F.col("doc_id") % 50 != 0, F.col("doc_id")).alias("doc_id"), "text",
+                                        F.lit("j").alias("journal"))
+    docs = docs.where("doc_id IS NOT NULL") if not inline else docs
+    key = lambda r: tuple((x is not None, x) for x in r)
+    rows = lambda df: sorted(map(tuple, df.select("doc_id", "row_index", "name", "journal").collect()), key=key)
+    whole = rows(places_in_text(docs, odd_gazetteer(spark), gate=gate, keep=("journal",)))
+    for split in (0, 16):       # pieces are at least as long as their lead, 7 characters here
+        got = rows(places_in_text(docs, odd_gazetteer(spark), gate=gate, keep=("journal",), split_over=split))
+        assert got == whole
+    assert len(whole) > 200
+
+
+def test_countries_of_all_pieces_open_the_gate(spark):
+    gaz = gazetteer(spark)
+    filler = " and so on" * 30
+    docs = docs_df(spark, ["Nairobi" + filler + " Kenya", "Kenya" + filler + " Nairobi Mombasa" + filler + " Nairobi",
+                           "Nairobi" + filler, "Uganda Fort" + filler + " Fort Portal"])
+    got = places_in_text(docs, gaz, split_over=20)
+    assert sorted((r.doc_id, r.row_index) for r in got.collect()) == [(0, 0), (1, 0), (1, 1), (3, 4)]
+    got = countries_in_text(docs, gaz, split_over=20)
+    assert sorted(map(tuple, got.collect())) == [(0, "KE"), (1, "KE"), (3, "UG")]
+
+
+def test_countries_equal_whole_texts(spark):
+    docs, gaz = docs_df(spark, odd_texts(200, 9)), odd_gazetteer(spark)
+    rows = lambda df: sorted(map(tuple, df.select("doc_id", "iso").collect()))
+    assert rows(countries_in_text(docs, gaz, split_over=10)) == rows(countries_in_text(docs, gaz))
+
+
+def test_one_document_is_many_tasks(spark):
+    docs = docs_df(spark, ["word " * 200_000])
+    pieces = exploded_pieces(docs, "text", 10_000, 50).select(F.spark_partition_id().alias("p"), F.length("text").alias("n"))
+    spark.conf.set("spark.sql.adaptive.coalescePartitions.enabled", "false")
+    try:
+        found = pieces.collect()
+    finally:
+        spark.conf.set("spark.sql.adaptive.coalescePartitions.enabled", "true")
+    assert len({r.p for r in found}) > 3 and max(r.n for r in found) < 10_200 and len(found) == 100
+
+
+def test_refused_where_it_could_lose_rows(spark):
+    with pytest.raises(ValueError):
+        places_in_text(docs_df(spark, ["x"]), gazetteer(spark, True), split_over=5)
+    with pytest.raises(ValueError):
+        match_corpus(docs_df(spark, ["x"]), gazetteer(spark), on="entities", split_over=5)

@@ -38,6 +38,7 @@ from pyspark.sql import types as T
 
 from toponymic.functions.text import span_cand_id, span_phrase, spans_words
 from toponymic.functions.words import distinct_word_runs
+from toponymic.operators.long_texts import ROW, exploded_pieces
 from toponymic.operators.names import (MAX_LITERAL_NAMES, boundary, collect_bounded, fits_broadcast,
                                        literal_array, name_index)
 
@@ -180,6 +181,12 @@ class Gazetteer:
     def _places(self) -> _Index:
         return _Index.build(name_index(self.places.select(*PLACE_COLS), "name", self.regex_names), PLACE_COLS)
 
+    @cached_property
+    def longest_name(self) -> int:
+        """Characters of the longest place or country name."""
+        names = self.places.select(F.col("name").alias("n")).unionByName(self.countries.select(F.col("country").alias("n")))
+        return names.agg(F.max(F.char_length("n"))).first()[0] or 0
+
     # ---------------------------------------------------------------- units
     def text_units(self, docs: DataFrame, text_col: str = "text", key: str = "doc_id",
                    carry: tuple[str, ...] = ()) -> DataFrame:
@@ -258,6 +265,30 @@ class Gazetteer:
                              "left_semi")
         return hits.select(*keys, *keep, *PLACE_COLS)
 
+    def piece_units(self, docs: DataFrame, size: int, text_col: str = "text", key: str = "doc_id",
+                    carry: tuple[str, ...] = ()) -> DataFrame:
+        """Text units of the pieces of long texts (see ``operators.long_texts``): ``doc_id`` is the number of the text,
+        ``__doc`` its key."""
+        if self.regex_names:
+            raise ValueError("names that are patterns have no longest form: texts can't be cut")
+        overlap = self.longest_name + 1
+        pieces = exploded_pieces(docs.select(F.col(key).alias("__doc"), F.col(text_col).alias("text"), *carry), "text",
+                                 max(size, overlap), overlap)
+        return self.text_units(pieces, key=ROW, carry=("__doc", *carry))
+
+    def countries_in_pieces(self, units: DataFrame) -> DataFrame:
+        """Distinct (doc_id, iso) over all pieces of a text; ``doc_id`` is the number of the text."""
+        return self.countries_in(units).distinct()
+
+    def places_in_pieces(self, units: DataFrame, gate: bool = True, keep: tuple[str, ...] = ()) -> DataFrame:
+        """``places_in`` of the whole texts, from their pieces: a place is reported once a text, and the gate knows the
+        countries of all pieces. Only hits are shuffled, never a text."""
+        hits = self._hits(units, self._places, keep=("__doc", *keep)).dropDuplicates(["doc_id", "row_index"])
+        if gate:
+            found = self.countries_in_pieces(units).select(F.col("doc_id").alias("__text"), "iso")
+            hits = hits.join(found, (F.col("doc_id") == F.col("__text")) & (F.col("countrycode") == F.col("iso")), "left_semi")
+        return hits.select(F.col("__doc").alias("doc_id"), *keep, *PLACE_COLS)
+
     def gate_counts(self, units: DataFrame) -> DataFrame | None:
         """J2 summary per document in one pass: places the gate admits (gazetteer rows of
         the document's countries), ungated and gated place matches; zero rows kept.
@@ -361,10 +392,35 @@ def _shuffled_hits(units: DataFrame, index: _Index, words: Column, gate, keys: l
     return settled.unionByName(checked.select(*keys, *index.payload))
 
 
-def countries_in_text(docs: DataFrame, gaz: Gazetteer, text_col: str = "text") -> DataFrame:
-    return gaz.countries_in(gaz.text_units(docs, text_col))
+def _by_length(docs: DataFrame, text_col: str, split_over: int) -> tuple[DataFrame, DataFrame]:
+    """Rows with texts of up to ``split_over`` bytes, and the others."""
+    long = F.coalesce(F.octet_length(text_col) > split_over, F.lit(False))
+    return docs.where(~long), docs.where(long)
+
+
+def countries_in_text(docs: DataFrame, gaz: Gazetteer, text_col: str = "text", split_over: int | None = None) -> DataFrame:
+    """(doc_id, iso) named in each text (J1). ``split_over``: see ``places_in_text``."""
+    if split_over is None:
+        return gaz.countries_in(gaz.text_units(docs, text_col))
+    short, long = _by_length(docs, text_col, split_over)
+    units = gaz.piece_units(long, split_over, text_col)
+    keys = units.select("doc_id", "__doc").distinct()
+    found = gaz.countries_in_pieces(units).join(keys, "doc_id").select(F.col("__doc").alias("doc_id"), "iso")
+    if gaz.lookup is None:      # the join form reports a country once a key, also for rows that share it
+        return gaz.countries_in(gaz.text_units(short, text_col)).unionByName(found).distinct()
+    return gaz.countries_in(gaz.text_units(short, text_col)).unionByName(found)
 
 
 def places_in_text(docs: DataFrame, gaz: Gazetteer, text_col: str = "text", gate: bool = True,
-                   keep: tuple[str, ...] = ()) -> DataFrame:
-    return gaz.places_in(gaz.text_units(docs, text_col, carry=keep), gate=gate, keep=keep)
+                   keep: tuple[str, ...] = (), split_over: int | None = None) -> DataFrame:
+    """Place rows named in each text (J3), gated by country.
+
+    ``split_over``: texts of more bytes are cut into pieces of about as many characters,
+    which many tasks match; the rows are the same. Such texts are found by a scan of their own,
+    so the texts are read twice: worth it where single documents hold up a job.
+    """
+    if split_over is None:
+        return gaz.places_in(gaz.text_units(docs, text_col, carry=keep), gate=gate, keep=keep)
+    short, long = _by_length(docs, text_col, split_over)
+    found = gaz.places_in(gaz.text_units(short, text_col, carry=keep), gate=gate, keep=keep)
+    return found.unionByName(gaz.places_in_pieces(gaz.piece_units(long, split_over, text_col, carry=keep), gate, keep))

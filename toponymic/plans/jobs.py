@@ -15,7 +15,7 @@ from pyspark.sql import functions as F
 
 from toponymic.operators.candidates import (LexiconTooLarge, candidate_docs, tagged_docs, token_arrays,
                                             tokens_long)
-from toponymic.operators.match import Gazetteer
+from toponymic.operators.match import Gazetteer, places_in_text
 
 STRATEGIES = ("text", "noun_phrases", "entities")
 
@@ -23,7 +23,7 @@ STRATEGIES = ("text", "noun_phrases", "entities")
 def match_corpus(docs: DataFrame | None, gaz: Gazetteer, on: str = "text", text_col: str = "text",
                  keep: tuple[str, ...] = (), gate: bool = True, lexicon=None,
                  distinct: bool = False, tagged: DataFrame | None = None,
-                 entity_col: str | None = None) -> DataFrame:
+                 entity_col: str | None = None, split_over: int | None = None) -> DataFrame:
     """Gated place matches: one row per (document[, candidate], place row).
 
     Candidate strategies keep the reference's bag semantics (a place named in two
@@ -34,13 +34,18 @@ def match_corpus(docs: DataFrame | None, gaz: Gazetteer, on: str = "text", text_
     the candidate strategies, ``entity_col`` a boolean column of it that marks entities;
     ``docs`` is then only read for the ``keep`` columns. A lexicon too large to inline
     takes the same path, with tags joined to the tokens.
+
+    ``split_over`` (full text only) has texts of more bytes matched in pieces, by many tasks
+    (``operators.match.places_in_text``).
     """
     if on not in STRATEGIES:
         raise ValueError(f"on must be one of {STRATEGIES}")
     if on == "text":
         if tagged is not None:
             raise ValueError("tags serve the candidate strategies only")
-        return gaz.places_in(gaz.text_units(docs, text_col, carry=keep), gate=gate, keep=keep)
+        return places_in_text(docs, gaz, text_col, gate, keep, split_over)
+    if split_over is not None:
+        raise ValueError("only full texts are matched in pieces")
     if tagged is None:
         try:
             per_doc = gaz.candidate_docs(candidates(docs, on, text_col, keep, lexicon))

@@ -267,6 +267,16 @@ def q_tagged_place_match(spark, sf_dir):
     return match_corpus(None, i.gaz, on="entities", tagged=tagged, entity_col="entity").select(*CAND_MATCH_COLS)
 
 
+#: Bytes of text above which ``long_document_match`` cuts a document into pieces.
+SPLIT_OVER = 4096
+
+
+def q_long_document_match(spark, sf_dir):
+    """M1 with documents of over 4 KB matched in pieces by many tasks: the rows of ``place_match``."""
+    i = inputs(spark, sf_dir)
+    return match_corpus(i.docs, i.gaz, split_over=SPLIT_OVER).select("doc_id", "row_index", "geonameid", "name", "countrycode")
+
+
 def q_token_exact_match(spark, sf_dir):
     i = inputs(spark, sf_dir)
     return exact_token_matches(i.docs, i.nouns)
@@ -302,6 +312,7 @@ QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "candidate_place_match": q_candidate_place_match,
     "entity_place_match": q_entity_place_match,
     "tagged_place_match": q_tagged_place_match,
+    "long_document_match": q_long_document_match,
     "token_exact_match": q_token_exact_match,
     "ngram_match": q_ngram_match,
 }
@@ -418,6 +429,7 @@ GM = (O.GAZETTEER, O.DOC_WORDS, O.MATCHES)
 
 ORACLES: dict[str, str] = {
     "place_match": O.with_ctes(*GM, body="SELECT doc_id, row_index, geonameid, name, countrycode FROM m"),
+    "long_document_match": O.with_ctes(*GM, body="SELECT doc_id, row_index, geonameid, name, countrycode FROM m"),
     "country_match": O.with_ctes(G, O.DOC_WORDS, body="SELECT doc_id, iso FROM hit"),
     "country_gate": O.with_ctes(*GM, """
 adm AS (SELECT h.doc_id, count(*) AS n FROM hit h JOIN place p ON p.countrycode = h.iso GROUP BY h.doc_id),

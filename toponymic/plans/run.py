@@ -42,6 +42,8 @@ def parse_args(argv: list[str] | None = None) -> argparse.Namespace:
     p.add_argument("--regex-names", action="store_true", help="treat names as regular expressions")
     p.add_argument("--slice", default=None, metavar="OFFSET:COUNT",
                    help="batch mode: only COUNT articles from OFFSET, in path order (e.g. 899:100)")
+    p.add_argument("--split-over", type=int, default=None, metavar="BYTES",
+                   help="batch mode, full text: longer texts are matched in pieces, by many tasks")
     p.add_argument("--master", default=None, help="Spark master for a local run")
     return p.parse_args(argv)
 
@@ -61,7 +63,7 @@ def run(spark: SparkSession, args: argparse.Namespace) -> dict:
         picked = path_slice(spark, args.articles, offset, count)
         docs = article_docs(read_articles(spark, args.articles, only=picked), args.tag)
     gaz = Gazetteer(places, countries, regex_names=args.regex_names)
-    matches = match_corpus(docs, gaz, on=args.strategy, keep=tuple(META_FIELDS))
+    matches = match_corpus(docs, gaz, on=args.strategy, keep=tuple(META_FIELDS), split_over=args.split_over)
     export = export_matches(matches)
     path = write_csv(export, chunk_path(args.out, run_stamp(), 1, args.prefix),
                      index_by=["doc_id", "row_index"] if args.index else None)
