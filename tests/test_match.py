@@ -113,7 +113,8 @@ def test_match_corpus_keeps_metadata(spark):
 def test_unanchored_names_above_bound_use_theta_join(spark, monkeypatch):
     import toponymic.operators.match as m
     monkeypatch.setattr(m, "MAX_LITERAL_NAMES", 0)   # nothing may be inlined
-    gaz = gazetteer(spark, True, places=[(0, "Nair(o|u)bi", "KE"), (1, "Mombasa", "KE")])
+    # no three characters that every match holds, so there is no trigram to join on
+    gaz = gazetteer(spark, True, places=[(0, "N(airo|airu)bi", "KE"), (1, "Mombasa", "KE")])
     assert gaz.lookup is None and gaz._places.residual_rows is None
     rows = places_in_text(docs_df(spark, ["Kenya Nairubi", "Kenya Nairobi Mombasa", "Nairobi"]), gaz).collect()
     assert sorted((r.doc_id, r.row_index) for r in rows) == [(0, 0), (1, 0), (1, 1)]

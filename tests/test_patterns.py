@@ -1,0 +1,76 @@
+"""Names that are patterns: joined on a required trigram, rows equal to a search of every pattern in every text."""
+
+import random
+import re
+
+import pytest
+from pyspark.sql import functions as F
+
+from fixtures import docs_df, gazetteer
+from toponymic.functions.words import required_text, trigrams
+from toponymic.operators import match, names
+from toponymic.operators.match import places_in_text
+from toponymic.plans.jobs import match_corpus
+
+PATTERNS = ["Nair(o|u)bi", "Mom+basa", "Fort(?: San)? Portal", "Kam[pb]ala", "W.ndhoek", "colou?r", "x|y", "a(b(c|d)e)f", "(?i:kisumu)",
+            "St\\. (John|Jean)", "Nakuru{1,2}", "abc(?=d)", "Eldoret", "\\d+", "Lake Vic(toria)?", "(Thika)+", "zz*"]
+TEXTS = ["Kenya Nairobi Nairubi", "Kenya Momasa Mommbasa", "Uganda Fort Portal Fort San Portal", "Kambala Kenya Kampala",
+         "Windhoek Wundhoek Kenya", "Kenya color colour colouur", "Kenya x", "Kenya y abcef abdef", "Kenya KISUMU Kisumu",
+         "Kenya St. Jean St. John St. Joan", "Kenya Nakuruu Nakur", "Kenya abcd abc", "Eldoret Nairobi", "Kenya 12 Lake Vic",
+         "Uganda ThikaThika z zzz Lake Victoria", "Kenya", "", None]
+
+
+def brute(texts, patterns, codes):
+    countries = {"KE": "Kenya", "NA": "Namibia", "UG": "Uganda"}
+    out = set()
+    for d, text in enumerate(texts):
+        isos = {i for i, c in countries.items() if re.search(rf"\b{c}\b", text or "")}
+        out |= {(d, r) for r, p in enumerate(patterns) if codes[r] in isos and re.search(r"\b" + p + r"\b", text or "")}
+    return sorted(out)
+
+
+@pytest.mark.parametrize("bounds", [{}, {"MAX_LITERAL_NAMES": 3}, {"MAX_BROADCAST_NAMES": 1}])
+def test_equal_to_searching_every_pattern(spark, monkeypatch, bounds):
+    for name, value in bounds.items():
+        monkeypatch.setattr(names, name, value)
+        if hasattr(match, name):
+            monkeypatch.setattr(match, name, value)
+    codes = ["KE" if i % 3 else "UG" for i in range(len(PATTERNS))]
+    gaz = gazetteer(spark, True, places=[(i, p, c) for i, (p, c) in enumerate(zip(PATTERNS, codes))])
+    rnd = random.Random(8)
+    words = " ".join(t for t in TEXTS if t).split(" ")
+    texts = TEXTS + [" ".join(rnd.choices(words, k=rnd.randint(1, 30))) for _ in range(150)]
+    got = sorted((r.doc_id, r.row_index) for r in places_in_text(docs_df(spark, texts), gaz).collect())
+    assert got == brute(texts, PATTERNS, codes) and len(got) > 150
+    left = [r["name"] for r in gaz._places.residual.collect()]
+    # only patterns without three characters that they must hold are searched one by one
+    assert sorted(left) == sorted(["St\\. (John|Jean)", "x|y", "a(b(c|d)e)f", "(?i:kisumu)", "abc(?=d)", "\\d+", "(Thika)+", "zz*"])
+
+
+def test_candidates_are_matched_by_patterns_too(spark):
+    gaz = gazetteer(spark, True, places=[(0, "Nair(o|u)bi", "KE"), (1, "Mom+basa", "KE")])
+    docs = docs_df(spark, ["Kenya sees Nairubi Nairobi now", "Nairobi", "Kenya of Mommbasa"])
+    got = match_corpus(docs, gaz, on="entities")
+    assert sorted((r.doc_id, r.row_index) for r in got.collect()) == [(0, 0), (2, 1)]
+
+
+def test_no_nested_loop_for_patterns_with_a_trigram(spark):
+    gaz = gazetteer(spark, True, places=[(0, "Nair(o|u)bi", "KE"), (1, "Mombasa", "KE")])
+    plan = places_in_text(docs_df(spark, ["Kenya Nairobi"]), gaz)._jdf.queryExecution().sparkPlan().toString()
+    assert "NestedLoop" not in plan and "Cartesian" not in plan and gaz._places.residual_rows == []
+
+
+def test_required_text_is_in_every_match(spark):
+    """Strings built from a pattern's own pieces: whatever matches holds all required trigrams."""
+    rnd = random.Random(6)
+    parts = ["abc", "d", "(e|f)", "[gh]", "i?", "j*", "k+", ".", "\\.", "(?:lmn)", "(op)?", "q{2}", "é", "rst", "x{0,1}", "\\d"]
+    made = {"(e|f)": ["e", "f"], "[gh]": ["g", "h"], "i?": ["", "i"], "j*": ["", "jjj"], "k+": ["k", "kk"], ".": ["z", "é"],
+            "\\.": ["."], "(?:lmn)": ["lmn"], "(op)?": ["", "op"], "q{2}": ["qq"], "x{0,1}": ["", "x"], "\\d": ["7"]}
+    rows = []
+    for _ in range(400):
+        some = rnd.choices(parts, k=rnd.randint(1, 8))
+        rows.append(("".join(some), "".join(rnd.choice(made.get(p, [p])) for p in some)))
+    df = spark.createDataFrame(rows, "p string, text string")
+    held = df.select("p", "text", trigrams(required_text(F.col("p"))).alias("g")).collect()
+    assert all(re.fullmatch(r.p, r.text) and all(g in r.text for g in r.g) for r in held)
+    assert sum(bool(r.g) for r in held) > 150

@@ -71,3 +71,32 @@ def longest_run(runs: Column, rank: int = 0) -> Column:
     the array is shorter."""
     keyed = F.transform(runs, lambda r: F.struct((-F.length(r)).alias("k"), r.alias("v")))
     return F.get(F.sort_array(keyed), rank).getField("v")   # null (not an error) when absent
+
+
+#: What separates the required parts of a pattern in ``required_text``; no character of a name.
+BREAK = "\0"
+#: Groups inside of groups that ``required_text`` sees through.
+_DEPTH = 8
+
+
+def required_text(pattern: Column) -> Column:
+    """The characters that every match of a pattern holds, in order, ``BREAK`` between parts that
+    needn't touch. A match holds each part whole. Where that can't be told – alternatives at the top,
+    flags, look-arounds, quoting, nested classes – it is empty.
+
+    Groups, classes, escapes and whatever is repeated or optional are breaks.
+    """
+    gone = F.lit(BREAK)
+    text = F.regexp_replace(pattern, r"(?s)\\(?:[pP]\{[^}]*\}|.)", gone)      # escapes
+    text = F.regexp_replace(text, r"\[\^?\]?[^\[\]]*\]", gone)                # classes
+    for _ in range(_DEPTH):
+        text = F.regexp_replace(text, r"\((?:\?:)?[^()?]*\)|\((?:\?:)?[^()]*[^()?][?][^()]*\)", gone)
+    text = F.regexp_replace(text, r"(?s).(?:[*?]|\{[^}]*\})[+?]?", gone)        # optional, or counted
+    text = F.regexp_replace(text, r"[+][+?]?|[.^$]", gone)
+    unclear = pattern.rlike(r"\\[QExucN0]|\(\?(?!:)") | text.rlike(r"[()\[\]|{}*?\\]")
+    return F.when(unclear, F.lit("")).otherwise(text)
+
+
+def trigrams(text: str | Column) -> Column:
+    """All runs of three characters without a ``BREAK``, in order, repeats included."""
+    return F.regexp_extract_all(col_of(text), F.lit(r"(?=([^\x00]{3}))"), 1)

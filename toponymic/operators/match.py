@@ -37,9 +37,9 @@ from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
 from toponymic.functions.text import span_cand_id, span_phrase, spans_words
-from toponymic.functions.words import distinct_word_runs
+from toponymic.functions.words import distinct_word_runs, trigrams
 from toponymic.operators.long_texts import ROW, exploded_pieces
-from toponymic.operators.names import (MAX_LITERAL_NAMES, boundary, collect_bounded, fits_broadcast,
+from toponymic.operators.names import (MAX_LITERAL_NAMES, boundary, collect_bounded, fits_broadcast, gram_index,
                                        literal_array, name_index)
 
 PLACE_COLS = ["row_index", "geonameid", "name", "asciiname", "latitude", "longitude",
@@ -112,9 +112,11 @@ class _Index:
     residual: DataFrame          # names without an anchor
     residual_rows: list | None   # the same, inlined when bounded
     payload: list[str]
+    grams: "_Index | None" = None       # patterns without an anchor, joined on a required trigram
+    gram_list: list | None = None       # those trigrams, inlined when bounded
 
     @classmethod
-    def build(cls, index: DataFrame, payload: list[str]) -> "_Index":
+    def build(cls, index: DataFrame, payload: list[str], patterns: bool = False) -> "_Index":
         # The index is small (gazetteer-sized) and read by every query's broadcast:
         # keep it materialized instead of re-deriving it each time (recomputed from
         # lineage if an executor holding it is lost).
@@ -129,6 +131,17 @@ class _Index:
             anchors = anchored.select(F.col("anchor").alias("__key")).distinct()
             anchor_set = F.broadcast(anchors) if fits_broadcast(anchors) else None
         residual = index.where(F.col("anchor").isNull())
+        if patterns and not residual.isEmpty():
+            split = gram_index(index).persist(StorageLevel.MEMORY_AND_DISK)
+            keyed = split.where(F.col("gram").isNotNull())
+            whole = cls.build(index.where(F.col("anchor").isNotNull())
+                                   .unionByName(split.where(F.col("gram").isNull()).drop("gram")), payload)
+            if not keyed.isEmpty():
+                whole.grams = cls.build(keyed.withColumn("anchor", F.col("gram")).withColumn("second", F.lit(None).cast("string"))
+                                             .withColumn("single", F.lit(False)).drop("gram"), payload)
+                rows = collect_bounded(keyed.select("gram").distinct())
+                whole.gram_list = None if rows is None else sorted(r["gram"] for r in rows)
+            return whole
         return cls(F.broadcast(anchored) if small else anchored, small, anchor_set, residual,
                    collect_bounded(residual, MAX_LITERAL_NAMES), payload)
 
@@ -169,7 +182,7 @@ class Gazetteer:
 
     @cached_property
     def _countries(self) -> _Index:
-        return _Index.build(self._country_index, ["iso"])
+        return _Index.build(self._country_index, ["iso"], self.regex_names)
 
     @cached_property
     def _places_per_country(self) -> list | None:
@@ -179,7 +192,8 @@ class Gazetteer:
 
     @cached_property
     def _places(self) -> _Index:
-        return _Index.build(name_index(self.places.select(*PLACE_COLS), "name", self.regex_names), PLACE_COLS)
+        return _Index.build(name_index(self.places.select(*PLACE_COLS), "name", self.regex_names), PLACE_COLS,
+                            self.regex_names)
 
     @cached_property
     def longest_name(self) -> int:
@@ -299,7 +313,8 @@ class Gazetteer:
         hold (callers then combine ``countries_in`` and ``places_in``).
         """
         counts = self._places_per_country
-        if counts is None or "isos" not in units.columns or self._places.residual_rows is None:
+        if (counts is None or "isos" not in units.columns or self._places.residual_rows is None
+                or self._places.grams is not None):
             return None
         counts = sorted((r["countrycode"], r["n"]) for r in counts if r["countrycode"] is not None)
         count_map = (F.map_from_arrays(F.array(*[F.lit(c) for c, _ in counts]),
@@ -353,6 +368,13 @@ class Gazetteer:
         else:
             out = _shuffled_hits(units, index, words, gate, keys, [gate_col] if gate_col else [])
 
+        if index.grams is not None:
+            # patterns meet the texts that hold their trigram; a unit that the gate leaves out is not read
+            grams = trigrams(text)
+            grams = F.array_distinct(grams) if index.gram_list is None else \
+                F.array_intersect(grams, F.array(*map(F.lit, index.gram_list)))
+            grams = F.when(F.size(gate_col) > 0, grams) if gate_col else grams
+            out = out.unionByName(Gazetteer._hits(units.withColumn("words", grams), index.grams, gate_col, keep))
         if index.residual_rows is None:
             # Too many unanchored names to inline: an exact nested-loop theta join.
             extra = units.select(*carry).join(

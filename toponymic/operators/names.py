@@ -8,7 +8,8 @@ which keeps the join's key groups small.
 
 With ``regex_names=True`` a name is a pattern, as in the reference. A run is still a
 safe anchor when neither neighbour is a ``.`` (which may match a word character); names
-with any other metacharacter have no anchor and go through the residual path.
+with any other metacharacter have no anchor. They are joined on a run of three characters that each of their
+matches must hold (``gram_index``); those without one go through the residual path.
 """
 
 from __future__ import annotations
@@ -17,7 +18,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
-from toponymic.functions.words import BOUNDARY, escape_regex, longest_run, word_runs
+from toponymic.functions.words import BOUNDARY, BREAK, escape_regex, longest_run, required_text, trigrams, word_runs
 
 # Size bounds for data that is broadcast or inlined into the plan.
 MAX_BROADCAST_NAMES = 2_000_000         # rows of a name index shipped to every executor
@@ -68,6 +69,21 @@ def name_index(names: DataFrame, name_col: str = "name", regex_names: bool = Fal
     )
 
 
+def gram_index(index: DataFrame) -> DataFrame:
+    """The names of ``index`` without an anchor, with ``gram``: the rarest run of three characters that every match
+    of the pattern holds (null if there is none), counted over all patterns of the index; and ``guard``: its longest
+    required part."""
+    required = required_text(F.col("body"))
+    every = index.select(F.explode(trigrams(required)).alias("gram")).groupBy("gram").agg(F.count(F.lit(1)).alias("n"))
+    open_ = index.where(F.col("anchor").isNull())
+    own = open_.select("body", F.explode(F.array_distinct(trigrams(required))).alias("gram")).distinct()
+    best = (own.join(every, "gram").groupBy("body")
+               .agg(F.min_by("gram", F.struct("n", "gram")).alias("gram")).withColumnRenamed("body", "__body"))
+    longest = longest_run(F.split(required, BREAK))
+    return (open_.join(best, F.col("body") == F.col("__body"), "left")
+                 .select(*(c for c in index.columns if c != "guard"), longest.alias("guard"), "gram"))
+
+
 def boundary(body: Column) -> Column:
     """``\\b body \\b`` with Python's boundary semantics (see ``functions.words``)."""
     return F.concat(F.lit(BOUNDARY), body, F.lit(BOUNDARY))
