@@ -54,14 +54,16 @@ _COUNTRY_ENTRY = T.StructType([
 ])
 
 
-def _exact(entry) -> Column:
+def _exact(entry, patterns: bool = False) -> Column:
     """Exactness check after the anchor join, cheapest test first (And/Or short-circuit in
     generated code): one-run names are settled by the anchor; others need their second
     run among the row's words, then the guard substring, then the boundary regex."""
     text = F.col("text")
     second_ok = entry("second").isNull() | F.array_contains(F.col("words"), entry("second"))
-    return entry("single") | (second_ok & F.contains(text, entry("guard"))
-                              & F.regexp_like(text, boundary(entry("body"))))
+    guarded = second_ok & F.contains(text, entry("guard"))
+    if patterns:    # without the boundaries first: they are tried at every character, a pattern's first letter seldom fits
+        guarded = guarded & F.regexp_like(text, entry("body"))
+    return entry("single") | (guarded & F.regexp_like(text, boundary(entry("body"))))
 
 
 def _phrase_words(phrase: Column) -> Column:
@@ -114,6 +116,7 @@ class _Index:
     payload: list[str]
     grams: "_Index | None" = None       # patterns without an anchor, joined on a required trigram
     gram_list: list | None = None       # those trigrams, inlined when bounded
+    patterns: bool = False              # the names of this part are such patterns
 
     @classmethod
     def build(cls, index: DataFrame, payload: list[str], patterns: bool = False) -> "_Index":
@@ -139,6 +142,7 @@ class _Index:
             if not keyed.isEmpty():
                 whole.grams = cls.build(keyed.withColumn("anchor", F.col("gram")).withColumn("second", F.lit(None).cast("string"))
                                              .withColumn("single", F.lit(False)).drop("gram"), payload)
+                whole.grams.patterns = True
                 rows = collect_bounded(keyed.select("gram").distinct())
                 whole.gram_list = None if rows is None else sorted(r["gram"] for r in rows)
             return whole
@@ -352,8 +356,6 @@ class Gazetteer:
         def gate(entry) -> Column:
             return F.array_contains(F.col(gate_col), entry("countrycode")) if gate_col else F.lit(True)
 
-        exact = _exact
-
         # explode_outer: a plain explode makes the optimizer infer size(words) > 0 and
         # push it below the projection, which would tokenize every text twice; the
         # null token of an empty array simply finds no join partner. For the same reason
@@ -363,7 +365,7 @@ class Gazetteer:
         if index.broadcast:
             tokens = units.select(*carry, F.explode_outer(words).alias("__tok"))
             out = (tokens.join(index.anchored, F.col("__tok") == F.col("anchor"))
-                         .where(gate(F.col) & exact(F.col))
+                         .where(gate(F.col) & _exact(F.col, index.patterns))
                          .select(*keys, *index.payload))
         else:
             out = _shuffled_hits(units, index, words, gate, keys, [gate_col] if gate_col else [])
@@ -410,7 +412,7 @@ def _shuffled_hits(units: DataFrame, index: _Index, words: Column, gate, keys: l
     texts = marked.select(*[F.col(i).alias(f"__{i}") for i in ids], "text", "words") \
                   .dropDuplicates([f"__{i}" for i in ids])
     same = [F.col(i).eqNullSafe(F.col(f"__{i}")) for i in ids]
-    checked = open_.join(texts, same).where(_exact(F.col))
+    checked = open_.join(texts, same).where(_exact(F.col, index.patterns))
     return settled.unionByName(checked.select(*keys, *index.payload))
 
 
