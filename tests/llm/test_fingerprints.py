@@ -46,7 +46,7 @@ def test_sketches_hold_all_hashes_below_the_threshold(monkeypatch, most):
         assert len(s) == len(plain_shingles(t or "", 5))
     for s, cut in zip(whole, fingerprints.sketches(items, scale=4)):
         assert (np.diff(s.astype(object)) > 0).all() if len(s) > 1 else True
-        want = [int(x) for i, x in enumerate(s) if int(x) < (1 << 64) // 4 or i == 0]
+        want = [int(x) for i, x in enumerate(s) if int(x) < (1 << 64) // 4 or i < fingerprints.FEW]
         assert cut.tolist() == want
 
 
@@ -60,8 +60,15 @@ def test_estimates_and_merge():
     items = [" ".join(f"w{i}" for i in range(k, k + 300)).encode() for k in (0, 200)]
     p, q = fingerprints.sketches(items)
     both = fingerprints.merge(p, q)
-    assert set(both.tolist()) == {v for v in p.tolist() + q.tolist()
-                                  if v < (1 << 64) // fingerprints.SCALE or v == min(p[0], q[0])}
+    every = sorted({*p.tolist(), *q.tolist()})
+    assert both.tolist() == [v for i, v in enumerate(every) if v < (1 << 64) // fingerprints.SCALE or i < fingerprints.FEW]
+    whole = fingerprints.sketches([" ".join(f"w{i}" for i in range(n)).encode() for n in (9, 30, 400)])
+    for t in (" ".join(f"w{i}" for i in range(n)) for n in (9, 30, 400)):       # a merge is the sketch of the union
+        part = fingerprints.sketches([t.encode(), b"v1 v2 v3 v4 v5 v6"])
+        union = np.unique(np.concatenate(fingerprints.sketches([t.encode(), b"v1 v2 v3 v4 v5 v6"], scale=1)))
+        want = union[(union < np.uint64((1 << 64) // fingerprints.SCALE)) | (np.arange(len(union)) < fingerprints.FEW)]
+        assert fingerprints.merge(*part).tolist() == want.tolist()
+    assert [len(w) >= min(n - 4, fingerprints.FEW) for w, n in zip(whole, (9, 30, 400))] == [True] * 3
 
 
 def test_a_short_text_in_a_long_one():
@@ -73,14 +80,28 @@ def test_a_short_text_in_a_long_one():
             a, b = fingerprints.sketches([short.encode(), long.encode()])
             x, y = plain_shingles(short, 5), plain_shingles(long, 5)
             inside = len(x & y) / len(x)
-            assert fingerprints.containment(a, b) == inside
-            assert fingerprints.containment(a, fingerprints.merge(a, b)) == 1
-            if n <= 14:
-                assert fingerprints.likeness(a, b) == len(x & y) / len(x | y)
-            stored = [np.array(s) for s in (a, b)]                    # read back: without the shingles
-            known = stored[0][0] < (1 << 64) // fingerprints.SCALE
-            assert fingerprints.containment(*stored) == ((inside if n >= 5 else 0) if known else None)
-            assert (fingerprints.likeness(*stored) is None) == (not known)
+            low = min(int(fingerprints.known_up_to(b)), (1 << 64) - 1)
+            known = any(int(h) <= low for h in a)                     # else no hash of the short text can be looked up
+            assert fingerprints.containment(a, b) == (inside if known else None)
+            assert fingerprints.containment(a, fingerprints.merge(a, b)) in (1, None)
+            if n <= 19:
+                assert len(a) == len(x)                               # all shingles are in the sketch
+            assert 0 <= fingerprints.likeness(a, b) <= 0.1
+
+
+def test_estimates_follow_brute_force_by_length():
+    """Mean error of the likeness of a text and its edited copy, by length: exact while all shingles are held."""
+    rng = np.random.default_rng(11)
+    for n, most in ((8, 0), (19, 0), (60, 0.13), (300, 0.07), (2000, 0.03)):
+        off = []
+        for _ in range(60):
+            words = [f"w{i}" for i in rng.integers(0, 10 ** 6, n)]
+            cut = int(rng.integers(1, n))
+            a, b = " ".join(words), " ".join(words[:cut] + [f"v{i}" for i in rng.integers(0, 10 ** 6, n - cut)])
+            x, y = plain_shingles(a, 5), plain_shingles(b, 5)
+            p, q = fingerprints.sketches([a.encode(), b.encode()])
+            off.append(abs(fingerprints.likeness(p, q) - len(x & y) / len(x | y)))
+        assert np.mean(off) <= most
 
 
 def test_a_short_pair_has_its_exact_shares(spark):
@@ -117,7 +138,9 @@ def test_edited_copies_in_a_ring(spark, case):
         want.append((d, len(t), hashlib.sha256(e.encode()).hexdigest(), fingerprints.as_text(p), fingerprints.as_text(q),
                      fingerprints.likeness(p, q), fingerprints.likeness(p, n),
                      fingerprints.containment(p, q), fingerprints.containment(p, n)))
-    key = lambda r: (r[0] is None, r[0] or 0, *r[1:])
+    key = lambda r: (r[0] is None, r[0] or 0, *map(str, r[1:]))
+    for r in got:                                       # from the returned fingerprints alone
+        assert r[5] == fingerprints.likeness(fingerprints.of_text(r[3]), fingerprints.of_text(r[4]))
     assert sorted(got, key=key) == sorted(want, key=key)
 
 

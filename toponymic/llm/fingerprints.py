@@ -1,18 +1,18 @@
 """Threshold-scaled sketches of documents.
 
-A document's sketch holds every five-word shingle hash below ``2**64 / scale``, plus the
-smallest hash of all, a tag by which a short text is never left without one. Sketches
-merge: the union's sketch is the union of both, cut to the threshold and its smallest
-hash. The share of one sketch found in another estimates the containment of one text in
-the other however unequal their sizes, as both were cut at the same threshold; a tag above
-the threshold has no part in it. A text with fewer than ``FEW`` hashes below the threshold
-is too short for an estimate: all shingles are compared instead, which sketches made from
-texts have at hand. Where they are not at hand (sketches read back), a side without any
-hash below the threshold makes the answer None, unknown.
+A document's sketch holds every five-word shingle hash below ``2**64 / scale``, plus its
+``few`` smallest hashes, so a short text's sketch is all of its shingles. Sketches merge: the
+union's sketch is the union of both, cut to the threshold and its ``few`` smallest hashes.
+A sketch alone tells up to which hash it is complete (``known_up_to``): the threshold, or
+its last hash where that is higher, or any hash if it has fewer than ``few``. Two sketches are
+compared up to the lower of both limits, so the estimates need nothing but the sketches, made or
+read back, however unequal the texts.
 
 Defined cases: a null text is the empty text; a text of fewer than five words is one
 shingle; a text without words has an empty sketch, which equals another empty one
-(likeness 1) and has likeness 0 to any other. Equal texts have equal sketches.
+(likeness 1) and has likeness 0 to any other. Equal texts have equal sketches. Likeness is
+always known; containment is None, unknown, if the first sketch has no hash up to
+the limit (a short text beside a long one). An empty table gives an empty one.
 """
 
 from __future__ import annotations
@@ -29,95 +29,79 @@ from pyspark.sql import types as T
 
 from toponymic.llm import ranges, texts
 
-SCALE = 8
+SCALE = 4
 WORDS = 5
 FEW = 16
 
 
-class Sketch(np.ndarray):
-    """Rising, distinct hashes, with their scale and, if at hand, the hashes of all shingles."""
-
-    def __array_finalize__(self, other: np.ndarray | None) -> None:
-        self.scale = getattr(other, "scale", SCALE)
-        self.found = None
-
-    @classmethod
-    def of(cls, hashes: np.ndarray, scale: int, found: np.ndarray | None) -> Sketch:
-        out = np.asarray(hashes).view(cls)
-        out.scale, out.found = scale, found
-        return out
-
-
 def _threshold(scale: int) -> np.uint64:
     """The highest hash that is kept."""
     return np.uint64((1 << 64) // scale - 1)
 
 
-def sketches(items: list[bytes], scale: int = SCALE, size: int = WORDS, whole: bool = True) -> list[Sketch]:
-    """The sketch of each text: rising, distinct 64-bit hashes. ``whole``: with all shingles at hand."""
-    out: list[Sketch] = []
+def _distinct(hashes: np.ndarray, docs: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+    """Each document's hashes once, rising."""
+    order = np.lexsort((hashes, docs))
+    hashes, docs = hashes[order], docs[order]
+    new = np.ones(len(hashes), dtype=bool)
+    new[1:] = (hashes[1:] != hashes[:-1]) | (docs[1:] != docs[:-1])
+    return hashes[new], docs[new]
+
+
+def sketches(items: list[bytes], scale: int = SCALE, size: int = WORDS, few: int = FEW) -> list[np.ndarray]:
+    """The sketch of each text: rising, distinct 64-bit hashes."""
+    out: list[np.ndarray] = []
     below = _threshold(scale)
     for lo, hi in texts.chunks([len(t) for t in items]):
         words = texts.Words(items[lo:hi])
         found, owner = texts.shingles(words, words.hashes(), size)
-        if not len(found):
-            out += [Sketch.of(np.zeros(0, np.uint64), scale, found if whole else None)] * (hi - lo)
-            continue
-        at = np.flatnonzero(np.diff(owner, prepend=-1))
-        part = np.searchsorted(owner, np.arange(hi - lo + 1))
         kept = found <= below
-        hashes = np.concatenate([found[kept], np.minimum.reduceat(found, at)])
-        docs = np.concatenate([owner[kept], owner[at]])
-        order = np.lexsort((hashes, docs))
-        hashes, docs = hashes[order], docs[order]
-        new = np.ones(len(hashes), dtype=bool)
-        new[1:] = (hashes[1:] != hashes[:-1]) | (docs[1:] != docs[:-1])
-        hashes, docs = hashes[new], docs[new]
-        cut = np.searchsorted(docs, np.arange(hi - lo + 1))
-        out += [Sketch.of(hashes[cut[i]:cut[i + 1]], scale, found[part[i]:part[i + 1]] if whole else None) for i in range(hi - lo)]
+        hashes, docs = _distinct(found[kept], owner[kept])
+        n = np.bincount(docs, minlength=hi - lo)
+        more = ~kept & (n[owner] < few)                      # above the threshold, in texts that have few below
+        high, of = _distinct(found[more], owner[more])
+        rank = np.arange(len(of)) - np.searchsorted(of, of) + n[of]
+        hashes, docs = np.concatenate([hashes, high[rank < few]]), np.concatenate([docs, of[rank < few]])
+        hashes = hashes[np.argsort(docs, kind="stable")]
+        cut = np.concatenate([[0], np.cumsum(np.bincount(docs, minlength=hi - lo))])
+        out += [hashes[cut[i]:cut[i + 1]] for i in range(hi - lo)]
     return out
 
 
-def merge(a: np.ndarray, b: np.ndarray, scale: int = SCALE) -> Sketch:
+def merge(a: np.ndarray, b: np.ndarray, scale: int = SCALE, few: int = FEW) -> np.ndarray:
     """The sketch of two documents' shingles taken together."""
-    both = np.union1d(np.asarray(a), np.asarray(b))
-    found = [getattr(x, "found", None) for x in (a, b)]
-    return Sketch.of(both[(both <= _threshold(scale)) | (np.arange(len(both)) == 0)], scale,
-                     None if any(f is None for f in found) else np.concatenate(found))
+    both = np.union1d(a, b)
+    return both[(both <= _threshold(scale)) | (np.arange(len(both)) < few)]
 
 
-def shared(a: np.ndarray, b: np.ndarray) -> int:
-    return len(np.intersect1d(np.asarray(a), np.asarray(b), assume_unique=True))
+def known_up_to(sketch: np.ndarray, scale: int = SCALE, few: int = FEW) -> np.uint64:
+    """The highest hash up to which a sketch holds every hash of its document."""
+    if len(sketch) < few:
+        return np.uint64((1 << 64) - 1)
+    return max(_threshold(scale), sketch[-1])
 
 
-def _comparable(a: np.ndarray, b: np.ndarray) -> tuple[np.ndarray, np.ndarray] | None:
-    """What the estimates count: hashes below the threshold, all shingles if these are few, or
-    None if a side has none."""
-    below = _threshold(max(getattr(x, "scale", SCALE) for x in (a, b)))
-    low = [np.asarray(x)[np.asarray(x) <= below] for x in (a, b)]
-    found = [getattr(x, "found", None) for x in (a, b)]
-    if min(map(len, low)) < FEW and all(f is not None for f in found):
-        return np.unique(found[0]), np.unique(found[1])
-    return (low[0], low[1]) if all(map(len, low)) else None
+def _compared(a: np.ndarray, b: np.ndarray, scale: int, few: int) -> tuple[int, int, int]:
+    """How many hashes each side has up to the lower limit, and how many both have."""
+    top = min(known_up_to(a, scale, few), known_up_to(b, scale, few))
+    a, b = (x[:np.searchsorted(x, top, side="right")] for x in (a, b))
+    return len(a), len(b), len(np.intersect1d(a, b, assume_unique=True))
 
 
-def likeness(a: np.ndarray, b: np.ndarray) -> float | None:
+def likeness(a: np.ndarray, b: np.ndarray, scale: int = SCALE, few: int = FEW) -> float:
     """Estimated share of common shingles among all shingles of both (0 to 1)."""
     if not len(a) or not len(b):
         return float(len(a) == len(b))
-    sides = _comparable(a, b)
-    if sides is None:
-        return None
-    common = shared(*sides)
-    return common / (len(sides[0]) + len(sides[1]) - common)
+    n, m, common = _compared(a, b, scale, few)
+    return common / (n + m - common)
 
 
-def containment(a: np.ndarray, b: np.ndarray) -> float | None:
+def containment(a: np.ndarray, b: np.ndarray, scale: int = SCALE, few: int = FEW) -> float | None:
     """Estimated share of the first document's shingles that the second has (0 to 1)."""
     if not len(a) or not len(b):
         return float(not len(a))
-    sides = _comparable(a, b)
-    return None if sides is None else shared(*sides) / len(sides[0])
+    n, _, common = _compared(a, b, scale, few)
+    return common / n if n else None
 
 
 def as_text(sketch: np.ndarray) -> str:
@@ -125,6 +109,11 @@ def as_text(sketch: np.ndarray) -> str:
     return sketch.astype(">u8").tobytes().hex()
 
 
+def of_text(text: str) -> np.ndarray:
+    """The sketch that ``as_text`` wrote."""
+    return np.frombuffer(bytes.fromhex(text), dtype=">u8").astype(np.uint64)
+
+
 def fingerprints(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text",
                  scale: int = SCALE, size: int = WORDS) -> DataFrame:
     """``id_col``, ``fingerprint`` (sketch as hexadecimal text) of every row, map-only."""
@@ -132,7 +121,7 @@ def fingerprints(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text"
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in texts.small(batches, 1):
-            found = sketches(texts.utf8(batch.column(1)), scale, size, whole=False)
+            found = sketches(texts.utf8(batch.column(1)), scale, size)
             yield pa.RecordBatch.from_arrays(
                 [batch.column(0), pa.array([as_text(s) for s in found], pa.string())],
                 names=[id_col, "fingerprint"])
@@ -195,8 +184,9 @@ def _compare(scale: int, size: int):
             [ids[i] for i in at], [len(items[i]) for i in at],
             [hashlib.sha256(edited[i]).hexdigest() for i in at],
             [as_text(plain[i]) for i in at], [as_text(other[i]) for i in at],
-            [likeness(plain[i], other[i]) for i in at], [likeness(plain[i], plain[i + 1]) for i in at],
-            [containment(plain[i], other[i]) for i in at], [containment(plain[i], plain[i + 1]) for i in at]]
+            [likeness(plain[i], other[i], scale) for i in at], [likeness(plain[i], plain[i + 1], scale) for i in at],
+            [containment(plain[i], other[i], scale) for i in at],
+            [containment(plain[i], plain[i + 1], scale) for i in at]]
         kinds = [pa.int64(), pa.int64(), pa.string(), pa.string(), pa.string()] + [pa.float64()] * 4
         return pa.RecordBatch.from_arrays([pa.array(c, k) for c, k in zip(columns, kinds)], names=_EDITED.names)
 
