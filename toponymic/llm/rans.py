@@ -261,7 +261,7 @@ _ARROW = {"part": pa.int32(), "block": pa.int64(), "start": pa.int64(), "doc_ids
 def _blocks(frequencies: np.ndarray, starts: dict[int, int], size: int):
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         table, tool = Table(frequencies), zstandard.ZstdDecompressor()
-        part, block, at = None, 0, 0
+        part, block, at, held = None, 0, 0, 0          # held: ids gathered for the block
         doc_ids: list = []
         ids: list[np.ndarray] = []
 
@@ -274,14 +274,15 @@ def _blocks(frequencies: np.ndarray, starts: dict[int, int], size: int):
         for batch in texts.small(batches, 2):
             for p, doc, packed in zip(*(c.to_pylist() for c in batch.columns)):
                 new = _unpacked(packed, tool)
-                if ids and (p != part or sum(map(len, ids)) + len(new) > size):
+                if ids and (p != part or held + len(new) > size):
                     yield flush()
-                    block, at = block + 1, at + sum(map(len, ids))
+                    block, at, held = block + 1, at + held, 0
                     doc_ids, ids = [], []
                 if p != part:
                     part, block, at = p, 0, starts[p]
                 doc_ids.append(doc)
                 ids.append(new)
+                held += len(new)
         if ids:
             yield flush()
 
