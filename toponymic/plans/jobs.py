@@ -16,6 +16,7 @@ from pyspark.sql import functions as F
 from toponymic.operators.candidates import (LexiconTooLarge, candidate_docs, tagged_docs, token_arrays,
                                             tokens_long)
 from toponymic.operators.match import Gazetteer, places_in_text
+from toponymic.operators.phrase_entities import phrase_docs
 
 STRATEGIES = ("text", "noun_phrases", "entities")
 
@@ -23,7 +24,8 @@ STRATEGIES = ("text", "noun_phrases", "entities")
 def match_corpus(docs: DataFrame | None, gaz: Gazetteer, on: str = "text", text_col: str = "text",
                  keep: tuple[str, ...] = (), gate: bool = True, lexicon=None,
                  distinct: bool = False, tagged: DataFrame | None = None,
-                 entity_col: str | None = None, split_over: int | None = None) -> DataFrame:
+                 entity_col: str | None = None, split_over: int | None = None,
+                 phrases: DataFrame | None = None) -> DataFrame:
     """Gated place matches: one row per (document[, candidate], place row).
 
     Candidate strategies keep the reference's bag semantics (a place named in two
@@ -35,27 +37,34 @@ def match_corpus(docs: DataFrame | None, gaz: Gazetteer, on: str = "text", text_
     ``docs`` is then only read for the ``keep`` columns. A lexicon too large to inline
     takes the same path, with tags joined to the tokens.
 
+    ``phrases`` (entities only) is a list of entity names, of any size and of any number of tokens (column
+    ``phrase``): its leftmost-longest matches are the candidates (``operators.phrase_entities``).
+
     ``split_over`` (full text only) has texts of more bytes matched in pieces, by many tasks
     (``operators.match.places_in_text``).
     """
     if on not in STRATEGIES:
         raise ValueError(f"on must be one of {STRATEGIES}")
     if on == "text":
-        if tagged is not None:
-            raise ValueError("tags serve the candidate strategies only")
+        if tagged is not None or phrases is not None:
+            raise ValueError("tags and phrase lists serve the candidate strategies only")
         return places_in_text(docs, gaz, text_col, gate, keep, split_over)
     if split_over is not None:
         raise ValueError("only full texts are matched in pieces")
-    if tagged is None:
+    if phrases is not None and (on != "entities" or tagged is not None or lexicon is not None):
+        raise ValueError("a phrase list replaces the entity rule, its tags and its lexicon")
+    if tagged is None and phrases is None:
         try:
             per_doc = gaz.candidate_docs(candidates(docs, on, text_col, keep, lexicon))
         except LexiconTooLarge:
             tagged = tokens_long(token_arrays(docs, text_col), lexicon=lexicon)
-    if tagged is None:
+    if tagged is None and phrases is None:
         found = gaz.places_in(gaz.candidate_units(per_doc, keep, gate), gate=gate, keep=keep)
     else:
-        per_doc = gaz.candidate_docs(tagged_docs(tagged, on, entity_col), any_tokens=True)
-        found = gaz.places_in(gaz.candidate_units(per_doc, gate=gate, any_tokens=True), gate=gate)
+        own_tokens = phrases is not None
+        spans = phrase_docs(token_arrays(docs, text_col), phrases) if own_tokens else tagged_docs(tagged, on, entity_col)
+        per_doc = gaz.candidate_docs(spans, any_tokens=not own_tokens)
+        found = gaz.places_in(gaz.candidate_units(per_doc, gate=gate, any_tokens=not own_tokens), gate=gate)
         if keep:
             own = docs.select(F.col("doc_id").alias("__doc"), *keep)
             found = found.join(own, F.col("doc_id").eqNullSafe(F.col("__doc"))).drop("__doc")

@@ -22,6 +22,7 @@ from toponymic.operators.article_markup import with_article_fields, with_tag_tex
 from toponymic.operators.candidates import candidate_docs, candidates_long, token_arrays, tokens_long
 from toponymic.operators.match import Gazetteer
 from toponymic.operators.names import broadcast_if_bounded
+from toponymic.operators.phrase_entities import phrase_docs
 from toponymic.operators.tokens import exact_token_matches, ngram_matches, noun_names
 from toponymic.plans import oracle as O
 from toponymic.plans.jobs import match_corpus, with_article_meta
@@ -69,6 +70,12 @@ class Inputs:
         trained entity chunker the reference uses labels them as places)."""
         return self.countries.select(F.col("country").alias("token"), F.lit("NNP").alias("tag"))
 
+    @cached_property
+    def entity_phrases(self) -> DataFrame:
+        """Fixture phrase list of the entity strategy: every place and country name."""
+        return self.places.select(F.col("name").alias("phrase")).unionByName(
+            self.countries.select(F.col("country").alias("phrase")))
+
     @cached_property
     def nouns(self) -> DataFrame:
         return noun_names(self.places)
@@ -267,6 +274,18 @@ def q_tagged_place_match(spark, sf_dir):
     return match_corpus(None, i.gaz, on="entities", tagged=tagged, entity_col="entity").select(*CAND_MATCH_COLS)
 
 
+def q_phrase_entities(spark, sf_dir):
+    """X5 with a phrase list: its leftmost-longest matches in every document."""
+    i = inputs(spark, sf_dir)
+    return candidates_long(phrase_docs(token_arrays(i.docs), i.entity_phrases))
+
+
+def q_phrase_place_match(spark, sf_dir):
+    """M2 with a phrase list: gated place matches over the phrases found."""
+    i = inputs(spark, sf_dir)
+    return match_corpus(i.docs, i.gaz, on="entities", phrases=i.entity_phrases).select(*CAND_MATCH_COLS)
+
+
 #: Bytes of text above which ``long_document_match`` cuts a document into pieces.
 SPLIT_OVER = 4096
 
@@ -326,6 +345,8 @@ QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "candidate_place_match": q_candidate_place_match,
     "entity_place_match": q_entity_place_match,
     "tagged_place_match": q_tagged_place_match,
+    "phrase_entities": q_phrase_entities,
+    "phrase_place_match": q_phrase_place_match,
     "long_document_match": q_long_document_match,
     "pattern_place_match": q_pattern_place_match,
     "token_exact_match": q_token_exact_match,
@@ -393,6 +414,19 @@ ent AS MATERIALIZED (SELECT doc_id, min(pos) AS cand_id, string_agg(token, ' ' O
         FROM eng WHERE c = 'P' GROUP BY doc_id, gid)"""
 
 
+# names of the phrase list have one or two words, so of overlapping matches every other one stays
+PHRASE_ENTITIES = """
+ph AS (SELECT name FROM place UNION SELECT country AS name FROM country),
+pw AS (SELECT doc_id, pos, token, lead(token) OVER (PARTITION BY doc_id ORDER BY pos) AS follows FROM tk),
+ps AS (SELECT pw.doc_id, pw.pos, coalesce(b.name, a.name) AS name, CASE WHEN b.name IS NULL THEN 1 ELSE 2 END AS n
+       FROM pw LEFT JOIN ph b ON b.name = pw.token || ' ' || pw.follows LEFT JOIN ph a ON a.name = pw.token
+       WHERE a.name IS NOT NULL OR b.name IS NOT NULL),
+pg AS (SELECT *, CASE WHEN lag(pos + n) OVER (PARTITION BY doc_id ORDER BY pos) > pos THEN 0 ELSE 1 END AS starts FROM ps),
+pi AS (SELECT *, sum(starts) OVER (PARTITION BY doc_id ORDER BY pos ROWS UNBOUNDED PRECEDING) AS gid FROM pg),
+pk AS (SELECT *, row_number() OVER (PARTITION BY doc_id, gid ORDER BY pos) AS k FROM pi),
+pent AS MATERIALIZED (SELECT doc_id, pos AS cand_id, name || ' ' AS phrase FROM pk WHERE k % 2 = 1)"""
+
+
 def _candidate_matches(src: str) -> str:
     """Gated, bag-semantics place matches over candidate table ``src``."""
     return rf"""
@@ -526,6 +560,9 @@ FROM documents""",
                                       body="SELECT doc_id, cand_id, row_index, geonameid, name, countrycode FROM cm"),
     "tagged_place_match": O.with_ctes(G, TAGGED, ENTITY_TAGGED, ENTITY_CANDIDATES, _candidate_matches("ent"),
                                       body="SELECT doc_id, cand_id, row_index, geonameid, name, countrycode FROM cm"),
+    "phrase_entities": O.with_ctes(G, _tokens_cte("tk", True), PHRASE_ENTITIES, body="SELECT doc_id, cand_id, phrase FROM pent"),
+    "phrase_place_match": O.with_ctes(G, _tokens_cte("tk", True), PHRASE_ENTITIES, _candidate_matches("pent"),
+                                      body="SELECT doc_id, cand_id, row_index, geonameid, name, countrycode FROM cm"),
     "token_exact_match": O.with_ctes(G, _tokens_cte("tk0", False), _tagged_cte("tg0", "tk0"), body="""
 SELECT doc_id, pos, token, tag FROM tg0 WHERE tag LIKE 'NN%' AND token IN (SELECT name FROM place)"""),
     "ngram_match": O.with_ctes(G, O.DOC_WORDS, _tokens_cte("tk2", False), """
