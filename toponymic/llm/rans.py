@@ -221,30 +221,38 @@ def _unpacked(packed: bytes, tool: zstandard.ZstdDecompressor) -> np.ndarray:
 
 
 def tokenized(docs: DataFrame, path: str, end_id: int, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
-    """``doc_id``, ``n``, ``ids`` (packed, end id included) of every row; map-only."""
+    """``doc_id``, ``n``, ``ids`` (packed, end id included) of every row; map-only. Each task adds
+    a last row with ``counts`` alone: how often each id of the vocabulary came, packed. So counting costs no second
+    pass over the ids, and a task that is run again counts its rows once."""
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         coder, tool, end = word_ids(path), zstandard.ZstdCompressor(level=1), end_id.to_bytes(4, "little")
+        counts = np.zeros(max(coder.tokenizer.get_vocab_size(with_added_tokens=True), end_id + 1), dtype=np.int64)
         for batch in texts.small(batches, 1):
             raw = [coder.ids(t) + end for t in texts.strings(batch.column(1))]
+            for lo, hi in texts.chunks([len(r) for r in raw], 4 * texts.CHUNK_BYTES):
+                counts += np.bincount(np.frombuffer(b"".join(raw[lo:hi]), dtype="<u4"), minlength=len(counts))
             yield pa.RecordBatch.from_arrays(
                 [batch.column(0), pa.array([len(r) // 4 for r in raw], pa.int64()),
-                 pa.array([_packed(r, tool) for r in raw], pa.binary())], names=["doc_id", "n", "ids"])
+                 pa.array([_packed(r, tool) for r in raw], pa.binary()), pa.nulls(len(raw), pa.binary())], names=names)
+        yield pa.RecordBatch.from_arrays(
+            [pa.nulls(1, pa.int64()), pa.nulls(1, pa.int64()), pa.nulls(1, pa.binary()),
+             pa.array([tool.compress(counts.astype("<i8").tobytes())], pa.binary())], names=names)
 
-    return docs.select(F.col(id_col).cast("long"), text_col).mapInArrow(run, "doc_id long, n long, ids binary")
+    names = ["doc_id", "n", "ids", "counts"]
+    return docs.select(F.col(id_col).cast("long"), text_col).mapInArrow(run, "doc_id long, n long, ids binary, counts binary")
 
 
 # ---------------------------------------------------------------- the files
 
-def _counts(size: int):
-    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        tool, n = zstandard.ZstdDecompressor(), np.zeros(size, dtype=np.int64)
-        for batch in texts.small(batches, 0):
-            for packed in batch.column(0).to_pylist():
-                n += np.bincount(_unpacked(packed, tool), minlength=size)
-        at = np.flatnonzero(n)
-        yield pa.RecordBatch.from_arrays([pa.array(at), pa.array(n[at])], names=["id", "n"])
-
-    return run
+def _summed(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    """(id, n) of the packed counts of some tasks."""
+    tool, n = zstandard.ZstdDecompressor(), np.zeros(0, dtype=np.int64)
+    for batch in batches:
+        for packed in batch.column(0).to_pylist():
+            found = np.frombuffer(tool.decompress(packed), dtype="<i8")
+            n = n + found if len(n) else found
+    at = np.flatnonzero(n)
+    yield pa.RecordBatch.from_arrays([pa.array(at, pa.int64()), pa.array(n[at], pa.int64())], names=["id", "n"])
 
 
 _BLOCKS = T.StructType([
@@ -290,12 +298,14 @@ def _blocks(frequencies: np.ndarray, starts: dict[int, int], size: int):
 
 
 def write(tokens: DataFrame, folder: str, size: int, block: int = BLOCK) -> None:
-    """Writes the files of a table of packed ids (``tokenized``, read three times, so
+    """Writes the files of a table of packed ids and counts (``tokenized``, read several times, so
     best a written one). ``size``: number of ids of the vocabulary, which bounds the counts that
     reach the driver; beside them it gets one row a range."""
     spark = tokens.sparkSession
     counts = np.zeros(size, dtype=np.int64)
-    for r in tokens.select("ids").mapInArrow(_counts(size), "id long, n long").groupBy("id").agg(F.sum("n").alias("n")).collect():
+    counted = tokens.where(F.col("counts").isNotNull()).select("counts")
+    tokens = tokens.where(F.col("counts").isNull()).select("doc_id", "n", "ids")
+    for r in counted.mapInArrow(_summed, "id long, n long").groupBy("id").agg(F.sum("n").alias("n")).collect():
         counts[r["id"]] = r["n"]
     frequencies = scaled(counts)
     spark.createDataFrame([(i, int(f)) for i, f in enumerate(frequencies)], "id int, freq int").coalesce(1) \
