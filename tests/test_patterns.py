@@ -74,3 +74,28 @@ def test_required_text_is_in_every_match(spark):
     held = df.select("p", "text", trigrams(required_text(F.col("p"))).alias("g")).collect()
     assert all(re.fullmatch(r.p, r.text) and all(g in r.text for g in r.g) for r in held)
     assert sum(bool(r.g) for r in held) > 150
+
+
+WHOLE = ["Nair(o|u)bi", "Mom+basa", "Kam[pb]ala", "colou?r", "For[t] Portal", "Fort P\\w+l", "Sain[t]-Den(i|y)s", "Lak[e] of Oh(i|ri)d",
+         "abc(d|e)+f{1,2}", "\\d+th mile", "Rio d[eo]s? Ouro"]
+OTHERS = ["Fort(?: San)? Portal", "Fort( |-)Portal", "La,, Pa[z]", "Port?(o)? (x)? Alegre", "a b c d e[f] ghi", "(?i)Kampal[a]", "Kam.[p]ala",
+          "Nai|robi [x]abc", "[^a]bcde", "\\bNairobi", "e[s]", "(ab|a)cde{1,2}", "\\d+ mile"]
+
+
+@pytest.mark.parametrize("broadcast", [True, False])
+def test_patterns_of_whole_words_meet_words_instead_of_texts(spark, monkeypatch, broadcast):
+    if not broadcast:
+        monkeypatch.setattr(names, "MAX_BROADCAST_NAMES", 0)
+    patterns = WHOLE + OTHERS + WHOLE[:2]                       # the last are rows that repeat a pattern
+    gaz = gazetteer(spark, True, places=[(i % 24, p, "KE") for i, p in enumerate(patterns)])
+    assert sorted(r["body"] for r in gaz._places.ends.collect()) == sorted(WHOLE + WHOLE[:2])
+    rnd = random.Random(3)
+    words = ["Nairobi", "Nairubi", "Nairobix", "Momasa", "Mommbasa", "Kambala", "color", "colour", "Fort", "Portal", "Saint", "Denys",
+             "Lake", "of", "Ohid", "Ohrid", "acde", "abcdee", "abcdeff", "12", "12th", "mile", "Rio", "des", "do", "Ouro", "San", "La", "Paz", "es", "é"]
+    texts = ["".join(w + rnd.choice([" ", " ", " ", "-", ",", ", ", "\n"]) for w in rnd.choices(words, k=rnd.randint(1, 25)))
+             for _ in range(300)] + ["Nairobi Nairubi Nairobi", "xNairobi Fort Portal.", "", None]
+    docs = docs_df(spark, texts + texts[:9]).selectExpr("if(doc_id % 7 = 0, null, doc_id % 50) AS doc_id", "text")   # keys repeat or lack
+    got = sorted(str((r.doc_id, r.row_index)) for r in places_in_text(docs, gaz, gate=False).collect())
+    want = [str((None if d % 7 == 0 else d % 50, i % 24)) for d, t in enumerate(texts + texts[:9]) for i, p in enumerate(patterns)
+            if re.search(rf"\b{p}\b" if not p.startswith("(?i)") else rf"\b(?i:{p[4:]})\b", t or "")]
+    assert got == sorted(want) and len(got) > 300
