@@ -214,3 +214,15 @@ def test_positions_out_of_range_stop_the_job(spark):
     tagged = spark.createDataFrame([(1, 10 ** 9, "Kenya", "NN")], "doc_id long, pos long, token string, tag string")
     with pytest.raises(Exception, match="digits at most"):
         tagged_docs(tagged).collect()
+
+
+def test_coded_units_hold_only_tokens_of_phrases(spark):
+    """Tokens outside of any phrase are a letter alone; classes are those of the tags, whatever a token begins with."""
+    from toponymic.functions.text import class_rule, coded_units, tag_class, tag_rule
+    tokens = ["The", "the", "tHIS", "that", "fatal", "Fatal", "ing", "sing", "42", "4x", "x4", "_a", "é", "Élan", "élan", "İ", "ﬀ", "{", "~",
+              "`", "with", "within", "a", "z", "A", "from", "FROM", "quickly", "used", "nous", "٣", "ⅷ", "", "𐐀x", "K"]
+    df = spark.createDataFrame([(t,) for t in tokens], "t string")
+    t = F.col("t")
+    assert df.where(~class_rule(t).eqNullSafe(tag_class(tag_rule(t)))).collect() == []
+    got = token_arrays(docs_df(spark, ["the big (Nairobi) sings"])).select(coded_units(F.col("tokens")).alias("c")).first().c
+    assert got == "\nO\nN000000001big\nP000000002Nairobi\nN000000003sings"

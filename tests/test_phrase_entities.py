@@ -77,3 +77,15 @@ def test_job_with_a_phrase_list(spark):
         (1, 2, "San Jose", "en"), (1, 7, "San Jose", "en")]         # document 2 names no country
     with pytest.raises(ValueError):
         match_corpus(docs, gaz, on="noun_phrases", phrases=phrases)
+
+
+def test_a_position_takes_the_tokens_that_follow_only_where_a_phrase_starts(spark):
+    """Slices of the text's tokens are made above the join with the first tokens, not for every token."""
+    table = spark.createDataFrame([("San Jose",), ("Rio",)], "phrase string")
+    docs = spark.createDataFrame([(1, "San Jose (and) Rio")], "doc_id long, text string")
+    plan = phrase_docs(token_arrays(docs), table)._jdf.queryExecution().optimizedPlan().toString()
+    slices = [i for i, line in enumerate(plan.splitlines()) if "slice(tokens" in line]
+    generated = [i for i, line in enumerate(plan.splitlines()) if "Generate posexplode" in line]
+    joined = [i for i, line in enumerate(plan.splitlines()) if "Join Inner" in line]
+    assert slices and generated and joined and max(slices) < min(joined) < min(generated)
+    assert "translate(" not in plan
